@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: rule counts, base verdict, and whether its histograms fit a language."""
+    from folioforge.llm.quality import judge
+
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judge(table(spark, sf_dir, "documents")).select(*columns)
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: size of its shingle set and the least id of its component."""
     from folioforge.llm.near_duplicates import near_duplicates
@@ -23,4 +32,12 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op9_ngram_jaccard)}
+def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: secrets found in its blob, which is scanned once whatever the number of its paths."""
+    from folioforge.llm.secrets import scan_increment
+
+    found, _ = scan_increment(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+QUERIES = {f.__name__: f for f in (op3_decontamination, op5_quality_divergence, op9_ngram_jaccard, op10_secret_ledger)}
