@@ -17,6 +17,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its size, its source's size and target, and the words taken."""
+    from folioforge.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: rule counts, base verdict, and whether its histograms fit a language."""
     from folioforge.llm.quality import judge
@@ -25,6 +32,13 @@ def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that repeats, exactly or nearly: its component's first line and whether it is the one that stays."""
+    from folioforge.llm.line_dedup import line_components
+
+    return line_components(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: size of its shingle set and the least id of its component."""
     from folioforge.llm.near_duplicates import near_duplicates
@@ -40,4 +54,4 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op5_quality_divergence, op9_ngram_jaccard, op10_secret_ledger)}
+QUERIES = {f.__name__: f for f in (op3_decontamination, op4_source_mixing, op5_quality_divergence, op7_line_dedup, op9_ngram_jaccard, op10_secret_ledger)}
