@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.kernels import Words, blocks, column_bytes
+from folioforge.llm.storage import mapped
 
 WINDOW = 13
 MIN_PERCENT = 5
@@ -268,7 +269,7 @@ def contamination(
         if waiting:
             yield judged()
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return mapped(docs.select(doc_id, text), run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from folioforge.llm import postings
 from folioforge.llm.graph import components
 from folioforge.llm.kernels import U64, _powers, blocks, column_bytes, mix, signed
-from folioforge.llm.storage import Scratch, partitions_for
+from folioforge.llm.storage import Scratch, mapped, partitions_for
 
 SHINGLE, PERCENT, MIN_CHARS, BANDS, ROWS = 8, 75, 40, 14, 4
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -99,7 +99,7 @@ def _bands(docs: DataFrame, k: int, min_chars: int, bands: int, rows: int) -> Da
                 size = np.repeat(lines.end - lines.start, bands)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(token.reshape(-1))), pa.array(signed(np.repeat(lines.key, bands))), pa.array(size)], names=["token", "key", "meta"])
 
-    return docs.select("text").mapInArrow(run, "token bigint, key bigint, meta bigint")
+    return mapped(docs.select("text"), run, "token bigint, key bigint, meta bigint")
 
 
 def _members(docs: DataFrame, min_chars: int, texts: bool = False) -> DataFrame:
@@ -120,7 +120,7 @@ def _members(docs: DataFrame, min_chars: int, texts: bool = False) -> DataFrame:
                     ids = batch.column(0).take(pa.array(lines.doc + a))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number.astype(np.int32)), pa.array(signed(lines.key))], names=["doc_id", "line", "key"])
 
-    return docs.mapInArrow(run, "key bigint, text string" if texts else "doc_id bigint, line int, key bigint")
+    return mapped(docs, run, "key bigint, text string" if texts else "doc_id bigint, line int, key bigint")
 
 
 def _verified(pairs: DataFrame, blobs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -146,7 +146,7 @@ def _verified(pairs: DataFrame, blobs: DataFrame, k: int, percent: int) -> DataF
                 ok.append(100 * inter >= percent * (len(x) + len(y) - inter))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), run, "a bigint, b bigint")
 
 
 def _rest(mixed: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.llm.storage import mapped
+
 LIVE = "token bigint, key bigint, meta bigint, head bigint, head_meta bigint"
 
 
@@ -46,7 +48,7 @@ def _batch(rows: np.ndarray, heads: np.ndarray) -> pa.RecordBatch:
 def shared(entries: DataFrame, partitions: int) -> DataFrame:
     """Of ``entries`` (token, key, meta), those whose token occurs with two keys or more, once each, with the token's least key as head."""
     dealt = entries.select("token", "key", "meta").repartition(partitions, "token").sortWithinPartitions("token", "key", "meta")
-    return dealt.mapInArrow(_runs, LIVE)
+    return mapped(dealt, _runs, LIVE)
 
 
 def best_heads(live: DataFrame) -> DataFrame:

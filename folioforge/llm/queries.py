@@ -10,6 +10,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: expected severity, where grade 1 is toxic and grade 2 toxic and of poor quality."""
+    from folioforge.llm.toxicity import severity
+
+    grade = F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).when(F.col("toxic") == 0, 0)
+    return severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), grade)
+
+
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal numbers, dates and addresses replaced, and the replacements of each kind."""
+    from folioforge.llm.pseudonyms import pseudonymize
+
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key="corpus-2024")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: words inside benchmark windows and the verdict."""
     from folioforge.llm.decontamination import contamination
@@ -32,6 +47,16 @@ def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: predicted language and score, learned from the documents that are not held out."""
+    from folioforge.llm.language import identify
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    found = identify(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that repeats, exactly or nearly: its component's first line and whether it is the one that stays."""
     from folioforge.llm.line_dedup import line_components
@@ -54,4 +79,10 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op4_source_mixing, op5_quality_divergence, op7_line_dedup, op9_ngram_jaccard, op10_secret_ledger)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity_severity, op2_pseudonyms, op3_decontamination, op4_source_mixing, op5_quality_divergence,
+        op6_language, op7_line_dedup, op9_ngram_jaccard, op10_secret_ledger,
+    )
+}
