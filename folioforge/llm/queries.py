@@ -64,6 +64,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_components(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: word-frequency baseline and the self-attention model's log-probability."""
+    from folioforge.llm.lm_scoring import score
+
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    scored = score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: size of its shingle set and the least id of its component."""
     from folioforge.llm.near_duplicates import near_duplicates
@@ -83,6 +92,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity_severity, op2_pseudonyms, op3_decontamination, op4_source_mixing, op5_quality_divergence,
-        op6_language, op7_line_dedup, op9_ngram_jaccard, op10_secret_ledger,
+        op6_language, op7_line_dedup, op8_lm_score, op9_ngram_jaccard, op10_secret_ledger,
     )
 }
