@@ -103,22 +103,22 @@ def judge(
     references = sound.groupBy("lang").agg(*sums).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(references) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} reference languages")
+    # each distance is an expression of its own that the verdict reads once, and only until a language fits
     near = []
     for r in references:
         chars, words = [r[f"c{i}"] for i in range(n_char)], [r[f"w{i}"] for i in range(n_word)]
         if sum(chars) and sum(words):
-            near.append(F.struct(js_distance(F.col("char_bins"), [x / sum(chars) for x in chars]).alias("char"), js_distance(F.col("word_bins"), [x / sum(words) for x in words]).alias("word"), F.lit(r["lang"]).alias("lang")))
+            near.append((js_distance(F.col("char_bins"), [x / sum(chars) for x in chars]), js_distance(F.col("word_bins"), [x / sum(words) for x in words]), r["lang"]))
     if not near:
         none = F.lit(None).cast("double")
         return rows.select("*", none.alias("js_char"), none.alias("js_word"), F.lit(None).cast("string").alias("nearest"), (~F.col("base_failed")).alias("kept"))
-    ranked = rows.withColumn("near", F.array_sort(F.array(*near), lambda a, b: F.signum(a["char"] + a["word"] - b["char"] - b["word"]).cast("int")))
-
     char_bound = max_char + char_slack / F.sqrt(F.greatest("n_chars", F.lit(1)))
     word_bound = max_word + word_slack / F.sqrt(F.greatest("n_words", F.lit(1)))
 
-    def within(x: Column) -> Column:
-        return ((F.col("n_chars") < min_chars) | (x["char"] <= char_bound)) & ((F.col("n_words") < min_words) | (x["word"] <= word_bound))
+    def within(char: Column, word: Column) -> Column:
+        return ((F.col("n_chars") < min_chars) | (char <= char_bound)) & ((F.col("n_words") < min_words) | (word <= word_bound))
 
-    passed = reduce(lambda a, b: a | b, [within(F.get("near", F.lit(i))) for i in range(len(near))])
-    first = F.get("near", F.lit(0))
-    return ranked.withColumn("kept", ~F.col("base_failed") & passed).withColumns({"js_char": first["char"], "js_word": first["word"], "nearest": first["lang"]}).drop("near")
+    passed = reduce(lambda a, b: a | b, [within(c, w) for c, w, _ in near])
+    first = F.array_min(F.array(*[F.struct((c + w).alias("sum"), c.alias("char"), w.alias("word"), F.lit(k).alias("lang")) for c, w, k in near]))
+    judged = rows.withColumns({"kept": ~F.col("base_failed") & passed, "near": first})
+    return judged.withColumns({"js_char": F.col("near.char"), "js_word": F.col("near.word"), "nearest": F.col("near.lang")}).drop("near")
