@@ -74,3 +74,98 @@ def second_heads(mixed: DataFrame) -> DataFrame:
     met = mixed.join(ends, "token").select("key", "label", F.explode(F.array(*[F.struct(F.col(x)["label"].alias("label"), F.col(x)["key"].alias("key")) for x in ("lo", "hi", "least", "most")])).alias("h"))
     met = met.where("h.label <> label").groupBy("key", F.col("h.key").alias("head")).agg(F.count("*").alias("n"))
     return met.groupBy("key").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("other"))
+
+
+BIG, CHUNK, QUERIES = 32, 512, 4096
+
+
+def split_by_cluster(mixed: DataFrame, live: DataFrame, big: int = BIG) -> tuple[DataFrame, DataFrame]:
+    """Entries with the cluster of their key (the key that it meets most often) where that has ``big`` keys or more, and the sizes of those clusters."""
+    heads = best_heads(live).select("key", F.col("other").alias("cluster"))
+    keys = mixed.select("key", "label").distinct().join(heads, "key", "left").withColumn("cluster", F.coalesce("cluster", "key"))
+    sizes = keys.groupBy("cluster").agg(F.count("*").alias("members")).where(F.col("members") >= big)
+    named = keys.join(sizes, "cluster", "left").select("key", F.when(F.col("members").isNotNull(), F.col("cluster")).alias("cluster"), "members")
+    return mixed.join(named, "key"), sizes
+
+
+def block_links(entries: DataFrame, sizes: DataFrame, blobs: DataFrame, sets, percent: int, partitions: int) -> DataFrame:
+    """Links (a, b) between keys of big clusters and all keys that share a token with one of their members.
+
+    A key is sent once to each block of a cluster (``CHUNK`` members or so), not once to each member; a block is held
+    as an inverted index, every query's intersections with all members are counted at once, and of the links found
+    only those are returned that join labels which the block has not joined yet. Nothing is left out: whatever a pair
+    shares a token with is compared, and rows grow with keys and blocks, not with pairs. ``sets`` turns a text column
+    into sorted distinct hashes of each text.
+    """
+    inside = entries.where("cluster is not null")
+    present = inside.groupBy("token").agg(F.collect_set("cluster").alias("present"))
+    touched = entries.select("token", "key").join(present, "token").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("present"))).alias("present"))
+    chunks, salts = F.ceil(F.col("members") / CHUNK).cast("int"), F.ceil(F.col("members") / QUERIES).cast("int")
+    queries = touched.select("key", F.explode("present").alias("cluster")).join(sizes, "cluster")
+    queries = queries.select("key", "cluster", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.pmod(F.xxhash64("key", F.lit(3)), salts).cast("int").alias("salt"), F.lit(1).alias("side"))
+    members = inside.select("key", "cluster", "members").distinct()
+    members = members.select("key", "cluster", F.pmod(F.xxhash64("key", F.lit(5)), chunks).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("side"))
+    labels = entries.select("key", "label").distinct()
+    known = blobs.join(labels, "key")
+    rows = members.unionByName(queries).join(known, "key").select("cluster", "chunk", "salt", "side", "key", "label", "text")
+    dealt = rows.repartition(partitions, "cluster", "chunk", "salt").sortWithinPartitions("cluster", "chunk", "salt", "side", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        group, block = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            where = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:6]])
+            found = sets(batch.column(6))
+            out: list[tuple[int, int]] = []
+            for i in range(batch.num_rows):
+                here = tuple(where[:3, i].tolist())
+                if here != group:
+                    group, block = here, _Block(percent)
+                if where[3, i] == 0:
+                    block.add(int(where[4, i]), int(where[5, i]), found[i])
+                else:
+                    out += block.ask(int(where[4, i]), int(where[5, i]), found[i])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    return mapped(dealt, run, "a bigint, b bigint")
+
+
+class _Block:
+    """Members of one block as an inverted index, and which labels its links have joined."""
+
+    def __init__(self, percent: int):
+        self.percent, self.keys, self.labels, self.sets, self.index, self.parent = percent, [], [], [], None, {}
+
+    def add(self, key: int, label: int, members: np.ndarray) -> None:
+        self.keys.append(key)
+        self.labels.append(label)
+        self.sets.append(members)
+
+    def _find(self, x: int) -> int:
+        while (p := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(p, p)
+        return x
+
+    def ask(self, key: int, label: int, asked: np.ndarray) -> list[tuple[int, int]]:
+        if not self.keys:
+            return []
+        if self.index is None:
+            self.size = np.array([len(s) for s in self.sets])
+            flat, owner = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.size)
+            order = np.argsort(flat, kind="stable")
+            self.index, self.sets = (flat[order], owner[order]), []
+        flat, owner = self.index
+        lo, hi = np.searchsorted(flat, asked, "left"), np.searchsorted(flat, asked, "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        shared = np.bincount(owner[at], minlength=len(self.keys))
+        out = []
+        for i in np.flatnonzero(100 * shared >= self.percent * (self.size + len(asked) - shared)).tolist():
+            a, b = self._find(label), self._find(self.labels[i])
+            if a != b and self.keys[i] != key:
+                self.parent[max(a, b)] = min(a, b)
+                out.append((key, self.keys[i]))
+        return out
