@@ -123,17 +123,26 @@ def _members(docs: DataFrame, min_chars: int, texts: bool = False) -> DataFrame:
     return mapped(docs, run, "key bigint, text string" if texts else "doc_id bigint, line int, key bigint")
 
 
+def _shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
+    """Sorted distinct shingles of each line; a line shorter than a shingle has none."""
+    raw, off = column_bytes(column)
+    out = []
+    for a, b in blocks(off):
+        lines = Lines(raw[off[a] : off[b]], off[a : b + 1] - off[a], k)
+        hashes, count = lines.shingles(k)
+        found = [np.zeros(0, U64)] * (b - a)
+        for d, x in zip(lines.doc.tolist(), np.split(hashes, np.cumsum(count)[:-1]), strict=True) if len(count) else ():
+            found[d] = np.unique(x)
+        out += found
+    return out
+
+
 def _verified(pairs: DataFrame, blobs: DataFrame, k: int, percent: int) -> DataFrame:
     left = blobs.select(F.col("key").alias("a"), F.col("text").alias("ta"))
     right = blobs.select(F.col("key").alias("b"), F.col("text").alias("tb"))
 
     def sets(column: pa.Array) -> list[np.ndarray]:
-        raw, off = column_bytes(column)
-        out = []
-        for a, b in blocks(off):
-            hashes, count = Lines(raw[off[a] : off[b]], off[a : b + 1] - off[a], k).shingles(k)
-            out += [np.unique(x) for x in np.split(hashes, np.cumsum(count)[:-1])]
-        return out
+        return _shingle_sets(column, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
@@ -174,7 +183,11 @@ def line_components(
     links = scratch.save(_verified(first, blobs, shingle, percent), "links-1")
     labels = scratch.save(components(links, scratch, "cc1").select(F.col("node").alias("key"), F.col("component").alias("label")), "labels-1")
     mixed = scratch.save(postings.relabelled(live, labels), "mixed-1")
-    links = scratch.save(links.unionByName(_verified(_rest(mixed), blobs, shingle, percent)), "links-2")
+    entries, sizes = postings.split_by_cluster(mixed, live)
+    entries, sizes = scratch.save(entries, "entries"), scratch.save(sizes, "clusters")
+    dense = postings.block_links(entries, sizes, blobs, lambda column: _shingle_sets(column, shingle), percent, parts)
+    pairs = _verified(_rest(entries.where("cluster is null")), blobs, shingle, percent)
+    links = scratch.save(links.unionByName(pairs).unionByName(dense), "links-2")
     labels = components(links, scratch, "cc2").select(F.col("node").alias("key"), F.col("component").alias("label"))
 
     named = nodes.select("key", "n", "first").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
