@@ -56,11 +56,11 @@ def _find(name: str) -> Definition | None:
     return VIEWS.get(name) or OPERATORS.get(name)
 
 
-def _needed(inputs: tuple[str, ...], seen: list[str]) -> list[str]:
+def _needed(inputs: tuple[str, ...], seen: list[str], given: frozenset[str] = frozenset(TABLES)) -> list[str]:
     for name in inputs:
-        if name in seen or name in TABLES:
+        if name in seen or name in given:
             continue
-        seen = _needed(_find(name).inputs, seen)
+        seen = _needed(_find(name).inputs, seen, given)
         if name not in seen:
             seen.append(name)
     return seen
@@ -106,12 +106,8 @@ def apply(spark: SparkSession, name: str, **frames: DataFrame) -> DataFrame:
     operator_ = OPERATORS[name]
     for n, df in frames.items():
         df.createOrReplaceTempView(n)
-    parts = []
-    for n in operator_.inputs:
-        if n not in frames:
-            for m in _needed((n,), []):
-                if m not in frames and m not in [p for p, _ in parts]:
-                    parts.append((m, _find(m).sql(SPARK)))
+    given = frozenset(frames) | frozenset(TABLES)
+    parts = [(n, _find(n).sql(SPARK)) for n in _needed(operator_.inputs, [], given)]
     body, head = operator_.sql(SPARK).strip(), ", ".join(f"{n} as ({sql})" for n, sql in parts)
     if body.lower().startswith("with recursive "):
         body = f"with recursive {head + ', ' if head else ''}{body[len('with recursive '):]}"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 import folioforge.functions.scalars
 import folioforge.operators.aggregates
 import folioforge.operators.checks
@@ -12,7 +15,10 @@ import folioforge.operators.ordering
 import folioforge.operators.predicates
 import folioforge.operators.windows
 import folioforge.sources.fixtures  # noqa: F401
-from folioforge.plans.catalog import OPERATORS, operator, oracle, query
+from folioforge.functions.text import multiset_digest, table_text
+from folioforge.operators import sequential
+from folioforge.plans.catalog import OPERATORS, TABLES, VIEWS, _needed, _tables, operator, oracle, query
+from folioforge.plans.dialect import SPARK
 
 
 @operator("flagship_reference_resolution", "local_resolution")
@@ -21,7 +27,66 @@ def _(d):
     return "select mention_class, status, coalesce(reason, '-') as reason, count(*) as n from local_resolution group by mention_class, status, coalesce(reason, '-')"
 
 
-QUERIES = {name: query(name) for name in OPERATORS}
+def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A fixture relation as a frame."""
+    for t in TABLES:
+        if t in _tables(VIEWS[name]):
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    parts = ", ".join(f"{n} as ({VIEWS[n].sql(SPARK)})" for n in _needed((name,), []))
+    return spark.sql(f"with {parts} select * from {name}")
+
+
+def scl03_table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell texts in compatibility form."""
+    return _view(spark, sf_dir, "items").select("doc_id", "seq", table_text(F.col("mtext")).alias("text"))
+
+
+def agg24_multiset_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-independent digest of the documents."""
+    return multiset_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def srt06_distinct_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes without near duplicates, by record."""
+    boxes = _view(spark, sf_dir, "boxes").where("page_known").select(F.col("box_id").cast("bigint").alias("page"), F.col("box_id").cast("bigint").alias("box_id"), F.col("part_no").cast("int").alias("part_no"), "l", "b", "r", "t")
+    return sequential.distinct_boxes(boxes)
+
+
+def jn16_region_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd parts of a record as regions, even parts as tables."""
+    boxes = _view(spark, sf_dir, "boxes").select(F.col("box_id").cast("bigint").alias("page"), F.col("part_no").cast("bigint").alias("id"), "l", "b", "r", "t")
+    return sequential.match_regions(boxes.where("id % 2 = 1"), boxes.where("id % 2 = 0"))
+
+
+def grf06_table_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families of tables by equal headers on neighbouring tables."""
+    tables = _view(spark, sf_dir, "tables").select(F.expr("cast(floor(page / 25) as bigint)").alias("doc_id"), F.col("table_id").cast("bigint").alias("table_id"), "page", "page_table_index")
+    edges = tables.select("doc_id", F.col("table_id").alias("a"), (F.col("table_id") + 1).alias("b"), F.pmod("table_id", F.lit(3)).alias("rank"))
+    return sequential.table_families(edges, tables)
+
+
+def grf10_grid_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topology of token grids derived from table rows."""
+    token = "case when l_partkey % 7 = 0 then 'lcel' when l_suppkey % 5 = 0 then 'ucel' else 'fcel' end"
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("cast(l_orderkey as bigint) as table_id", "cast(l_linenumber as int) as r", f"array('fcel', {token}, case when l_partkey % 3 = 0 then 'lcel' else 'ecel' end) as tokens")
+    return sequential.grid_topology(rows.dropDuplicates(["table_id", "r"]))
+
+
+def grf08_toc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of contents parsed from lines with markers and leaders."""
+    text = "case when seq % 4 = 0 then cast(seq + 1 as string) when seq % 4 = 1 then substr(line, 1, 20) else concat(substr(line, 1, 15), ' ..... ', cast(page as string)) end"
+    rows = _view(spark, sf_dir, "items").where("role in ('list_item', 'text')").selectExpr("doc_id", "cast(0 as bigint) as start_seq", "seq", f"{text} as text")
+    return sequential.parse_toc_rows(rows)
+
+
+def grf09_toc_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of contents of documents."""
+    rows = _view(spark, sf_dir, "items").selectExpr("doc_id", "seq", "role", "line as text", "role = 'section_header' and (doc_id + seq) % 3 = 0 as is_start")
+    return sequential.find_toc_regions(rows)
+
+
+GROUPED = (scl03_table_text, agg24_multiset_digest, srt06_distinct_boxes, jn16_region_matching, grf06_table_families, grf10_grid_topology, grf08_toc_entries, grf09_toc_regions)
+QUERIES = {name: query(name) for name in OPERATORS} | {f.__name__: f for f in GROUPED}
 
 
 def oracles() -> dict[str, str]:
