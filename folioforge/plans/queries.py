@@ -14,6 +14,7 @@ import folioforge.operators.lifecycle
 import folioforge.operators.ordering
 import folioforge.operators.predicates
 import folioforge.operators.windows
+import folioforge.sources.bundles
 import folioforge.sources.fixtures  # noqa: F401
 from folioforge.functions.text import multiset_digest, table_text
 from folioforge.operators import sequential
