@@ -65,14 +65,14 @@ def relabelled(live: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def second_heads(mixed: DataFrame) -> DataFrame:
-    """One pair a key with a key of another label: of each token the two ends of a reshuffled order serve as heads."""
+    """One pair a key with a key of another label: of each token an end of a reshuffled order that has another label serves as head."""
     order = F.xxhash64("key", F.lit(7))
     ends = mixed.groupBy("token").agg(
         F.min(F.struct(order.alias("o"), "label", "key")).alias("lo"), F.max(F.struct(order.alias("o"), "label", "key")).alias("hi"),
         F.min(F.struct("label", order.alias("o"), "key")).alias("least"), F.max(F.struct("label", order.alias("o"), "key")).alias("most"),
     )
-    met = mixed.join(ends, "token").select("key", "label", F.explode(F.array(*[F.struct(F.col(x)["label"].alias("label"), F.col(x)["key"].alias("key")) for x in ("lo", "hi", "least", "most")])).alias("h"))
-    met = met.where("h.label <> label").groupBy("key", F.col("h.key").alias("head")).agg(F.count("*").alias("n"))
+    other = F.coalesce(*[F.when(F.col(f"{x}.label") != F.col("label"), F.col(f"{x}.key")) for x in ("lo", "hi", "least", "most")])
+    met = mixed.join(ends, "token").select("key", other.alias("head")).where("head is not null").groupBy("key", "head").agg(F.count("*").alias("n"))
     return met.groupBy("key").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("other"))
 
 
