@@ -28,6 +28,7 @@ from folioforge.llm.storage import Scratch, mapped, partitions_for
 
 SHINGLE, PERCENT, MIN_CHARS, BANDS, ROWS = 8, 75, 40, 14, 4
 EMPTY = np.uint32(0xFFFFFFFF)
+ENTRIES = 4_000_000  # band entries of a partition, 16 bytes each
 
 
 class Lines:
@@ -81,9 +82,12 @@ def signatures(hashes: np.ndarray, count: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
-def _bands(docs: DataFrame, k: int, min_chars: int, bands: int, rows: int) -> DataFrame:
+def _bands(docs: DataFrame, k: int, min_chars: int, bands: int, rows: int, partitions: int, flush: int = 1_000_000) -> DataFrame:
+    """Band hashes of judged lines with the lines' keys, packed by target partition."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
+        tokens, keys, held = [], [], 0
         for batch in batches:
             raw, off = column_bytes(batch.column(0))
             for a, b in blocks(off, 1 << 20):
@@ -96,10 +100,16 @@ def _bands(docs: DataFrame, k: int, min_chars: int, bands: int, rows: int) -> Da
                 token = np.broadcast_to(np.arange(1, bands + 1, dtype=U64), sig.shape[:2]).copy()
                 for j in range(rows):
                     token = mix(token * U64(0x2545F4914F6CDD1D) + sig[:, :, j])
-                size = np.repeat(lines.end - lines.start, bands)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(token.reshape(-1))), pa.array(signed(np.repeat(lines.key, bands))), pa.array(size)], names=["token", "key", "meta"])
+                tokens.append(token.reshape(-1))
+                keys.append(np.repeat(lines.key, bands))
+                held += len(keys[-1])
+                if held >= flush:
+                    yield postings.pack(np.concatenate(tokens), np.concatenate(keys), partitions)
+                    tokens, keys, held = [], [], 0
+        if held:
+            yield postings.pack(np.concatenate(tokens), np.concatenate(keys), partitions)
 
-    return mapped(docs.select("text"), run, "token bigint, key bigint, meta bigint")
+    return mapped(docs.select("text"), run, "part int, block binary")
 
 
 def _members(docs: DataFrame, min_chars: int, texts: bool = False) -> DataFrame:
@@ -174,7 +184,8 @@ def line_components(
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     members = scratch.save(_members(docs, min_chars), "members")
     nodes = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
-    live = scratch.save(postings.shared(_bands(docs, shingle, min_chars, bands, rows), parts), "live")
+    parts = max(parts, -(-members.count() * bands // ENTRIES))
+    live = scratch.save(postings.shared_packed(_bands(docs, shingle, min_chars, bands, rows, parts), parts), "live")
     nodes = scratch.save(nodes.join(live.select("key").distinct().withColumn("live", F.lit(True)), "key", "left").where("live or n > 1"), "nodes")
     wanted = nodes.where("live").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set("key").alias("wanted"))
     blobs = scratch.save(_members(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted"), min_chars, texts=True).dropDuplicates(["key"]), "blobs")

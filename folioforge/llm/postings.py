@@ -51,6 +51,37 @@ def shared(entries: DataFrame, partitions: int) -> DataFrame:
     return mapped(dealt, _runs, LIVE)
 
 
+def pack(token: np.ndarray, key: np.ndarray, partitions: int) -> pa.RecordBatch:
+    """Entries as one block of bytes per target partition: tokens, then keys."""
+    part = ((token >> np.uint64(32)) % np.uint64(partitions)).view(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(partitions + 1))
+    found = np.flatnonzero(np.diff(cuts)).tolist()
+    blocks = [token[order[cuts[p] : cuts[p + 1]]].tobytes() + key[order[cuts[p] : cuts[p + 1]]].tobytes() for p in found]
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blocks, pa.binary())], names=["part", "block"])
+
+
+def shared_packed(blocks: DataFrame, partitions: int) -> DataFrame:
+    """As ``shared``, for packed entries (meta is 0): a partition is sorted as arrays in memory, 16 bytes an entry, so ``partitions`` must follow the number of entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for p, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.setdefault(p, []).append(np.frombuffer(block.as_buffer(), np.int64).reshape(2, -1))
+        for p in list(held):
+            rows = np.concatenate(held.pop(p), 1)
+            rows = rows[:, np.lexsort((rows[1], rows[0]))]
+            rows = rows[:, np.concatenate(([True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])))]
+            first = np.concatenate(([True], rows[0, 1:] != rows[0, :-1]))
+            live = ~first | np.concatenate((~first[1:], [False]))
+            heads = rows[1][np.flatnonzero(first)[np.cumsum(first) - 1]]
+            none = np.zeros(int(live.sum()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[0, live], rows[1, live], none, heads[live], none)], names=["token", "key", "meta", "head", "head_meta"])
+
+    return mapped(blocks.repartition(partitions, "part"), run, LIVE)
+
+
 def best_heads(live: DataFrame) -> DataFrame:
     """One pair a key: the head that it meets in most tokens (the lesser on ties)."""
     met = live.where("key <> head").groupBy("key", "head").agg(F.count("*").alias("n"))
