@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.kernels import U64, Words, _byte_values, _powers, blocks, column_bytes, mix
-from folioforge.llm.storage import mapped
+from folioforge.llm.storage import mapped, release
 
 BITS, MAX_CHAIN, LEXICON_MIN, MAX_LANGUAGES = 17, 64, 5, 256
 AFFIXES = (1, 2, 3, 4)
@@ -44,18 +44,18 @@ class Tokens:
         total = np.zeros(n + 1, U64)
         np.cumsum(_byte_values()[raw] * p[:n], out=total[1:])
         size = w.end - w.start
-        self.lexicon = (mix(w.hash + U64(1)) & low).view(np.int64)
+        self.lexicon = (mix(w.hash + U64(1)) & low).astype(np.int32)
         self.affix = []
         for k in AFFIXES:
             use = np.minimum(size, k)
             for salt, at in ((2 * k, w.start), (2 * k + 1, w.end - use)):
-                self.affix.append((mix((total[at + use] - total[at]) * q[at] + U64(salt << 40)) & low).view(np.int64))
+                self.affix.append((mix((total[at + use] - total[at]) * q[at] + U64(salt << 40)) & low).astype(np.int32))
         grams = np.maximum(size - 2, 0)
         self.gram_first = np.concatenate(([0], np.cumsum(grams)))
         at = np.arange(int(grams.sum())) + np.repeat(w.start - self.gram_first[:-1], grams)
         b = raw.astype(np.int64)
         b[65 <= b] += 32 * ((b[65 <= b] <= 90))
-        self.gram = (mix((b[at] | (b[at + 1] << 8) | (b[at + 2] << 16)).astype(U64) + U64(99 << 40)) & low).view(np.int64) if len(at) else at
+        self.gram = (mix((b[at] | (b[at + 1] << 8) | (b[at + 2] << 16)).astype(U64) + U64(99 << 40)) & low).astype(np.int32)
         letters = np.concatenate(([0], np.cumsum(LETTERS[raw])))
         self.letter = letters[w.end] > letters[w.start]
         breaks = np.concatenate(([0], np.cumsum(raw == 10)))[w.start] if n else w.start
@@ -182,12 +182,14 @@ def train(docs: DataFrame, learn: Column, doc_id: str, text: str, lang: str, per
         counts[name] += 1
         if counts[name] <= per_language:
             kept.append((body, names.index(name)))
-    return names, fit([t for t, _ in kept], [k for _, k in kept], len(names), max_chains)
+    model = fit([t for t, _ in kept], [k for _, k in kept], len(names), max_chains)
+    release()
+    return names, model
 
 
 def identify(
     docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: DataFrame | None = None,
-    per_language: int = 400, max_chains: int = 12_000, passes: tuple[str, ...] = (),
+    per_language: int = 250, max_chains: int = 8000, passes: tuple[str, ...] = (),
 ) -> DataFrame:
     """doc_id, lang_pred, score and the columns named in ``passes``. ``learn``: which rows of ``train_docs`` (default: ``docs``) may be learned from."""
     spark = docs.sparkSession

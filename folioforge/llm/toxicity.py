@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.kernels import U64, Words, _byte_values, _powers, blocks, column_bytes, mix
-from folioforge.llm.storage import mapped
+from folioforge.llm.storage import mapped, release
 
 PREFIXES = (4, 5, 6, 7, 8, 9)
 BITS, MAX_LABELLED, MAX_FEATURES = 20, 6000, 2048
@@ -127,7 +127,10 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, doc_id: str, text:
         both = np.frombuffer(r.pack, np.int32)
         rows.append((r.id, r.grade, both[: len(both) // 2], both[len(both) // 2 :]))
     rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
-    return fit([r[1:] for r in rows], bits, max_features)
+    model = fit([r[1:] for r in rows], bits, max_features)
+    del rows
+    release()
+    return model
 
 
 def severity(

@@ -218,7 +218,7 @@ def test_lm_baseline_equals_brute_force(spark, make):
     learn = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
     frame = make([*docs, docs[3]], ("score", "share", "known"))
     flag = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
-    got = lm_scoring.score(frame, flag, sample_docs=30, local_top=4, frequent_words=3).collect()
+    got = lm_scoring.score(frame, flag, sample_docs=30, steps=20, local_top=4, frequent_words=3).collect()
     counts = collections.Counter()
     for i, t in [*docs, docs[3]]:
         if learn(i):
@@ -275,6 +275,6 @@ def test_gradient_of_the_network():
 
 
 def test_lm_edges(spark, make):
-    got = lm_scoring.score(make(EDGES), F.lit(True), sample_docs=5).collect()
+    got = lm_scoring.score(make(EDGES), F.lit(True), sample_docs=5, steps=5).collect()
     assert len(got) == len(EDGES) and next(r for r in got if r.doc_id == 1).n_tokens == 1
-    assert lm_scoring.score(make([]), F.lit(True), sample_docs=5).count() == 0
+    assert lm_scoring.score(make([]), F.lit(True), sample_docs=5, steps=5).count() == 0
