@@ -40,9 +40,9 @@ class Lines:
         breaks = np.flatnonzero(self.points == 10)
         nonempty = np.flatnonzero(np.diff(at) > 0)
         begins = np.concatenate((at[:-1][nonempty], breaks + 1))
-        order = np.argsort(begins, kind="stable")
-        self.start = begins[order]
-        self.doc = np.concatenate((nonempty, np.searchsorted(at, breaks, "right") - 1))[order]
+        doc = np.concatenate((nonempty, np.searchsorted(at, breaks, "right") - 1))
+        order = np.lexsort((begins, doc))  # the empty last line of a text and the next text's first line begin at one place
+        self.start, self.doc = begins[order], doc[order]
         nxt = np.concatenate((self.start[1:], [len(self.points)]))
         last = np.concatenate((self.doc[1:] != self.doc[:-1], [True])) if len(self.doc) else np.zeros(0, bool)
         self.end = np.where(last, at[self.doc + 1] if len(self.doc) else nxt, nxt - 1)

@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from llm.conftest import CLASHING, EDGES
 
 from folioforge.llm import postings
-from folioforge.llm.line_dedup import drop_duplicate_lines, line_components
+from folioforge.llm.line_dedup import Lines, drop_duplicate_lines, line_components
 from folioforge.llm.near_duplicates import drop_near_duplicates, near_duplicates
 
 
@@ -103,3 +104,15 @@ def test_lines_are_dropped_once(spark, make):
 def test_line_edges(spark, make):
     got = drop_duplicate_lines(make(EDGES, CLASHING)).collect()
     assert len(got) == len(EDGES)
+
+
+def test_lines_of_a_block_are_those_of_split():
+    """Texts that end in newlines share a place with the text after them."""
+    texts = ["aaa\n", "bbb\nccc", "", "ddd\n\n\n", "", "\n", "é\nfff\n", "ggg", "hhh\n"]
+    data = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, data)])
+    with np.errstate(over="ignore"):
+        lines = Lines(np.frombuffer(b"".join(data), np.uint8), offsets, 1)
+    found = [lines.points[a:b].tobytes().decode("utf-32-le") for a, b in zip(lines.start, lines.end, strict=True)]
+    want = [(d, k, x) for d, t in enumerate(texts) for k, x in enumerate(t.split("\n")) if x]
+    assert list(zip(lines.doc.tolist(), lines.number.tolist(), found, strict=True)) == want
