@@ -1,6 +1,8 @@
 """Fuzzy line deduplication: MinHash over character shingles, exact verification, distributed components.
 
-Lines (text split at newlines) of ``min_chars`` code points or more are judged; shorter ones always stay. A line's
+Lines (text split at newlines) of ``min_chars`` code points or more are judged; shorter ones always stay. The query and
+the pipeline judge every line that has a character other than white space (``min_chars=1``); lines of white space are
+judged from ``MIN_CHARS`` on only. Lines shorter than a shingle are grouped by equality alone, which is exact. A line's
 signature has one minimum for each of ``bands * rows`` bins (one-permutation hashing; an empty bin borrows from a
 seeded sequence of other bins), so each shingle is hashed once whatever the signature's length. Two lines of Jaccard
 similarity s agree in some band with probability 1 - (1 - s**rows)**bands: 0.995 at 0.75 and above 0.999 at 0.8.
@@ -48,7 +50,9 @@ class Lines:
         self.end = np.where(last, at[self.doc + 1] if len(self.doc) else nxt, nxt - 1)
         first = np.flatnonzero(np.concatenate(([True], self.doc[1:] != self.doc[:-1]))) if len(self.doc) else np.zeros(0, np.int64)
         self.number = np.arange(len(self.start)) - np.repeat(first, np.diff(np.concatenate((first, [len(self.start)]))))
-        keep = self.end - self.start >= min_chars
+        size = self.end - self.start
+        dark = np.concatenate(([0], np.cumsum((self.points != 32) & ((self.points < 9) | (self.points > 13)))))
+        keep = (size >= min_chars) & ((size >= MIN_CHARS) | (dark[self.end] > dark[self.start]))
         self.start, self.end, self.doc, self.number = self.start[keep], self.end[keep], self.doc[keep], self.number[keep]
         n = len(self.points)
         p, q = _powers(n + 1)
@@ -91,7 +95,7 @@ def _bands(docs: DataFrame, k: int, min_chars: int, bands: int, rows: int, parti
         for batch in batches:
             raw, off = column_bytes(batch.column(0))
             for a, b in blocks(off, 1 << 20):
-                lines = Lines(raw[off[a] : off[b]], off[a : b + 1] - off[a], min_chars)
+                lines = Lines(raw[off[a] : off[b]], off[a : b + 1] - off[a], max(k, min_chars))
                 if not len(lines.key):
                     continue
                 _, one = np.unique(lines.key, return_index=True)

@@ -61,7 +61,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that repeats, exactly or nearly: its component's first line and whether it is the one that stays."""
     from folioforge.llm.line_dedup import line_components
 
-    return line_components(table(spark, sf_dir, "documents"))
+    return line_components(table(spark, sf_dir, "documents"), min_chars=1)
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,3 +116,15 @@ def test_lines_of_a_block_are_those_of_split():
     found = [lines.points[a:b].tobytes().decode("utf-32-le") for a, b in zip(lines.start, lines.end, strict=True)]
     want = [(d, k, x) for d, t in enumerate(texts) for k, x in enumerate(t.split("\n")) if x]
     assert list(zip(lines.doc.tolist(), lines.number.tolist(), found, strict=True)) == want
+
+
+def test_stage_and_query_judge_short_lines(spark, make, tmp_path):
+    import corpus_pipeline
+    from folioforge.llm.queries import op7_line_dedup
+
+    rows = [(1, "own a\nReleased under the MIT License.\n}\n\n \nend"), (2, "own b\n}\nReleased under the MIT Licence.\n\n \nfin"), (3, "}\n"), (4, "x\ny\nx")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, make(rows), "").collect()}
+    assert got == {1: rows[0][1], 2: "own b\n\n \nfin", 4: "x\ny"}
+    make(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.doc_id, r.line, r.first_doc, r.first_line, r.kept) for r in op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert found == {(1, 1, 1, 1, True), (2, 2, 1, 1, False), (1, 2, 1, 2, True), (2, 1, 1, 2, False), (3, 0, 1, 2, False), (4, 0, 4, 0, True), (4, 2, 4, 0, False)}
