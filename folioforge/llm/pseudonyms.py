@@ -4,15 +4,17 @@ Candidates are found by pattern and validated (Luhn check digit, octets below 25
 check digits). A valid value is permuted by a keyed Feistel network within its own format: the same digits, length,
 separators and validity, so equal values get equal pseudonyms in every document and distinct values stay distinct,
 and whoever has the key can undo it (``inverse=True``). What fails validation is left as it is.
+Not covered yet: within one kind a candidate that fails validation still hides shorter and later candidates inside it,
+for example a card directly followed by further groups of digits.
 
 Kinds, in the order in which they claim text:
   email   local part: each letter and digit moved within its class (case and punctuation kept), one half keyed by the other
   iban    the account digits after the country code; check digits recomputed
+  date    YYYY-MM-DD, DD.MM.YYYY or DD/MM/YYYY from 1900 to 2099: permuted among those days
+  ssn     NNN-NN-NNNN with valid groups: permuted among the valid numbers
   card    13 to 19 digits with a valid Luhn digit: all but the first and the last permuted, the last recomputed
   ip      four octets: permuted as a number below 2**32
-  date    YYYY-MM-DD, DD.MM.YYYY or DD/MM/YYYY from 1900 to 2099: permuted among those days
   phone   + and 8 to 15 digits with up to two separators between: all digits after the first two permuted
-  ssn     NNN-NN-NNNN with valid groups: permuted among the valid numbers
 
 The network alternates over two halves with the first digits of SHA-256(key, kind, length, round, other half) as round
 function; values outside the format are walked through the network again until they fall inside (cycle walking).
@@ -213,34 +215,49 @@ def _shift(c: Column, by: Column) -> Column:
     return F.when(c.rlike("^[a-z]$"), within(97, 26)).when(c.rlike("^[A-Z]$"), within(65, 26)).when(c.rlike("^[0-9]$"), within(48, 10)).otherwise(c)
 
 
-KINDS = {"email": _email, "iban": _iban, "card": _card, "ip": _ip, "date": _date, "phone": _phone, "ssn": _ssn}
+KINDS = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "card": _card, "ip": _ip, "phone": _phone}
 
 
 def pseudonymize(docs: DataFrame, key: str, text: str = "text", kinds: tuple[str, ...] = tuple(KINDS), inverse: bool = False) -> DataFrame:
     """``docs`` with ``text`` rewritten, and ``n_<kind>`` (bigint), the values replaced of each kind.
 
-    Every kind is one pass over the pieces that earlier kinds left: the text is cut at the kind's matches, valid
-    matches are replaced, and the pieces are joined again. Texts without ``@`` and digits are not cut at all.
+    Every kind is one pass over the pieces that earlier kinds left: a piece is cut at the kind's matches, valid matches
+    are replaced and belong to the kind, and what fails validation goes back into the text that later kinds see. Texts
+    without ``@`` and digits are not cut at all.
     """
     combined = "|".join(f"(?:{PATTERNS[k]})" for k in kinds)
     counts = [f"n_{k}" for k in kinds]
-    out = docs.drop(*counts).withColumn("_m", F.when(F.col(text).rlike(r"[0-9]{2}|@") & F.col(text).rlike(combined), F.regexp_extract_all(F.col(text), F.lit(combined), F.lit(0))))
-
-    def named(k: str):
-        return lambda x: F.when(x.isNotNull(), F.struct(F.lit(k).alias("kind"), x.alias("new")))
-
-    def replace(m: Column) -> Column:
-        # the first kind whose whole pattern the match fits and that validates it
-        tried = []
-        for k in kinds:
-            hit = F.when(m.rlike(f"^(?:{PATTERNS[k]})$"), KINDS[k](m, key, inverse))
-            tried.append(_let(hit, named(k)))
-        return F.coalesce(*tried, F.struct(F.lit(None).cast("string").alias("kind"), m.alias("new")))
-
-    out = out.withColumn("_r", F.transform("_m", replace))  # the rewriting itself runs on matches only
-    pieces = F.split(F.col(text), combined, -1)
-    joined = F.array_join(F.flatten(F.zip_with(pieces, F.col("_r"), lambda p, r: F.array(p, F.coalesce(r["new"], F.lit(""))))), "")
-    out = out.withColumn(text, F.when(F.size("_r") > 0, joined).otherwise(F.col(text)))
+    bare = F.lit(None).cast("string")
+
+    def piece(kind: Column, value: Column) -> Column:
+        return F.struct(kind.alias("kind"), value.alias("new"))
+
+    def cut(p: Column, k: str) -> Column:
+        """The pieces of one unclaimed piece: texts and, between them, what ``k`` claims."""
+        news = F.transform(F.regexp_extract_all(p["new"], F.lit(PATTERNS[k]), F.lit(0)), lambda m: F.struct(m.alias("old"), KINDS[k](m, key, inverse).alias("new")))
+        texts = F.transform(F.split(p["new"], PATTERNS[k], -1), lambda t: piece(bare, t))
+        between = F.transform(news, lambda r: piece(F.when(r["new"].isNotNull(), F.lit(k)), F.coalesce(r["new"], r["old"])))
+        none = piece(bare, F.lit(""))
+        return joined(F.flatten(F.zip_with(texts, between, lambda t, r: F.array(t, F.coalesce(r, none)))))
+
+    def joined(pieces: Column) -> Column:
+        """Unclaimed pieces in a row become one."""
+        def add(done: Column, p: Column) -> Column:
+            last = F.element_at(done, -1)
+            one = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(piece(bare, F.concat(last["new"], p["new"]))))
+            return F.when(last["kind"].isNull() & p["kind"].isNull(), one).otherwise(F.concat(done, F.array(p)))
+
+        start = F.array(piece(bare, F.lit("")))
+        return F.aggregate(pieces, start, add)
+
+    out = docs.drop(*counts).withColumn("_r", F.when(F.col(text).rlike("[0-9]|@") & F.col(text).rlike(combined), F.array(piece(bare, F.col(text)))))
+    def claimed(pieces: Column, k: str) -> Column:
+        open_ = lambda p: p["kind"].isNull() & p["new"].rlike(PATTERNS[k])
+        return F.when(F.exists(pieces, open_), F.flatten(F.transform(pieces, lambda p: F.when(open_(p), cut(p, k)).otherwise(F.array(p))))).otherwise(pieces)
+
+    for k in kinds:
+        out = out.withColumn("_r", claimed(F.col("_r"), k))
+    out = out.withColumn(text, F.when(F.size("_r") > 0, F.array_join(F.transform("_r", lambda p: p["new"]), "")).otherwise(F.col(text)))
 
     def of_kind(k: str) -> Column:
         return F.coalesce(F.size(F.filter("_r", lambda r: r["kind"] == k)), F.lit(0)).cast("bigint").alias(f"n_{k}")

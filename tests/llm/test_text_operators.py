@@ -159,6 +159,18 @@ def test_pseudonyms_are_reversible_and_keep_formats(spark, make):
     assert card not in " ".join(r.text or "" for r in other)
 
 
+def test_kinds_claim_what_others_left(spark, make):
+    texts = ["on 2024-01-15 2024-02-16 and", "123-45-6789 2024-01-15", "8.8.8.8", "+1 2 3 4 5 6 7 8 9", "2024-13-01 2024-01-15", "4111-11-11 11111111"]
+    docs = make(list(enumerate(texts)))
+    new = pseudonyms.pseudonymize(docs, "k")
+    got = {r.doc_id: r for r in new.collect()}
+    counts = [tuple(got[i][f"n_{k}"] for k in ("date", "ssn", "card", "ip", "phone")) for i in range(len(texts))]
+    assert counts == [(2, 0, 0, 0, 0), (1, 1, 0, 0, 0), (0, 0, 0, 1, 0), (0, 0, 0, 0, 1), (1, 0, 0, 0, 0), (0, 0, 1, 0, 0)]
+    assert not [t for i, t in enumerate(texts) if got[i].text == t] and "2024-13-01 " in got[4].text
+    rows = spark.createDataFrame(list(got.values()), new.schema)
+    assert {r.doc_id: r.text for r in pseudonyms.pseudonymize(rows, "k", inverse=True).collect()} == dict(enumerate(texts))
+
+
 def test_severity_finds_graded_words(spark, make):
     rng = random.Random(8)
     rows, labels = [], []
