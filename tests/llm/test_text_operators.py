@@ -245,6 +245,28 @@ def test_lm_baseline_equals_brute_force(spark, make):
         assert r.score < 0
 
 
+def test_subwords_are_counted_over_all_training_documents(spark, make):
+    """Classes and frequencies follow all documents, not the few that the network is fitted on."""
+    import numpy as np
+
+    from folioforge.llm import attention
+
+    docs = [(i, "one two three two" if i % 2 else "Four \u00e9t\u00e9\u2003five, four") for i in range(40)] + [(40, None), (41, "zygote zygote")]
+    rows = make(docs).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") != 41).alias("learn")).repartition(3)
+    encoding, ranks = attention.encoder(lm_scoring.VOCABULARY)
+    want = collections.Counter()
+    for i, t in docs[:-1]:
+        for x in re.findall(r"[^\x20\x09-\x0D]+", t or ""):
+            want.update(encoding.encode_ordinary(" " + "".join(c.lower() if c.isascii() else c for c in x)))
+        want[len(ranks)] += 1
+    got = lm_scoring._subword_counts(rows, lm_scoring.VOCABULARY)
+    assert {i: int(n) for i, n in enumerate(got) if n} == want
+    _, of, inner = lm_scoring._fit(rows, 1, lm_scoring.VOCABULARY, 2)
+    counts = [want[i] for i in range(len(ranks) + 1)]
+    full = attention.classes(np.array(counts, float), ranks)
+    assert (of == full[0]).all() and np.allclose(inner, full[1])
+
+
 def test_windows_score_every_token_once():
     import numpy as np
 
