@@ -8,9 +8,18 @@ import math
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.executors import ship
+
+
+def _udf(run, kind: str):
+    """A pandas function of this package whose module the executors have."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship(spark)
+    return F.pandas_udf(run, kind)
+
 
 def _normalizer(form: str, fold: bool):
     def run(s: pd.Series) -> pd.Series:
@@ -22,7 +31,7 @@ def _normalizer(form: str, fold: bool):
 
         return s.map(one)
 
-    return F.pandas_udf(run, "string")
+    return _udf(run, "string")
 
 
 def normalized(column: Column, form: str = "NFC", fold: bool = False) -> Column:
@@ -62,7 +71,7 @@ def canonical_digest(json_column: Column, prefix: str = "") -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else prefix + hashlib.sha256(canonical_json(json.loads(x)).encode()).hexdigest())
 
-    return F.pandas_udf(run, "string")(json_column)
+    return _udf(run, "string")(json_column)
 
 
 def first_path_of_key(json_column: Column, key: str) -> Column:
@@ -78,7 +87,7 @@ def first_path_of_key(json_column: Column, key: str) -> Column:
                 return below
         return None
 
-    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else find(json.loads(x), "")), "string")(json_column)
+    return _udf(lambda s: s.map(lambda x: None if x is None else find(json.loads(x), "")), "string")(json_column)
 
 
 def json_differences(left: Column, right: Column, masked: tuple[str, ...] = ()) -> Column:
@@ -103,7 +112,7 @@ def json_differences(left: Column, right: Column, masked: tuple[str, ...] = ())
             found.append(out)
         return pd.Series(found)
 
-    return F.pandas_udf(run, "array<string>")(left, right)
+    return _udf(run, "array<string>")(left, right)
 
 
 def multiset_digest(df: DataFrame, *columns: str) -> DataFrame:

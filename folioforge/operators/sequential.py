@@ -8,6 +8,21 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folioforge.executors import ship
+
+
+def _grouped(df: DataFrame, *keys: str):
+    """Groups of ``df`` for a function of this package."""
+    ship(df.sparkSession)
+    return df.groupBy(*keys)
+
+
+def _cogrouped(left: DataFrame, right: DataFrame, *keys: str):
+    """Groups of both frames; the right one's columns are renewed, so frames derived from one another do not share any."""
+    ship(left.sparkSession)
+    return left.groupBy(*keys).cogroup(right.select(*[F.col(c).alias(c) for c in right.columns]).groupBy(*keys))
 
 
 def _iou(a, b) -> float:
@@ -28,7 +43,7 @@ def distinct_boxes(boxes: DataFrame, threshold: float = 0.95) -> DataFrame:
                 kept.append(x)
         return pd.DataFrame([(x.page, x.box_id, x.part_no) for x in kept], columns=["page", "box_id", "part_no"])
 
-    return boxes.groupBy("page").applyInPandas(run, "page bigint, box_id bigint, part_no int")
+    return _grouped(boxes, "page").applyInPandas(run, "page bigint, box_id bigint, part_no int")
 
 
 def match_regions(regions: DataFrame, tables: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -43,7 +58,7 @@ def match_regions(regions: DataFrame, tables: DataFrame, threshold: float = 0.5)
                 out.append((x.page, x.id, ranked[0][1], -ranked[0][0]))
         return pd.DataFrame(out, columns=["page", "region_id", "table_id", "iou"])
 
-    return regions.groupBy("page").cogroup(tables.groupBy("page")).applyInPandas(run, "page bigint, region_id bigint, table_id bigint, iou double")
+    return _cogrouped(regions, tables, "page").applyInPandas(run, "page bigint, region_id bigint, table_id bigint, iou double")
 
 
 def select_spans(spans: DataFrame) -> DataFrame:
@@ -58,7 +73,7 @@ def select_spans(spans: DataFrame) -> DataFrame:
             end = x.e if ok else end
         return item[keep].drop(columns="size")
 
-    return spans.groupBy("doc_id", "seq").applyInPandas(run, spans.schema)
+    return _grouped(spans, "doc_id", "seq").applyInPandas(run, spans.schema)
 
 
 def table_families(edges: DataFrame, tables: DataFrame) -> DataFrame:
@@ -92,7 +107,7 @@ def table_families(edges: DataFrame, tables: DataFrame) -> DataFrame:
             out.append((rows.doc_id.iloc[0], t, k, members[k]))
         return pd.DataFrame(out, columns=["doc_id", "table_id", "family_no", "member_no"])
 
-    return edges.groupBy("doc_id").cogroup(tables.groupBy("doc_id")).applyInPandas(run, "doc_id bigint, table_id bigint, family_no bigint, member_no bigint")
+    return _cogrouped(edges, tables, "doc_id").applyInPandas(run, "doc_id bigint, table_id bigint, family_no bigint, member_no bigint")
 
 
 OTSL = {"fcel", "ecel", "ched", "rhed", "srow"}
@@ -120,7 +135,7 @@ def grid_topology(tokens: DataFrame) -> DataFrame:
             out.append((table.table_id.iloc[0], i, j, height, width, grid[i][j], grid[i][j] in OTSL and height * width == len(places)))
         return pd.DataFrame(out, columns=["table_id", "r", "c", "row_span", "column_span", "kind", "rectangle"])
 
-    return tokens.groupBy("table_id").applyInPandas(run, "table_id bigint, r int, c int, row_span int, column_span int, kind string, rectangle boolean")
+    return _grouped(tokens, "table_id").applyInPandas(run, "table_id bigint, r int, c int, row_span int, column_span int, kind string, rectangle boolean")
 
 
 def parse_toc_rows(rows: DataFrame) -> DataFrame:
@@ -152,7 +167,7 @@ def parse_toc_rows(rows: DataFrame) -> DataFrame:
         found = [(d, s, k, a, b, c, "complete" if c else "no_page", v) for k, (a, b, c, v) in enumerate(out)]
         return pd.DataFrame(found, columns=["doc_id", "start_seq", "entry_no", "marker", "title", "printed_page", "state", "source_seqs"])
 
-    return rows.groupBy("doc_id", "start_seq").applyInPandas(run, "doc_id bigint, start_seq bigint, entry_no bigint, marker string, title string, printed_page string, state string, source_seqs array<bigint>")
+    return _grouped(rows, "doc_id", "start_seq").applyInPandas(run, "doc_id bigint, start_seq bigint, entry_no bigint, marker string, title string, printed_page string, state string, source_seqs array<bigint>")
 
 
 def find_toc_regions(items: DataFrame, longest: int = 40) -> DataFrame:
@@ -171,4 +186,4 @@ def find_toc_regions(items: DataFrame, longest: int = 40) -> DataFrame:
             out.append((x.doc_id, x.seq, end))
         return pd.DataFrame(out, columns=["doc_id", "start_seq", "end_seq"])
 
-    return items.groupBy("doc_id").applyInPandas(run, "doc_id bigint, start_seq bigint, end_seq bigint")
+    return _grouped(items, "doc_id").applyInPandas(run, "doc_id bigint, start_seq bigint, end_seq bigint")

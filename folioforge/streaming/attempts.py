@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from folioforge.executors import ship
 from folioforge.operators.lifecycle import LEGAL
 
 VIOLATIONS = "transaction_id bigint, sequence bigint, before string, state string"
@@ -17,6 +18,7 @@ VIOLATIONS = "transaction_id bigint, sequence bigint, before string, state strin
 def illegal_transitions(events: DataFrame) -> DataFrame:
     """Events (transaction_id, sequence, state) that do not follow legally on the last one of their transaction. Events of a transaction arrive in order of sequence; the state is its last event."""
     legal = set(LEGAL)
+    ship(events.sparkSession)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         before = held.get[0] if held.exists else "none"
