@@ -2,12 +2,14 @@
 
 Every task gathers whole documents into shards of bounded size, builds a word-level suffix array of each shard
 (prefix doubling on tied suffixes only) and binary-searches every suffix of every benchmark item in it. A suffix whose
-first ``window`` words occur marks those words in all documents of the shard where they occur; the position a suffix
-would take in the array gives its longest verbatim match and where that is. Shards are independent and documents are
-never split, so nothing is shuffled.
+first ``window`` words occur marks those words in all documents of the shard where they occur. The places that the
+benchmark's suffixes would take in the array put both kinds of suffixes in one order, in which the longest match of a
+document's suffix is with one of its two neighbours of the other kind; so every affected document gets its longest
+verbatim match and where that is. Shards are independent and documents are never split, so nothing is shuffled.
 
 The benchmark reaches the tasks in blocks of at most ``block_bytes`` of text each (one broadcast per block; a single
-longer item is a block of its own), and a task holds one block at a time; a larger benchmark means more blocks.
+longer item is a block of its own), and a task holds one block at a time; a larger benchmark means more blocks, never
+a larger one.
 
 Edge cases: a null or empty text has no words (all counts 0, not contaminated); a null doc_id is a row like any other;
 items without words and items with a null id are ignored; repeated item rows count once per id; an item shorter than
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.kernels import Words, blocks, column_bytes
-from folioforge.llm.storage import mapped
+from folioforge.llm.storage import mapped, same_row
 
 WINDOW = 13
 MIN_PERCENT = 5
@@ -142,90 +144,105 @@ class Block:
         self.windows = np.flatnonzero((self.left >= window) | ((size < window) & (at == first)))
         self.window_words = np.minimum(size, window)[self.windows]
         self.longest = int(counts.max()) if len(counts) else 0
+        self.window, self.whole = window, size < window
+        self.place = at - first  # in the item
+        order = Suffixes(hashes, counts, self.longest).order
+        self.sorted = order - (np.searchsorted(np.cumsum(counts + 1), order, "right"))  # without the separators
+
+
+def _longest(shard: Suffixes, block: Block, pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every suffix of the shard that shares a window or more with the benchmark: its start, the words shared, and where in the block."""
+    places = shard.bound(block.sorted, block.left[block.sorted], pattern, False)
+    after = np.searchsorted(places, np.arange(len(shard.order)), "right")
+    starts, lengths, wheres = [], [], []
+    for shift in (-1, 0):  # the neighbours below and above
+        k = after + shift
+        ok = (k >= 0) & (k < len(block.sorted))
+        at, where = shard.order[ok], block.sorted[k[ok]]
+        _, shared = shard.compare(at, where, block.left[where], pattern)
+        keep = shared >= block.window
+        starts.append(at[keep])
+        lengths.append(shared[keep])
+        wheres.append(where[keep])
+    return np.concatenate(starts), np.concatenate(lengths), np.concatenate(wheres)
 
 
 def _search(shard: Suffixes, block: Block, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marks covered words; returns distinct (document, item) hits and per-document longest matches as (length, item, place)."""
+    """Marks covered words; returns distinct (document, item) hits and per-document longest matches as (length, place, item, place in the item)."""
     pattern = shard.encode(block.hashes)
     docs = len(shard.doc_first)
-    best = np.zeros((docs, 3), np.int64)
+    best = np.zeros((docs, 4), np.int64)
+    none = np.zeros(0, np.int64)
     if not len(shard.order) or not len(pattern):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), best
-    every = np.arange(len(pattern))
-    place = shard.bound(every, block.left, pattern, False)
-    for shift in (-1, 0):
-        near = place + shift
-        ok = (near >= 0) & (near < len(shard.order))
-        at = shard.order[near[ok]]
-        _, shared = shard.compare(at, every[ok], block.left[ok], pattern)
-        doc = np.searchsorted(shard.doc_first, at, "right") - 1
-        rank = np.argsort(shared, kind="stable")
-        rank = rank[shared[rank] > best[doc[rank], 0]]
-        best[doc[rank]] = np.stack((shared[rank], block.item[every[ok]][rank], (at - shard.doc_first[doc])[rank]), 1)
+        return none, none, best
     w, m = block.windows, block.window_words
     lo, hi = shard.bound(w, m, pattern, False), shard.bound(w, m, pattern, True)
     found = np.flatnonzero(hi > lo)
     hit_docs, hit_items = [], []
+    matches = [_longest(shard, block, pattern)] if len(found) else []
     total = np.cumsum(hi[found] - lo[found])
     for part in np.split(found, np.searchsorted(total, np.arange(1_000_000, int(total[-1]) if len(total) else 0, 1_000_000))):
         n = hi[part] - lo[part]
         inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         at = shard.order[np.repeat(lo[part], n) + inner]
-        length = np.repeat(m[part], n)
+        length, where = np.repeat(m[part], n), np.repeat(w[part], n)
         covered += np.bincount(at, minlength=len(covered))
         covered -= np.bincount(at + length, minlength=len(covered))
-        pair = np.unique((np.searchsorted(shard.doc_first, at, "right") - 1) * len(block.ids) + np.repeat(block.item[w[part]], n))
+        whole = block.whole[where]
+        matches.append((at[whole], length[whole], where[whole]))
+        pair = np.unique((np.searchsorted(shard.doc_first, at, "right") - 1) * len(block.ids) + block.item[where])
         hit_docs.append(pair // len(block.ids))
         hit_items.append(pair % len(block.ids))
-    return np.concatenate(hit_docs or [every[:0]]), np.concatenate(hit_items or [every[:0]]), best
+    if matches:
+        at, length, where = (np.concatenate(x) for x in zip(*matches, strict=True))
+        doc = np.searchsorted(shard.doc_first, at, "right") - 1
+        order = np.lexsort((where, at, -length, doc))
+        first = order[np.concatenate(([True], doc[order][1:] != doc[order][:-1]))] if len(order) else order
+        best[doc[first]] = np.stack((length[first], (at - shard.doc_first[doc])[first], block.item[where[first]], block.place[where[first]]), 1)
+    return np.concatenate(hit_docs or [none]), np.concatenate(hit_items or [none]), best
+
+
+RESULT = (
+    ("n_words", "bigint"), ("n_hit", "bigint"), ("n_items", "bigint"), ("items_sha256", "string"), ("contaminated", "boolean"),
+    ("longest_match", "bigint"), ("longest_at", "bigint"), ("longest_item", "string"), ("longest_item_at", "bigint"),
+)
 
 
-def _judge(ids: pa.Array, texts: pa.Array, load, out: pa.Schema, min_percent: int) -> pa.RecordBatch:
+def _judge(texts: pa.Array, load, depth: int, min_percent: int) -> list[pa.Array]:
+    """Columns of ``RESULT`` for the texts of one shard."""
     hashes, counts = _word_hashes(texts)
     n = len(counts)
-    shard, items, longest = None, [set() for _ in range(n)], [(0, None, None)] * n
+    shard, items = Suffixes(hashes, counts, depth), [set() for _ in range(n)]
+    longest: list[tuple] = [(0, None, None, None)] * n
     covered = np.zeros(len(hashes) + n + 1, np.int64)
     for block in load():
-        shard = shard or Suffixes(hashes, counts, max(WINDOW, block.longest))
         docs, hit, best = _search(shard, block, covered)
         for d, i in zip(docs.tolist(), hit.tolist(), strict=True):
             items[d].add(block.ids[i])
         for d in np.flatnonzero(best[:, 0]).tolist():
-            length, item, place = best[d].tolist()
-            if length > longest[d][0]:
-                longest[d] = (length, block.ids[item], place)
+            length, place, item, inside = best[d].tolist()
+            if length > longest[d][0] or (length == longest[d][0] and place < longest[d][1]):
+                longest[d] = (length, place, block.ids[item], inside)
     hits = np.cumsum(covered)[:-1] > 0
     first = np.concatenate(([0], np.cumsum(counts + 1)))
     total = np.concatenate(([0], np.cumsum(hits)))
     n_hit = total[first[1:]] - total[first[:-1]]
     shas = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-    columns = [
-        ids, pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(shas, pa.string()),
-        pa.array((n_hit > 0) & (100 * n_hit >= min_percent * counts)), pa.array([x[0] for x in longest], pa.int64()),
-        pa.array([x[1] for x in longest], pa.string()), pa.array([x[2] for x in longest], pa.int64()),
-    ]
-    return pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, out, strict=True)], schema=out)
+    found = [pa.array([x[k] for x in longest], pa.string() if k == 2 else pa.int64()) for k in range(4)]
+    return [pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(shas, pa.string()), pa.array((n_hit > 0) & (100 * n_hit >= min_percent * counts)), *found]
 
 
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, min_percent: int = MIN_PERCENT, shard_bytes: int = 8 << 20, block_bytes: int = 8 << 20,
-) -> DataFrame:
-    """One row per document: words, words inside verbatim windows, items hit, the verdict, and the longest match.
-
-    ``contaminated``: some word is hit and hit words are at least ``min_percent`` percent of all. ``longest_match`` words
-    are shared with ``longest_item`` from word ``longest_at`` of the document (the longest over the neighbours that the
-    items' suffixes find in its shard; null if no word is shared).
-    """
-    spark = docs.sparkSession
-    held, ids, texts, size = [], [], [], 0
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, window: int, block_bytes: int) -> tuple[list, int]:
+    """The benchmark as broadcast blocks, read one after another, and the words of its longest item."""
+    held, ids, texts, size, longest = [], [], [], 0, window
 
     def flush() -> None:
-        nonlocal ids, texts, size
+        nonlocal ids, texts, size, longest
         hashes, counts = _word_hashes(pa.array(texts, pa.string()))
         keep = counts > 0
         block = Block([x for x, k in zip(ids, keep.tolist(), strict=True) if k], hashes, counts[keep], window)
-        held.append(spark.sparkContext.broadcast(block))
+        longest = max(longest, block.longest)
+        held.append(benchmark.sparkSession.sparkContext.broadcast(block))
         ids, texts, size = [], [], 0
 
     distinct = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
@@ -236,6 +253,12 @@ def contamination(
         if size >= block_bytes:
             flush()
     flush()
+    return held, longest
+
+
+def _judged(docs: DataFrame, keys: list[str], text: str, benchmark: DataFrame, item_id: str, item_text: str, window: int, min_percent: int, shard_bytes: int, block_bytes: int) -> DataFrame:
+    """``keys`` and the columns of ``RESULT`` of every row."""
+    held, depth = _blocks(benchmark, item_id, item_text, window, block_bytes)
 
     def load() -> Iterator[Block]:
         for b in held:
@@ -243,23 +266,17 @@ def contamination(
             if len(held) > 1:
                 b.__dict__.pop("_value", None)  # one block in memory at a time; read again from local disk for the next shard
 
-    id_type = docs.schema[doc_id].dataType
-    schema = f"{doc_id} {id_type.simpleString()}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest_match bigint, longest_item string, longest_at bigint"
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        waiting, held_bytes, out = [], 0, None
+        waiting, held_bytes = [], 0
 
         def judged() -> pa.RecordBatch:
             table = pa.Table.from_batches(waiting).combine_chunks()
-            ids = table.column(0).combine_chunks()
-            names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "longest_item", "longest_at"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64()]
-            target = pa.schema([pa.field(doc_id, ids.type), *map(pa.field, names, kinds)])
-            return _judge(ids, table.column(1).combine_chunks(), load, target, min_percent)
+            own = [table.column(i).combine_chunks() for i in range(len(keys))]
+            return pa.RecordBatch.from_arrays([*own, *_judge(table.column(len(keys)).combine_chunks(), load, depth, min_percent)], names=[*keys, *(c for c, _ in RESULT)])
 
         for batch in batches:
-            _, off = column_bytes(batch.column(1))
+            _, off = column_bytes(batch.column(len(keys)))
             for a, b in blocks(off, shard_bytes):
                 waiting.append(batch.slice(a, b - a))
                 held_bytes += int(off[b] - off[a])
@@ -269,10 +286,30 @@ def contamination(
         if waiting:
             yield judged()
 
-    return mapped(docs.select(doc_id, text), run, schema)
+    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys), *(f"{c} {t}" for c, t in RESULT)])
+    return mapped(docs.select(*keys, text), run, schema)
+
 
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, min_percent: int = MIN_PERCENT, shard_bytes: int = 8 << 20, block_bytes: int = 8 << 20,
+) -> DataFrame:
+    """One row per document: words, words inside verbatim windows, items hit, the verdict, and the longest match.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents that are not contaminated, with all their columns (``doc_id`` must be a unique key)."""
-    bad = contamination(docs, benchmark, doc_id, **options).where("contaminated").select(F.col(doc_id).alias("_bad"))
-    return docs.join(bad, docs[doc_id].eqNullSafe(F.col("_bad")), "left_anti")
+    ``contaminated``: some word is hit and hit words are at least ``min_percent`` percent of all. The longest verbatim
+    match that holds a window has ``longest_match`` words (0 if there is none), begins at word ``longest_at`` of the
+    document (the first such place) and at word ``longest_item_at`` of ``longest_item`` (one of the items that hold it).
+    """
+    return _judged(docs, [doc_id], text, benchmark, item_id, item_text, window, min_percent, shard_bytes, block_bytes)
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, min_percent: int = MIN_PERCENT, shard_bytes: int = 8 << 20, block_bytes: int = 8 << 20,
+) -> DataFrame:
+    """The rows that are not contaminated, with all their columns. A row is known by its id, null included, and a hash of its text."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    bad = _judged(rows, ["doc_id", "row"], "text", benchmark, item_id, item_text, window, min_percent, shard_bytes, block_bytes)
+    bad = bad.where("contaminated").select("doc_id", "row")
+    whole = docs.select(F.struct("*").alias("all"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("row")).alias("x")
+    return whole.join(bad.alias("y"), same_row("id", "row"), "left_anti").select("all.*")

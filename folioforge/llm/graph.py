@@ -17,13 +17,16 @@ def _toward_minimum(pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch, label: str = "cc", max_rounds: int = 60) -> DataFrame:
     """``edges``: two integer columns ``a`` and ``b``. Returns ``node`` and ``component``, the least node reachable, for every node of an edge.
 
-    Null ends and loops are ignored, repeated edges count once; no edges give no rows.
+    Null ends and loops are ignored, repeated edges count once; no edges give no rows. Rounds grow with the logarithm of
+    the longest path; labels that still change after ``max_rounds`` are an error, never a result.
     """
     current = scratch.save(edges.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), f"{label}-0")
     seen = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     for k in range(1, max_rounds + 1):
         if not seen[0]:
             break
+        if k == max_rounds:
+            raise RuntimeError(f"components have not settled after {max_rounds} rounds")
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _toward_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = _toward_minimum(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))

@@ -10,8 +10,11 @@ Candidates come from one sorted pass over the bands; a line is first verified ag
 often, and then what lies in different components is verified in full, as for near-duplicate documents. Equal lines
 are one node from the start. Of each component the line first by (document id, line number) is kept.
 
-Edge cases: null and empty texts have no judged line; rows without a document id are left alone; rows that repeat an
-id are told apart by nothing and lose the same lines; an empty table gives no rows; further columns pass through.
+A line belongs to a row: the document id (of any orderable type) and a 64-bit hash of the text.
+
+Edge cases: null and empty texts have no judged line; rows without a document id are judged like others (first in
+order); rows that repeat an id are told apart by their text; rows that repeat id and text count as one place each and
+lose the same lines; an empty table gives no rows; further columns pass through.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ from pyspark.sql import functions as F
 from folioforge.llm import postings
 from folioforge.llm.graph import components
 from folioforge.llm.kernels import U64, _powers, blocks, column_bytes, mix, signed
-from folioforge.llm.storage import Scratch, mapped, partitions_for
+from folioforge.llm.storage import Scratch, mapped, partitions_for, same_row
 
 SHINGLE, PERCENT, MIN_CHARS, BANDS, ROWS = 8, 75, 40, 14, 4
 EMPTY = np.uint32(0xFFFFFFFF)
 ENTRIES = 4_000_000  # band entries of a partition, 16 bytes each
+SENT = 1_000_000  # keys a task remembers
 
 
 class Lines:
@@ -92,14 +96,19 @@ def _bands(docs: DataFrame, k: int, min_chars: int, bands: int, rows: int, parti
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         tokens, keys, held = [], [], 0
+        sent = np.zeros(0, U64)  # keys whose bands this task has sent; forgotten when full, as repeats do no harm
         for batch in batches:
             raw, off = column_bytes(batch.column(0))
             for a, b in blocks(off, 1 << 20):
                 lines = Lines(raw[off[a] : off[b]], off[a : b + 1] - off[a], max(k, min_chars))
                 if not len(lines.key):
                     continue
-                _, one = np.unique(lines.key, return_index=True)
+                key, one = np.unique(lines.key, return_index=True)
+                one = one[~np.isin(key, sent, assume_unique=True)]
+                if not len(one):
+                    continue
                 lines.start, lines.end, lines.key = lines.start[one], lines.end[one], lines.key[one]
+                sent = lines.key if len(sent) > SENT else np.concatenate((sent, lines.key))
                 sig = signatures(*lines.shingles(k), bands * rows).reshape(-1, bands, rows).astype(U64)
                 token = np.broadcast_to(np.arange(1, bands + 1, dtype=U64), sig.shape[:2]).copy()
                 for j in range(rows):
@@ -117,24 +126,24 @@ def _bands(docs: DataFrame, k: int, min_chars: int, bands: int, rows: int, parti
 
 
 def _members(docs: DataFrame, min_chars: int, texts: bool = False) -> DataFrame:
-    """doc_id, line, key of every judged line; ``texts``: key and text, only of lines whose key is in the row's ``wanted``."""
+    """doc_id, row, line, key of every judged line; ``texts``: key and text, only of lines whose key is in the row's ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
-            raw, off = column_bytes(batch.column(1))
+            raw, off = column_bytes(batch.column(2))
             for a, b in blocks(off):
                 lines = Lines(raw[off[a] : off[b]], off[a : b + 1] - off[a], min_chars)
                 if texts:
-                    wanted = [set(x) for x in batch.column(2).slice(a, b - a).to_pylist()]
+                    wanted = [set(x) for x in batch.column(3).slice(a, b - a).to_pylist()]
                     pick = [i for i, (d, x) in enumerate(zip(lines.doc.tolist(), signed(lines.key).tolist(), strict=True)) if x in wanted[d]]
                     found = [lines.points[lines.start[i] : lines.end[i]].tobytes().decode("utf-32-le") for i in pick]
                     yield pa.RecordBatch.from_arrays([pa.array(signed(lines.key)[pick]), pa.array(found, pa.string())], names=["key", "text"])
                 else:
-                    ids = batch.column(0).take(pa.array(lines.doc + a))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number.astype(np.int32)), pa.array(signed(lines.key))], names=["doc_id", "line", "key"])
+                    at = pa.array(lines.doc + a)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number.astype(np.int32)), pa.array(signed(lines.key))], names=["doc_id", "row", "line", "key"])
 
-    return mapped(docs, run, "key bigint, text string" if texts else "doc_id bigint, line int, key bigint")
+    return mapped(docs, run, "key bigint, text string" if texts else f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row bigint, line int, key bigint")
 
 
 def _shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -179,20 +188,19 @@ def _rest(mixed: DataFrame) -> DataFrame:
     return met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
 
 
-def line_components(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, min_chars: int = MIN_CHARS, bands: int = BANDS, rows: int = ROWS
-) -> DataFrame:
-    """Every judged line that has a likeness elsewhere: doc_id, line (from 0), first_doc, first_line of its component, kept."""
+def _components(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, min_chars: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, row, line, kept_at (doc_id, row, line) of every judged line that has a likeness elsewhere."""
     spark = docs.sparkSession
     scratch, parts = Scratch(spark, "lines"), partitions_for(spark)
-    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
     members = scratch.save(_members(docs, min_chars), "members")
-    nodes = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
+    nodes = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "line")).alias("first"))
     parts = max(parts, -(-members.count() * bands // ENTRIES))
     live = scratch.save(postings.shared_packed(_bands(docs, shingle, min_chars, bands, rows, parts), parts), "live")
     nodes = scratch.save(nodes.join(live.select("key").distinct().withColumn("live", F.lit(True)), "key", "left").where("live or n > 1"), "nodes")
-    wanted = nodes.where("live").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set("key").alias("wanted"))
-    blobs = scratch.save(_members(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted"), min_chars, texts=True).dropDuplicates(["key"]), "blobs")
+    wanted = nodes.where("live").groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row")).agg(F.collect_set("key").alias("wanted"))
+    placed = docs.alias("x").join(wanted.alias("y"), same_row("doc_id", "row")).select("x.doc_id", "x.row", "x.text", "y.wanted")
+    blobs = scratch.save(_members(placed, min_chars, texts=True).dropDuplicates(["key"]), "blobs")
 
     first = postings.best_heads(live).select(F.col("key").alias("a"), F.col("other").alias("b"))
     links = scratch.save(_verified(first, blobs, shingle, percent), "links-1")
@@ -207,16 +215,27 @@ def line_components(
 
     named = nodes.select("key", "n", "first").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     groups = named.groupBy("label").agg(F.sum("n").alias("lines"), F.min("first").alias("kept_at")).where("lines > 1")
-    named = named.join(groups, "label").select("key", "kept_at")
-    out = members.join(named, "key")
-    at = F.struct("doc_id", "line")
-    return out.select("doc_id", "line", F.col("kept_at.doc_id").alias("first_doc"), F.col("kept_at.line").alias("first_line"), (at == F.col("kept_at")).alias("kept"))
+    return members.join(named.join(groups, "label").select("key", "kept_at"), "key").select("doc_id", "row", "line", "kept_at")
+
 
+def line_components(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, min_chars: int = MIN_CHARS, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """Every judged line that has a likeness elsewhere: doc_id, line (from 0), first_doc, first_line of its component, kept."""
+    found = _components(docs, doc_id, text, shingle, percent, min_chars, bands, rows)
+    here = F.struct("doc_id", "row", "line").eqNullSafe(F.col("kept_at"))
+    return found.select("doc_id", "line", F.col("kept_at.doc_id").alias("first_doc"), F.col("kept_at.line").alias("first_line"), here.alias("kept"))
 
-def drop_duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+
+def drop_duplicate_lines(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, min_chars: int = MIN_CHARS, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
     """The documents without the lines that are not kept; a document goes only if nothing but such lines and white space was in it."""
-    gone = line_components(docs, doc_id, text, **options).where("not kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_gone"))
-    joined = docs.join(gone, docs[doc_id] == F.col("_id"), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    joined = joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
-    return joined.where(F.col("_gone").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    found = _components(docs, doc_id, text, shingle, percent, min_chars, bands, rows).where(~F.struct("doc_id", "row", "line").eqNullSafe(F.col("kept_at")))
+    gone = found.groupBy("doc_id", "row").agg(F.collect_set("line").alias("lines"))
+    joined = docs.select(F.struct("*").alias("all"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("row")).alias("x").join(gone.alias("y"), same_row("id", "row"), "left")
+    body, lines = F.col(f"x.all.`{text}`"), F.col("y.lines")
+    kept = F.array_join(F.filter(F.split(body, "\n"), lambda x, i: ~F.array_contains(lines, i)), "\n")
+    joined = joined.select("x.all", lines.alias("lines"), F.when(lines.isNull(), body).otherwise(kept).alias("kept"))
+    joined = joined.where(F.col("lines").isNull() | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    return joined.select(*[F.col("kept").alias(c) if c == text else F.col(f"all.`{c}`").alias(c) for c in docs.columns])

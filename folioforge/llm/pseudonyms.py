@@ -3,22 +3,26 @@
 Candidates are found by pattern and validated (Luhn check digit, octets below 256, real calendar dates, ISO 13616
 check digits). A valid value is permuted by a keyed Feistel network within its own format: the same digits, length,
 separators and validity, so equal values get equal pseudonyms in every document and distinct values stay distinct,
-and whoever has the key can undo it (``inverse=True``). What fails validation is left as it is.
-Not covered yet: within one kind a candidate that fails validation still hides shorter and later candidates inside it,
-for example a card directly followed by further groups of digits.
+and whoever has the key can undo it (``inverse=True``). What fails validation is left as it is and hides nothing: the
+text goes on to the later kinds, and within a kind every place where a value may begin is tried.
 
 Kinds, in the order in which they claim text:
   email   local part: each letter and digit moved within its class (case and punctuation kept), one half keyed by the other
-  iban    the account digits after the country code; check digits recomputed
+  iban    the digits after the country code and check digits (of more than 18 the last 18), letters stay; check digits recomputed
   date    YYYY-MM-DD, DD.MM.YYYY or DD/MM/YYYY from 1900 to 2099: permuted among those days
   ssn     NNN-NN-NNNN with valid groups: permuted among the valid numbers
-  card    13 to 19 digits with a valid Luhn digit: all but the first and the last permuted, the last recomputed
+  card    13 to 19 digits with a valid Luhn digit: all but the first and the last permuted, the last recomputed. Whole
+          groups of digits joined by single spaces or hyphens, at least three digits a group on average (so that
+          tables of small numbers stay); of a run of groups the leftmost, then shortest valid stretch
   ip      four octets: permuted as a number below 2**32
   phone   + and 8 to 15 digits with up to two separators between: all digits after the first two permuted
 
 The network alternates over two halves with the first digits of SHA-256(key, kind, length, round, other half) as round
 function; values outside the format are walked through the network again until they fall inside (cycle walking).
 
+Undoing is exact for values. In a text it needs the same stretches to be found again, which groups of digits directly
+before a card can prevent, as a stretch that begins with them may have a valid Luhn digit by chance.
+
 Edge cases: a null text stays null and counts 0; texts without a candidate pass through untouched; repeated rows and
 other columns are kept; an empty table gives no rows.
 """
@@ -29,16 +33,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-# The pattern of each kind.
+# Characters of an IBAN by country (ISO 13616).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
+    "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def _iban_pattern() -> str:
+    """Countries of one length together, then as many letters and digits as that length asks."""
+    sizes = sorted(set(IBAN_LENGTHS.values()))
+    parts = [f"(?:{'|'.join(c for c, n in IBAN_LENGTHS.items() if n == size)})[0-9]{{2}}(?: ?[A-Z0-9]){{{size - 4}}}" for size in sizes]
+    return f"(?<![A-Za-z0-9])(?:{'|'.join(parts)})(?![A-Za-z0-9])"
+
+
+# The pattern of each kind; of a card, where one may begin.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){2,6}(?: ?[0-9]{1,4})?\b",
-    "card": r"(?<![0-9.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|[.-][0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "iban": _iban_pattern(),
+    "card": r"(?<![0-9])(?<![0-9]\.)(?<!\+)(?=[0-9](?:[ -]?[0-9]){12})",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[/.-][0-9])",
     "phone": r"(?<![0-9A-Za-z])\+[0-9](?:[ ().-]{0,2}[0-9]){7,14}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+CARD_DIGITS = range(13, 20)
+CARD_REACH = 20  # pieces that a card can span: each but the last has a digit and a separator
 DATE_FROM, DATE_DAYS = "1900-01-01", 73049
 
 
@@ -116,12 +139,20 @@ def _bare(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
+def _is_card(m: Column) -> Column:
+    def ok(d: Column) -> Column:
+        groups = F.length(m) - F.length(d) + 1
+        return (F.length(d) >= 3 * groups) & ~d.rlike("^0*$") & (F.pmod(_luhn_sum(d, 0), F.lit(10)) == 0)
+
+    return _let(_bare(m), ok)
+
+
 def _card(m: Column, key: str, inverse: bool) -> Column:
+    """The pseudonym of a valid card."""
     def of(d: Column) -> Column:
-        valid = (F.pmod(_luhn_sum(d, 0), F.lit(10)) == 0) & (F.length(d) >= 13) & ~d.rlike("^0+$")
         body = F.concat(F.substring(d, 1, 1), _digits(F.substring(d, F.lit(2), F.length(d) - 2), key, "card", inverse))
         closed = _let(body, lambda x: F.concat(x, F.pmod(-_luhn_sum(x, 1), F.lit(10)).cast("string")))
-        return F.when(valid, _let(closed, lambda x: _refill(m, x)))
+        return _let(closed, lambda x: _refill(m, x))
 
     return _let(_bare(m), of)
 
@@ -169,21 +200,30 @@ def _ssn(m: Column, key: str, inverse: bool) -> Column:
     return _let(_bare(m).cast("bigint"), lambda x: F.when(ok(x), moved(x)))
 
 
-def _mod97(d: Column) -> Column:
-    return F.aggregate(_chars(d), F.lit(0), lambda a, c: F.pmod(a * 10 + c.cast("int"), F.lit(97)))
+def _mod97(x: Column) -> Column:
+    """Remainder of digits and letters, A counting as 10 and so on."""
+    def step(a: Column, c: Column) -> Column:
+        return F.pmod(F.when(c.rlike("[0-9]"), a * 10 + c.try_cast("int")).otherwise(a * 100 + F.ascii(c) - 55), F.lit(97))
+
+    return F.aggregate(_chars(x), F.lit(0), step)
 
 
 def _iban(m: Column, key: str, inverse: bool) -> Column:
     flat = F.regexp_replace(m, " ", "")
-    country = F.concat(*[(F.ascii(F.substring(flat, i, 1)) - 55).cast("string") for i in (1, 2)])
+    country = F.substring(flat, 1, 2)
 
     def of(account: Column) -> Column:
-        valid = (_mod97(F.concat(account, country, F.substring(flat, 3, 2))) == 1) & F.length(account).between(8, 30)
+        digits = _bare(account)
         # of a long account the last 18 digits are permuted, so that halves stay within 64 bits
-        n = F.greatest(F.length(account) - 18, F.lit(0))
-        new = F.concat(F.substring(account, F.lit(1), n), _let(F.substring(account, n + 1, F.length(account)), lambda d: _digits(d, key, "iban", inverse)))
-        closed = _let(new, lambda x: F.concat(F.lpad((98 - _mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x))
-        return F.when(valid, _let(closed, lambda x: _refill(m, x)))
+        n = F.greatest(F.length(digits) - 18, F.lit(0))
+        moved = F.concat(F.substring(digits, F.lit(1), n), _let(F.substring(digits, n + 1, F.length(digits)), lambda d: _digits(d, key, "iban", inverse)))
+
+        def closed(new: Column) -> Column:
+            check = 98 - _mod97(F.concat(_refill(account, new), country, F.lit("00")))
+            return F.concat(F.lpad(check.cast("string"), 2, "0"), new)
+
+        shown = _let(_let(moved, closed), lambda x: F.concat(F.substring(m, 1, 2), _refill(F.substring(m, F.lit(3), F.length(m)), x)))
+        return F.when(_mod97(F.concat(account, country, F.substring(flat, 3, 2))) == 1, shown)
 
     return _let(F.substring(flat, F.lit(5), F.length(flat)), of)
 
@@ -240,6 +280,27 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", kinds: tuple[str
         none = piece(bare, F.lit(""))
         return joined(F.flatten(F.zip_with(texts, between, lambda t, r: F.array(t, F.coalesce(r, none)))))
 
+    def cut_cards(p: Column) -> Column:
+        """As ``cut``; the text is cut wherever a card may begin, and what is taken covers as many of these pieces as it is long."""
+        pieces = F.split(p["new"], PATTERNS["card"], -1)
+
+        def card(rest: Column) -> Column:
+            tries = F.array(*[F.regexp_extract(rest, rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9]|\.[0-9])", 0) for n in CARD_DIGITS])
+            first = F.get(F.filter(tries, lambda x: (x != "") & _is_card(x)), F.lit(0))
+            return _let(first, lambda x: F.when(x.isNotNull(), F.struct(x.alias("old"), _card(x, key, inverse).alias("new"))))
+
+        found = F.transform(pieces, lambda t, i: F.struct(t.alias("text"), _let(F.array_join(F.slice(pieces, i + 1, F.lit(CARD_REACH)), ""), card).alias("card")))
+
+        def step(s: Column, x: Column) -> Column:
+            size, taken = F.length(x["text"]), F.length(x["card"]["old"])
+            own = (s["skip"] == 0) & x["card"].isNotNull()
+            rest = F.substring(x["text"], F.when(own, taken).otherwise(s["skip"]) + 1, size)
+            more = F.concat(F.when(own, F.array(piece(F.lit("card"), x["card"]["new"]))).otherwise(F.array().cast("array<struct<kind:string,new:string>>")), F.array(piece(bare, rest)))
+            return F.struct(F.greatest(F.when(own, taken).otherwise(s["skip"]) - size, F.lit(0)).alias("skip"), F.concat(s["out"], more).alias("out"))
+
+        begin = F.struct(F.lit(0).alias("skip"), F.array(piece(bare, F.lit(""))).alias("out"))
+        return joined(F.aggregate(found, begin, step, lambda s: s["out"]))
+
     def joined(pieces: Column) -> Column:
         """Unclaimed pieces in a row become one."""
         def add(done: Column, p: Column) -> Column:
@@ -253,7 +314,7 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", kinds: tuple[str
     out = docs.drop(*counts).withColumn("_r", F.when(F.col(text).rlike("[0-9]|@") & F.col(text).rlike(combined), F.array(piece(bare, F.col(text)))))
     def claimed(pieces: Column, k: str) -> Column:
         open_ = lambda p: p["kind"].isNull() & p["new"].rlike(PATTERNS[k])
-        return F.when(F.exists(pieces, open_), F.flatten(F.transform(pieces, lambda p: F.when(open_(p), cut(p, k)).otherwise(F.array(p))))).otherwise(pieces)
+        return F.when(F.exists(pieces, open_), F.flatten(F.transform(pieces, lambda p: F.when(open_(p), cut_cards(p) if k == "card" else cut(p, k)).otherwise(F.array(p))))).otherwise(pieces)
 
     for k in kinds:
         out = out.withColumn("_r", claimed(F.col("_r"), k))

@@ -19,17 +19,20 @@ def op1_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its personal numbers, dates and addresses replaced, and the replacements of each kind."""
+    """Every document with its personal numbers, dates and addresses replaced, and the replacements of each kind. The key is
+    the session's ``spark.folioforge.pseudonyms.key``; without one a key that protects nothing."""
     from folioforge.llm.pseudonyms import pseudonymize
 
-    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key="corpus-2024")
+    key = spark.conf.get("spark.folioforge.pseudonyms.key", "a key for tests only")
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key=key)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: words inside benchmark windows and the verdict."""
+    """Per document: words inside benchmark windows, the verdict, and the longest verbatim match with its place."""
     from folioforge.llm.decontamination import contamination
 
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "longest_at"]
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(*columns)
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,10 +84,13 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: secrets found in its blob, which is scanned once whatever the number of its paths."""
-    from folioforge.llm.secrets import scan_increment
+    """Per document: secrets found in its blob, which is scanned once whatever the number of its paths. The ledger is the
+    table at ``spark.folioforge.secrets.ledger``, so a later run scans only what is new; without one it begins empty."""
+    from folioforge.llm.secrets import scan
+    from folioforge.llm.storage import Scratch
 
-    found, _ = scan_increment(table(spark, sf_dir, "documents"))
+    ledger = spark.conf.get("spark.folioforge.secrets.ledger", "") or f"{Scratch(spark, 'secrets').root}/ledger"
+    found = scan(table(spark, sf_dir, "documents"), ledger)
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 

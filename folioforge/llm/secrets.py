@@ -1,9 +1,12 @@
 """Secret scans with an incremental ledger of blobs, in DataFrame functions only.
 
-Texts are addressed by SHA-256 (a blob); several paths or versions may hold one blob. The ledger has one row per blob
-and rule version with that blob's findings. A scan takes the blobs whose (blob, rule version) pair the ledger lacks,
-scans each once, and joins the findings of all blobs back to every path. Raising ``RULE_VERSION`` makes every blob
-unseen again.
+Texts are addressed by SHA-256 (a blob); every row is a path at one of its versions, and several may hold one blob. The
+ledger is a Parquet table with one row per blob and rule version: that blob's findings, none included. A scan takes the
+blobs whose (blob, rule version) pair the ledger lacks, scans each once, appends them in one commit, and joins the
+findings of all blobs back to every path; a scan that fails before the commit leaves the ledger as it was. One scan
+writes at a time. Raising ``RULE_VERSION`` makes every blob unseen again and keeps the old rows.
+
+Blobs that hold more than 1 / ``HOT_SHARE`` of all paths (so fewer than that many) are joined in ``SALTS`` parts.
 
 Spans: the text is split at the matches of a rule, so the lengths of the pieces give code-point offsets; matches of a
 rule are leftmost and do not overlap, and then those that fail the rule's length are dropped.
@@ -14,7 +17,7 @@ empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Kind, pattern, group whose length counts, least length; in the order that breaks ties of starts.
@@ -29,6 +32,7 @@ RULES = (
 )
 BASE_KINDS = 3
 RULE_VERSION = 1
+HOT_SHARE, SALTS = 1000, 128
 LEDGER = "blob string, rule_version int, n_assign bigint, n_access bigint, n_hex bigint, base string, spans string"
 
 
@@ -77,10 +81,41 @@ def unseen(blobs: DataFrame, ledger: DataFrame | None, version: int = RULE_VERSI
     return blobs.dropDuplicates(["blob"])
 
 
+def _addressed(paths: DataFrame, path_id: str, text: str) -> DataFrame:
+    body = F.coalesce(F.col(text), F.lit(""))
+    return paths.select(F.col(path_id).alias("path_id"), F.sha2(body.cast("binary"), 256).alias("blob"), body.alias("text"))
+
+
+def _back(addressed: DataFrame, known: DataFrame, path_id: str) -> DataFrame:
+    """Findings of each path's blob."""
+    total = addressed.count()
+    hot = addressed.groupBy("blob").agg(F.count("*").alias("times")).where(F.col("times") * HOT_SHARE > total).select("blob", F.lit(True).alias("hot"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("path_id"), F.lit(SALTS))).otherwise(0).cast("int")
+    rows = addressed.select("path_id", "blob").join(F.broadcast(hot), "blob", "left").select("path_id", "blob", salt.alias("salt"))
+    salts = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    known = known.join(F.broadcast(hot), "blob", "left").select(known["*"], salts.alias("salt"))
+    return rows.join(known, ["blob", "salt"]).drop("salt").withColumnRenamed("path_id", path_id)
+
+
 def scan_increment(paths: DataFrame, ledger: DataFrame | None = None, path_id: str = "doc_id", text: str = "text", version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """Findings of every path, and the rows to append to the ledger."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    addressed = paths.select(F.col(path_id).alias("path_id"), F.sha2(body.cast("binary"), 256).alias("blob"), body.alias("text"))
+    addressed = _addressed(paths, path_id, text)
     fresh = scan_blobs(unseen(addressed.select("blob", "text"), ledger, version), version)
     known = fresh if ledger is None else ledger.where(F.col("rule_version") == version).unionByName(fresh)
-    return addressed.select("path_id", "blob").join(known, "blob").withColumnRenamed("path_id", path_id), fresh
+    return _back(addressed, known, path_id), fresh
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at ``path``; one that does not exist yet is empty."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(LEDGER).parquet(path) if held else spark.createDataFrame([], LEDGER)
+
+
+def scan(paths: DataFrame, ledger: str, path_id: str = "doc_id", text: str = "text", version: int = RULE_VERSION) -> DataFrame:
+    """Findings of every path, after the blobs that the ledger at ``ledger`` lacks have been scanned and appended to it."""
+    spark = paths.sparkSession
+    addressed = _addressed(paths, path_id, text)
+    fresh = scan_blobs(unseen(addressed.select("blob", "text"), read_ledger(spark, ledger), version), version)
+    fresh.write.mode("append").parquet(ledger)
+    return _back(addressed, read_ledger(spark, ledger).where(F.col("rule_version") == version), path_id)

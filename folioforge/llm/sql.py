@@ -20,10 +20,15 @@ d as (select row_number() over () as rid, doc_id, {words('text', ALNUM)} as w fr
 dw as (select rid, p, n, array_to_string(w[p:p + n - 1], ' ') as win from (select d.rid, d.w, s.n, unnest(range(1, len(d.w) - s.n + 2)) as p from d, (select distinct n from iw) s where len(d.w) >= s.n)),
 hits as (select dw.rid, dw.p, dw.n, iw.item from dw join iw on dw.win = iw.win and dw.n = iw.n),
 covered as (select rid, count(distinct pos) as n_hit from (select distinct rid, unnest(range(p, p + n)) as pos from hits) group by rid),
+placed as (select row_number() over () as iid, w from (select {words('text', ALNUM)} as w from benchmark where item_id is not null) where len(w) > 0),
+jw as (select iid, j, len(w[j:j + 12]) as n, array_to_string(w[j:j + 12], ' ') as win from (select iid, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) as j from placed)),
+steps as (select dw.rid, dw.p, dw.n, jw.iid, dw.p - jw.j as diagonal from dw join jw on dw.win = jw.win and dw.n = jw.n),
+runs as (select rid, min(p) as p, count(*) + max(n) - 1 as size from (select *, p - row_number() over (partition by rid, iid, n, diagonal order by p) as island from steps) group by rid, iid, n, diagonal, island),
+longest as (select rid, max(size) as longest_match, arg_min(p - 1, size * -1000000000 + p) as longest_at from runs group by rid),
 found as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct rid, item from hits) group by rid)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
-  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
-from d left join covered using (rid) left join found using (rid)
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated, coalesce(longest_match, 0) as longest_match, longest_at
+from d left join covered using (rid) left join found using (rid) left join longest using (rid)
 """
 
 NEAR_DUPLICATES = f"""

@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioforge.executors import ship
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is configured (tests)."""
+    """The cluster's ``spark.checkpoint.dir``. Unset, it is an error on a cluster; a local session gets a temporary folder."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir")
     if not root:
         held = context._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="folioforge-")
         context.setCheckpointDir(root)
     return root.rstrip("/")
@@ -47,6 +48,11 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def same_row(doc_id: str, row: str) -> Column:
+    """Whether frames with the aliases x and y mean the same row: an id, null included, and the hash of the text."""
+    return F.col(f"x.{doc_id}").eqNullSafe(F.col("y.doc_id")) & (F.col(f"x.{row}") == F.col("y.row"))
+
+
 def partitions_for(spark: SparkSession) -> int:
     """Shuffle partitions of the session, the count every keyed exchange here asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -61,25 +67,6 @@ def release() -> None:
         pass
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors' Python this package, once per application; they may run where it is not installed."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp()  # the driver serves the archive from here as long as it lives
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    archive = Path(folder, f"{package.name}.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    _SHIPPED.add(context.applicationId)
-
-
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInArrow`` with the package at hand on the executors."""
     ship(df.sparkSession)

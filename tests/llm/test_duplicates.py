@@ -5,9 +5,10 @@ import random
 import numpy as np
 import pytest
 from llm.conftest import CLASHING, EDGES
+from pyspark.sql import functions as F
 
 from folioforge.llm import postings
-from folioforge.llm.line_dedup import Lines, drop_duplicate_lines, line_components
+from folioforge.llm.line_dedup import BANDS, ROWS, Lines, drop_duplicate_lines, line_components, signatures
 from folioforge.llm.near_duplicates import drop_near_duplicates, near_duplicates
 
 
@@ -62,12 +63,45 @@ def test_dispersed_group_equals_brute_force(spark, make, monkeypatch, big):
 
 def test_edge_cases(spark, make):
     got = near_duplicates(make(EDGES, CLASHING)).collect()
-    rows = sorted((r.doc_id, r.n_shingles, r.component_id) for r in got)
+    rows = sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None)
     assert rows == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 1, 4), (6, 1, 6), (7, 1, 7)]
+    assert [(r.n_shingles, r.component_id) for r in got if r.doc_id is None] == [(4, None)]
     left = drop_near_duplicates(make(EDGES, CLASHING))
     assert {r.doc_id for r in left.collect()} == {1, 2, 3, 4, 6, 7, None} and set(CLASHING) <= set(left.columns)
 
 
+def test_rows_are_told_apart_by_id_and_text(spark, make):
+    """Rows that share an id, or have none, go by their own text; of equal rows one stays."""
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "own words of the third text here"
+    rows = [(2, a), (1, a), (2, b), (3, b), (None, a), (None, c), (None, c), (2, b), (4, "")]
+    left = sorted(((r.doc_id or 0), r.text) for r in drop_near_duplicates(make(rows, CLASHING)).collect())
+    assert left == [(0, c), (1, a), (2, b), (4, "")]
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(make(rows)).collect()}
+    assert got == {(2, 1), (1, 1), (2, 2), (3, 2), (None, 1), (None, None), (4, 4)}
+    named = make([(k, t) for k, t in rows if k]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {r.component_id for r in near_duplicates(named).collect()} == {"d1", "d2", "d4"}
+    lines = [(2, "shared line number one\nprivate to the first"), (2, "shared line number one\nprivate to the second"), (None, "shared line number one\nprivate to none")]
+    kept = sorted(r.text for r in drop_duplicate_lines(make(lines, CLASHING), min_chars=1).collect())
+    assert sum("shared" in t for t in kept) == 1 and sum("private" in t for t in kept) == 3
+
+
+def test_banding_recall():
+    """Pairs of lines at a similarity of 0.75 to 0.8 share a band: at least 99 in 100 of them."""
+    rng = np.random.default_rng(7)
+    found, total = 0, 0
+    with np.errstate(over="ignore"):
+        for _ in range(1500):
+            size = int(rng.integers(50, 400))  # of the union
+            both = -(-int(size * rng.integers(7500, 8000)) // 10000)
+            pool = rng.integers(1, 1 << 63, size, dtype=np.uint64)
+            half = both + (size - both) // 2
+            sets = pool[:half], np.concatenate((pool[:both], pool[half:]))
+            sig = [signatures(x, np.array([len(x)]), BANDS * ROWS).reshape(BANDS, ROWS) for x in sets]
+            found += bool((sig[0] == sig[1]).all(1).any())
+            total += 1
+    assert found >= 0.99 * total
+
+
 def test_empty_tables(spark, make):
     assert near_duplicates(make([])).count() == 0
     assert line_components(make([])).count() == 0

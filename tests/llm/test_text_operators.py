@@ -38,8 +38,22 @@ def test_decontamination_equals_brute_force(spark, make):
                 if tuple(w[j : j + n]) in windows:
                     hit |= set(range(j, j + n))
                     found |= windows[tuple(w[j : j + n])]
+        best = (0, None)
+        for k, x in items:
+            x = words(x) if k is not None else []
+            for p in range(len(w)):
+                for j in range(len(x)):
+                    n = 0
+                    while p + n < len(w) and j + n < len(x) and w[p + n] == x[j + n]:
+                        n += 1
+                    if n >= 13 or (len(x) < 13 and n == len(x)):
+                        best = max(best, (n, -p), key=lambda b: (b[0], b[1] or 0))
         r = got[i]
         assert (r.n_words, r.n_hit, r.n_items) == (len(w), len(hit), len(found))
+        assert (r.longest_match, r.longest_at) == (best[0], None if best[1] is None else -best[1])
+        if r.longest_match:
+            x = [words(t) for k, t in items if str(k) == r.longest_item]
+            assert w[r.longest_at : r.longest_at + r.longest_match] in [y[r.longest_item_at : r.longest_item_at + r.longest_match] for y in x]
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest() and r.contaminated == (bool(hit) and 20 * len(hit) >= len(w))
 
 
@@ -50,7 +64,17 @@ def test_decontamination_edges(spark, make):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.contamination(make(EDGES), none).where("contaminated").count() == 0
     assert decontamination.contamination(make([]), bench).count() == 0
-    assert decontamination.contamination(make([(1, "one two three")]), bench).first().longest_match == 2
+    row = decontamination.contamination(make([(1, "so one two three")]), bench).first()
+    assert (row.longest_match, row.longest_at, row.longest_item, row.longest_item_at) == (2, 1, "1", 0)
+
+
+def test_every_copy_gets_its_match_and_only_judged_rows_go(spark, make):
+    passage = " ".join(f"w{k}" for k in range(20))
+    bench = spark.createDataFrame([("b", f"before {passage} after"), ("c", passage)], "item_id string, text string")
+    docs = make([*((k, f"x{k} {passage}") for k in range(6)), (7, passage), (7, "clean text of the same id"), (None, passage), (None, "clean text without an id")], CLASHING)
+    got = decontamination.contamination(docs, bench).collect()
+    assert all((r.longest_match, r.longest_at) == (20, 1) for r in got if r.doc_id is not None and r.doc_id < 6)
+    assert sorted(r.text for r in decontamination.decontaminate(docs, bench).collect()) == ["clean text of the same id", "clean text without an id"]
 
 
 def test_many_benchmark_blocks_give_the_same(spark, make):
@@ -76,6 +100,24 @@ def test_secrets_match_reference_and_ledger(spark, make):
     assert raised.count() == 3
 
 
+def test_ledger_grows_by_unseen_versions_only(spark, make, tmp_path):
+    """Every version of a path is a row; a second scan adds what is new, a new rule version adds everything, a hot blob joins whole."""
+    path = str(tmp_path / "ledger")
+    secret = "token=abcdefghijklmnop0123"
+    old = [(1, secret), (2, "clean"), *((k, "copied") for k in range(10, 60))]
+    first = secrets.scan(make(old), path)
+    assert {r.doc_id: r.spans for r in first.collect()} == {1: "assign:0:26", 2: "", **{k: "" for k in range(10, 60)}}
+    assert secrets.read_ledger(spark, path).count() == 3
+    both = make([*old, (1, "rotated"), (1, f"x {secret}")], CLASHING)
+    again = secrets.scan(both, path)
+    assert sorted(r.spans for r in again.where("doc_id = 1").collect()) == ["", "assign:0:26", "assign:2:28"] and again.count() == 54
+    assert secrets.read_ledger(spark, path).count() == 5
+    secrets.scan(both, path)
+    assert secrets.read_ledger(spark, path).count() == 5
+    secrets.scan(both, path, version=secrets.RULE_VERSION + 1)
+    assert {(r.rule_version, r["count"]) for r in secrets.read_ledger(spark, path).groupBy("rule_version").count().collect()} == {(1, 5), (2, 5)}
+
+
 def test_secret_edges(spark, make):
     found, _ = secrets.scan_increment(make(EDGES))
     assert found.count() == len(EDGES) and secrets.scan_increment(make([]))[0].count() == 0
@@ -171,6 +213,62 @@ def test_kinds_claim_what_others_left(spark, make):
     assert {r.doc_id: r.text for r in pseudonyms.pseudonymize(rows, "k", inverse=True).collect()} == dict(enumerate(texts))
 
 
+def _luhn(d: str) -> bool:
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def _cards(t: str) -> list[tuple[int, int]]:
+    """Spans of cards by trying every place and length in turn."""
+    out, at = [], 0
+    while at < len(t):
+        run = re.compile(r"(?<![0-9])(?<![0-9]\.)(?<!\+)[0-9](?:[ -]?[0-9])*").match(t, at)
+        end = None
+        if run:
+            for e in range(at + 13, run.end() + 1):
+                m = t[at:e]
+                d = re.sub("[ -]", "", m)
+                if m[-1].isdigit() and not re.match(r"[0-9]|\.[0-9]", t[e:]) and 13 <= len(d) <= 19 and len(d) >= 3 * (len(m) - len(d) + 1) and d.strip("0") and _luhn(d):
+                    end = e
+                    break
+        if end:
+            out.append((at, end))
+        at = end or at + 1
+    return out
+
+
+def test_cards_equal_brute_force(spark, make):
+    rng = random.Random(21)
+    texts = ["card 4111 1111 1111 1111 123", "card 4111 1111 1111 1111 12/26", "x 4111-1111-1111-1111-12.", "ref 12 4111111111111111 9.5", "1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8"]
+    for _ in range(200):
+        groups = ["".join(rng.choice("0123456789") for _ in range(rng.choice((1, 2, 3, 4, 4, 4, 6, 13, 16)))) for _ in range(rng.randrange(1, 9))]
+        texts.append("n " + "".join(g + rng.choice((" ", " ", "-", ", ", ".")) for g in groups))
+    got = pseudonyms.pseudonymize(make(list(enumerate(texts))), "k", kinds=("card",)).collect()
+    for r in got:
+        t, spans = texts[r.doc_id], _cards(texts[r.doc_id])
+        inside = [any(a <= i < b for a, b in spans) for i in range(len(t))]
+        assert r.n_card == len(spans) and len(r.text) == len(t), t
+        assert all(r.text[i] == c for i, c in enumerate(t) if not inside[i] or not c.isdigit()), (t, r.text)
+        assert all(_luhn(re.sub("[ -]", "", r.text[a:b])) and r.text[a:b] != t[a:b] for a, b in spans)
+    assert [len(_cards(t)) for t in texts[:5]] == [1, 1, 1, 1, 0]
+
+
+def test_ibans_with_letters_and_lone_addresses(spark, make):
+    texts = ["pay GB29 NWBK 6016 1331 9268 19 now", "GB29NWBK60161331926819", "DE89 3704 0044 0532 0130 00 1234", "GB29 NWBK 6016 1331 9268 18", "host 8.8.8.8 up", "XX29 NWBK 6016 1331 9268 19"]
+    docs = make(list(enumerate(texts)))
+    new = pseudonyms.pseudonymize(docs, "k", kinds=("iban", "ip"))
+    got = {r.doc_id: r for r in new.collect()}
+    assert [got[i].n_iban for i in range(6)] == [1, 1, 1, 0, 0, 0] and got[4].n_ip == 1
+    flat = got[0].text.removeprefix("pay ").removesuffix(" now").replace(" ", "")
+    assert flat == got[1].text and flat != texts[1] and flat[4:8] == "NWBK"
+    assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1 and got[2].text.endswith(" 1234")
+    back = pseudonyms.pseudonymize(spark.createDataFrame(list(got.values()), new.schema), "k", kinds=("iban", "ip"), inverse=True)
+    assert {r.doc_id: r.text for r in back.collect()} == dict(enumerate(texts))
+
+
+def test_pseudonyms_of_an_empty_table(spark, make):
+    assert pseudonyms.pseudonymize(make([]), "k").count() == 0
+
+
 def test_severity_finds_graded_words(spark, make):
     rng = random.Random(8)
     rows, labels = [], []
