@@ -1,10 +1,12 @@
 """Language identification with a linear-chain conditional random field over words.
 
-Each word is labelled with a language by forward-backward over its line (lines are cut into chains of at most
-``MAX_CHAIN`` words), so code-switched text gets a label per word. Features of a word: its lexicon entry (words seen
+Each word is labelled with a language by forward-backward over its whole line, so code-switched text gets a label per
+word (``words=True`` returns them); long lines are worked off in segments whose transfer matrices make the result the
+same as without them. Features of a word: its lexicon entry (words seen
 ``LEXICON_MIN`` times or more in the training sample), its affixes (first and last 1 to 4 bytes) and its byte
 trigrams, hashed to ``2**BITS`` slots with one weight per language; transitions and start weights are learned with
-them. Training chains are lines of the sample, and lines of two languages spliced at a random word.
+them. Training chains are pieces of lines of the sample (``MAX_CHAIN`` words at most), and pieces of two languages
+spliced at a random word.
 
 A document's language is the one with the most expected words among its words with letters; the score is that share.
 
@@ -38,7 +40,7 @@ class Tokens:
 
     def __init__(self, raw: np.ndarray, off: np.ndarray):
         w = Words(raw, off, "space")
-        self.doc = np.repeat(np.arange(len(w.counts)), w.counts)
+        self.counts, self.doc = w.counts, np.repeat(np.arange(len(w.counts)), w.counts)
         n, low = len(raw), U64((1 << BITS) - 1)
         p, q = _powers(n + 1)
         total = np.zeros(n + 1, U64)
@@ -61,8 +63,6 @@ class Tokens:
         breaks = np.concatenate(([0], np.cumsum(raw == 10)))[w.start] if n else w.start
         new = np.ones(len(w.hash), bool)
         new[1:] = (breaks[1:] != breaks[:-1]) | (self.doc[1:] != self.doc[:-1])
-        begun = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else new
-        new |= (np.arange(len(new)) - begun) % MAX_CHAIN == 0 if len(new) else new
         self.first = np.flatnonzero(new)
         self.length = np.diff(np.concatenate((self.first, [len(new)])))
 
@@ -108,15 +108,100 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, length: np.ndarray,
     return post, both, begin, float(np.log(norm).sum() + top.sum())
 
 
+def posteriors(scores: np.ndarray, first: np.ndarray, length: np.ndarray, start: np.ndarray, trans: np.ndarray, segment: int = 128) -> np.ndarray:
+    """As ``forward_backward``; chains longer than ``segment`` take a step per word of a segment, not per word of the chain."""
+    pieces = -(-length // segment)
+    if not len(length) or pieces.max() <= 1:
+        return forward_backward(scores, first, length, start, trans)
+    chain = np.repeat(np.arange(len(length)), pieces)
+    number = np.arange(len(chain)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = first[chain] + number * segment
+    size = np.minimum(segment, length[chain] - number * segment)
+    order = np.argsort(-size, kind="stable")  # segments from here on by size
+    number, begin, size = number[order], begin[order], size[order]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    before = place[np.maximum(order - 1, 0)]  # the segment before, where there is one
+    active = [int(np.searchsorted(-size, -t, "left")) for t in range(int(size[0]))]
+    e = np.exp(scores - scores.max(1, keepdims=True)).astype(np.float64)
+    a, labels = np.exp(trans).astype(np.float64), scores.shape[1]
+
+    move = np.broadcast_to(np.eye(labels), (len(size), labels, labels)).copy()
+    for t, n in enumerate(active):
+        move[:n] = (move[:n] @ a) * e[begin[:n] + t][:, None, :]
+        move[:n] /= move[:n].max((1, 2), keepdims=True)
+    levels = [np.flatnonzero(number == k) for k in range(int(number.max()) + 1)]
+    entry, ends = np.zeros((len(size), labels)), np.zeros((len(size), labels))
+    alpha = np.zeros_like(e)
+
+    def forward(of: np.ndarray) -> None:
+        for t, n in enumerate(active):
+            s = of[of < n]
+            at = begin[s] + t
+            x = np.where((number[s] == 0)[:, None], np.exp(start)[None, :], entry[s] @ a) if t == 0 else alpha[at - 1] @ a
+            x = x * e[at]
+            alpha[at] = x / x.sum(1, keepdims=True)
+
+    forward(levels[0])
+    ends[levels[0]] = alpha[begin[levels[0]] + size[levels[0]] - 1]
+    for of in levels[1:]:
+        entry[of] = ends[before[of]]
+        x = np.einsum("ij,ijk->ik", entry[of], move[of])
+        ends[of] = x / x.sum(1, keepdims=True)
+    forward(np.flatnonzero(number > 0))
+    tails = np.ones((len(size), labels))
+    for of in levels[:0:-1]:
+        x = np.einsum("ijk,ik->ij", move[of], tails[of])
+        tails[before[of]] = x / x.sum(1, keepdims=True)
+    beta = np.ones_like(e)
+    beta[begin + size - 1] = tails
+    for t in range(len(active) - 1, 0, -1):
+        at = begin[: active[t]] + t
+        x = (e[at] * beta[at]) @ a.T
+        beta[at - 1] = x / x.sum(1, keepdims=True)
+    post = alpha * beta
+    return post / post.sum(1, keepdims=True)
+
+
+class Chain:
+    """Feature slots of a piece of a line, apart from the block that it came from, and its language."""
+
+    __slots__ = ("affix", "gram", "gram_first", "lang", "lexicon")
+
+    def __init__(self, t: Tokens, i: int, j: int, lang: int):
+        self.lexicon, self.lang = t.lexicon[i:j].copy(), lang
+        self.affix = np.stack([x[i:j] for x in t.affix])
+        self.gram = t.gram[t.gram_first[i] : t.gram_first[j]].copy()
+        self.gram_first = (t.gram_first[i : j + 1] - t.gram_first[i]).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.lexicon)
+
+
+def _sampled(texts: list[str], langs: list[int], max_chains: int, rng: np.random.Generator) -> tuple[list[Chain], np.ndarray]:
+    """At most ``max_chains`` chains of all texts at random, and how often each lexicon slot occurs in the texts."""
+    raw, off = column_bytes(pa.array(texts, pa.string()))
+    seen, held = np.zeros(1 << BITS, np.int64), []
+    for a, b in blocks(off, 1 << 20):
+        t = Tokens(raw[off[a] : off[b]], off[a : b + 1] - off[a])
+        seen += np.bincount(t.lexicon, minlength=1 << BITS)
+        pieces = -(-t.length // MAX_CHAIN)
+        line = np.repeat(np.arange(len(pieces)), pieces)
+        first = t.first[line] + (np.arange(len(line)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * MAX_CHAIN
+        last = np.minimum(first + MAX_CHAIN, (t.first + t.length)[line])
+        least = held[max_chains - 1][0] if len(held) >= max_chains else 1.0
+        for k, i, j in zip(rng.random(len(line)).tolist(), first.tolist(), last.tolist(), strict=True):
+            if k < least:
+                held.append((k, Chain(t, i, j, langs[t.doc[i] + a])))
+        held = sorted(held, key=lambda x: x[0])[:max_chains]
+    return [c for _, c in held], seen
+
+
 def fit(texts: list[str], langs: list[int], n_langs: int, max_chains: int, epochs: int = 4, batch: int = 256, seed: int = 5) -> dict:
     """Weights, transitions, start weights and the lexicon, by Adagrad on the likelihood of the chains."""
     rng = np.random.default_rng(seed)
-    raw, off = column_bytes(pa.array(texts, pa.string()))
-    parts = [(Tokens(raw[off[a] : off[b]], off[a : b + 1] - off[a]), a) for a, b in blocks(off)]
-    seen = sum((np.bincount(t.lexicon, minlength=1 << BITS) for t, _ in parts), np.zeros(1 << BITS, np.int64))
+    chains, seen = _sampled(texts, langs, max_chains, rng)
     known = seen >= LEXICON_MIN
-    chains = [(t, int(f), int(f + n), langs[t.doc[f] + a]) for t, a in parts for f, n in zip(t.first, t.length, strict=True)]
-    chains = [chains[i] for i in np.sort(rng.permutation(len(chains))[:max_chains])]
     weights, trans, start = np.zeros((1 << BITS, n_langs), np.float32), np.zeros((n_langs, n_langs)), np.zeros(n_langs)
     sums = [np.full(x.shape, 1e-3, np.float64 if x.ndim < 2 or len(x) == n_langs else np.float32) for x in (weights, trans, start)]
 
@@ -124,13 +209,13 @@ def fit(texts: list[str], langs: list[int], n_langs: int, max_chains: int, epoch
         slots, word, gold, size, at = [], [], [], [], 0
         for pieces in sequence:
             begun = at
-            for t, i, j, lang in pieces:
+            for c, i, j in pieces:
                 n = j - i
                 ids = np.arange(at, at + n)
-                lex = t.lexicon[i:j]
-                slots += [lex[known[lex]], *(x[i:j] for x in t.affix), t.gram[t.gram_first[i] : t.gram_first[j]]]
-                word += [ids[known[lex]], *([ids] * len(t.affix)), np.repeat(ids, np.diff(t.gram_first[i : j + 1]))]
-                gold.append(np.full(n, lang))
+                lex = c.lexicon[i:j]
+                slots += [lex[known[lex]], *c.affix[:, i:j], c.gram[c.gram_first[i] : c.gram_first[j]]]
+                word += [ids[known[lex]], *([ids] * len(c.affix)), np.repeat(ids, np.diff(c.gram_first[i : j + 1]))]
+                gold.append(np.full(n, c.lang))
                 at += n
             size.append(at - begun)
         return np.concatenate(slots), np.concatenate(word), np.concatenate(gold), np.array(size)
@@ -141,9 +226,9 @@ def fit(texts: list[str], langs: list[int], n_langs: int, max_chains: int, epoch
             sequence = []
             for c in group:
                 other = chains[rng.integers(len(chains))]
-                cut = [int(rng.integers(x[1], x[2] + 1)) for x in (c, other)]
-                spliced = [x for x in ((c[0], c[1], cut[0], c[3]), (other[0], cut[1], other[2], other[3])) if x[2] > x[1]]
-                sequence.append(spliced if rng.random() < 0.3 and spliced else [c])
+                cut = [int(rng.integers(0, len(x) + 1)) for x in (c, other)]
+                spliced = [x for x in ((c, 0, cut[0]), (other, cut[1], len(other))) if x[2] > x[1]]
+                sequence.append(spliced if rng.random() < 0.3 and spliced else [(c, 0, len(c))])
             slots, word, gold, size = gather(sequence)
             score = np.stack([np.bincount(word, weights=weights[slots, k], minlength=len(gold)) for k in range(n_langs)], 1)
             first = np.cumsum(size) - size
@@ -189,9 +274,13 @@ def train(docs: DataFrame, learn: Column, doc_id: str, text: str, lang: str, per
 
 def identify(
     docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: DataFrame | None = None,
-    per_language: int = 250, max_chains: int = 8000, passes: tuple[str, ...] = (),
+    per_language: int = 400, max_chains: int = 12_000, passes: tuple[str, ...] = (), words: bool = False, pred_name: str = "lang_pred", score_name: str = "score",
 ) -> DataFrame:
-    """doc_id, lang_pred, score and the columns named in ``passes``. ``learn``: which rows of ``train_docs`` (default: ``docs``) may be learned from."""
+    """doc_id, the columns named in ``passes``, lang_pred, score and, with ``words``, word_langs: the likeliest language of every word.
+
+    ``learn``: which rows of ``train_docs`` (default: ``docs``) may be learned from. ``per_language``, ``max_chains``:
+    bounds of the sample that the model is fitted on.
+    """
     spark = docs.sparkSession
     names, model = train(docs if train_docs is None else train_docs, learn, doc_id, text, lang, per_language, max_chains)
     held = spark.sparkContext.broadcast((names, model))
@@ -202,11 +291,15 @@ def identify(
         for batch in batches:
             raw, off = column_bytes(batch.column(0))
             pred, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-            for a, b in blocks(off, 1 << 20) if names else ():
+            labels, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in blocks(off, 1 << 20):
                 t = Tokens(raw[off[a] : off[b]], off[a : b + 1] - off[a])
-                if not len(t.doc):
+                counts.append(t.counts)
+                if not len(t.doc) or not names:
+                    labels.append(np.full(len(t.doc), len(names)))
                     continue
-                post = forward_backward(emissions(t, m["weights"], m["known"]), t.first, t.length, m["start"].astype(np.float32), m["trans"].astype(np.float32))
+                post = posteriors(emissions(t, m["weights"], m["known"]), t.first, t.length, m["start"].astype(np.float32), m["trans"].astype(np.float32))
+                labels.append(post.argmax(1) if words else labels[0])
                 mass = np.stack([np.bincount(t.doc[t.letter], weights=post[t.letter, k], minlength=b - a) for k in range(len(names))], 1)
                 total = mass.sum(1)
                 plain = np.concatenate(([0], np.cumsum((LETTERS & (np.arange(256) < 128))[raw[off[a] : off[b]]])))
@@ -215,7 +308,11 @@ def identify(
                     if has[d] or any(c.isalpha() for c in raw[off[a + d] : off[a + d + 1]].tobytes().decode()):
                         best = int(mass[d].argmax())
                         pred[a + d], score[a + d] = names[best], min(1.0, mass[d, best] / total[d])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score)], names=[*batch.schema.names[1:], "lang_pred", "score"])
+            more = []
+            if words:
+                ends = np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.int32)
+                more = [pa.ListArray.from_arrays(ends, pa.array([*names, "und"]).take(pa.array(np.concatenate(labels))))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score), *more], names=[*batch.schema.names[1:], pred_name, score_name, *["word_langs"][: len(more)]])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (doc_id, *passes))
-    return mapped(docs.select(text, doc_id, *passes), run, f"{kinds}, lang_pred string, score double")
+    return mapped(docs.select(text, doc_id, *passes), run, f"{kinds}, `{pred_name}` string, `{score_name}` double{', word_langs array<string>' if words else ''}")

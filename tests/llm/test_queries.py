@@ -31,6 +31,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, DATA).count() == kept[-1]
 
 
+def test_pipeline_with_clashing_columns(spark, make):
+    """Stages pass on columns whose names operators or stages use themselves."""
+    import corpus_pipeline
+
+    names = ("score", "lang_pred", "row", "id", "all", "lines", "_lang", "kept", "first", "size", "line", "wanted")
+    docs = make([(k, f"the of and to in is that it for with as on this was by {k}\nown line {k} of text") for k in range(8)] + [(None, None), (9, "")], names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA)
+        assert set(names) <= set(docs.columns), name
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    assert 1 <= docs.count() <= 8
+
+
 def test_pipeline_over_an_empty_table(spark, tmp_path):
     import corpus_pipeline
 

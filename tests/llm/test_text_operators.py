@@ -320,6 +320,27 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(post, total / total.sum(1, keepdims=True)) and np.isclose(log_z, np.log(total[0].sum()))
 
 
+def test_segments_do_not_change_posteriors():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    length = np.array([1, 30, 7, 8, 65, 3])
+    first = np.cumsum(length) - length
+    scores, trans, start = rng.normal(size=(int(length.sum()), 4)) * 3, rng.normal(size=(4, 4)), rng.normal(size=4)
+    whole = language.forward_backward(scores, first, length, start, trans)
+    for segment in (1, 4, 8, 100):
+        assert np.allclose(language.posteriors(scores, first, length, start, trans, segment), whole)
+
+
+def test_words_of_a_switched_line_and_clashing_names(spark, make):
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choice(EN if k % 2 else FR) for _ in range(30))) for k in range(120)]
+    docs = make([*rows, (500, " ".join(EN[:12] + FR[:12])), (501, None)], CLASHING)
+    got = {r.doc_id: r for r in language.identify(docs, F.col("doc_id") < 120, words=True, passes=("kept", "label")).collect()}
+    labels = got[500].word_langs
+    assert len(labels) == 24 and labels[:9] == ["en"] * 9 and labels[-9:] == ["fr"] * 9 and got[501].word_langs == []
+
+
 def test_lm_baseline_equals_brute_force(spark, make):
     import math
 
