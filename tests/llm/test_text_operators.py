@@ -364,26 +364,81 @@ def test_lm_baseline_equals_brute_force(spark, make):
         assert r.score < 0
 
 
+def _lower(t: str) -> str:
+    return "".join(c.lower() if c.isascii() else c for c in t)
+
+
+def _vocabulary() -> bytes:
+    with open(lm_scoring.VOCABULARY, "rb") as f:
+        return f.read()
+
+
 def test_subwords_are_counted_over_all_training_documents(spark, make):
     """Classes and frequencies follow all documents, not the few that the network is fitted on."""
-    import numpy as np
-
     from folioforge.llm import attention
 
     docs = [(i, "one two three two" if i % 2 else "Four \u00e9t\u00e9\u2003five, four") for i in range(40)] + [(40, None), (41, "zygote zygote")]
-    rows = make(docs).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") != 41).alias("learn")).repartition(3)
-    encoding, ranks = attention.encoder(lm_scoring.VOCABULARY)
-    want = collections.Counter()
-    for i, t in docs[:-1]:
+    rows = make(docs).select(F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") != 41).alias("learn")).repartition(3)
+    encoding, ranks = attention.encoder(_vocabulary())
+    want, words = collections.Counter(), 0
+    for i, t in docs:
         for x in re.findall(r"[^\x20\x09-\x0D]+", t or ""):
-            want.update(encoding.encode_ordinary(" " + "".join(c.lower() if c.isascii() else c for c in x)))
-        want[len(ranks)] += 1
-    got = lm_scoring._subword_counts(rows, lm_scoring.VOCABULARY)
-    assert {i: int(n) for i, n in enumerate(got) if n} == want
-    _, of, inner = lm_scoring._fit(rows, 1, lm_scoring.VOCABULARY, 2)
-    counts = [want[i] for i in range(len(ranks) + 1)]
-    full = attention.classes(np.array(counts, float), ranks)
-    assert (of == full[0]).all() and np.allclose(inner, full[1])
+            words += 1
+            if i != 41:
+                want.update(encoding.encode_ordinary(" " + _lower(x)))
+        want[len(ranks)] += i != 41
+    found = lm_scoring._survey(rows, spark.sparkContext.broadcast(_vocabulary()), 4).collect()
+    assert {r.h: r.n for r in found if r.kind == 1} == want and [r.n for r in found if r.kind == 2] == [words]
+
+
+def test_lm_score_equals_brute_force(spark, make):
+    """The mixture of corpus counts and the network, token by token with plain loops, for a network as it begins."""
+    import math
+
+    import numpy as np
+
+    from folioforge.llm import attention
+
+    rng = random.Random(12)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(0, 25)))) for i in range(30)]
+    learn = lambda i: i % 3 != 0
+    got = lm_scoring.score(make([*docs, docs[4]]), F.col("doc_id") % 3 != 0, steps=0, tokens_per_step=10**9, local_top=4, frequent_words=3).collect()
+    counts, pieces = collections.Counter(), collections.Counter()
+    encoding, ranks = attention.encoder(_vocabulary())
+    for i, t in [*docs, docs[4]]:
+        if learn(i):
+            counts.update([*t.split(), "<end>"])
+            pieces.update([x for w in t.split() for x in encoding.encode_ordinary(" " + w)] + [len(ranks)])
+    total, end = sum(counts.values()), len(ranks)
+    of, inner, stops = attention.classes(np.array([pieces[k] for k in range(end + 1)], float), ranks)
+    net = attention.Attention(of)
+    begins = {i for b, i in ranks.items() if b[:1] == b" "} | {end}
+
+    def distribution(before: list[int]) -> np.ndarray:
+        state = net.hidden(np.array([before]))[0, -1]
+        e = np.exp((state @ net.p["out"] + net.p["bias"]).astype(np.float64))
+        return e / e.sum()
+
+    texts = dict(docs)
+    for r in got:
+        words = [*texts[r.doc_id].split(), "<end>"]
+        ids = [encoding.encode_ordinary(" " + w) if w != "<end>" else [end] for w in words]
+        flat = [x for y in ids for x in y]
+        probability, mass = [], []
+        for t in range(len(flat)):  # the window that scores place t
+            k = 0 if t < attention.WINDOW else (t - attention.OVERLAP) // (attention.WINDOW - attention.OVERLAP)
+            first = k * (attention.WINDOW - attention.OVERLAP)
+            p = distribution([end if j == 0 else flat[j - 1] for j in range(first, t + 1)])
+            probability.append(p[of[flat[t]]] * 10 ** inner[flat[t]])
+            mass.append(p[stops].sum())
+        want, at = 0.0, 0
+        for word, sub in zip(words, ids, strict=True):
+            assert sub[0] in begins
+            value = math.prod(probability[at : at + len(sub)]) / (mass[at] if at else 1)
+            at += len(sub)
+            value *= mass[at] if at < len(flat) else 1
+            want += math.log10(0.85 * counts[word] / total + 0.15 * value)
+        assert r.score == pytest.approx(want, rel=1e-4), words
 
 
 def test_windows_score_every_token_once():
@@ -397,10 +452,10 @@ def test_windows_score_every_token_once():
         for t in range(scored, min(first + attention.WINDOW, sizes[text])):
             seen[text, t] += 1
     assert seen == {(k, t): 1 for k, n in enumerate(sizes) for t in range(n)}
-    model = attention.Attention()
-    ids = np.random.default_rng(0).integers(0, attention.CLASSES, (2, attention.WINDOW))
+    model = attention.Attention(np.arange(500) % attention.CLASSES)
+    ids = np.random.default_rng(0).integers(0, 500, (2, attention.WINDOW))
     changed = ids.copy()
-    changed[:, -1] = (changed[:, -1] + 1) % attention.CLASSES
+    changed[:, -1] = (changed[:, -1] + 1) % 500
     assert np.allclose(model.hidden(ids)[:, :-1], model.hidden(changed)[:, :-1])  # no position sees a later one
 
 
@@ -409,12 +464,12 @@ def test_gradient_of_the_network():
 
     from folioforge.llm import attention
 
-    model = attention.Attention()
+    model = attention.Attention(np.arange(500) % attention.CLASSES)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
     rng = np.random.default_rng(1)
     ids, target = rng.integers(0, 20, (2, attention.WINDOW)), rng.integers(0, 20, (2, attention.WINDOW))
     weight = np.ones(ids.shape)
-    _, grad = model.loss(ids, target, weight)
+    _, grad, own = model.loss(ids, target, weight)
     for name in ("q", "k", "v", "o", "w1", "w2", "out", "pos"):
         x = model.p[name]
         at = np.unravel_index(int(np.abs(grad[name]).argmax()), x.shape)
@@ -425,6 +480,20 @@ def test_gradient_of_the_network():
         down = model.loss(ids, target, weight)[0]
         x[at] = old
         assert (up - down) / 2e-5 == pytest.approx(grad[name][at], rel=1e-3)
+    word = int(ids[0, 0])
+    model.p["own"][word, 3] += 1e-5
+    up = model.loss(ids, target, weight)[0]
+    model.p["own"][word, 3] -= 2e-5
+    assert (up - model.loss(ids, target, weight)[0]) / 2e-5 == pytest.approx(own.reshape(*ids.shape, -1)[ids == word][:, 3].sum(), rel=1e-3)
+
+
+def test_the_network_learns_and_tasks_refine_it(spark, make):
+    """On text with an order to it, training helps; every task trains on its share, so steps grow with the documents."""
+    rng = random.Random(3)
+    text = lambda: " ".join(f"{a} {b}" for a in rng.choices("alpha beta gamma delta".split(), k=20) for b in [{"alpha": "one", "beta": "two", "gamma": "three", "delta": "four"}[a]])
+    docs = make([(i, text()) for i in range(60)]).repartition(2)
+    value = [lm_scoring.score(docs, F.col("doc_id") < 40, steps=n, tokens_per_step=k, mixture=0.0).where("not learned").agg(F.sum("score")).first()[0] for n, k in ((0, 10**9), (150, 10**9), (150, 40))]
+    assert value[0] < value[1] - 100 and value[2] > value[1] - 30
 
 
 def test_lm_edges(spark, make):
