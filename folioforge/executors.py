@@ -1,4 +1,4 @@
-"""Python code of this package on executors that do not have it installed."""
+"""What operators need of the cluster: this package on the executors, and a shared folder where lineage ends."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -27,3 +27,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(package.parent))
     context.addPyFile(str(archive))
     _SHIPPED.add(context.applicationId)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed and kept in the cluster's ``spark.checkpoint.dir``; only a local session gets a folder of its own."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        root = context.getConf().get("spark.checkpoint.dir")
+        if not root and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="folioforge-"))
+    return df.checkpoint()

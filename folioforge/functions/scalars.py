@@ -2,41 +2,18 @@
 
 from __future__ import annotations
 
-from folioforge.plans.catalog import operator
+from folioforge.plans.catalog import operator, view
 
 # Numbering patterns in order of precedence.
 NUMBERING = {
-    "decimal": "^([0-9]+([.][0-9]+)*)[.)]? ",
-    "article": "^((ARTICLE|Article) [IVXLC0-9]+)",
-    "upper_roman": "^([IVXLC]+)[.)] ",
-    "upper_alpha": "^([A-Z])[.)] ",
-    "bullet": "^([-*]) ",
+    "decimal": r"^([0-9]+(?:\.[0-9]+){0,5})\.?[ \t]+",
+    "article": r"^(?:Article|ARTICLE)[ \t]+([0-9]+|[IVXLCDM]+)\.?(?:[ \t]|$)",
+    "upper_roman": r"^([IVXLCDM]+)\.[ \t]+",
+    "upper_alpha": r"^([A-HJ-UW-Z])\.[ \t]+",
+    "bullet": r"^([•·▪◦o])(?:[ \t]+|$)",
 }
 
 
-def folded(x: str) -> str:
-    """Case folding for the Latin letters of the corpus (sharp s becomes ss)."""
-    return f"replace(lower({x}), 'ß', 'ss')"
-
-
-def collapsed(d, x: str) -> str:
-    """No-break spaces to spaces, runs of white space to one space, ends trimmed."""
-    return f"trim({d.replace_all(f'replace({x}, chr(160), chr(32))', '[ ' + chr(9) + ']+', ' ')})"
-
-
-@operator("scl01_normalize_text", "lines")
-def _(d):
-    """Text with white space collapsed and, beside it, its folded form."""
-    x = collapsed(d, "line")
-    return f"select doc_id, seq, {x} as normalized, {folded(x)} as folded from lines"
-
-
-@operator("scl02_alias_normalization", "family", "nation")
-def _(d):
-    """Alias spellings in their lookup form."""
-    return f"select n_nationkey as source_id, {folded(collapsed(d, 'n_name'))} as normalized_alias from nation"
-
-
 @operator("scl04_typographic_canonical", "lines")
 def _(d):
     """Typographic quotes and dashes folded to ASCII, spaces around hyphens removed."""
@@ -44,36 +21,34 @@ def _(d):
     return f"select doc_id, seq, {d.replace_all(x, ' *- *', '-')} as canonical from lines"
 
 
-@operator("scl05_numbering_grammar", "items")
+@view("parsed_numbers", "items")
 def _(d):
-    """Kind, token and depth of a heading's number; the decimal branch that is not eligible ends the search."""
-    t = "case when seq % 6 = 0 then cast(seq % 120 as string) || '. ' || line when seq % 6 = 1 then cast(seq % 9 as string) || '.2.1 ' || line when seq % 6 = 2 then 'Article IV ' || line when seq % 6 = 3 then 'XI. ' || line when seq % 6 = 4 then 'B) ' || line else '- ' || line end"
-    whens = []
-    for kind, pattern in NUMBERING.items():
-        token = f"regexp_extract(t, '{pattern}', 1)"
-        value = f"'{kind}'"
-        if kind == "decimal":
-            value = f"case when instr({token}, '.') > 0 or (length({token}) <= 2 and {token} <> '0') then 'decimal' else 'none' end"
-        whens.append(f"when {d.rlike('t', pattern)} then {value}")
-    kind = f"case when role = 'list_item' or substr(t, 1, 1) = '(' then 'none' {' '.join(whens)} else 'none' end"
-    tokens = " ".join(f"when '{k}' then regexp_extract(t, '{p}', 1)" for k, p in NUMBERING.items())
-    return f"""select doc_id, seq, kind, case kind {tokens} end as token,
-      cast(case when kind = 'decimal' then length(token_d) - length(replace(token_d, '.', '')) + 1 when kind = 'none' then 0 else 1 end as bigint) as depth
-      from (select *, {kind} as kind, regexp_extract(t, '{NUMBERING['decimal']}', 1) as token_d from (select doc_id, seq, role, {t} as t from items))"""
+    """Kind, token and depth of the number that a text begins with. List items and texts in brackets have none; a whole number counts from 1 to 99 only, and one that does not ends the search."""
+    t = d.replace_all("trim(ntext)", r"[ \t]+", " ")
+    token = d.part("t", NUMBERING["decimal"], 1)
+    whens = " ".join(f"when {d.rlike('t', p)} then " + (f"case when instr({token}, '.') > 0 or (length({token}) <= 2 and {token} not in ('0', '00')) then 'decimal' else 'none' end" if k == "decimal" else f"'{k}'") for k, p in NUMBERING.items())
+    tokens = " ".join(f"when '{k}' then {d.part('t', p, 1)}" for k, p in NUMBERING.items())
+    return f"""select doc_id, seq, kind, token, cast(case kind when 'decimal' then length(token) - length(replace(token, '.', '')) + 1 when 'none' then null when 'bullet' then null else 1 end as bigint) as depth
+      from (select doc_id, seq, kind, case kind {tokens} end as token from (select *, case when role = 'list_item' or substr(t, 1, 1) = '(' then 'none' {whens} else 'none' end as kind from (select doc_id, seq, role, {t} as t from items)))"""
 
 
-@operator("scl06_marker_title_split", "headings")
+@operator("scl05_numbering_grammar", "parsed_numbers")
+def _(d):
+    """Kind, token and depth of every item's number."""
+    return "select doc_id, seq, kind, token, depth from parsed_numbers"
+
+
+@operator("scl06_marker_title_split", "heading_texts")
 def _(d):
     """A heading's marker and title, and its title without a dot leader and page."""
-    t = "cast(seq % 7 + 1 as string) || '.' || cast(level as string) || ' ' || substr(title, 1, 30) || ' ..... ' || cast(page as string)"
-    return f"""select doc_id, seq, regexp_extract(t, '^([0-9]+([.][0-9]+)*)[.)]? (.*)$', 1) as marker, regexp_extract(t, '^([0-9]+([.][0-9]+)*)[.)]? (.*)$', 3) as rest,
-      regexp_extract(t, '^(.*?) *[.]{{3,}} *([0-9]+)$', 1) as title, regexp_extract(t, '^(.*?) *[.]{{3,}} *([0-9]+)$', 2) as printed_page from (select doc_id, seq, {t} as t from headings)"""
+    marked, leader = r"^([0-9]+(?:\.[0-9]+)*)[.)]? (.*)$", r"^(.*?) *\.{3,} *([0-9]+)$"
+    return f"select doc_id, seq, {d.part('t', marked, 1)} as marker, {d.part('t', marked, 2)} as rest, {d.part('t', leader, 1)} as title, {d.part('t', leader, 2)} as printed_page from heading_texts"
 
 
-@operator("scl07_mention_grammar", "mentions")
+@operator("scl07_mention_grammar", "references_found")
 def _(d):
     """Every reference with its class, spelling, span and lookup key."""
-    return "select doc_id, seq, mention_class, raw_text, span_start, span_end, lookup_key from mentions"
+    return "select doc_id, seq, mention_class, raw_text, span_start, span_end, lookup_key from references_found"
 
 
 @operator("scl08_non_overlapping_mentions", "spans_greedy")
@@ -89,12 +64,12 @@ def _(d):
     return f"select kind, count(*) as n from (select case when text = '' then 'empty' when {missing} then 'missing' when {numeric} then 'numeric' else 'text' end as kind from cells) group by kind"
 
 
-@operator("scl10_footer_parse", "items")
+@operator("scl10_footer_parse", "page_footers")
 def _(d):
-    """Sheet, page and total of a page footer."""
-    t = "'C-' || cast(doc_id % 9 as string) || ' Page ' || cast(page as string) || ' of ' || cast(page + 3 as string)"
+    """Sheet, page and total of a page footer; the last that it states."""
     p = "([A-Z]-[0-9]+) Page ([0-9]+) of ([0-9]+)"
-    return f"select doc_id, seq, {', '.join(f'''regexp_extract(t, '{p}', {i}) as {n}''' for i, n in ((1, 'sheet_id'), (2, 'internal_page'), (3, 'internal_total')))} from (select doc_id, seq, {t} as t from items where role = 'page_footer')"
+    parts = ", ".join(f"{d.last_part('t', p, i)} as {n}" for i, n in ((1, "sheet_id"), (2, "internal_page"), (3, "internal_total")))
+    return f"select doc_id, seq, {parts} from page_footers"
 
 
 @operator("scl11_row_cleanup", "cells")
@@ -129,9 +104,9 @@ def _(d):
 
 @operator("scl14_record_ids", "items")
 def _(d):
-    """Record ids and whether they follow the grammar."""
-    x = "'exv1-' || cast(doc_id as string) || '-blk-' || lpad(cast(seq + 1 as string), 6, '0')"
-    return f"select doc_id, seq, id, {d.rlike('id', '^exv1-[0-9]+-blk-[0-9]{6}$')} as valid from (select doc_id, seq, {x} as id from items)"
+    """Record ids of three families and whether they follow the grammar."""
+    x = d.padded_id("'exv1-' || cast(doc_id as string) || '-' || case role when 'page_footer' then 'fur' when 'section_header' then 'sec' else 'blk' end || '-'", "seq + 1")
+    return f"select doc_id, seq, id, {d.rlike('id', '^exv1-[0-9]+-(blk|sec|fur)-[0-9]{6,}$')} as valid from (select doc_id, seq, {x} as id from items)"
 
 
 @operator("scl15_content_digest", "documents")
@@ -147,10 +122,14 @@ def _(d):
     return f"select doc_id, start_seq, 'reg-' || substr({d.sha256(j)}, 1, 16) as regime_id from regimes"
 
 
-@operator("scl17_record_class", "events")
+# Classifier fields in order.
+CLASSIFIERS = ("error_class", "warning_code", "reason", "status", "outcome", "kind", "category")
+
+
+@operator("scl17_record_class", "classifier_fields")
 def _(d):
     """First classifier field that is present."""
-    return "select event_id, coalesce(nullif(case when event_id % 3 = 0 then '' else event_type end, ''), nullif(case when event_id % 2 = 0 then '' else 'outcome' end, ''), 'unclassified') as record_class from events"
+    return "select event_id, coalesce(" + ", ".join(f"nullif({x}, '')" for x in CLASSIFIERS) + ", 'unclassified') as record_class from classifier_fields"
 
 
 @operator("scl18_page_label_resolution", "page_label_evidence")
@@ -160,10 +139,10 @@ def _(d):
       when visible_state = 'present' then 'visible' else 'unknown' end as resolution from page_label_evidence"""
 
 
-@operator("scl19_appendix_identifiers", "mentions")
+@operator("scl19_appendix_identifiers", "references_found")
 def _(d):
-    """Letters of appendices referred to."""
-    return "select doc_id, seq, regexp_extract(raw_text, '^[Aa]ppendix ([A-Z][0-9]*)$', 1) as identifier from mentions where mention_class = 'appendix'"
+    """Letters of appendices referred to, with their parts."""
+    return f"select doc_id, seq, span_start, {d.part('raw_text', '^[Aa]ppendix +([A-Z](?:[.-][A-Za-z0-9]+)*)$', 1)} as identifier from references_found where mention_class = 'appendix'"
 
 
 @operator("scl20_block_types", "items")
@@ -223,8 +202,8 @@ def _(d):
       from (select *, lag(r) over (partition by box_id order by part_no, l, b) as prev_r, lag(b) over (partition by box_id order by part_no, l, b) as prev_b, lag(part_no) over (partition by box_id order by part_no, l, b) as prev_no from boxes)"""
 
 
-@operator("scl31_converter_status", "events")
+@operator("scl31_converter_status", "conversions")
 def _(d):
-    """Outcome of a conversion from the converter's status and errors."""
-    return """select event_id, case event_type when 'purchase' then 'partial' when 'error' then 'failed' when 'click' then case when value > 50 then 'failed' else 'complete' end
-      else case when value > 80 then 'complete_with_warnings' else 'complete' end end as status from events"""
+    """Outcome of a conversion from the converter's status, errors and warnings; a status that is not known is an error."""
+    return """select event_id, case raw_status when 'success' then case when errors > 0 then 'failed' when warnings > 0 then 'complete_with_warnings' else 'complete' end when 'partial_success' then 'partial'
+      when 'failure' then 'failed' when 'pending' then 'failed' when 'started' then 'failed' when 'skipped' then 'failed' else cast(1 / 0 as string) end as status from conversions"""

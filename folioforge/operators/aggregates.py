@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from folioforge.operators.predicates import LEARNED_OUTCOMES
 from folioforge.plans.catalog import operator, view
 
 
@@ -65,9 +66,9 @@ def _(d):
 
 @operator("agg08_metric_extrema", "document_metrics")
 def _(d):
-    """Least and greatest document of every metric, ties by id."""
-    return """select metric, min(case when lo = 1 then doc_id end) as min_doc, min(value) as min_value, min(case when hi = 1 then doc_id end) as max_doc, max(value) as max_value
-      from (select *, row_number() over (partition by metric order by value, doc_id) as lo, row_number() over (partition by metric order by value desc, doc_id desc) as hi from document_metrics) group by metric"""
+    """Least and greatest document of every metric, ties by id; combined before they are shuffled."""
+    lo, hi = d.row("value", "doc_id"), d.row("value", "doc_id")
+    return f"select metric, min_by(doc_id, {lo}) as min_doc, min(value) as min_value, max_by(doc_id, {hi}) as max_doc, max(value) as max_value from document_metrics group by metric"
 
 
 @operator("agg09_anomaly_counts", "anomalies")
@@ -150,13 +151,13 @@ def _(d):
 @view("mention_status", "mentions", "mention_candidates")
 def _(d):
     """Number of targets of each reference."""
-    return "select m.doc_id, m.seq, m.mention_class, m.lookup_key, m.page, count(distinct c.target_id) as candidates from mentions m left join mention_candidates c on c.doc_id = m.doc_id and c.seq = m.seq and c.mention_class = m.mention_class group by m.doc_id, m.seq, m.mention_class, m.lookup_key, m.page"
+    return "select m.doc_id, m.seq, m.span_start, m.mention_class, m.lookup_key, m.page, count(distinct c.target_id) as candidates from mentions m left join mention_candidates c on c.doc_id = m.doc_id and c.seq = m.seq and c.span_start = m.span_start group by m.doc_id, m.seq, m.span_start, m.mention_class, m.lookup_key, m.page"
 
 
 @operator("agg19_candidate_status", "mention_status")
 def _(d):
     """Resolution by the number of targets."""
-    return "select doc_id, seq, mention_class, candidates, case candidates when 0 then 'unresolved' when 1 then 'resolved' else 'ambiguous' end as status from mention_status"
+    return "select doc_id, seq, span_start, mention_class, candidates, case candidates when 0 then 'unresolved' when 1 then 'resolved' else 'ambiguous' end as status from mention_status"
 
 
 @operator("agg20_outline_depth", "outline")
@@ -174,7 +175,8 @@ def _(d):
 @operator("agg22_table_run_summary", "learned_gates")
 def _(d):
     """Tables by outcome, the closed set zero-filled."""
-    return """select v.outcome, count(g.table_id) as tables from (select * from (values ('accepted'), ('no_tokens'), ('structure'), ('grid_coverage'), ('overshoot'), ('duplicates'), ('text_coverage'), ('grid_order')) v(outcome)) v
+    outcomes = ", ".join(f"('{x}')" for x in LEARNED_OUTCOMES)
+    return f"""select v.outcome, count(g.table_id) as tables from (select * from (values {outcomes}) v(outcome)) v
       left join learned_gates g on g.outcome = v.outcome group by v.outcome"""
 
 

@@ -5,46 +5,10 @@ from __future__ import annotations
 from folioforge.plans.catalog import operator, view
 
 
-@operator("grf01_preorder_traversal", "tree")
-def _(d):
-    """Nodes in pre-order as paths from the root."""
-    return """with recursive walk as (select id, 0 as depth, lpad(cast(id as string), 7, '0') as path from tree where parent_id is null
-      union all select t.id, w.depth + 1, w.path || '/' || lpad(cast(t.id as string), 7, '0') from tree t join walk w on t.parent_id = w.id)
-      select id, cast(depth as bigint) as depth, path, cast(row_number() over (order by path) as bigint) as position from walk"""
-
-
-@operator("grf02_feature_traversal", "tree")
-def _(d):
-    """Nodes reached from the root with the number of times each is met; more than one is a violation."""
-    return """with recursive walk as (select id, label from tree where parent_id is null union all select t.id, t.label from tree t join walk w on t.parent_id = w.id)
-      select label, count(*) as reached, count(distinct id) as distinct_nodes from walk group by label"""
-
-
-@operator("grf03_descendant_closure", "tree")
-def _(d):
-    """Descendants of the nodes one level below the root."""
-    return """with recursive below as (select id as top, id from tree where parent_id = 0 union all select b.top, t.id from tree t join below b on t.parent_id = b.id)
-      select top, count(*) - 1 as descendants, max(id) as last_id from below group by top"""
-
-
-@operator("grf04_outline_levels", "tree")
-def _(d):
-    """Outline entries with their level counted from the root, six at most."""
-    return """with recursive walk as (select id, 1 as level from tree where parent_id is null union all select t.id, w.level + 1 from tree t join walk w on t.parent_id = w.id)
-      select id, cast(least(6, level) as bigint) as effective_level from walk"""
-
-
 @view("heading_tree", "heading_parents")
 def _(d):
     """Headings as a tree over keys; a third is replaced and skipped."""
-    return "select doc_id * 100000 + seq as id, case when parent_seq is not null then doc_id * 100000 + parent_seq end as parent_id, (doc_id + seq) % 3 = 0 as replaced from heading_parents where doc_id < 300"
-
-
-@operator("grf05_retained_parent", "heading_tree")
-def _(d):
-    """Nearest ancestor that is retained."""
-    return """with recursive up as (select id, parent_id as at_ from heading_tree where not replaced union all select u.id, h.parent_id from up u join heading_tree h on h.id = u.at_ where h.replaced)
-      select u.id, max(case when h.id is not null and not h.replaced then u.at_ end) as parent_id from up u left join heading_tree h on h.id = u.at_ group by u.id"""
+    return "select doc_id * 100000 + seq as id, case when parent_seq is not null then doc_id * 100000 + parent_seq end as parent_id, (doc_id + seq) % 3 = 0 as replaced from heading_parents"
 
 
 @operator("grf06_family_chains", "headers")
@@ -74,30 +38,46 @@ def _(d):
       from (select box_id, part_no, t, b, case when t < min(b) over ({w} and 1 preceding) then 1 else 0 end as gap from boxes)) where gaps = 0 group by box_id"""
 
 
-@view("rule_evidence", "outline_matches", "items", "jn03_alignment_lookup", "calibrated", "win02_previous_numbered_level", "flt17_sibling_pattern")
+@view("rule_evidence", "items", "outline_matches", "parsed_numbers", "toc_targets", "toc_regions", "calibrated", "win02_previous_numbered_level", "win17_first_indented_item", "flt17_sibling_pattern", "level_transfers", "heading_parents")
 def _(d):
     """Evidence of items for the rule cascade."""
-    return """select i.doc_id, i.seq, i.role, i.layer, i.level, o.outline_state, o.outline_level, c.calibrated_level, p.previous_level, coalesce(s.sibling, false) as sibling, (i.doc_id + i.seq) % 11 = 0 as bullet, (i.doc_id + i.seq) % 13 = 0 as toc_anchor
-      from items i left join outline_matches o on o.doc_id = i.doc_id and o.seq = i.seq left join calibrated c on c.doc_id = i.doc_id and c.seq = i.seq
-      left join win02_previous_numbered_level p on p.doc_id = i.doc_id and p.seq = i.seq left join flt17_sibling_pattern s on s.doc_id = i.doc_id and s.seq = i.seq"""
+    return """select i.doc_id, i.seq, i.role, i.layer, i.level, i.in_picture, coalesce(o.outline_state, 'absent') as outline_state, o.outline_level, n.kind as numbering_kind, e.doc_id is not null as toc_target, p.level as toc_level, r.doc_id is not null as toc_region,
+        c.calibrated_level, c.root_level, v.previous_level, w.item as indented_item, coalesce(s.sibling, false) as sibling, t.doc_id is not null as transfer, t.level as transfer_level
+      from items i left join outline_matches o on o.doc_id = i.doc_id and o.seq = i.seq left join parsed_numbers n on n.doc_id = i.doc_id and n.seq = i.seq left join (select distinct doc_id, target_seq from toc_targets) e on e.doc_id = i.doc_id and e.target_seq = i.seq
+      left join heading_parents p on p.doc_id = i.doc_id and p.seq = i.seq left join toc_regions r on r.doc_id = i.doc_id and i.seq between r.start_seq and r.end_seq left join calibrated c on c.doc_id = i.doc_id and c.seq = i.seq left join win02_previous_numbered_level v on v.doc_id = i.doc_id and v.seq = i.seq
+      left join win17_first_indented_item w on w.doc_id = i.doc_id and w.seq = i.seq left join flt17_sibling_pattern s on s.doc_id = i.doc_id and s.seq = i.seq
+      left join level_transfers t on t.doc_id = i.doc_id and i.seq > t.before and i.seq < t.after and i.level is not null and o.outline_state <> 'unique_exact' and n.kind = 'none'"""
+
+
+# Rules of the cascade in order. Those from R02 to R07 hold for items of the body only, outside contents and pictures.
+RULES = {
+    "R01": "not (in_picture and role = 'caption') and (layer = 'furniture' or toc_region or in_picture)",
+    "R02": "role = 'section_header' and numbering_kind = 'bullet' and outline_state <> 'unique_exact' and not toc_target",
+    "R03": "outline_state = 'unique_exact'",
+    "R04": "toc_target",
+    "R05": "calibrated_level is not null",
+    "R06": "sibling",
+    "R07": "transfer",
+    "R08": "true",
+}
+BODY = "layer = 'body' and not toc_region and not in_picture"
+JUMP = "(previous_level is null and calibrated_level <> root_level or previous_level is not null and calibrated_level > previous_level + 1)"
 
 
 @view("decisions", "rule_evidence")
 def _(d):
     """Eligible rules of an item in order, and the first of them."""
-    rules = (
-        ("R01", "layer = 'furniture'"), ("R02", "level is not null and bullet"), ("R03", "outline_state = 'unique_exact'"), ("R04", "level is not null and toc_anchor"),
-        ("R05", "previous_level is not null and calibrated_level is not null"), ("R06", "sibling"), ("R07", "level is null and role = 'list_item' and seq % 5 = 2"), ("R08", "level between 1 and 6"),
-    )
-    eligible = " || ".join(f"case when {c} then '{r} ' else '' end" for r, c in rules)
-    return f"select *, trim(substr(eligible, 1, 3)) as selected from (select doc_id, seq, role, level, outline_level, calibrated_level, previous_level, trim({eligible}) as eligible from rule_evidence)"
+    eligible = " || ".join(f"case when {c if r in ('R01', 'R08') else f'{BODY} and ({c})'} then '{r} ' else '' end" for r, c in RULES.items())
+    return f"select *, substr(eligible, 1, 3) as selected from (select *, trim({eligible}) as eligible from rule_evidence)"
 
 
 @operator("grf12_rule_cascade", "decisions")
 def _(d):
-    """Selected rule, all eligible rules, and the outcome."""
-    return """select doc_id, seq, eligible, selected, case when selected = '' then 'unchanged' when selected = 'R06' then 'ambiguous' when selected = 'R05' and calibrated_level > previous_level + 1 then 'ambiguous'
-      when selected in ('R01', 'R02') then 'content' else 'heading' end as outcome, case when selected = 'R03' then outline_level when selected = 'R05' then calibrated_level when selected = 'R08' then level end as corrected_level from decisions"""
+    """Selected rule, all eligible rules, and the decision: role, level and whether it was applied, is ambiguous, or leaves the item as it was."""
+    return f"""select doc_id, seq, eligible, selected,
+      case when selected = 'R01' then 'excluded' when selected in ('R03', 'R04') or (selected = 'R05' and not {JUMP}) or (selected = 'R07' and transfer_level is not null) or (selected = 'R08' and layer = 'body' and role = 'section_header' and level between 1 and 6) then 'heading' else 'content' end as role,
+      case when selected = 'R03' then outline_level when selected = 'R04' then toc_level when selected = 'R05' and not {JUMP} then calibrated_level when selected = 'R07' then transfer_level when selected = 'R08' and layer = 'body' and role = 'section_header' and level between 1 and 6 then level end as corrected_level,
+      case when selected = 'R08' then 'unchanged' when selected = 'R06' or (selected = 'R02' and indented_item is null) or (selected = 'R05' and {JUMP}) or (selected = 'R07' and transfer_level is null) then 'ambiguous' else 'applied' end as outcome from decisions"""
 
 
 @operator("grf13_section_placement", "items", "heading_parents")

@@ -47,36 +47,53 @@ def _(d):
 @view("target_index", "headings", "items")
 def _(d):
     """Targets of references: lookup key, type, page, id."""
-    return """select doc_id, 'section ' || cast(level as string) || '.' || cast(seq % 3 + 1 as string) as lookup_key, 'section' as target_type, page, 'sec-' || cast(seq as string) as target_id from headings where seq % 2 = 0
+    return """select doc_id, cast(doc_id % 5 + 1 as string) || '.' || cast(seq % 3 + 1 as string) || case when seq % 4 = 0 then ' ' || lower(title) else '' end as lookup_key, 'section' as target_type, page, 'sec-' || cast(seq as string) as target_id from headings where seq % 2 = 0
       union all select doc_id, 'table ' || cast(seq % 6 + 1 as string), 'table', page, 'tab-' || cast(seq as string) from items where role = 'list_item'
+      union all select doc_id, 'page ' || cast(page as string), 'printed_page', page, 'pag-' || cast(page as string) from items where seq % 8 = 0
       union all select doc_id, 'appendix ' || lower(chr(cast(65 + doc_id % 8 as int))), 'appendix', min(page), 'app-0' from items where doc_id % 8 < 4 group by doc_id"""
 
 
-@view("mention_candidates", "mentions", "target_index")
+@view("target_keys", "target_index")
 def _(d):
-    """Targets of each reference: same document and key; tables only within the page window."""
-    return """select distinct m.doc_id, m.seq, m.mention_class, m.lookup_key, t.target_id, t.target_type, t.page as target_page from mentions m join target_index t
-      on t.doc_id = m.doc_id and t.target_type = m.mention_class and (t.lookup_key = m.lookup_key or (m.mention_class = 'section' and t.lookup_key = regexp_extract(m.lookup_key, '^section [0-9]+', 0) || '.1'))
-      where m.mention_class <> 'table' or abs(t.page - m.page) <= 10"""
+    """Every key under which a target is found: its own, the number that a section's begins with, a page's without the word."""
+    return f"""select distinct doc_id, lookup_key, target_type, page, target_id from (select doc_id, lookup_key, target_type, page, target_id from target_index
+      union all select doc_id, {d.part('lookup_key', '^[0-9]+(?:[.][0-9]+)*', 0)}, target_type, page, target_id from target_index where target_type = 'section'
+      union all select doc_id, substr(lookup_key, 6), target_type, page, target_id from target_index where target_type = 'printed_page' and lookup_key like 'page %') where lookup_key <> ''"""
+
+
+TABLE_PAGE_WINDOW = 10
+
+
+@view("key_matches", "mentions", "target_keys")
+def _(d):
+    """References with every target of their document and type that has their key, near or not."""
+    return """select m.doc_id, m.seq, m.span_start, m.mention_class, m.lookup_key, m.page, t.target_id, t.target_type, t.page as target_page from mentions m join target_keys t
+      on t.doc_id = m.doc_id and t.target_type = m.mention_class and t.lookup_key = m.lookup_key"""
+
+
+@view("mention_candidates", "key_matches")
+def _(d):
+    """Targets of each reference; tables only within the page window."""
+    return f"select doc_id, seq, span_start, mention_class, lookup_key, page, target_id, target_type, target_page from key_matches where mention_class <> 'table' or abs(target_page - page) <= {TABLE_PAGE_WINDOW}"
 
 
 @operator("jn04_mention_targets", "mention_candidates")
 def _(d):
     """Structural keys of references matched with the target index."""
-    return "select doc_id, seq, mention_class, target_id from mention_candidates"
+    return "select doc_id, seq, span_start, mention_class, target_id from mention_candidates"
 
 
 @operator("jn05_table_page_window", "mentions", "target_index")
 def _(d):
-    """Table references with the distance to targets within ten pages."""
-    return "select m.doc_id, m.seq, t.target_id, abs(t.page - m.page) as distance from mentions m join target_index t on t.doc_id = m.doc_id and t.lookup_key = m.lookup_key and t.target_type = 'table' where m.mention_class = 'table' and t.page between m.page - 10 and m.page + 10"
+    """Table references with the distance to targets within the page window."""
+    return f"select m.doc_id, m.seq, m.span_start, t.target_id, abs(t.page - m.page) as distance from mentions m join target_index t on t.doc_id = m.doc_id and t.lookup_key = m.lookup_key and t.target_type = 'table' where m.mention_class = 'table' and t.page between m.page - {TABLE_PAGE_WINDOW} and m.page + {TABLE_PAGE_WINDOW}"
 
 
-@operator("jn06_page_cooccurrence", "items", "tables")
+@operator("jn06_page_cooccurrence", "table_labels", "page_tables")
 def _(d):
-    """Label and table of a page that has exactly one of each."""
-    return """select l.page, l.seq, t.table_id from (select page, min(doc_id * 1000 + seq) as seq from items where role = 'list_item' and doc_id % 50 = 1 group by page having count(*) = 1) l
-      join (select page, min(table_id) as table_id from tables where table_id % 3 = 0 group by page having count(*) = 1) t on t.page = l.page"""
+    """Label and table of a document's page that has exactly one of each."""
+    return """select l.doc_id, l.page, l.seq, t.table_id from (select doc_id, page, min(seq) as seq from table_labels group by doc_id, page having count(*) = 1) l
+      join (select doc_id, page, min(table_id) as table_id from page_tables group by doc_id, page having count(*) = 1) t on t.doc_id = l.doc_id and t.page = l.page"""
 
 
 @operator("jn07_family_catalog", "family")
@@ -118,26 +135,28 @@ def _(d):
     return f"select doc_id, seq, anchor from (select doc_id, seq, level, {d.first('case when level = 2 then seq end', w)} as anchor from items) where level = 1"
 
 
-@operator("jn13_earlier_anchor", "items")
+@operator("jn13_earlier_anchor", "numbered")
 def _(d):
     """Offset of the nearest earlier anchor in the document."""
     w = "partition by doc_id order by seq rows between unbounded preceding and 1 preceding"
-    return f"select doc_id, seq, calibration from (select doc_id, seq, level, {d.last('case when level is not null and seq % 3 = 0 then level - 1 end', w)} as calibration from items) where level is not null"
+    return f"select doc_id, seq, {d.last('anchor_level - depth', w)} as calibration from numbered"
 
 
 @view("toc_entries", "items")
 def _(d):
-    """Rows of contents: title, printed page, order."""
-    return "select doc_id, seq, page, lower(trim(line)) as title, case when seq % 2 = 0 then lower(substr(trim(line), 1, 12)) end as short_title from items where role = 'list_item' and trim(line) <> ''"
+    """Rows of contents: title, page, order."""
+    return "select doc_id, seq, page, lower(trim(line)) as title from items where role = 'list_item' and trim(line) <> ''"
 
 
 @view("toc_matches", "toc_entries", "headings")
 def _(d):
-    """Body headings of contents rows by the first tier that finds any."""
-    return """select doc_id, seq, target_seq, tier from (select *, min(tier) over (partition by doc_id, seq) as best from (
+    """Body headings of contents rows by the first tier that finds any: equal titles, equal without typography, equal to the title that a heading ends with after its appendix, then the next two items."""
+    bare = lambda x: d.replace_all(f"lower(trim({x}))", "[-‐‑–—'’]+", "")
+    tail = d.part("lower(trim(h.title))", "^appendix [a-z0-9]+[:. -]+(.*)$", 1)
+    return f"""select doc_id, seq, target_seq, tier from (select *, min(tier) over (partition by doc_id, seq) as best from (
         select e.doc_id, e.seq, h.seq as target_seq, 1 as tier from toc_entries e join headings h on h.doc_id = e.doc_id and lower(trim(h.title)) = e.title
-        union all select e.doc_id, e.seq, h.seq, 2 from toc_entries e join headings h on h.doc_id = e.doc_id and replace(lower(trim(h.title)), '-', '') = replace(e.title, '-', '')
-        union all select e.doc_id, e.seq, h.seq, 3 from toc_entries e join headings h on h.doc_id = e.doc_id and substr(lower(trim(h.title)), 1, 12) = e.short_title
+        union all select e.doc_id, e.seq, h.seq, 2 from toc_entries e join headings h on h.doc_id = e.doc_id and {bare('h.title')} = {bare('e.title')}
+        union all select e.doc_id, e.seq, h.seq, 3 from toc_entries e join headings h on h.doc_id = e.doc_id and {tail} = e.title
         union all select e.doc_id, e.seq, h.seq, 4 from toc_entries e join headings h on h.doc_id = e.doc_id and h.seq between e.seq + 1 and e.seq + 2)) where tier = best"""
 
 
@@ -161,11 +180,11 @@ def _(d):
       and (x.l + x.r) / 2 between y.l and y.r and (x.b + x.t) / 2 between y.b and y.t group by x.box_id, x.part_no having count(*) = 1"""
 
 
-@operator("jn18_tolerant_alignment", "boxes")
+@operator("jn18_tolerant_alignment", "boxes", "aligned_boxes")
 def _(d):
     """One-to-one matches of two producers' boxes within half a point, unique both ways."""
-    return """select key_a, key_b from (select key_a, key_b, count(*) over (partition by key_a) as na, count(*) over (partition by key_b) as nb from (
-        select x.box_id * 10 + x.part_no as key_a, y.box_id * 10 + y.part_no as key_b from boxes x join (select box_id, part_no, page, l + 0.25 as l, r + 0.25 as r, b, t from boxes where part_no <> 3) y
+    return """select box_id, no_a, no_b from (select box_id, no_a, no_b, count(*) over (partition by box_id, no_a) as na, count(*) over (partition by box_id, no_b) as nb from (
+        select x.box_id, x.part_no as no_a, y.part_no as no_b from boxes x join aligned_boxes y
         on x.box_id = y.box_id and x.page = y.page and abs(x.l - y.l) <= 0.5 and abs(x.r - y.r) <= 0.5 and abs(x.b - y.b) <= 0.5 and abs(x.t - y.t) <= 0.5)) where na = 1 and nb = 1"""
 
 
@@ -178,7 +197,7 @@ def _(d):
 @view("candidate_rows", "sources")
 def _(d):
     """Later version of the sources."""
-    return "select source_id, title, case when source_id % 4 = 0 then pages + 1 else pages end as pages, case when source_id % 6 = 0 then null else role end as role from sources where source_id % 11 <> 0"
+    return "select source_id, case when source_id % 7 = 2 then title || ' (revised)' else title end as title, case when source_id % 4 = 0 then pages + 1 else pages end as pages, case when source_id % 6 = 0 then null else role end as role from sources where source_id % 11 <> 0"
 
 
 @view("row_differences", "baseline_rows", "candidate_rows")
@@ -198,18 +217,17 @@ def _(d):
     return "select source_id, field, difference from row_differences"
 
 
-@operator("jn20_file_comparison", "links")
+@operator("jn20_file_comparison", "tree_a", "tree_b")
 def _(d):
     """Files of two trees compared by path and digest, one path ignored."""
-    return f"""select coalesce(a.href, b.href) as path, case when b.href is null then 'missing' when a.href is null then 'extra' when a.digest <> b.digest then 'changed' else 'equal' end as state
-      from (select href, {d.sha256('cast(min(position) as string)')} as digest from links where page_id % 3 <> 0 group by href) a full outer join (select href, {d.sha256('cast(min(position) as string)')} as digest from links where page_id % 3 <> 1 group by href) b on a.href = b.href
-      where coalesce(a.href, b.href) <> '/index.html'"""
+    return """select coalesce(a.href, b.href) as path, case when b.href is null then 'missing' when a.href is null then 'extra' when a.digest <> b.digest then 'changed' else 'equal' end as state
+      from tree_a a full outer join tree_b b on a.href = b.href where coalesce(a.href, b.href) <> '/index.html'"""
 
 
-@operator("jn21_unresolved_references", "mentions", "target_index")
+@operator("jn21_unresolved_references", "mentions", "target_keys")
 def _(d):
     """References whose key no target of the document has."""
-    return "select m.doc_id, m.seq, m.lookup_key from mentions m where not exists (select 1 from target_index t where t.doc_id = m.doc_id and t.lookup_key = m.lookup_key)"
+    return "select m.doc_id, m.seq, m.span_start, m.lookup_key from mentions m where not exists (select 1 from target_keys t where t.doc_id = m.doc_id and t.lookup_key = m.lookup_key)"
 
 
 @operator("jn22_region_clean_table", "boxes", "accepted_regions", "tables")
@@ -240,18 +258,18 @@ def _(d):
       from items i left join headings h on h.doc_id = i.doc_id and h.seq = i.seq"""
 
 
-@operator("jn27_replacement_causes", "items")
+@operator("jn27_replacement_causes", "replacements")
 def _(d):
     """Why a text was replaced: under a figure before under a table before an invalid region."""
-    return """select doc_id, seq, min_by(cause, rank_) as cause from (select doc_id, seq, 'table' as cause, 2 as rank_ from items where seq % 4 = 0 union all select doc_id, seq, 'figure', 1 from items where seq % 6 = 0
-      union all select doc_id, seq, 'invalid_region', 3 from items where seq % 9 = 0) group by doc_id, seq"""
+    return "select doc_id, seq, min_by(cause, case cause when 'figure' then 1 when 'table' then 2 else 3 end) as cause from replacements group by doc_id, seq"
 
 
-@operator("jn28_attach_by_page", "tables", "items")
+@operator("jn28_attach_by_page", "page_tables", "body_events")
 def _(d):
-    """Whole-page tables after the last body event whose page is not beyond theirs."""
-    return """select t.table_id, coalesce(max(e.seq), -1) as after_seq from (select table_id, page from tables where table_id % 500 = 0) t
-      left join (select seq, page from items where doc_id = 3 and layer = 'body') e on e.page <= t.page group by t.table_id"""
+    """Whole-page tables after the last body event of their document whose page is not beyond theirs; -1 is the front. One ordered pass."""
+    w = "partition by doc_id order by page, is_table rows between unbounded preceding and current row"
+    return f"""select doc_id, table_id, coalesce(after_seq, -1) as after_seq from (select doc_id, table_id, is_table, max(seq) over ({w}) as after_seq
+      from (select doc_id, page, 1 as is_table, table_id, cast(null as bigint) as seq from page_tables union all select doc_id, page, 0, null, seq from body_events)) where is_table = 1"""
 
 
 @operator("jn29_table_event_coverage", "tables", "grid")
@@ -260,10 +278,10 @@ def _(d):
     return "select coalesce(t.table_id, e.table_id) as table_id, coalesce(e.n, 0) as events from tables t full outer join (select table_id, count(*) as n from grid where r = 1 group by table_id) e on e.table_id = t.table_id where t.table_id is null or e.n is distinct from 1"
 
 
-@operator("jn30_selection_manifest", "sources", "family")
+@operator("jn30_selection_manifest", "selection", "manifest_sources")
 def _(d):
     """Differences between a frozen selection and the manifest."""
-    return "select coalesce(a.source_id, b.source_id) as source_id, a.source_id is null as only_manifest from (select source_id from family) a full outer join (select source_id from sources where source_id < 20) b on a.source_id = b.source_id where a.source_id is null or b.source_id is null"
+    return "select coalesce(a.source_id, b.source_id) as source_id, a.source_id is null as only_manifest from selection a full outer join manifest_sources b on a.source_id = b.source_id where a.source_id is null or b.source_id is null"
 
 
 @operator("jn31_identity_changes", "candidates")

@@ -2,42 +2,57 @@
 
 from __future__ import annotations
 
+from folioforge.operators.joins import TABLE_PAGE_WINDOW
+from folioforge.operators.predicates import EXTERNAL_TABLE
 from folioforge.plans.catalog import operator, view
 
-# Transitions of a processing attempt.
-LEGAL = (("none", "selected"), ("selected", "running"), ("running", "complete"), ("running", "complete_with_warnings"), ("running", "failed_retryable"), ("failed_retryable", "selected"))
+# Transitions of an attempt, and the producer's statuses that a state may come with ("" is none).
+LEGAL = (
+    ("none", "selected"), ("selected", "running"), ("running", "complete"), ("running", "complete_with_warnings"),
+    ("running", "failed_retryable"), ("running", "failed_terminal"), ("running", "cancelled"),
+)
+STATUSES = {
+    "selected": ("PENDING",), "running": ("STARTED",), "complete": ("SUCCESS",), "complete_with_warnings": ("SUCCESS",),
+    "failed_retryable": ("SUCCESS", "PARTIAL_SUCCESS", "FAILURE", "SKIPPED", ""), "failed_terminal": ("SUCCESS", "PARTIAL_SUCCESS", "FAILURE", "SKIPPED", ""), "cancelled": ("PARTIAL_SUCCESS", ""),
+}
+MAX_ATTEMPTS = 5
 
 
 @view("transitions", "attempts")
 def _(d):
     """Each state with the one before it."""
-    return "select transaction_id, sequence, state, coalesce(lag(state) over (partition by transaction_id order by sequence), 'none') as before from attempts"
+    return "select transaction_id, sequence, state, raw_status, coalesce(lag(state) over (partition by transaction_id order by sequence), 'none') as before from attempts"
 
 
 @operator("lif01_illegal_transitions", "transitions")
 def _(d):
-    """Transitions outside the legal set."""
+    """Events that do not follow legally on the one before, or whose raw status their state may not have."""
     legal = " or ".join(f"(before = '{a}' and state = '{b}')" for a, b in LEGAL)
-    return f"select transaction_id, sequence, before, state from transitions where not ({legal})"
+    fits = " or ".join(f"(state = '{k}' and coalesce(raw_status, '') in ({', '.join(repr(x) for x in v)}))" for k, v in STATUSES.items())
+    return f"""select transaction_id, sequence, before, state, raw_status, 'transition' as violation from transitions where not ({legal})
+      union all select transaction_id, sequence, before, state, raw_status, 'status' from transitions where not ({fits})"""
 
 
-@operator("lif02_history_gaps", "attempts")
+@operator("lif02_history_gaps", "histories")
 def _(d):
-    """Histories whose sequence is not contiguous."""
-    return "select transaction_id, count(*) as events, max(sequence) as last_sequence from attempts where sequence % 7 <> 3 group by transaction_id having count(*) <> max(sequence)"
+    """Histories that are not contiguous from 1 or name more than one source."""
+    return """select transaction_id, count(*) as events, max(sequence) as last_sequence, count(distinct source_id) as sources from histories group by transaction_id
+      having count(*) <> max(sequence) or min(sequence) <> 1 or count(distinct sequence) <> count(*) or count(distinct source_id) <> 1"""
 
 
 @operator("lif03_next_attempt", "attempts")
 def _(d):
-    """Number of the next attempt, or why there is none; a dangling run is closed first."""
-    return """select transaction_id, attempts + 1 as next_attempt, case when last_state = 'complete' or last_state = 'complete_with_warnings' then 'refuse_complete' when attempts >= 5 then 'refuse_limit' when last_state = 'running' then 'close_then_retry' else 'retry' end as verdict
-      from (select transaction_id, count(*) filter (where state = 'selected') as attempts, max_by(state, sequence) as last_state from attempts group by transaction_id)"""
+    """Number of the next attempt, or why there is none; a dangling run is closed as cancelled first."""
+    return f"""select transaction_id, attempts + 1 as next_attempt, case when last_sequence <> events then 'refuse_gap' when last_state in ('complete', 'complete_with_warnings') then 'refuse_complete' when last_state = 'failed_terminal' then 'refuse_terminal'
+      when attempts >= {MAX_ATTEMPTS} then 'refuse_limit' when last_state in ('selected', 'running') then 'close_then_retry' else 'retry' end as verdict
+      from (select transaction_id, count(*) filter (where state = 'selected') as attempts, count(*) as events, max(sequence) as last_sequence, max_by(state, sequence) as last_state from attempts group by transaction_id)"""
 
 
-@operator("lif04_reusable_candidate", "candidates", "sources")
+@operator("lif04_reusable_candidate", "sources", "verified_candidates")
 def _(d):
-    """Sources with exactly one reusable candidate."""
-    return "select s.source_id, min(c.candidate_id) as candidate_id from sources s join candidates c on c.source_id % 100 + 1 = s.source_id where c.terminal_state = 'complete' and c.source_id % 3 = 0 group by s.source_id having count(*) = 1"
+    """Sources with their reusable candidate, none, or too many of them."""
+    return """select s.source_id, case when count(c.candidate_id) = 1 then min(c.candidate_id) end as candidate_id, case when count(c.candidate_id) > 1 then 'ambiguous' when count(c.candidate_id) = 1 then 'reuse' else 'none' end as verdict
+      from sources s left join verified_candidates c on c.of_source = s.source_id group by s.source_id"""
 
 
 @operator("lif05_unrecorded_candidates", "candidates", "attempts")
@@ -79,34 +94,41 @@ def _(d):
 @operator("lif10_mention_manifest", "documents", "mentions")
 def _(d):
     """References of every document, zeros included."""
-    return "select x.doc_id, coalesce(m.n, 0) as mentions from documents x left join (select doc_id, count(*) as n from mentions where mention_class = 'table' and page > 1 group by doc_id) m on m.doc_id = x.doc_id"
+    return "select x.doc_id, coalesce(m.n, 0) as mentions from documents x left join (select doc_id, count(*) as n from mentions group by doc_id) m on m.doc_id = x.doc_id"
 
 
-@view("local_resolution", "mention_status", "items", "target_index")
+@view("local_resolution", "mentions", "key_matches", "family", "document_sources")
 def _(d):
-    """Outcome of references within their document, first reason first."""
-    return """select m.doc_id, m.seq, m.mention_class, m.lookup_key, case when m.candidates = 1 then 'resolved' when m.candidates > 1 then 'ambiguous' else 'unresolved' end as status,
-      case when m.candidates > 0 then null when m.mention_class = 'table' and m.seq % 4 < 2 then 'external_table' when m.mention_class = 'table' and exists (select 1 from target_index t where t.doc_id = m.doc_id and t.lookup_key = m.lookup_key) then 'outside_window'
-           when m.mention_class = 'appendix' then 'deferred_cross_document' else 'no_alias' end as reason from mention_status m"""
+    """Outcome of references within their document, first reason first: no targets for figures, tables elsewhere, targets found, targets too far, other documents of the family, other documents, none."""
+    external = d.rlike("m.suffix", EXTERNAL_TABLE)
+    return f"""select doc_id, seq, span_start, page, mention_class, lookup_key, case when reason is not null then 'unresolved' when candidates = 1 then 'resolved' else 'ambiguous' end as status, reason
+      from (select doc_id, seq, span_start, page, mention_class, lookup_key, candidates, case when mention_class = 'figure' then 'target_type_unavailable' when external then 'qualified_external_table' when candidates > 0 then null when matches > 0 then 'outside_table_window'
+          when mention_class in ('appendix', 'document') and in_family then 'deferred_cross_document' when mention_class = 'document' then 'external_document' else 'no_local_alias' end as reason
+        from (select m.doc_id, m.seq, m.span_start, m.page, m.mention_class, m.lookup_key, m.mention_class = 'table' and {external} as external, coalesce(k.matches, 0) as matches, coalesce(k.candidates, 0) as candidates, f.alias is not null as in_family from mentions m
+          left join (select doc_id, seq, span_start, count(distinct target_id) as matches, count(distinct case when mention_class <> 'table' or abs(target_page - page) <= {TABLE_PAGE_WINDOW} then target_id end) as candidates from key_matches group by doc_id, seq, span_start) k
+            on k.doc_id = m.doc_id and k.seq = m.seq and k.span_start = m.span_start
+          left join document_sources s on s.doc_id = m.doc_id left join (select distinct root_id, alias from family) f on f.root_id = s.root_id and f.alias = m.lookup_key))"""
 
 
 @operator("lif11_local_resolution", "local_resolution")
 def _(d):
     """Status and reason of every reference."""
-    return "select doc_id, seq, mention_class, status, reason from local_resolution"
+    return "select doc_id, seq, span_start, mention_class, status, reason from local_resolution"
 
 
-@view("collection_resolution", "local_resolution", "family")
+@view("collection_resolution", "local_resolution", "family", "document_sources", "accounting")
 def _(d):
-    """Deferred references against the family catalogue."""
-    return """select l.doc_id, l.seq, l.lookup_key, case when count(f.source_id) > 1 then 'ambiguous' when count(f.source_id) = 1 then 'resolved' when l.doc_id % 3 = 0 then 'target_source_failed' when l.doc_id % 3 = 1 then 'target_unavailable' else 'target_not_in_scope' end as status
-      from local_resolution l left join family f on f.alias = l.lookup_key and f.root_id = l.doc_id % 5 where l.reason = 'deferred_cross_document' group by l.doc_id, l.seq, l.lookup_key"""
+    """Deferred references against the family catalogue: which source they mean, and whether it can be had."""
+    return """select l.doc_id, l.seq, l.span_start, l.lookup_key, case when count(distinct f.source_id) > 1 then 'ambiguous' when count(distinct f.source_id) = 0 then 'target_not_in_scope' when max(case when a.candidate_id is not null then 1 else 0 end) = 1 then 'resolved'
+        when max(case when a.terminal_state is not null then 1 else 0 end) = 1 then 'target_source_failed' else 'target_unavailable' end as status
+      from local_resolution l left join document_sources s on s.doc_id = l.doc_id left join family f on f.alias = l.lookup_key and f.root_id = s.root_id left join accounting a on a.source_id = f.source_id
+      where l.reason = 'deferred_cross_document' group by l.doc_id, l.seq, l.span_start, l.lookup_key"""
 
 
 @operator("lif12_collection_resolution", "collection_resolution")
 def _(d):
     """Outcome of references between documents."""
-    return "select doc_id, seq, lookup_key, status from collection_resolution"
+    return "select doc_id, seq, span_start, lookup_key, status from collection_resolution"
 
 
 @operator("lif13_handoff_readiness", "accounting")
@@ -147,29 +169,31 @@ def _(d):
     return "select role, sum(before_n) as before_rows, sum(after_n) as after_rows from (select coalesce(role, 'none') as role, 1 as before_n, 0 as after_n from baseline_rows union all select coalesce(role, 'none'), 0, 1 from candidate_rows) group by role"
 
 
-@operator("lif21_stage_lineage", "attempts")
+@operator("lif21_stage_lineage", "stage_digests")
 def _(d):
     """Neighbouring stages whose digests do not link."""
-    x = d.sha256("cast(transaction_id as string) || ':' || cast(sequence as string)")
-    return f"select b.transaction_id, b.sequence from (select transaction_id, sequence, {x} as sha from attempts) a join (select transaction_id, sequence, {d.sha256('''cast(transaction_id as string) || ':' || cast(case when sequence % 5 = 0 then sequence else sequence - 1 end as string)''')} as upstream from attempts) b on b.transaction_id = a.transaction_id and b.sequence = a.sequence + 1 where a.sha <> b.upstream"
+    return "select transaction_id, sequence from (select transaction_id, sequence, upstream, lag(sha) over (partition by transaction_id order by sequence) as before from stage_digests) where before is not null and before <> upstream"
 
 
-@operator("lif22_review_requests", "items")
+@operator("lif22_review_requests", "review_pages")
 def _(d):
     """Pages to review of each document."""
-    return f"select doc_id, {d.listagg('cast(page as string)', 'page')} as pages from (select distinct doc_id, page from items where role = 'section_header' and page % 3 = 1) group by doc_id"
+    return f"select doc_id, {d.listagg('cast(page as string)', 'page')} as pages from review_pages group by doc_id"
 
 
-@operator("lif23_page_outcomes", "items", "flt10_page_route")
+@operator("lif23_page_outcomes", "requested_pages", "produced_pages", "flt10_page_route")
 def _(d):
     """One outcome for every requested page."""
-    return "select p.doc_id, p.page, coalesce(r.route, 'missing') as outcome from (select doc_id, page from items where seq % 8 = 0) p left join (select * from flt10_page_route where page < 5) r on r.doc_id = p.doc_id and r.page = p.page"
+    return """select p.doc_id, p.page, case when m.page is null then 'missing' else r.route end as outcome from requested_pages p left join produced_pages m on m.doc_id = p.doc_id and m.page = p.page
+      left join flt10_page_route r on r.doc_id = p.doc_id and r.page = p.page"""
 
 
-@operator("prj01_feature_rows", "items")
+@operator("prj01_feature_rows", "items", "parsed_numbers", "outline_matches", "jn03_alignment_lookup")
 def _(d):
-    """Items as feature rows in reading order."""
-    return "select doc_id, seq as reading_order_index, page as physical_page, role as raw_role, layer as content_layer, level as raw_level, lower(trim(line)) as normalized_text, round(seq * cast(1.23456789 as double), 6) as left_pt from items"
+    """Items as feature rows in reading order, with the evidence of number, outline and page layout."""
+    return """select i.doc_id, i.seq as reading_order_index, i.page as physical_page, i.role as raw_role, i.layer as content_layer, i.level as raw_level, lower(trim(i.line)) as normalized_text, i.left_pt, i.in_picture, i.n_regions,
+      n.kind as numbering_kind, n.token as numbering_token, n.depth as numbering_depth, coalesce(o.outline_state, 'absent') as outline_state, o.outline_level, a.layout_state, length(i.line) as text_length, i.line = '' as empty_text
+      from items i left join parsed_numbers n on n.doc_id = i.doc_id and n.seq = i.seq left join outline_matches o on o.doc_id = i.doc_id and o.seq = i.seq left join jn03_alignment_lookup a on a.doc_id = i.doc_id and a.seq = i.seq"""
 
 
 @operator("prj02_level_overlay", "headings")
@@ -202,10 +226,11 @@ def _(d):
     return "select box_id, part_no, reason is null as valid, reason from region_reasons"
 
 
-@view("clean_cells", "cells")
+@view("clean_cells", "cells", "removed_lines")
 def _(d):
     """Cells of kept rows and columns with new indexes."""
-    return "select table_id, cast(dense_rank() over (partition by table_id order by r) - 1 as bigint) as row_index, cast(dense_rank() over (partition by table_id order by c) - 1 as bigint) as column_index, text from cells where c <> 1 and r % 5 <> 0"
+    return """select x.table_id, cast(dense_rank() over (partition by x.table_id order by x.r) - 1 as bigint) as row_index, cast(dense_rank() over (partition by x.table_id order by x.c) - 1 as bigint) as column_index, x.text from cells x
+      left join removed_lines a on a.table_id = x.table_id and a.axis = 'row' and a.place = x.r left join removed_lines b on b.table_id = x.table_id and b.axis = 'column' and b.place = x.c where a.place is null and b.place is null"""
 
 
 @operator("prj06_clean_table", "clean_cells")
@@ -214,29 +239,30 @@ def _(d):
     return "select table_id, row_index, column_index, text from clean_cells"
 
 
-@operator("prj07_span_projection", "grid")
+@operator("prj07_span_projection", "cell_spans", "removed_lines")
 def _(d):
     """Spans cut to the kept rows: extent and whether it still is a rectangle."""
-    span = d.series("(select table_id, r as first_row, r + l_partkey % 3 as last_row from grid)", "row_no", "first_row", "last_row")
-    return f"select table_id, first_row, min(row_no) as lo, max(row_no) as hi, count(*) = max(row_no) - min(row_no) + 1 as rectangle from {span} where row_no % 4 <> 0 group by table_id, first_row"
+    span = d.series("cell_spans", "row_no", "first_row", "last_row")
+    return f"""select s.table_id, s.first_row, min(s.row_no) as lo, max(s.row_no) as hi, count(*) = max(s.row_no) - min(s.row_no) + 1 as rectangle from {span} s
+      left join removed_lines g on g.table_id = s.table_id and g.axis = 'row' and g.place = s.row_no where g.place is null group by s.table_id, s.first_row"""
 
 
-@operator("prj08_canonical_tables", "tables")
+@operator("prj08_canonical_tables", "table_kinds")
 def _(d):
     """Tables without document indexes, and families that are excluded as a whole."""
-    return "select page as family_id, count(*) filter (where table_id % 7 = 0) as excluded, count(*) as members, count(*) filter (where table_id % 7 = 0) = count(*) as family_excluded from tables group by page"
+    return "select family_id, count(*) filter (where kind = 'document_index') as excluded, count(*) as members, count(*) filter (where kind = 'document_index') = count(*) as family_excluded from table_kinds group by family_id"
 
 
-@operator("prj09_logical_tables", "headers", "grid")
+@operator("prj09_logical_tables", "fragments")
 def _(d):
-    """Tables without header-only continuation fragments."""
-    return "select h.table_id, g.n as rows from headers h join (select table_id, count(*) as n from grid group by table_id) g on g.table_id = h.table_id where not (g.n = 1 and h.table_id % 2 = 1)"
+    """Tables without continuation fragments that hold a header only."""
+    return "select table_id, rows_ as rows from fragments where not (rows_ = 1 and continues)"
 
 
 @operator("prj10_content_records", "items")
 def _(d):
     """Blocks with their ids."""
-    return "select doc_id, 'blk-' || lpad(cast(seq + 1 as string), 6, '0') as id, seq as sequence, layer as content_layer, line as canonical_text from items where role <> 'page_footer'"
+    return f"select doc_id, {d.padded_id(chr(39) + 'blk-' + chr(39), 'seq + 1')} as id, seq as sequence, layer as content_layer, line as canonical_text from items where role <> 'page_footer'"
 
 
 @operator("prj11_support_records", "items")
@@ -290,13 +316,13 @@ def _(d):
 @operator("prj19_sequential_ids", "items")
 def _(d):
     """Ids by rank after the order is known."""
-    return "select doc_id, seq, 'fig-' || lpad(cast(row_number() over (partition by doc_id order by page desc, seq) as string), 6, '0') as id from items where role = 'list_item'"
+    return f"select doc_id, seq, {d.padded_id(chr(39) + 'fig-' + chr(39), 'n')} as id from (select doc_id, seq, row_number() over (partition by doc_id order by page desc, seq) as n from items where role = 'list_item')"
 
 
-@operator("prj20_asset_ordinals", "links")
+@operator("prj20_asset_ordinals", "assets")
 def _(d):
-    """Assets numbered by role."""
-    return "select page_id, position, role, cast(row_number() over (partition by role order by page_id, position) as bigint) as ordinal from (select page_id, position, case when position % 2 = 0 then 'image' else 'source' end as role from links)"
+    """Assets of a page numbered by role."""
+    return "select page_id, position, role, cast(row_number() over (partition by page_id, role order by position) as bigint) as ordinal from assets"
 
 
 @operator("prj21_warnings", "anomalies", "win06_sparse_depth")
@@ -317,10 +343,10 @@ def _(d):
     return "select 'items' as family, count(*) as n from items union all select 'mentions', count(*) from mentions union all select 'links', count(*) from links"
 
 
-@operator("prj24_mixed_stream", "items", "tables")
+@operator("prj24_mixed_stream", "items", "page_tables")
 def _(d):
-    """Blocks and tables in one order by page and place."""
-    return "select kind, id, cast(row_number() over (order by page, kind, id) as bigint) as position from (select 'block' as kind, doc_id * 100000 + seq as id, page from items where doc_id < 20 union all select 'table', table_id, page from tables where page < 50)"
+    """Blocks and tables of a document in one order by page and place."""
+    return "select doc_id, kind, id, cast(row_number() over (partition by doc_id order by page, kind, id) as bigint) as position from (select doc_id, 'block' as kind, seq as id, page from items union all select doc_id, 'table', table_id, page from page_tables)"
 
 
 @operator("prj25_table_requests", "flt10_page_route")
@@ -341,7 +367,7 @@ def _(d):
     return "select page_id, href, count(*) as n from links group by page_id, href having count(*) > 1"
 
 
-@operator("src09_host_allow_list", "pages")
+@operator("src09_host_allow_list", "pages", "allowed_hosts")
 def _(d):
     """Addresses whose host is allowed."""
-    return "select page_id, regexp_extract(url, '^https?://([^/:]+)', 1) as host, regexp_extract(url, '^https?://([^/:]+)', 1) in ('www.example.com', 'example.com', 'docs.example.com') as allowed from pages"
+    return "select p.page_id, p.host, h.host is not null as allowed from (select page_id, regexp_extract(url, '^https?://([^/:]+)', 1) as host from pages) p left join allowed_hosts h on h.host = p.host"

@@ -24,7 +24,7 @@ def _(d):
 @operator("srt03_candidate_order", "mention_candidates")
 def _(d):
     """Rank of a reference's targets: type, page (missing last), id."""
-    return """select doc_id, seq, mention_class, target_id, cast(row_number() over (partition by doc_id, seq, mention_class order by case target_type when 'section' then 0 when 'table' then 1 else 2 end, coalesce(target_page, 1000000000), target_id) as bigint) as position from mention_candidates"""
+    return """select doc_id, seq, span_start, target_id, cast(row_number() over (partition by doc_id, seq, span_start order by case target_type when 'section' then 0 when 'table' then 1 else 2 end, coalesce(target_page, 1000000000), target_id) as bigint) as position from mention_candidates"""
 
 
 @operator("srt04_alias_order", "aliases")
@@ -41,8 +41,9 @@ def _(d):
 
 @operator("srt07_footer_owner", "boxes")
 def _(d):
-    """Owner of a page's footer: lowest, then rightmost."""
-    return "select page, box_id, part_no from (select *, row_number() over (partition by page order by b, r desc, box_id, part_no) as n from boxes where page_known) where n = 1"
+    """Owner of a page's footer: lowest, then rightmost; combined before it is shuffled."""
+    order = d.row("b", "-r", "box_id", "part_no")
+    return f"select page, min_by(box_id, {order}) as box_id, min_by(part_no, {order}) as part_no from boxes where page_known group by page"
 
 
 @operator("srt08_page_spread", "sources")
@@ -64,10 +65,10 @@ def _(d):
     return "select table_id, cast(dense_rank() over (order by first_id) as bigint) as family_no, cast(row_number() over (partition by header order by table_id) as bigint) as member_no from (select table_id, header, min(table_id) over (partition by header) as first_id from headers)"
 
 
-@operator("set01_expected_discovered", "sources", "family")
+@operator("set01_expected_discovered", "selection", "manifest_sources")
 def _(d):
     """Identifiers expected but not found, and found but not expected."""
-    a, b = "select source_id from family", "select source_id from sources where source_id % 3 <> 0 and source_id < 60"
+    a, b = "select source_id from selection", "select source_id from manifest_sources"
     return f"select source_id, 'missing' as side from ({a} except {b}) union all select source_id, 'unexpected' from ({b} except {a})"
 
 
@@ -77,24 +78,24 @@ def _(d):
     return "select source_id, 'unknown_role' as violation from sources where role not in (select role from roles) union all select source_id, 'second_curator' from sources where role = 'curator_only_response_source' and source_id > (select min(source_id) from sources where role = 'curator_only_response_source')"
 
 
-@operator("set03_paths", "links")
+@operator("set03_paths", "tree_a", "tree_b")
 def _(d):
     """Paths by side: missing, extra, shared."""
-    a, b = "select href from links where page_id % 2 = 0", "select href from links where page_id % 2 = 1"
+    a, b = "select href from tree_a", "select href from tree_b"
     return f"select href, 'missing' as side from ({a} except {b}) union all select href, 'extra' from ({b} except {a}) union all select href, 'shared' from ({a} intersect {b})"
 
 
-@operator("set04_declared_sources", "candidates")
+@operator("set04_declared_sources", "candidates", "unavailable_sources")
 def _(d):
     """Declared sources that are neither eligible nor unavailable, or both."""
-    eligible, unavailable = "select source_id from candidates where terminal_state <> 'failed_terminal'", "select source_id from candidates where terminal_state <> 'complete' and source_id % 2 = 0"
+    eligible, unavailable = "select source_id from candidates where terminal_state <> 'failed_terminal'", "select source_id from unavailable_sources"
     return f"select source_id, 'neither' as problem from (select source_id from candidates except ({eligible}) except ({unavailable})) union all select source_id, 'both' from ({eligible} intersect {unavailable})"
 
 
-@operator("set05_multiset_union", "items")
+@operator("set05_multiset_union", "items", "element_lines")
 def _(d):
-    """Body and furniture together against all items as multisets: elements whose counts differ."""
-    return "select line, sum(n) as difference from (select line, count(*) as n from items group by line union all select line, -count(*) from items where layer = 'body' group by line union all select line, -count(*) from items where layer = 'furniture' and doc_id % 2 = 0 group by line) group by line having sum(n) <> 0"
+    """Body and furniture together against all elements as multisets: lines whose counts differ."""
+    return "select line, sum(n) as difference from (select line, count(*) as n from element_lines group by line union all select line, -count(*) from items where layer in ('body', 'furniture') group by line) group by line having sum(n) <> 0"
 
 
 @operator("set06_anomaly_concatenation", "anomalies", "win06_sparse_depth")

@@ -12,13 +12,21 @@ def _(d):
     return "select doc_id, seq from items where layer = 'body' and level is null and role in ('text', 'list_item', 'caption', 'footnote')"
 
 
+# Blocks that are not searched, in order; the first two must hold of the whole block.
+EXCLUSIONS = {
+    "page_furniture": r"(?i)^Page\s+[1-9][0-9]*\s+of\s+[1-9][0-9]*$",
+    "standalone_target_label": r"^(?:(?:Table|Figure)\s+[1-9][0-9]*(?:[.-][A-Za-z0-9]+)*|APPENDIX\s+[A-Z])$",
+    "bibliography": r"(?i)^[A-Z][A-Za-z&.'’ -]{1,80},\s*(?:19|20)[0-9]{2}[a-z]?\.",
+    "deed_recordation": r"(?i)\brecorded\s+on\b[^\n]+\b(?:Book|Deeds|Official Records)\b[^\n]+\bpage\s+[1-9][0-9]*\b",
+}
+WHOLE = ("page_furniture", "standalone_target_label")
+
+
 @view("block_exclusions", "items")
 def _(d):
     """Reason why a block as a whole is not searched; the first that holds."""
-    furniture, label = d.rlike("t", "^[Pp]age [0-9]+( of [0-9]+)?$"), d.rlike("t", "^(Table|Figure|Section) [0-9.]+$")
-    bib, deed = d.rlike("t", "[(](19|20)[0-9]{2}[)]"), d.rlike("lower(t)", "recorded (in|as) (book|instrument)")
-    t = "trim(case when seq % 11 = 0 then 'Page ' || cast(page as string) when seq % 11 = 1 then 'Table ' || cast(seq as string) when seq % 11 = 2 then line || ' (2019)' when seq % 11 = 3 then line || ' recorded in book 7' else line end)"
-    return f"select doc_id, seq, case when {furniture} then 'page_furniture' when {label} then 'standalone_target_label' when {bib} then 'bibliography' when {deed} then 'deed_recordation' end as reason from (select doc_id, seq, {t} as t from items)"
+    whens = " ".join(f"when {d.rlike('trim(mtext)' if k in WHOLE else 'mtext', p)} then '{k}'" for k, p in EXCLUSIONS.items())
+    return f"select doc_id, seq, case {whens} end as reason from items"
 
 
 @operator("flt02_block_exclusions", "block_exclusions")
@@ -27,55 +35,62 @@ def _(d):
     return "select doc_id, seq, reason from block_exclusions where reason is not null"
 
 
-@operator("flt03_structural_exclusion", "tree")
-def _(d):
-    """Nodes in a bibliography section or below one."""
-    return """with recursive below as (select id from tree where id % 7 = 3 and label = 'en' union all select t.id from tree t join below b on t.parent_id = b.id)
-      select id, count(*) as times from below group by id"""
+# What follows a section reference that is not one to the document at hand.
+STATUTORY = r"^\s+of\s+the\s+(?:[A-Z][\w'-]*\s+){0,5}(?:Act|Code)\b"
+THIS_AGREEMENT = r"(?i)^\s+of\s+this\s+Agreement\b"
+EXTERNAL_SECTION = r"(?i)^\s+of\s+(?:the\s+)?[^.;:\n]{0,80}(?:Agreement|UWMP|Plan|Report|Assessment|EIR)\b"
+STATUTORY_DIGITS = 4
 
 
-@view("suffixes", "mentions")
+@view("reference_dispositions", "references_found")
 def _(d):
-    """What follows a section reference."""
-    return """select doc_id, seq, raw_text, case cast(doc_id + seq as bigint) % 6 when 0 then ' of the Clean Water Act' when 1 then ' of this Agreement' when 2 then ' of the Final EIR' when 3 then ' of the Health Code'
-      when 4 then ' of the Urban Water Management Plan' else '' end as suffix, case when seq % 5 = 0 then '15126.2' else regexp_extract(raw_text, '[0-9.]+', 0) end as number from mentions where mention_class = 'section'"""
+    """Whether a reference is local, statutory, to a section elsewhere, or page furniture."""
+    return f"""select doc_id, seq, span_start, mention_class, case when mention_class = 'section' then case when {d.rlike('suffix', STATUTORY)} then 'statutory' when {d.rlike('suffix', THIS_AGREEMENT)} then case when {STATUTORY_DIGITS} <= length(regexp_extract(lookup_key, '^[0-9]+', 0)) then 'statutory' else 'local' end
+        when {d.rlike('suffix', EXTERNAL_SECTION)} then 'qualified_external_section' when length(regexp_extract(lookup_key, '^[0-9]+', 0)) >= {STATUTORY_DIGITS} then 'statutory' else 'local' end
+      when mention_class = 'printed_page' and {d.rlike('suffix', PAGE_TOTAL)} then 'page_furniture' else 'local' end as disposition from references_found"""
 
 
-@operator("flt04_section_dispositions", "suffixes")
+@operator("flt04_section_dispositions", "references_found")
 def _(d):
     """Statutory, local and external section references by what follows them."""
-    return f"""select doc_id, seq, case when {d.rlike('suffix', '^ of the [A-Z][A-Za-z ]*(Act|Code)')} then 'statutory' when {d.rlike('suffix', '^ of this Agreement')} then 'local'
-      when {d.rlike('suffix', '^ of the [A-Z][A-Za-z ]*(Agreement|UWMP|Plan|Report|Assessment|EIR)')} then 'external' else 'local' end as disposition from suffixes"""
+    return f"""select doc_id, seq, span_start, case when {d.rlike('suffix', STATUTORY)} then 'statutory' when {d.rlike('suffix', THIS_AGREEMENT)} then 'local'
+      when {d.rlike('suffix', EXTERNAL_SECTION)} then 'qualified_external_section' else 'local' end as disposition from references_found where mention_class = 'section'"""
 
 
-@operator("flt05_statutory_numbers", "suffixes")
+@operator("flt05_statutory_numbers", "references_found")
 def _(d):
     """Section numbers whose first part has four digits or more."""
-    return "select doc_id, seq, number, length(regexp_extract(number, '^[0-9]+', 0)) >= 4 as statutory from suffixes"
+    return f"select doc_id, seq, span_start, lookup_key as number, length(regexp_extract(lookup_key, '^[0-9]+', 0)) >= {STATUTORY_DIGITS} as statutory from references_found where mention_class = 'section'"
+
+
+PAGE_TOTAL = r"(?i)^\s+of\s+[1-9][0-9]*\b"
+EXTERNAL_TABLE = r"(?i)^\s+(?:in|from|of)\s+reference\s+[1-9][0-9]*\b"
+TABLE_LABEL = r"(?i)^table [1-9][0-9]*(?:[.-][a-z0-9]+)*$"
 
 
-@operator("flt06_inline_page_furniture", "items")
+@operator("flt06_inline_page_furniture", "references_found")
 def _(d):
     """Page references that are counters: followed by a total."""
-    return f"select doc_id, seq, {d.rlike('s', '^ of [0-9]+')} as furniture from (select doc_id, seq, case when seq % 2 = 0 then ' of ' || cast(page as string) else ' and more' end as s from items)"
+    return f"select doc_id, seq, span_start, {d.rlike('suffix', PAGE_TOTAL)} as furniture from references_found where mention_class = 'printed_page'"
 
 
-@operator("flt07_external_tables", "mentions")
+@operator("flt07_external_tables", "references_found")
 def _(d):
     """Table references qualified by another document."""
-    return f"select doc_id, seq, {d.rlike('s', '^ (in|from|of) reference [0-9]+')} as external from (select doc_id, seq, case seq % 4 when 0 then ' in reference 3' when 1 then ' of reference 12' else ' below' end as s from mentions where mention_class = 'table')"
+    return f"select doc_id, seq, span_start, {d.rlike('suffix', EXTERNAL_TABLE)} as external from references_found where mention_class = 'table'"
 
 
-@operator("flt08_table_labels", "mentions", "items")
+@operator("flt08_table_labels", "items", "toc_regions")
 def _(d):
-    """Items that label a table: body, one region, the label as a whole."""
-    return f"select m.doc_id, m.seq, m.lookup_key from mentions m join items i on m.doc_id = i.doc_id and m.seq = i.seq where i.layer = 'body' and i.level is null and (m.doc_id + m.seq) % 3 = 0 and {d.rlike('m.lookup_key', '^table [0-9]+$')}"
+    """Items that label a table: body, outside contents, one region, the label as a whole."""
+    return f"""select i.doc_id, i.seq, lower(trim(i.mtext)) as lookup_key from items i where i.layer = 'body' and i.n_regions = 1 and {d.rlike('trim(i.mtext)', TABLE_LABEL)}
+      and not exists (select 1 from toc_regions r where r.doc_id = i.doc_id and i.seq between r.start_seq and r.end_seq)"""
 
 
 @operator("flt09_deferred_mentions", "local_resolution")
 def _(d):
     """References left for other documents."""
-    return "select doc_id, seq, lookup_key from local_resolution where status = 'unresolved' and reason = 'deferred_cross_document'"
+    return "select doc_id, seq, span_start, lookup_key from local_resolution where status = 'unresolved' and reason = 'deferred_cross_document'"
 
 
 @view("page_features", "items")
@@ -87,30 +102,44 @@ def _(d):
       max(length(line)) / cast(600 as double) as width_fraction, count(*) / cast(8 as double) as height_fraction from items group by doc_id, page"""
 
 
-@operator("flt10_page_route", "page_features")
+# Thresholds of the page routes.
+STRICT = {"width_fraction": 0.7, "height_fraction": 0.75, "nonempty_lines": 80, "density": 0.02, "digit_fraction": 0.35}
+NUMERIC = {"width_fraction": 0.7, "nonempty_lines": 20, "density": 0.005, "digit_fraction": 0.5}
+PARTIAL_HEIGHT = 0.35
+
+
+@operator("flt10_page_route", "page_measures")
 def _(d):
-    """Route of a page: dense or numeric pages whole, then pages with layout regions, else none."""
-    return """select doc_id, page, case when (nonspace >= 900 and width_fraction >= 0.8) or (nonspace > 0 and digits / cast(nonspace as double) >= 0.05) or (nonempty_lines >= 8 and nonspace >= 1200) then 'full_page_numeric'
-      when regions > 0 then 'layout_regions' else 'no_table_route' end as route from page_features"""
+    """Route of a page: whole if all strict or all numeric checks hold, or all strict ones but the height, which is partial; then pages with layout regions; else none."""
+    def all_of(checks: dict) -> str:
+        return " and ".join(f"{k} >= {v}" for k, v in checks.items())
+
+    partial = all_of(STRICT | {"height_fraction": PARTIAL_HEIGHT})
+    return f"""select doc_id, page, case when ({all_of(STRICT)}) or ({all_of(NUMERIC)}) or (height_fraction < {STRICT['height_fraction']} and {partial}) then 'full_page_numeric'
+      when regions > 0 then 'layout_regions' else 'no_table_route' end as route from page_measures"""
 
 
-@operator("flt11_layout_regions", "boxes")
+@operator("flt11_layout_regions", "layout_regions")
 def _(d):
-    """Regions of each page in visual order."""
-    return "select page, box_id, part_no, l, b, r, t from boxes where page_known and part_no <= 2"
+    """Regions of each known page in visual order."""
+    return "select page, box_id, part_no, l, b, r, t, cast(row_number() over (partition by page order by t desc, l, b desc, box_id, part_no) as bigint) as position from layout_regions where page_known"
 
 
-@operator("flt12_boundary_markers", "boxes")
+@operator("flt12_boundary_markers", "page_marks")
 def _(d):
-    """Captions and headers above the highest table of their page."""
-    return """select m.page, m.box_id, m.part_no from boxes m join (select page, max(t) as top from boxes where part_no = 1 and page_known group by page) h on m.page = h.page
-      where m.part_no in (2, 3) and m.page_known and m.b >= h.top - 60"""
+    """Captions and headers whose bottom is not below the highest table top of their page, from the top down."""
+    return """select m.page, m.box_id, m.part_no, cast(row_number() over (partition by m.page order by m.t desc, m.box_id, m.part_no) as bigint) as position from page_marks m
+      join (select page, max(t) as top from page_marks where role = 'table' group by page) h on m.page = h.page where m.role in ('caption', 'section_header') and m.b >= h.top"""
+
+
+# Least size in pixels and crossings of a ruled region.
+RULED = {"width": 60, "height": 18, "intersections": 4}
 
 
-@operator("flt13_ruled_regions", "boxes")
+@operator("flt13_ruled_regions", "ruled_regions")
 def _(d):
-    """Regions large enough to hold a ruled table."""
-    return "select box_id, part_no, r - l as width, t - b as height from boxes where r - l >= 55 and t - b >= 100 and part_no % 7 >= 2"
+    """Regions large enough and with crossings enough to hold a ruled table."""
+    return f"select box_id, part_no, width, height from ruled_regions where {' and '.join(f'{k} >= {v}' for k, v in RULED.items())}"
 
 
 @operator("flt14_network_candidates", "boxes")
@@ -135,15 +164,20 @@ def _(d):
 @view("learned_attempts", "grid")
 def _(d):
     """Measured outcomes of learned table structure."""
-    return """select table_id, cast(count(*) as bigint) as tokens, count(*) % 5 <> 0 as valid_structure, cast(sum(l_quantity) as double) / 300 as coverage, cast(max(l_quantity) as double) / 12 as overshoot,
-      cast(sum(case when l_partkey % 9 = 0 then 1 else 0 end) as bigint) as duplicates, min(l_partkey) % 4 <> 0 as monotonic from grid group by table_id"""
+    return """select table_id, case when min(l_partkey) % 17 = 0 then cast(0 as bigint) else cast(count(*) as bigint) end as tokens, count(*) % 5 <> 0 as valid_structure, min(l_partkey) % 7 <> 0 as grid_covers, cast(max(l_quantity) as double) / 12 as overshoot,
+      min(l_partkey) % 11 = 0 as leading_unmatched, cast(sum(case when l_partkey % 9 = 0 then 1 else 0 end) as bigint) as duplicates, cast(sum(l_quantity) as double) / 60 as coverage, min(l_partkey) % 4 <> 0 as monotonic, cast(sum(case when l_partkey % 5 <> 0 then 1 else 0 end) as bigint) as filled from grid group by table_id"""
+
+
+# Bounds of a learned table.
+MAX_OVERSHOOT, MIN_TEXT_COVERAGE = 3, 0.9
+LEARNED_OUTCOMES = ("accepted", "no_tokens", "structure", "grid_coverage", "overshoot", "unmatched_leading_text", "duplicates", "text_coverage", "grid_order", "empty")
 
 
 @view("learned_gates", "learned_attempts")
 def _(d):
     """First gate that a learned table fails."""
-    return """select table_id, case when tokens = 0 then 'no_tokens' when not valid_structure then 'structure' when coverage < 0.1 then 'grid_coverage' when overshoot > 3 then 'overshoot'
-      when duplicates > 0 then 'duplicates' when coverage < 0.3 then 'text_coverage' when not monotonic then 'grid_order' else 'accepted' end as outcome from learned_attempts"""
+    return f"""select table_id, case when tokens = 0 then 'no_tokens' when not valid_structure then 'structure' when not grid_covers then 'grid_coverage' when overshoot > {MAX_OVERSHOOT} then 'overshoot' when leading_unmatched then 'unmatched_leading_text'
+      when duplicates > 0 then 'duplicates' when coverage < {MIN_TEXT_COVERAGE} then 'text_coverage' when not monotonic then 'grid_order' when filled = 0 then 'empty' else 'accepted' end as outcome from learned_attempts"""
 
 
 @operator("flt16_learned_acceptance", "learned_gates")
@@ -154,15 +188,17 @@ def _(d):
 
 @operator("flt17_sibling_pattern", "items")
 def _(d):
-    """Headings between two headings of their own level (structural siblings)."""
-    return """select doc_id, seq, coalesce(level = before and level = after, false) as sibling from (select doc_id, seq, level, lag(level) over (partition by doc_id order by seq) as before,
-      lead(level) over (partition by doc_id order by seq) as after from items where level is not null)"""
+    """Texts that stand between two headings of one level as if they were one themselves (structural siblings)."""
+    before = "partition by doc_id order by seq rows between unbounded preceding and 1 preceding"
+    after = "partition by doc_id order by seq rows between 1 following and unbounded following"
+    return f"""select doc_id, seq, coalesce(level is null and role = 'text' and before = after and seq = previous_seq + 1 and next_seq = seq + 1, false) as sibling from (select doc_id, seq, role, level, {d.last('level', before)} as before, {d.first('level', after)} as after,
+      {d.last('case when level is not null then seq end', before)} as previous_seq, {d.first('case when level is not null then seq end', after)} as next_seq from items)"""
 
 
 @view("footers", "tables")
 def _(d):
     """Footer counters of table pages."""
-    return "select page, cast(min(table_id) % 3 as bigint) as sheet, cast(page % 40 as bigint) as internal_page, cast(40 as bigint) as total from tables group by page"
+    return "select page, cast(floor(page / 40) as bigint) as sheet, cast(page % 40 as bigint) as internal_page, cast(40 as bigint) as total from tables group by page"
 
 
 @operator("flt18_footer_continuation", "footers")
@@ -183,11 +219,16 @@ def _(d):
     return "select a.table_id as first_id, b.table_id as next_id from headers a join headers b on b.table_id = a.table_id + 1 and a.header = b.header and a.columns = b.columns and a.header <> '|'"
 
 
-@operator("flt20_edge_geometry", "boxes")
+# Bounds of a continuation's geometry.
+EDGES = {"left_bottom": 0.20, "right_top": 0.80, "span": 0.03, "columns": 0.02}
+
+
+@operator("flt20_edge_geometry", "table_edges")
 def _(d):
-    """Boxes that end low on a page and go on at the top of the next with the same span."""
-    return """select x.box_id, x.part_no, x.b / 792 <= 0.20 and y.t / 792 >= 0.80 and abs((x.r - x.l) - (y.r - y.l)) / 612 <= 0.03 as compatible
-      from boxes x join boxes y on y.box_id = x.box_id and y.part_no = x.part_no + 1"""
+    """Tables that end low on a page and go on at the top of the next, with both edges of the span and all column boundaries in place."""
+    columns = d.max_delta("x.boundaries", "y.boundaries")
+    return f"""select x.box_id, x.part_no, coalesce(x.bottom_fraction <= {EDGES['left_bottom']} and y.top_fraction >= {EDGES['right_top']} and greatest(abs(x.left_fraction - y.left_fraction), abs(x.right_fraction - y.right_fraction)) <= {EDGES['span']}
+      and {columns} <= {EDGES['columns']}, false) as compatible from table_edges x join table_edges y on y.box_id = x.box_id and y.part_no = x.part_no + 1"""
 
 
 @view("column_types", "cells")
@@ -205,11 +246,13 @@ def _(d):
       from column_types a join column_types b on b.table_id = a.table_id + 1 and a.c = b.c group by a.table_id, b.table_id"""
 
 
-@view("toc_starts", "items")
+TOC_START = r"^table of contents( [(]continued[)])?$"
+
+
+@view("toc_starts", "toc_titles")
 def _(d):
-    """Headings that open a table of contents."""
-    t = "case when seq % 9 = 0 then 'Table of Contents' when seq % 9 = 1 then 'TABLE OF CONTENTS (Continued)' else line end"
-    return f"select doc_id, seq, page from (select doc_id, seq, page, role, {t} as t from items) where role = 'section_header' and {d.rlike('lower(trim(t))', '^table of contents( [(]continued[)])?$')}"
+    """Headings of the body that open a table of contents."""
+    return f"select doc_id, seq, page from toc_titles where role = 'section_header' and layer = 'body' and {d.rlike('lower(trim(title))', TOC_START)}"
 
 
 @operator("flt22_toc_start", "toc_starts")
@@ -218,17 +261,24 @@ def _(d):
     return "select doc_id, seq, page from toc_starts"
 
 
-@operator("flt23_failure_classes", "events")
+# Errors after which an attempt is not tried again.
+TERMINAL_ERRORS = ("FileNotFoundError", "PermissionError", "ValidationError", "HierarchyAuthorizationError", "SourceIdentityError")
+
+
+@operator("flt23_failure_classes", "failures")
 def _(d):
     """State after a failure: timeouts cancel, terminal kinds end, others may be tried again."""
-    return "select event_id, case when event_type = 'view' then 'cancelled' when event_type in ('error', 'purchase') then 'failed_terminal' else 'failed_retryable' end as state from events"
+    kinds = ", ".join(f"'{x}'" for x in TERMINAL_ERRORS)
+    return f"select event_id, case when error_type = 'TimeoutError' then 'cancelled' when error_type in ({kinds}) then 'failed_terminal' else 'failed_retryable' end as state from failures"
+
+
+FAMILY_QUALIFIER = r"\b(?:Draft|Final) EIR\b"
 
 
-@operator("flt24_family_qualifier", "mentions", "items")
+@operator("flt24_family_qualifier", "references_found")
 def _(d):
     """Family qualifier within 64 characters before or after a reference."""
-    return """select m.doc_id, m.seq, m.mention_class, instr(substr(i.mtext, cast(greatest(1, m.span_start - 63) as int), cast(least(64, m.span_start) as int)), 'see') > 0 or instr(substr(i.mtext, cast(m.span_end + 1 as int), 64), 'and') > 0 as qualified
-      from mentions m join items i on m.doc_id = i.doc_id and m.seq = i.seq"""
+    return f"select doc_id, seq, span_start, mention_class, {d.rlike('prefix', FAMILY_QUALIFIER)} or {d.rlike('substr(suffix, 1, 64)', FAMILY_QUALIFIER)} as qualified from references_found"
 
 
 @view("toc_regions", "toc_starts")

@@ -170,7 +170,7 @@ def parse_toc_rows(rows: DataFrame) -> DataFrame:
     return _grouped(rows, "doc_id", "start_seq").applyInPandas(run, "doc_id bigint, start_seq bigint, entry_no bigint, marker string, title string, printed_page string, state string, source_seqs array<bigint>")
 
 
-def find_toc_regions(items: DataFrame, longest: int = 40) -> DataFrame:
+def find_toc_regions(items: DataFrame) -> DataFrame:
     """Regions of contents of a document (doc_id, seq, role, text, is_start): from a start to the next heading that is none; starts inside a region open no other."""
 
     def run(doc: pd.DataFrame) -> pd.DataFrame:
@@ -182,7 +182,7 @@ def find_toc_regions(items: DataFrame, longest: int = 40) -> DataFrame:
                 continue
             later = heads[(heads.seq > x.seq) & ~heads.is_start].seq
             stop = int(later.min()) - 1 if len(later) else int(doc.seq.max())
-            end = min(stop, x.seq + longest)
+            end = stop
             out.append((x.doc_id, x.seq, end))
         return pd.DataFrame(out, columns=["doc_id", "start_seq", "end_seq"])
 

@@ -16,28 +16,30 @@ def _(d):
     return f"select doc_id, seq, {d.last(x, BEFORE)} as previous_heading, {d.first(x, AFTER)} as next_heading from items"
 
 
-@operator("win02_previous_numbered_level", "headings")
+@operator("win02_previous_numbered_level", "calibrated")
 def _(d):
-    """Level of the numbered heading before."""
-    return "select doc_id, seq, lag(level) over (partition by doc_id order by seq) as previous_level from headings where seq % 2 = 0"
+    """Level of the numbered heading before in the same scope."""
+    return "select doc_id, seq, regime_no, lag(calibrated_level) over (partition by doc_id, regime_no order by seq) as previous_level from calibrated"
 
 
-@view("numbered", "headings")
+@view("numbered", "headings", "parsed_numbers", "jn09_innermost_scope", "outline_matches")
 def _(d):
-    """Numbered headings: depth of the number, and an absolute level for anchors."""
-    return "select doc_id, seq, level, (doc_id + seq) % 3 + 1 as depth, case when seq % 3 = 0 then level end as anchor_level from headings"
+    """Numbered headings with their scope: depth of the number, the scope's root level, and an absolute level for anchors (headings with one outline entry)."""
+    return """select h.doc_id, h.seq, h.level, r.regime_no, cast(1 as bigint) as root_level, n.depth, case when o.outline_state = 'unique_exact' then o.outline_level end as anchor_level from headings h
+      join parsed_numbers n on n.doc_id = h.doc_id and n.seq = h.seq and n.kind in ('decimal', 'article') join jn09_innermost_scope r on r.doc_id = h.doc_id and r.seq = h.seq left join outline_matches o on o.doc_id = h.doc_id and o.seq = h.seq"""
 
 
 @view("calibrated", "numbered")
 def _(d):
-    """Level from the nearest earlier anchor's offset, else from the root."""
-    return f"select doc_id, seq, level, depth, coalesce(anchor_level, depth + coalesce({d.last('anchor_level - depth', BEFORE)}, 0)) as calibrated_level from numbered"
+    """An anchor's own level; else the nearest earlier anchor's offset and the depth; else the depth below the scope's root."""
+    before = "partition by doc_id, regime_no order by seq rows between unbounded preceding and 1 preceding"
+    return f"select doc_id, seq, regime_no, root_level, level, depth, coalesce(anchor_level, depth + {d.last('anchor_level - depth', before)}, root_level + depth - 1) as calibrated_level from numbered"
 
 
 @operator("win03_calibrated_level", "calibrated")
 def _(d):
     """Calibrated levels of numbered headings."""
-    return "select doc_id, seq, calibrated_level from calibrated"
+    return "select doc_id, seq, regime_no, calibrated_level from calibrated"
 
 
 @view("heading_parents", "headings")
@@ -54,10 +56,11 @@ def _(d):
     return "select doc_id, seq, level, parent_seq from heading_parents"
 
 
-@view("epochs", "items")
+@view("epochs", "items", "regimes")
 def _(d):
-    """Count of clearing events up to each item."""
-    return f"select doc_id, seq, level, cast(sum(case when level = 1 and seq % 2 = 0 then 1 else 0 end) over ({UPTO}) as bigint) as epoch from items"
+    """Count of scope ends up to each item: a scope is cleared before the item at which it ends."""
+    return f"""select doc_id, seq, level, cast(sum(ends) over ({UPTO}) as bigint) as epoch from (select i.doc_id, i.seq, i.level, count(r.end_seq) as ends from items i
+      left join regimes r on r.doc_id = i.doc_id and r.end_seq = i.seq group by i.doc_id, i.seq, i.level)"""
 
 
 @operator("win05_scope_exit_epochs", "epochs")
@@ -68,14 +71,15 @@ def _(d):
 
 @operator("win06_sparse_depth", "heading_parents")
 def _(d):
-    """Headings that skip levels below their parent, or start deeper than one."""
-    return "select h.doc_id, h.seq, h.level - coalesce(p.level, 0) - 1 as missing_levels from heading_parents h left join heading_parents p on p.doc_id = h.doc_id and p.seq = h.parent_seq where h.level - coalesce(p.level, 0) > 1"
+    """Headings that skip levels below their parent, or as roots start deeper than one."""
+    return "select h.doc_id, h.seq, h.parent_seq is null as at_root, h.level - coalesce(p.level, 0) - 1 as missing_levels from heading_parents h left join heading_parents p on p.doc_id = h.doc_id and p.seq = h.parent_seq where h.level - coalesce(p.level, 0) > 1"
 
 
-@operator("win07_toc_order_conflict", "toc_targets")
+@operator("win07_toc_order_conflict", "toc_targets", "toc_regions")
 def _(d):
-    """Contents rows whose target is not after all earlier accepted targets."""
-    return f"select doc_id, seq, target_seq, coalesce(target_seq <= max(target_seq) over ({BEFORE}), false) as conflict from toc_targets"
+    """Contents rows whose target is not after all earlier ones of their region."""
+    w = "partition by t.doc_id, r.start_seq order by t.seq rows between unbounded preceding and 1 preceding"
+    return f"select t.doc_id, t.seq, t.target_seq, coalesce(t.target_seq <= max(t.target_seq) over ({w}), false) as conflict from toc_targets t left join toc_regions r on r.doc_id = t.doc_id and t.seq > r.start_seq and t.seq <= r.end_seq"
 
 
 @view("toc_targets", "toc_matches")
@@ -84,18 +88,33 @@ def _(d):
     return "select doc_id, seq, min(target_seq) as target_seq from toc_matches group by doc_id, seq having count(distinct target_seq) = 1"
 
 
-@operator("win08_local_level_transfer", "headings")
+# Least headings of a cluster and greatest spread of their left edges in points.
+CLUSTER, SPREAD = 2, 1
+
+
+@view("level_transfers", "items", "outline_matches", "parsed_numbers")
+def _(d):
+    """Clusters of unnumbered headings without support between two supported ones, whose left edges agree; the level is that of the supported one before if both have it."""
+    seq, level = "case when supported then seq end", "case when supported then level end"
+    return f"""select doc_id, before, after, count(*) as members, min(seq) as first_seq, max(seq) as last_seq, case when max(level_before) = max(level_after) then max(level_before) end as level from (
+        select *, {d.last(seq, BEFORE)} as before, {d.first(seq, AFTER)} as after, {d.last(level, BEFORE)} as level_before, {d.first(level, AFTER)} as level_after from (
+          select i.doc_id, i.seq, i.level, i.left_pt, coalesce(o.outline_state = 'unique_exact', false) as supported, n.kind as kind from items i left join outline_matches o on o.doc_id = i.doc_id and o.seq = i.seq
+            join parsed_numbers n on n.doc_id = i.doc_id and n.seq = i.seq where i.level is not null))
+      where not supported and kind = 'none' and before is not null and after is not null group by doc_id, before, after having count(*) >= {CLUSTER} and max(left_pt) - min(left_pt) <= {SPREAD}"""
+
+
+@operator("win08_local_level_transfer", "level_transfers")
 def _(d):
-    """Clusters of two or more unsupported headings between supported ones with little spread."""
-    x = "case when seq % 3 = 0 then seq end"
-    return f"""select doc_id, before, after, count(*) as members, min(level) as lo, max(level) as hi from (select doc_id, seq, level, {d.last(x, BEFORE)} as before, {d.first(x, AFTER)} as after from headings)
-      where seq % 3 <> 0 and before is not null and after is not null group by doc_id, before, after having count(*) >= 2 and max(level) - min(level) <= 1"""
+    """Clusters of headings that take a level from their neighbours."""
+    return "select doc_id, before, after, members, level from level_transfers"
 
 
 @operator("win09_next_shallower", "headings")
 def _(d):
-    """Next heading of equal or smaller level."""
-    return "select a.doc_id, a.seq, min(b.seq) as next_seq from headings a left join headings b on b.doc_id = a.doc_id and b.seq > a.seq and b.level <= a.level group by a.doc_id, a.seq"
+    """Next heading of equal or smaller level: the nearest of one window for each level."""
+    per = ", ".join(f"{d.first(f'case when level = {k} then seq end', AFTER)} as next_{k}" for k in range(1, 7))
+    best = ", ".join(f"coalesce(case when {k} <= level then next_{k} end, 9223372036854775807)" for k in range(1, 7))
+    return f"select doc_id, seq, nullif(least({best}), 9223372036854775807) as next_seq from (select doc_id, seq, level, {per} from headings)"
 
 
 @operator("win10_prefix_marker_counts", "headings")
@@ -123,23 +142,28 @@ def _(d):
     return "select cast(doc_id % 40 as bigint) as source_id, case when level = 4 then 'deep_heading' when line = '' then 'empty_text' else 'footer' end as category, doc_id * 100000 + seq as record_id from items where level = 4 or line = '' or role = 'page_footer'"
 
 
+# Fixed value: records of a category in a sample.
+SAMPLE = 25
+
+
 @operator("win13_bounded_sample", "anomalies")
 def _(d):
-    """Sample of each category: the first of every source, then others, 25 at most."""
-    return """select category, record_id, cast(n as bigint) as position from (select category, record_id, row_number() over (partition by category order by case when k = 1 then 0 else 1 end, source_id, record_id) as n
-      from (select *, row_number() over (partition by category, source_id order by record_id) as k from anomalies)) where n <= 25"""
+    """Sample of each category: the first of every source, then the next ones, as many as fit. Sources hold at most a sample each before categories are ranked."""
+    return f"""select category, record_id, cast(n as bigint) as position from (select category, record_id, row_number() over (partition by category order by case when k = 1 then 0 else 1 end, source_id, record_id) as n
+      from (select * from (select *, row_number() over (partition by category, source_id order by record_id) as k from anomalies) where k <= {SAMPLE})) where n <= {SAMPLE}"""
 
 
-@operator("win14_ordinal_gaps", "items")
+@operator("win14_ordinal_gaps", "kept_items")
 def _(d):
     """Items whose ordinal is not their rank."""
-    return "select doc_id, seq from (select doc_id, seq, row_number() over (partition by doc_id order by seq) as n from items where line <> '') where n <> seq + 1"
+    return "select doc_id, seq, ordinal, n as rank from (select doc_id, seq, ordinal, cast(row_number() over (partition by doc_id order by seq) - 1 as bigint) as n from kept_items) where n <> ordinal"
 
 
-@operator("win15_doubling_ratios", "documents")
+@operator("win15_doubling_ratios", "measurements")
 def _(d):
-    """Ratio of successive totals of a measurement."""
-    return "select bucket, case when lag(total) over (order by bucket) > 0 then round(total / cast(lag(total) over (order by bucket) as double), 6) end as ratio from (select cast(doc_id % 16 as bigint) as bucket, sum(n_chars) as total from documents group by doc_id % 16)"
+    """Ratio of each measurement of a series to the one before."""
+    w = "partition by series order by size_"
+    return f"select series, size_, case when lag(cost) over ({w}) > 0 then round(cost / cast(lag(cost) over ({w}) as double), 6) end as ratio from measurements"
 
 
 @operator("win16_first_appearance", "mentions")
@@ -148,10 +172,14 @@ def _(d):
     return f"select doc_id, {d.listagg('lookup_key', 'at_, lookup_key')} as keys from (select doc_id, lookup_key, min(seq) as at_ from mentions group by doc_id, lookup_key) group by doc_id"
 
 
+# Fixed value: points by which a list item is indented.
+INDENT = 18
+
+
 @operator("win17_first_indented_item", "items")
 def _(d):
-    """First list item after a heading on the same page before the next heading."""
-    head = d.first("case when level is not null then seq end", AFTER)
-    item = d.first("case when role = 'list_item' then seq end", AFTER)
-    page = d.first("case when role = 'list_item' then page end", AFTER)
-    return f"select doc_id, seq, case when item_page = page and item < coalesce(next_head, 1000000000) then item end as item from (select doc_id, seq, page, level, {head} as next_head, {item} as item, {page} as item_page from items) where level is not null"
+    """First list item after a heading that is indented against it, on its page and before the next heading of its level or above: one window for each level a heading may have."""
+    heads = ", ".join(f"{d.first(f'case when level = {k} then seq end', AFTER)} as next_{k}" for k in range(1, 7))
+    stop = "least(" + ", ".join(f"coalesce(case when {k} <= level then next_{k} end, 9223372036854775807)" for k in range(1, 7)) + ")"
+    return f"""select h.doc_id, h.seq, min(i.seq) as item from (select doc_id, seq, page, left_pt, level, {stop} as stop from (select doc_id, seq, page, left_pt, level, {heads} from items) where level is not null) h
+      left join items i on i.doc_id = h.doc_id and i.page = h.page and i.role = 'list_item' and i.seq > h.seq and i.seq < h.stop and i.left_pt - h.left_pt >= {INDENT} group by h.doc_id, h.seq"""

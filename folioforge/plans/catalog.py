@@ -8,6 +8,7 @@ spelling of the checking engine.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -66,10 +67,11 @@ def _needed(inputs: tuple[str, ...], seen: list[str], given: frozenset[str] = fr
     return seen
 
 
-def statement(name: str, dialect: Spark) -> str:
-    """The operator with all relations that it is derived from, over the base tables."""
-    operator_ = OPERATORS[name]
-    parts = [(n, _find(n).sql(dialect)) for n in _needed(operator_.inputs, [])]
+def statement(name: str, dialect: Spark, bound: dict[str, str] | None = None) -> str:
+    """The operator with all relations that it is derived from, over the base tables. ``bound``: relations under other names."""
+    operator_, bound = OPERATORS.get(name) or VIEWS[name], bound or {}
+    parts = [(n, f"select * from {x}") for n, x in bound.items()]
+    parts += [(n, _find(n).sql(dialect)) for n in _needed(operator_.inputs, [], frozenset(bound) | frozenset(TABLES))]
     body = operator_.sql(dialect).strip()
     recursive = body.lower().startswith("with recursive") or any(sql.lower().startswith("with recursive") for _, sql in parts)
     head = ", ".join(f"{n} as ({sql})" for n, sql in parts)
@@ -79,12 +81,31 @@ def statement(name: str, dialect: Spark) -> str:
     return f"with {'recursive ' if recursive else ''}{head} {body}" if head else body
 
 
+def apply(spark: SparkSession, name: str, **frames: DataFrame) -> DataFrame:
+    """The operator (or view) over the given frames, one for each of its inputs (other inputs are derived if they can be).
+
+    The frames are bound under names that nobody else has and that are gone when the plan has been analysed, so the
+    caller's own views are neither used nor changed.
+    """
+    bound = {n: f"folioforge_{uuid.uuid4().hex}" for n in frames}
+    try:
+        for n, df in frames.items():
+            df.createOrReplaceTempView(bound[n])
+        return spark.sql(statement(name, SPARK, bound))
+    finally:
+        for x in bound.values():
+            spark.catalog.dropTempView(x)
+
+
+def over_folder(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The operator (or view) over the tables of a data folder."""
+    used = sorted(_tables(OPERATORS.get(name) or VIEWS[name]))
+    return apply(spark, name, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+
+
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        used = sorted(_tables(OPERATORS[name]))
-        for t in used:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        return spark.sql(statement(name, SPARK))
+        return over_folder(spark, sf_dir, name)
 
     run.__name__, run.__doc__ = name, OPERATORS[name].doc
     return run
@@ -101,16 +122,7 @@ def oracle(name: str) -> str:
     return statement(name, DUCKDB)
 
 
-def apply(spark: SparkSession, name: str, **frames: DataFrame) -> DataFrame:
-    """The operator over the given frames, one for each of its inputs (other inputs are derived if they can be)."""
-    operator_ = OPERATORS[name]
-    for n, df in frames.items():
-        df.createOrReplaceTempView(n)
-    given = frozenset(frames) | frozenset(TABLES)
-    parts = [(n, _find(n).sql(SPARK)) for n in _needed(operator_.inputs, [], given)]
-    body, head = operator_.sql(SPARK).strip(), ", ".join(f"{n} as ({sql})" for n, sql in parts)
-    if body.lower().startswith("with recursive "):
-        body = f"with recursive {head + ', ' if head else ''}{body[len('with recursive '):]}"
-    elif head:
-        body = f"with {head} {body}"
-    return spark.sql(body)
+def relations(names: tuple[str, ...], body: str, *recursive: str) -> str:
+    """``body`` in the checking engine's SQL over the relations ``names`` and definitions of its own."""
+    parts = [f"{n} as ({_find(n).sql(DUCKDB)})" for n in _needed(names, [])]
+    return f"with recursive {', '.join([*parts, *recursive])} {body}"

@@ -6,11 +6,49 @@ from __future__ import annotations
 class Spark:
     name = "spark"
 
+    def re(self, pattern: str) -> str:
+        """A pattern as a literal that keeps its backslashes (it may hold one kind of quotes)."""
+        return f"r'{pattern}'" if '"' in pattern else f'r"{pattern}"'
+
     def rlike(self, text: str, pattern: str) -> str:
-        return f"rlike({text}, '{pattern}')"
+        return f"rlike({text}, {self.re(pattern)})"
 
     def replace_all(self, text: str, pattern: str, by: str) -> str:
-        return f"regexp_replace({text}, '{pattern}', '{by}')"
+        return f"regexp_replace({text}, {self.re(pattern)}, '{by}')"
+
+    def part(self, text: str, pattern: str, group: int) -> str:
+        """A group of the first match; empty where there is none."""
+        return f"regexp_extract({text}, {self.re(pattern)}, {group})"
+
+    def last_part(self, text: str, pattern: str, group: int) -> str:
+        """A group of the last match; empty where there is none."""
+        return f"coalesce(element_at(regexp_extract_all({text}, {self.re(pattern)}, {group}), -1), '')"
+
+    def spans(self, relation: str, text: str, pattern: str) -> str:
+        """``relation`` with one row for each match: ``raw`` and the code points before it in ``at_``. One scan, one pass over the text."""
+        p = self.re(pattern)
+        ends = "aggregate(slice({0}, 1, i{1}), 0, (a, x) -> a + length(x))"
+        each = f"transform(found, (m, i) -> named_struct('raw', m, 'at_', {ends.format('pieces', ' + 1')} + {ends.format('found', '')}))"
+        return f"(select * from (select *, regexp_extract_all({text}, {p}, 0) as found, split({text}, {p}, -1) as pieces from {relation} where {self.rlike(text, pattern)}) lateral view inline({each}) x as raw, at_)"
+
+    def exploded(self, relation: str, name: str, *values: str) -> str:
+        """``relation`` with one row for each of the structs ``values`` (alternatives of fields, as ``field: expression`` pairs)."""
+        return f"(select * from (select *, explode(array({', '.join(values)})) as {name} from {relation}))"
+
+    def struct(self, **fields: str) -> str:
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+    def max_delta(self, a: str, b: str) -> str:
+        """Greatest difference of two lists of numbers place by place; null where their lengths differ."""
+        return f"case when size({a}) = size({b}) then array_max(zip_with({a}, {b}, (x, y) -> abs(x - y))) end"
+
+    def row(self, *values: str) -> str:
+        """Values to be compared one after another."""
+        return self.struct(**{f"k{i}": v for i, v in enumerate(values)})
+
+    def padded_id(self, prefix: str, number: str) -> str:
+        """``prefix`` and the number with six digits at least."""
+        return f"{prefix} || lpad(cast({number} as string), cast(greatest(6, length(cast({number} as string))) as int), '0')"
 
     def listagg(self, value: str, order: str, sep: str = ",") -> str:
         return f"listagg({value}, '{sep}') within group (order by {order})"
@@ -34,7 +72,7 @@ class Spark:
 
     def matches(self, relation: str, text: str, pattern: str, group: int, name: str) -> str:
         """``relation`` with one row for each match, numbered from 1 in ``position``."""
-        return f"(select *, position + 1 as position_1 from {relation} lateral view posexplode(regexp_extract_all({text}, '{pattern}', {group})) x as position, {name})"
+        return f"(select *, position + 1 as position_1 from {relation} lateral view posexplode(regexp_extract_all({text}, {self.re(pattern)}, {group})) x as position, {name})"
 
     def split_lines(self) -> str:
         return "select doc_id, cast(pos as bigint) as seq, line from documents lateral view posexplode(split(text, '\\n')) t as pos, line"
@@ -52,11 +90,32 @@ class Spark:
 class DuckDB(Spark):
     name = "duckdb"
 
+    def re(self, pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
     def rlike(self, text: str, pattern: str) -> str:
-        return f"regexp_matches({text}, '{pattern}')"
+        return f"regexp_matches({text}, {self.re(pattern)})"
 
     def replace_all(self, text: str, pattern: str, by: str) -> str:
-        return f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+        return f"regexp_replace({text}, {self.re(pattern)}, '{by}', 'g')"
+
+    def last_part(self, text: str, pattern: str, group: int) -> str:
+        return f"coalesce(regexp_extract_all({text}, {self.re(pattern)}, {group})[-1], '')"
+
+    def spans(self, relation: str, text: str, pattern: str) -> str:
+        p = self.re(pattern)
+        found = f"select *, regexp_extract_all({text}, {p}) as found, string_split_regex({text}, {p}) as pieces from {relation} where {self.rlike(text, pattern)}"
+        at = "list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0)"
+        return f"(select *, found[i] as raw, {at} as at_ from (select *, unnest(range(1, len(found) + 1)) as i from ({found})))"
+
+    def exploded(self, relation: str, name: str, *values: str) -> str:
+        return f"(select *, unnest([{', '.join(values)}]) as {name} from {relation})"
+
+    def struct(self, **fields: str) -> str:
+        return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
+
+    def max_delta(self, a: str, b: str) -> str:
+        return f"case when len({a}) = len({b}) then list_max(list_transform(list_zip({a}, {b}), lambda x: abs(x[1] - x[2]))) end"
 
     def listagg(self, value: str, order: str, sep: str = ",") -> str:
         return f"string_agg({value}, '{sep}' order by {order})"
@@ -77,7 +136,7 @@ class DuckDB(Spark):
         return f"(select *, unnest(string_split({column}, '{sep}')) as {name} from {relation})"
 
     def matches(self, relation: str, text: str, pattern: str, group: int, name: str) -> str:
-        return f"(select *, unnest(range(1, len(found) + 1)) as position_1, unnest(found) as {name} from (select *, regexp_extract_all({text}, '{pattern}', {group}) as found from {relation}))"
+        return f"(select *, unnest(range(1, len(found) + 1)) as position_1, unnest(found) as {name} from (select *, regexp_extract_all({text}, {self.re(pattern)}, {group}) as found from {relation}))"
 
     def split_lines(self) -> str:
         return "select doc_id, cast(unnest(range(len(p))) as bigint) as seq, unnest(p) as line from (select doc_id, string_split(text, chr(10)) as p from documents)"

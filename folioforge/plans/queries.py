@@ -16,10 +16,9 @@ import folioforge.operators.predicates
 import folioforge.operators.windows
 import folioforge.sources.bundles
 import folioforge.sources.fixtures  # noqa: F401
-from folioforge.functions.text import multiset_digest, table_text
-from folioforge.operators import sequential
-from folioforge.plans.catalog import OPERATORS, TABLES, VIEWS, _needed, _tables, operator, oracle, query
-from folioforge.plans.dialect import SPARK
+from folioforge.functions.text import multiset_digest, normalized, table_text
+from folioforge.operators import sequential, trees
+from folioforge.plans.catalog import OPERATORS, operator, oracle, over_folder, query, relations
 
 
 @operator("flagship_reference_resolution", "local_resolution")
@@ -30,11 +29,7 @@ def _(d):
 
 def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture relation as a frame."""
-    for t in TABLES:
-        if t in _tables(VIEWS[name]):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    parts = ", ".join(f"{n} as ({VIEWS[n].sql(SPARK)})" for n in _needed((name,), []))
-    return spark.sql(f"with {parts} select * from {name}")
+    return over_folder(spark, sf_dir, name)
 
 
 def scl03_table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +37,59 @@ def scl03_table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "items").select("doc_id", "seq", table_text(F.col("mtext")).alias("text"))
 
 
+def scl01_normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in normal form with white space collapsed and, beside it, case-folded."""
+    lines = _view(spark, sf_dir, "lines")
+    return lines.select("doc_id", "seq", normalized(F.col("line")).alias("normalized"), normalized(F.col("line"), fold=True).alias("folded"))
+
+
+def scl02_alias_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alias spellings in their lookup form."""
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("source_id"), normalized(F.col("n_name"), fold=True).alias("normalized_alias"))
+
+
+def grf01_preorder_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes in pre-order."""
+    return trees.preorder(_view(spark, sf_dir, "tree"))
+
+
+def grf02_feature_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes reached from a root by label, and those that are not."""
+    tree = _view(spark, sf_dir, "section_tree")
+    found = trees.path_sums(tree).join(tree.select("id", "label"), "id")
+    return found.groupBy("label").agg(F.count("root").alias("reached"), F.count(F.when(F.col("root").isNull(), 1)).alias("unreached"))
+
+
+def grf03_descendant_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descendants of the nodes one level below the root: what has one of them for its root once the root is taken away."""
+    tree = _view(spark, sf_dir, "tree").where("parent_id is not null")
+    below = tree.select("id", F.when(F.col("parent_id") != 0, F.col("parent_id")).alias("parent_id"))
+    return trees.path_sums(below).groupBy(F.col("root").alias("top")).agg((F.count("*") - 1).alias("descendants"), F.max("id").alias("last_id"))
+
+
+def grf04_outline_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outline entries with their level counted from the root, up to the deepest that a heading may have."""
+    levels = trees.path_sums(_view(spark, sf_dir, "tree"), level=F.lit(1))
+    return levels.select("id", F.least(F.col("level"), F.lit(MAX_LEVEL)).cast("bigint").alias("effective_level"))
+
+
+def grf05_retained_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest heading above that is retained."""
+    return trees.nearest_kept(_view(spark, sf_dir, "heading_tree"), ~F.col("replaced"))
+
+
+def flt03_structural_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes in a bibliography section or below one, with the number of such sections at or above them."""
+    marked = _view(spark, sf_dir, "bibliography_sections").select("id", F.lit(1).alias("mark"))
+    sums = trees.path_sums(_view(spark, sf_dir, "tree").join(marked, "id", "left"), times=F.coalesce("mark", F.lit(0)))
+    return sums.where("times > 0").select("id", "times")
+
+
+def val02_section_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth and root of every section; null where it is on a cycle or below one."""
+    return trees.path_sums(_view(spark, sf_dir, "section_tree"), steps=F.lit(1)).select("id", (F.col("steps") - 1).alias("depth"), "root")
+
+
 def agg24_multiset_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-independent digest of the documents."""
     return multiset_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -54,16 +102,15 @@ def srt06_distinct_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jn16_region_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Odd parts of a record as regions, even parts as tables."""
-    boxes = _view(spark, sf_dir, "boxes").select(F.col("box_id").cast("bigint").alias("page"), F.col("part_no").cast("bigint").alias("id"), "l", "b", "r", "t")
-    return sequential.match_regions(boxes.where("id % 2 = 1"), boxes.where("id % 2 = 0"))
+    """Regions of a record with their tables, one to one."""
+    boxes = _view(spark, sf_dir, "region_pairs")
+    return sequential.match_regions(boxes.where("is_region").drop("is_region"), boxes.where("not is_region").drop("is_region"))
 
 
 def grf06_table_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Families of tables by equal headers on neighbouring tables."""
-    tables = _view(spark, sf_dir, "tables").select(F.expr("cast(floor(page / 25) as bigint)").alias("doc_id"), F.col("table_id").cast("bigint").alias("table_id"), "page", "page_table_index")
-    edges = tables.select("doc_id", F.col("table_id").alias("a"), (F.col("table_id") + 1).alias("b"), F.pmod("table_id", F.lit(3)).alias("rank"))
-    return sequential.table_families(edges, tables)
+    """Families of tables by evidence, the stronger kinds first."""
+    order = F.array_position(F.array(*map(F.lit, EVIDENCE)), F.col("evidence"))
+    return sequential.table_families(_view(spark, sf_dir, "family_edges").select("doc_id", "a", "b", order.alias("rank")), _view(spark, sf_dir, "family_tables"))
 
 
 def grf10_grid_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,20 +122,51 @@ def grf10_grid_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grf08_toc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of contents parsed from lines with markers and leaders."""
-    text = "case when seq % 4 = 0 then cast(seq + 1 as string) when seq % 4 = 1 then substr(line, 1, 20) else concat(substr(line, 1, 15), ' ..... ', cast(page as string)) end"
-    rows = _view(spark, sf_dir, "items").where("role in ('list_item', 'text')").selectExpr("doc_id", "cast(0 as bigint) as start_seq", "seq", f"{text} as text")
-    return sequential.parse_toc_rows(rows)
+    return sequential.parse_toc_rows(_view(spark, sf_dir, "toc_rows"))
 
 
 def grf09_toc_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of contents of documents."""
-    rows = _view(spark, sf_dir, "items").selectExpr("doc_id", "seq", "role", "line as text", "role = 'section_header' and (doc_id + seq) % 3 = 0 as is_start")
-    return sequential.find_toc_regions(rows)
+    return sequential.find_toc_regions(_view(spark, sf_dir, "toc_items"))
+
+
+# One-to-one matching step by step: the regions of a page in order, each with its candidates best first, and the tables taken so far.
+MATCHING = (
+    "regions as (select *, row_number() over (partition by page order by t desc, l, b desc, id) as k from region_pairs where is_region)",
+    "meeting as (select x.page, x.k, x.id as region_id, y.id, (least(x.r, y.r) - greatest(x.l, y.l)) * (least(x.t, y.t) - greatest(x.b, y.b)) as both_, (x.r - x.l) * (x.t - x.b) + (y.r - y.l) * (y.t - y.b) as sum_ from regions x left join region_pairs y on y.page = x.page and not y.is_region and least(x.r, y.r) > greatest(x.l, y.l) and least(x.t, y.t) > greatest(x.b, y.b))",
+    "choices as (select page, k, region_id, list({'iou': both_ / (sum_ - both_), 'id': id} order by both_ / (sum_ - both_) desc, id) filter (where both_ / (sum_ - both_) >= 0.5) as found from meeting group by page, k, region_id)",
+    "matched as (select distinct page, cast(0 as bigint) as k, cast([] as bigint[]) as used, cast(null as bigint) as region_id, cast(null as struct(iou double, id bigint)) as pick from regions union all select page, k, case when pick is null then used else list_append(used, pick.id) end, region_id, pick from (select c.page, c.k, m.used, c.region_id, list_filter(c.found, lambda x: not list_contains(m.used, x.id))[1] as pick from matched m join choices c on c.page = m.page and c.k = m.k + 1))",
+)
+EVIDENCE = ("continuation", "footer_run", "exact_header")  # fixed values: evidence of table families in order
+MAX_LEVEL = 6  # fixed value: the deepest level of a heading
+GROUPED = (
+    scl01_normalize_text, scl02_alias_normalization, scl03_table_text, agg24_multiset_digest, srt06_distinct_boxes, jn16_region_matching, grf01_preorder_traversal, grf02_feature_traversal, grf03_descendant_closure,
+    grf04_outline_levels, grf05_retained_parent, grf06_table_families, grf10_grid_topology, grf08_toc_entries, grf09_toc_regions, flt03_structural_exclusion, val02_section_cycles,
+)
+QUERIES = {name: query(name) for name in OPERATORS} | {f.__name__: f for f in GROUPED}
 
 
-GROUPED = (scl03_table_text, agg24_multiset_digest, srt06_distinct_boxes, jn16_region_matching, grf06_table_families, grf10_grid_topology, grf08_toc_entries, grf09_toc_regions)
-QUERIES = {name: query(name) for name in OPERATORS} | {f.__name__: f for f in GROUPED}
+def _by_hand() -> dict[str, str]:
+    """SQL of the checking engine for queries that are no SQL here, over relations of the same names."""
+    walk = "walk as (select id, label, id as root, 0 as depth, lpad(cast(id as varchar), 19, '0') as path from {t} where parent_id is null union all select x.id, x.label, w.root, w.depth + 1, w.path || '/' || lpad(cast(x.id as varchar), 19, '0') from {t} x join walk w on x.parent_id = w.id)"
+    tree, sections = walk.format(t="tree"), walk.format(t="section_tree")
+    squeezed = r"trim(regexp_replace(replace(nfc_normalize({0}), chr(160), ' '), '[\s\x1C-\x1F\x0B\x{{85}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))"
+    folded = "replace(lower({0}), 'ß', 'ss')"
+    line, name = squeezed.format("line"), squeezed.format("n_name")
+    return {
+        "scl01_normalize_text": relations(("lines",), f"select doc_id, seq, {line} as normalized, {folded.format(line)} as folded from lines"),
+        "scl02_alias_normalization": f"select n_nationkey as source_id, {folded.format(name)} as normalized_alias from nation",
+        "scl03_table_text": relations(("items",), f"select doc_id, seq, {squeezed.format('mtext')} as text from items"),
+        "grf01_preorder_traversal": relations(("tree",), f"select id, depth, row_number() over (order by path) as position from walk", tree),
+        "grf02_feature_traversal": relations(("section_tree",), "select t.label, count(w.id) as reached, count(*) - count(w.id) as unreached from section_tree t left join walk w on w.id = t.id group by t.label", sections),
+        "grf03_descendant_closure": relations(("tree",), "select top, count(*) - 1 as descendants, max(id) as last_id from below group by top", "below as (select id as top, id from tree where parent_id = 0 union all select b.top, t.id from tree t join below b on t.parent_id = b.id)"),
+        "grf04_outline_levels": relations(("tree",), f"select id, least({MAX_LEVEL}, depth + 1) as effective_level from walk", tree),
+        "grf05_retained_parent": relations(("heading_tree",), "select u.id, max(case when h.id is not null and not h.replaced then u.at_ end) as parent_id from up u left join heading_tree h on h.id = u.at_ group by u.id", "up as (select id, parent_id as at_ from heading_tree where not replaced union all select u.id, h.parent_id from up u join heading_tree h on h.id = u.at_ where h.replaced)"),
+        "flt03_structural_exclusion": relations(("tree", "bibliography_sections"), "select id, count(*) as times from below group by id", "below as (select id from bibliography_sections union all select t.id from tree t join below b on t.parent_id = b.id)"),
+        "val02_section_cycles": relations(("section_tree",), "select t.id, w.depth, w.root from section_tree t left join walk w on w.id = t.id", sections),
+        "jn16_region_matching": relations(("region_pairs",), "select page, region_id, pick.id as table_id, pick.iou as iou from matched where pick is not null", *MATCHING),
+    }
 
 
 def oracles() -> dict[str, str]:
-    return {name: oracle(name) for name in OPERATORS}
+    return {name: oracle(name) for name in OPERATORS} | _by_hand()

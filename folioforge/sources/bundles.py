@@ -57,13 +57,10 @@ def _(d):
     return f"select transaction_id, sequence, 'cfg-' || substr({d.sha256('''cast(transaction_id as string) || '@' || cast(sequence as string)''')}, 1, 16) as config_id from attempts where state in ('complete', 'complete_with_warnings')"
 
 
-@operator("val19_inventory_closure", "links")
+@operator("val19_inventory_closure", "tree_a", "tree_b")
 def _(d):
     """Files that an inventory and a folder do not have in common with equal digests."""
-    side = "select href, {x} as digest from links where {c} group by href"
-    a = side.format(x=d.sha256("cast(max(position) as string)"), c="page_id % 5 <> 0")
-    b = side.format(x=d.sha256("cast(max(position) as string)"), c="page_id % 5 <> 1")
-    return f"select coalesce(a.href, b.href) as path, case when b.href is null then 'missing' when a.href is null then 'extra' else 'changed' end as violation from ({a}) a full outer join ({b}) b on a.href = b.href where a.digest is distinct from b.digest"
+    return "select coalesce(a.href, b.href) as path, case when b.href is null then 'missing' when a.href is null then 'extra' else 'changed' end as violation from tree_a a full outer join tree_b b on a.href = b.href where a.digest is distinct from b.digest"
 
 
 @operator("val20_source_release", "sources", "roles")
@@ -72,14 +69,14 @@ def _(d):
     return "select source_id, case when pages < 1 then 'pages' when title is null then 'title' else 'role' end as violation from sources where pages < 1 or title is null or role not in (select role from roles where role <> 'recovery_qa_duplicate')"
 
 
-@operator("val22_scoped_acceptance", "agg25_semantic_digest", "items")
+@operator("val22_scoped_acceptance", "agg25_semantic_digest", "accepted_digests")
 def _(d):
-    """Documents whose observed digest or counts differ from the accepted ones."""
-    return f"select o.doc_id from agg25_semantic_digest o join (select doc_id, case when doc_id % 10 = 3 then 'x' else digest end as digest from agg25_semantic_digest) e on e.doc_id = o.doc_id where e.digest is distinct from o.digest"
+    """Documents whose observed digest differs from the accepted one, or that only one side has."""
+    return "select coalesce(o.doc_id, e.doc_id) as doc_id from agg25_semantic_digest o full outer join accepted_digests e on e.doc_id = o.doc_id where e.digest is distinct from o.digest"
 
 
-@operator("val23_production_identity", "accounting")
+@operator("val23_production_identity", "stored_identities")
 def _(d):
     """Candidates whose id is not the digest of their closed fields."""
     x = "'cand:' || cast(source_id as string)"
-    return f"select source_id from (select source_id, {d.sha256(x)} as derived, case when source_id % 9 = 4 then 'tampered' else {d.sha256(x)} end as stored from accounting) where derived <> stored"
+    return f"select source_id from stored_identities where stored <> {d.sha256(x)}"
