@@ -56,9 +56,9 @@ def _(d):
 @view("target_keys", "target_index")
 def _(d):
     """Every key under which a target is found: its own, the number that a section's begins with, a page's without the word."""
-    return f"""select distinct doc_id, lookup_key, target_type, page, target_id from (select doc_id, lookup_key, target_type, page, target_id from target_index
-      union all select doc_id, {d.part('lookup_key', '^[0-9]+(?:[.][0-9]+)*', 0)}, target_type, page, target_id from target_index where target_type = 'section'
-      union all select doc_id, substr(lookup_key, 6), target_type, page, target_id from target_index where target_type = 'printed_page' and lookup_key like 'page %') where lookup_key <> ''"""
+    other = f"case target_type when 'section' then {d.part('lookup_key', '^[0-9]+(?:[.][0-9]+)*', 0)} when 'printed_page' then case when lookup_key like 'page %' then substr(lookup_key, 6) end end"
+    keyed = d.exploded("target_index", "x", d.struct(key="lookup_key"), d.struct(key=other))
+    return f"select distinct doc_id, x.key as lookup_key, target_type, page, target_id from {keyed} where x.key <> ''"
 
 
 TABLE_PAGE_WINDOW = 10

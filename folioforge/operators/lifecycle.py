@@ -97,17 +97,17 @@ def _(d):
     return "select x.doc_id, coalesce(m.n, 0) as mentions from documents x left join (select doc_id, count(*) as n from mentions group by doc_id) m on m.doc_id = x.doc_id"
 
 
-@view("local_resolution", "mentions", "key_matches", "family", "document_sources")
+@view("local_resolution", "mentions", "target_keys", "family", "document_sources")
 def _(d):
     """Outcome of references within their document, first reason first: no targets for figures, tables elsewhere, targets found, targets too far, other documents of the family, other documents, none."""
     external = d.rlike("m.suffix", EXTERNAL_TABLE)
     return f"""select doc_id, seq, span_start, page, mention_class, lookup_key, case when reason is not null then 'unresolved' when candidates = 1 then 'resolved' else 'ambiguous' end as status, reason
-      from (select doc_id, seq, span_start, page, mention_class, lookup_key, candidates, case when mention_class = 'figure' then 'target_type_unavailable' when external then 'qualified_external_table' when candidates > 0 then null when matches > 0 then 'outside_table_window'
-          when mention_class in ('appendix', 'document') and in_family then 'deferred_cross_document' when mention_class = 'document' then 'external_document' else 'no_local_alias' end as reason
-        from (select m.doc_id, m.seq, m.span_start, m.page, m.mention_class, m.lookup_key, m.mention_class = 'table' and {external} as external, coalesce(k.matches, 0) as matches, coalesce(k.candidates, 0) as candidates, f.alias is not null as in_family from mentions m
-          left join (select doc_id, seq, span_start, count(distinct target_id) as matches, count(distinct case when mention_class <> 'table' or abs(target_page - page) <= {TABLE_PAGE_WINDOW} then target_id end) as candidates from key_matches group by doc_id, seq, span_start) k
-            on k.doc_id = m.doc_id and k.seq = m.seq and k.span_start = m.span_start
-          left join document_sources s on s.doc_id = m.doc_id left join (select distinct root_id, alias from family) f on f.root_id = s.root_id and f.alias = m.lookup_key))"""
+      from (select k.doc_id, k.seq, k.span_start, k.page, k.mention_class, k.lookup_key, k.candidates, case when k.mention_class = 'figure' then 'target_type_unavailable' when k.external then 'qualified_external_table' when k.candidates > 0 then null when k.matches > 0 then 'outside_table_window'
+          when k.mention_class in ('appendix', 'document') and f.alias is not null then 'deferred_cross_document' when k.mention_class = 'document' then 'external_document' else 'no_local_alias' end as reason
+        from (select m.doc_id, m.seq, m.span_start, m.page, m.mention_class, m.lookup_key, m.external, count(distinct t.target_id) as matches, count(distinct case when m.mention_class <> 'table' or abs(t.page - m.page) <= {TABLE_PAGE_WINDOW} then t.target_id end) as candidates
+          from (select m.*, m.mention_class = 'table' and {external} as external from mentions m) m left join target_keys t on t.doc_id = m.doc_id and t.target_type = m.mention_class and t.lookup_key = m.lookup_key
+          group by m.doc_id, m.seq, m.span_start, m.page, m.mention_class, m.lookup_key, m.external) k
+        left join document_sources s on s.doc_id = k.doc_id left join (select distinct root_id, alias from family) f on f.root_id = s.root_id and f.alias = k.lookup_key)"""
 
 
 @operator("lif11_local_resolution", "local_resolution")

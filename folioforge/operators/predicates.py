@@ -6,10 +6,14 @@ from folioforge.functions.scalars import iou
 from folioforge.plans.catalog import operator, view
 
 
+# Fixed value: items in which references are looked for.
+ELIGIBLE = "layer = 'body' and level is null and role in ('text', 'list_item', 'caption', 'footnote')"
+
+
 @operator("flt01_mention_sources", "items")
 def _(d):
     """Items in which references are looked for."""
-    return "select doc_id, seq from items where layer = 'body' and level is null and role in ('text', 'list_item', 'caption', 'footnote')"
+    return f"select doc_id, seq from items where {ELIGIBLE}"
 
 
 # Blocks that are not searched, in order; the first two must hold of the whole block.
@@ -22,11 +26,16 @@ EXCLUSIONS = {
 WHOLE = ("page_furniture", "standalone_target_label")
 
 
+def exclusion(d) -> str:
+    """The first reason why a block as a whole is not searched."""
+    whens = " ".join(f"when {d.rlike('trim(mtext)' if k in WHOLE else 'mtext', p)} then '{k}'" for k, p in EXCLUSIONS.items())
+    return f"case {whens} end"
+
+
 @view("block_exclusions", "items")
 def _(d):
     """Reason why a block as a whole is not searched; the first that holds."""
-    whens = " ".join(f"when {d.rlike('trim(mtext)' if k in WHOLE else 'mtext', p)} then '{k}'" for k, p in EXCLUSIONS.items())
-    return f"select doc_id, seq, case {whens} end as reason from items"
+    return f"select doc_id, seq, {exclusion(d)} as reason from items"
 
 
 @operator("flt02_block_exclusions", "block_exclusions")
@@ -42,12 +51,11 @@ EXTERNAL_SECTION = r"(?i)^\s+of\s+(?:the\s+)?[^.;:\n]{0,80}(?:Agreement|UWMP|Pla
 STATUTORY_DIGITS = 4
 
 
-@view("reference_dispositions", "references_found")
-def _(d):
-    """Whether a reference is local, statutory, to a section elsewhere, or page furniture."""
-    return f"""select doc_id, seq, span_start, mention_class, case when mention_class = 'section' then case when {d.rlike('suffix', STATUTORY)} then 'statutory' when {d.rlike('suffix', THIS_AGREEMENT)} then case when {STATUTORY_DIGITS} <= length(regexp_extract(lookup_key, '^[0-9]+', 0)) then 'statutory' else 'local' end
-        when {d.rlike('suffix', EXTERNAL_SECTION)} then 'qualified_external_section' when length(regexp_extract(lookup_key, '^[0-9]+', 0)) >= {STATUTORY_DIGITS} then 'statutory' else 'local' end
-      when mention_class = 'printed_page' and {d.rlike('suffix', PAGE_TOTAL)} then 'page_furniture' else 'local' end as disposition from references_found"""
+def disposition(d) -> str:
+    """Whether a reference (its class, key and what follows) is local, statutory, to a section elsewhere, or page furniture."""
+    by_number = f"case when length(regexp_extract(lookup_key, '^[0-9]+', 0)) >= {STATUTORY_DIGITS} then 'statutory' else 'local' end"
+    return f"""case when mention_class = 'section' then case when {d.rlike('suffix', STATUTORY)} then 'statutory' when {d.rlike('suffix', THIS_AGREEMENT)} then {by_number} when {d.rlike('suffix', EXTERNAL_SECTION)} then 'qualified_external_section' else {by_number} end
+      when mention_class = 'printed_page' and {d.rlike('suffix', PAGE_TOTAL)} then 'page_furniture' else 'local' end"""
 
 
 @operator("flt04_section_dispositions", "references_found")

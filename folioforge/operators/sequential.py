@@ -6,7 +6,10 @@ document, not the corpus.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,18 +50,31 @@ def distinct_boxes(boxes: DataFrame, threshold: float = 0.95) -> DataFrame:
 
 
 def match_regions(regions: DataFrame, tables: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Each region of a page, in visual order, takes the remaining table of greatest overlap, if it is enough."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out, used = [], set()
-        for x in left.sort_values(["t", "l", "b", "id"], ascending=[False, True, False, True]).itertuples(index=False):
-            ranked = sorted(((-_iou(x, y), y.id) for y in right.itertuples(index=False) if y.id not in used))
-            if ranked and -ranked[0][0] >= threshold:
-                used.add(ranked[0][1])
-                out.append((x.page, x.id, ranked[0][1], -ranked[0][0]))
-        return pd.DataFrame(out, columns=["page", "region_id", "table_id", "iou"])
-
-    return _cogrouped(regions, tables, "page").applyInPandas(run, "page bigint, region_id bigint, table_id bigint, iou double")
+    """Each region (page, id, l, b, r, t) of a page, in visual order, takes the remaining table of greatest overlap, if it is enough. A page's boxes meet in one row, and rows are worked off in batches."""
+    box = F.struct("id", "l", "b", "r", "t")
+    left = regions.groupBy("page").agg(F.collect_list(box).alias("regions"))
+    right = tables.groupBy("page").agg(F.collect_list(box).alias("tables"))
+
+    def overlap(a: dict, b: dict) -> float:
+        w, h = min(a["r"], b["r"]) - max(a["l"], b["l"]), min(a["t"], b["t"]) - max(a["b"], b["b"])
+        if w <= 0 or h <= 0:
+            return 0.0
+        return w * h / ((a["r"] - a["l"]) * (a["t"] - a["b"]) + (b["r"] - b["l"]) * (b["t"] - b["b"]) - w * h)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for page, boxes, free in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for x in sorted(boxes, key=lambda x: (-x["t"], x["l"], -x["b"], x["id"])):
+                    ranked = min(((-overlap(x, y), y["id"], k) for k, y in enumerate(free)), default=None)
+                    if ranked and -ranked[0] >= threshold:
+                        out.append((page, x["id"], ranked[1], -ranked[0]))
+                        free.pop(ranked[2])
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.float64())], names=["page", "region_id", "table_id", "iou"])
+
+    ship(regions.sparkSession)
+    return left.join(right, "page").select("page", "regions", "tables").mapInArrow(run, "page bigint, region_id bigint, table_id bigint, iou double")
 
 
 def select_spans(spans: DataFrame) -> DataFrame:

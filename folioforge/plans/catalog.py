@@ -87,6 +87,8 @@ def apply(spark: SparkSession, name: str, **frames: DataFrame) -> DataFrame:
     The frames are bound under names that nobody else has and that are gone when the plan has been analysed, so the
     caller's own views are neither used nor changed.
     """
+    import folioforge.plans.queries  # noqa: F401  (every module with definitions is loaded)
+
     bound = {n: f"folioforge_{uuid.uuid4().hex}" for n in frames}
     try:
         for n, df in frames.items():

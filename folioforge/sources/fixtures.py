@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from folioforge.operators.predicates import ELIGIBLE, disposition, exclusion
 from folioforge.plans.catalog import view
 
 
@@ -139,20 +140,20 @@ REFERENCE = (
 
 @view("references_found", "items")
 def _(d):
-    """References of all items, every match of the grammar: class, spelling, half-open span in code points, what follows, lookup key. One pass over the text."""
+    """References of all items, every match of the grammar: class, spelling, half-open span in code points, what stands around it, lookup key; and what is known of the item. One scan, one pass over the text."""
     raw = d.replace_all("raw", r"\s*\($", "")
     token = f"lower({d.part('raw_text', r'\s(\S+)$', 1)})"
-    return f"""select doc_id, seq, page, layer, role, mention_class, raw_text, span_start, span_end, substr(mtext, cast(span_end + 1 as int)) as suffix, substr(mtext, cast(greatest(1, span_start - 63) as int), cast(least(64, span_start) as int)) as prefix,
+    known = f"(select doc_id, seq, page, mtext, {ELIGIBLE} as eligible, {exclusion(d)} as excluded_by from items)"
+    return f"""select doc_id, seq, page, eligible, excluded_by, mention_class, raw_text, span_start, span_end, substr(mtext, cast(span_end + 1 as int)) as suffix, substr(mtext, cast(greatest(1, span_start - 63) as int), cast(least(64, span_start) as int)) as prefix,
       case mention_class when 'document' then lower(raw_text) when 'section' then {token} when 'printed_page' then {token} else mention_class || ' ' || {token} end as lookup_key
       from (select *, cast(at_ as bigint) as span_start, cast(at_ + length(raw_text) as bigint) as span_end, case lower(substr(raw_text, 1, 4)) when 'sect' then 'section' when 'appe' then 'appendix' when 'tabl' then 'table' when 'figu' then 'figure' when 'page' then 'printed_page' else 'document' end as mention_class
-        from (select *, {raw} as raw_text from {d.spans('items', 'mtext', REFERENCE)}))"""
+        from (select *, {raw} as raw_text from {d.spans(known, 'mtext', REFERENCE)}))"""
 
 
-@view("mentions", "references_found", "flt01_mention_sources", "block_exclusions", "reference_dispositions")
+@view("mentions", "references_found")
 def _(d):
     """References that count: in items that are searched, not in blocks that are left out, and neither statutory nor external nor page furniture."""
-    return """select r.doc_id, r.seq, r.page, r.mention_class, r.raw_text, r.span_start, r.span_end, r.suffix, r.prefix, r.lookup_key from references_found r join reference_dispositions x on x.doc_id = r.doc_id and x.seq = r.seq and x.span_start = r.span_start
-      join flt01_mention_sources s on s.doc_id = r.doc_id and s.seq = r.seq left join block_exclusions b on b.doc_id = r.doc_id and b.seq = r.seq where x.disposition = 'local' and b.reason is null"""
+    return f"select doc_id, seq, page, mention_class, raw_text, span_start, span_end, suffix, prefix, lookup_key from references_found where eligible and excluded_by is null and {disposition(d)} = 'local'"
 
 
 @view("candidates", "customer")
@@ -511,7 +512,7 @@ def _(d):
 @view("region_pairs", "boxes")
 def _(d):
     """Odd parts of a record as regions, even parts as tables."""
-    return "select cast(box_id as bigint) as page, cast(part_no as bigint) as id, part_no % 2 = 1 as is_region, l, b, r, t from boxes"
+    return "select cast(box_id as bigint) as page, cast(row_number() over (partition by box_id order by part_no, l, b, r, t) as bigint) as id, part_no % 2 = 1 as is_region, l, b, r, t from boxes"
 
 
 @view("family_tables", "tables")
