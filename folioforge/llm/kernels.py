@@ -46,6 +46,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES["p"], _TABLES["q"]
 
 
+def forget_tables() -> None:
+    """Drop the tables of powers, which a driver that has fitted a model does not need any more."""
+    _TABLES.clear()
+
+
 def classes(kind: str) -> np.ndarray:
     """256 booleans: which bytes belong to a word. ``space``: all but ASCII white space. ``alnum``: ASCII letters, digits and all beyond ASCII."""
     if kind not in _TABLES:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.kernels import U64, Words, _byte_values, _powers, blocks, column_bytes, mix
+from folioforge.llm.kernels import U64, Words, _byte_values, _powers, blocks, column_bytes, forget_tables, mix
 from folioforge.llm.storage import mapped, release
 
 BITS, MAX_CHAIN, LEXICON_MIN, MAX_LANGUAGES = 17, 64, 5, 256
@@ -268,6 +268,7 @@ def train(docs: DataFrame, learn: Column, doc_id: str, text: str, lang: str, per
         if counts[name] <= per_language:
             kept.append((body, names.index(name)))
     model = fit([t for t, _ in kept], [k for _, k in kept], len(names), max_chains)
+    forget_tables()
     release()
     return names, model
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,7 @@ class Scratch:
         """Write ``df`` and read it back: lineage ends here, so a lost executor costs one stage at most."""
         path = f"{self.root}/{name}"
         df.write.option("compression", codec).parquet(path)
+        release(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -58,13 +61,25 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def release() -> None:
-    """Give memory that a fit on the driver no longer needs back to the system."""
+_RELEASED = [0.0]
+PAUSE = 8.0  # seconds between collections on the driver
+
+
+def release(spark: SparkSession | None = None) -> None:
+    """Give memory that the driver no longer needs back to the system. With ``spark`` its JVM collects too, now and then,
+    which also lets Spark delete the shuffle files and broadcasts of finished steps."""
+    if spark is not None:
+        if time.monotonic() - _RELEASED[0] < PAUSE:
+            return
+        _RELEASED[0] = time.monotonic()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library keeps it for later use
         pass
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
 
 
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:

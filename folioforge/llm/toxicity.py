@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.kernels import U64, Words, _byte_values, _powers, blocks, column_bytes, mix
+from folioforge.llm.kernels import U64, Words, _byte_values, _powers, blocks, column_bytes, forget_tables, mix
 from folioforge.llm.storage import mapped, release
 
 PREFIXES = (4, 5, 6, 7, 8, 9)
@@ -129,6 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, doc_id: str, text:
     rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
     model = fit([r[1:] for r in rows], bits, max_features)
     del rows
+    forget_tables()
     release()
     return model
 
