@@ -30,4 +30,4 @@ def test_entry(spark):
     import __spark_entry__
 
     rows = __spark_entry__.entry(spark).collect()
-    assert rows and sum(r.n for r in rows) == QUERIES["scl07_mention_grammar"](spark, DATA).count()
+    assert rows and sum(r.n for r in rows) == sum(r.mentions for r in QUERIES["lif10_mention_manifest"](spark, DATA).collect())
