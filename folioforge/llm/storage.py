@@ -7,6 +7,7 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,16 +74,27 @@ def release(spark: SparkSession | None = None) -> None:
             return
         _RELEASED[0] = time.monotonic()
     gc.collect()
+    _give_back()
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
+
+
+def _give_back() -> None:
+    """Freed memory that Arrow and the C library hold for later use."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library keeps it for later use
+    except (OSError, AttributeError):  # another C library keeps it
         pass
-    if spark is not None:
-        spark.sparkContext._jvm.System.gc()
 
 
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInArrow`` with the package at hand on the executors."""
+    """``mapInArrow`` with the package at hand on the executors. A worker outlives its task, so each task ends by giving
+    back what it has freed; otherwise idle workers keep the peak of every operator that ran in them."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task, schema)
