@@ -20,7 +20,7 @@ def _(d):
 @operator("grf07_scope_forest", "scopes")
 def _(d):
     """Parent of a scope: the smallest one that holds it."""
-    return """select a.doc_id, a.s, a.e, max_by(b.s, b.s * 1000 - b.e) as parent_start from scopes a left join scopes b on b.doc_id = a.doc_id and b.s <= a.s and b.e >= a.e and (b.s < a.s or b.e > a.e)
+    return f"""select a.doc_id, a.s, a.e, max_by(b.s, {d.row('b.s', '-b.e')}) as parent_start from scopes a left join scopes b on b.doc_id = a.doc_id and b.s <= a.s and b.e >= a.e and (b.s < a.s or b.e > a.e)
       group by a.doc_id, a.s, a.e"""
 
 
@@ -88,10 +88,18 @@ def _(d):
       left join (select doc_id, min(seq) as first_heading from heading_parents group by doc_id) x on x.doc_id = i.doc_id"""
 
 
-@operator("grf14_ordered_children", "heading_parents")
+@view("direct_content", "items", "heading_parents")
 def _(d):
-    """Child sections of a section in order."""
-    return f"select doc_id, parent_seq, {d.listagg('cast(seq as string)', 'seq')} as children from heading_parents where parent_seq is not null group by doc_id, parent_seq"
+    """Body items with the section that they stand in, that of the latest heading; a heading is the first content of its own."""
+    section = d.last("h.seq", "partition by i.doc_id order by i.seq rows between unbounded preceding and current row")
+    return f"select doc_id, section, seq from (select i.doc_id, i.seq, i.layer, {section} as section from items i left join heading_parents h on h.doc_id = i.doc_id and h.seq = i.seq) where layer = 'body' and section is not null"
+
+
+@operator("grf14_ordered_children", "direct_content", "heading_parents")
+def _(d):
+    """Direct content and child sections of a section in document order."""
+    return f"""select doc_id, parent_seq, {d.listagg("kind || ':' || cast(seq as string)", 'seq')} as children from (select doc_id, section as parent_seq, seq, 'content' as kind from direct_content
+      union all select doc_id, parent_seq, seq, 'section' from heading_parents where parent_seq is not null) group by doc_id, parent_seq"""
 
 
 @operator("grf15_text_owners", "cells", "grid")

@@ -150,11 +150,40 @@ def _(d):
     return f"select box_id, part_no, width, height from ruled_regions where {' and '.join(f'{k} >= {v}' for k, v in RULED.items())}"
 
 
-@operator("flt14_network_candidates", "boxes")
+# Fixed value: greatest share of a candidate that ruled boxes may cover.
+MAX_RULING_COVERAGE = 0.1
+
+CANDIDATE = "box_id, part_no, cl, cb, cr, ct"
+
+
+@view("ruling_overlaps", "network_boxes", "ruled_boxes")
+def _(d):
+    """What each ruled box covers of a candidate (its own edges as cl, cb, cr, ct)."""
+    return """select x.box_id, x.part_no, x.l as cl, x.b as cb, x.r as cr, x.t as ct, greatest(x.l, y.l) as l, greatest(x.b, y.b) as b, least(x.r, y.r) as r, least(x.t, y.t) as t
+      from network_boxes x join ruled_boxes y on y.box_id = x.box_id where x.l < y.r and y.l < x.r and x.b < y.t and y.b < x.t"""
+
+
+@view("ruling_strips", "ruling_overlaps")
+def _(d):
+    """Upright strips of a candidate between neighbouring edges of its overlaps."""
+    return f"""select {CANDIDATE}, e as x1, lead(e) over (partition by {CANDIDATE} order by e) as x2
+      from (select {CANDIDATE}, l as e from ruling_overlaps union select {CANDIDATE}, r as e from ruling_overlaps)"""
+
+
+@view("ruling_lengths", "ruling_overlaps", "ruling_strips")
+def _(d):
+    """What each overlap adds, from below, to the covered height of a strip."""
+    same = " and ".join(f"s.{c} = o.{c}" for c in CANDIDATE.split(", "))
+    key = ", ".join(f"o.{c}" for c in CANDIDATE.split(", "))
+    below = f"max(o.t) over (partition by {key}, s.x1 order by o.b, o.t rows between unbounded preceding and 1 preceding)"
+    return f"select {key}, s.x2 - s.x1 as width, greatest(cast(0 as double), o.t - greatest(o.b, coalesce({below}, o.b))) as height from ruling_strips s join ruling_overlaps o on {same} and o.l <= s.x1 and o.r >= s.x2"
+
+
+@operator("flt14_network_candidates", "network_boxes", "ruling_lengths")
 def _(d):
-    """Candidates of which ruled boxes of their record cover a tenth at most (area of the overlap with the first box)."""
-    cover = "greatest(0.0, least(x.r, y.r) - greatest(x.l, y.l)) * greatest(0.0, least(x.t, y.t) - greatest(x.b, y.b))"
-    return f"select x.box_id, x.part_no, {cover} / ((x.r - x.l) * (x.t - x.b)) <= 0.1 as kept from boxes x join boxes y on x.box_id = y.box_id and y.part_no = 1 where x.part_no > 1"
+    """Share of each candidate that all ruled boxes of its record cover together, and whether it is small enough to keep the candidate."""
+    return f"""select box_id, part_no, coverage, coverage <= {MAX_RULING_COVERAGE} as kept from (select x.box_id, x.part_no, round(coalesce(c.area / nullif((x.r - x.l) * (x.t - x.b), 0), cast(0 as double)), 9) as coverage from network_boxes x
+      left join (select {CANDIDATE}, sum(width * height) as area from ruling_lengths group by {CANDIDATE}) c on c.box_id = x.box_id and c.part_no = x.part_no and c.cl = x.l and c.cb = x.b and c.cr = x.r and c.ct = x.t)"""
 
 
 @view("accepted_regions", "boxes")

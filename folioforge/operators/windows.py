@@ -56,17 +56,18 @@ def _(d):
     return "select doc_id, seq, level, parent_seq from heading_parents"
 
 
-@view("epochs", "items", "regimes")
+@view("scope_exits", "items", "scopes")
 def _(d):
-    """Count of scope ends up to each item: a scope is cleared before the item at which it ends."""
-    return f"""select doc_id, seq, level, cast(sum(ends) over ({UPTO}) as bigint) as epoch from (select i.doc_id, i.seq, i.level, count(r.end_seq) as ends from items i
-      left join regimes r on r.doc_id = i.doc_id and r.end_seq = i.seq group by i.doc_id, i.seq, i.level)"""
+    """Ends of nested scopes at an item: before it, what stands open in the scope around is closed."""
+    inner = d.row("b.s", "-b.e")
+    return f"""select x.doc_id, x.around_s, x.around_e, x.s, x.e as boundary_seq from (select a.doc_id, a.s, a.e, max_by(b.s, {inner}) as around_s, max_by(b.e, {inner}) as around_e from scopes a
+      join scopes b on b.doc_id = a.doc_id and b.s <= a.s and b.e >= a.e and (b.s < a.s or b.e > a.e) group by a.doc_id, a.s, a.e) x join items i on i.doc_id = x.doc_id and i.seq = x.e"""
 
 
-@operator("win05_scope_exit_epochs", "epochs")
+@operator("win05_scope_exit_epochs", "scope_exits")
 def _(d):
-    """Epochs of clearing events."""
-    return "select doc_id, epoch, min(seq) as first_seq, count(*) as items from epochs group by doc_id, epoch"
+    """Items before which scopes around are cleared, with the number of scopes that end there and the epoch of the scope around that begins."""
+    return "select doc_id, around_s, around_e, boundary_seq, n as ended, cast(row_number() over (partition by doc_id, around_s, around_e order by boundary_seq) as bigint) as epoch from (select doc_id, around_s, around_e, boundary_seq, count(*) as n from scope_exits group by doc_id, around_s, around_e, boundary_seq)"
 
 
 @operator("win06_sparse_depth", "heading_parents")

@@ -231,6 +231,18 @@ def _(d):
     return "select box_id, part_no, r - l as width, (t - b) / 8 as height, cast(part_no as bigint) + 1 as intersections from boxes"
 
 
+@view("network_boxes", "boxes")
+def _(d):
+    """Boxes of a parser that needs no rulings."""
+    return "select distinct box_id, part_no, l, b, r, t from boxes where part_no > 3"
+
+
+@view("ruled_boxes", "boxes")
+def _(d):
+    """Boxes that rulings enclose."""
+    return "select box_id, l, b, r, t from boxes where part_no <= 3"
+
+
 @view("bibliography_sections", "tree")
 def _(d):
     """Sections that hold a bibliography."""

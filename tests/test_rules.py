@@ -167,6 +167,26 @@ def test_tables_follow_the_last_event_before_them(spark):
     assert rows(apply(spark, "jn28_attach_by_page", page_tables=tables, body_events=events), "table_id", "after_seq") == [(10, -1), (11, 7), (12, -1)]
 
 
+def test_rulings_cover_candidates_together(spark):
+    candidates = spark.createDataFrame([(1, 4, 0.0, 0.0, 10.0, 10.0), (1, 5, 0.0, 0.0, 100.0, 10.0), (1, 6, 3.0, 3.0, 3.0, 6.0), (2, 4, 0.0, 0.0, 10.0, 10.0)], "box_id bigint, part_no int, l double, b double, r double, t double")
+    ruled = spark.createDataFrame([(1, 0.0, 0.0, 5.0, 5.0), (1, 0.0, 0.0, 5.0, 5.0), (1, 2.0, 2.0, 7.0, 7.0), (2, 10.0, 0.0, 20.0, 10.0)], "box_id bigint, l double, b double, r double, t double")
+    got = apply(spark, "flt14_network_candidates", network_boxes=candidates, ruled_boxes=ruled)
+    assert rows(got, "box_id", "part_no", "coverage", "kept") == [(1, 4, 0.41, False), (1, 5, 0.041, True), (1, 6, 0.0, True), (2, 4, 0.0, True)]
+
+
+def test_children_are_content_and_sections_in_order(spark, items):
+    head = dict(role="section_header")
+    one = items(item(0), item(1, level=1, **head), item(2), item(3, level=2, **head), item(4), item(5, role="page_footer", layer="furniture"), item(6, level=1, **head))
+    got = {r.parent_seq: r.children for r in apply(spark, "grf14_ordered_children", items=one).collect()}
+    assert got == {1: "content:1,content:2,section:3", 3: "content:3,content:4", 6: "content:6"}
+
+
+def test_ends_of_nested_scopes_clear_the_scope_around(spark, items):
+    scopes = spark.createDataFrame([(1, 0, 16), (1, 0, 8), (1, 8, 16), (1, 2, 4), (1, 20, 24)], "doc_id bigint, s bigint, e bigint")
+    got = apply(spark, "win05_scope_exit_epochs", items=items(*[item(k) for k in range(30)]), scopes=scopes)
+    assert rows(got, "around_s", "around_e", "boundary_seq", "ended", "epoch") == [(0, 8, 4, 1, 1), (0, 16, 8, 1, 1), (0, 16, 16, 1, 2)]
+
+
 def test_trees_by_pointer_doubling(spark):
     from pyspark.sql import functions as F
 
