@@ -94,10 +94,17 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: tokens of two tokenizers, the groups that both cut, and how often their links occur in the corpus."""
+    from folioforge.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity_severity, op2_pseudonyms, op3_decontamination, op4_source_mixing, op5_quality_divergence,
-        op6_language, op7_line_dedup, op8_lm_score, op9_ngram_jaccard, op10_secret_ledger,
+        op6_language, op7_line_dedup, op8_lm_score, op9_ngram_jaccard, op10_secret_ledger, op11_cross_tokenizer,
     )
 }
