@@ -29,9 +29,11 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +43,10 @@ from folioforge.llm.storage import Scratch, mapped, partitions_for
 TOKENIZERS = "/opt/tokenizers"
 RUN_RECORDS = 2_000_000
 DOC_BITS = 20
-REMEMBERED = 250_000, 16_000_000  # pieces, and their characters, that outlive a run
+REMEMBERED = 400_000, 24_000_000  # pieces, and their characters: beyond these a run ends
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 BLOCK = 65_536
+NONE = np.zeros(0, np.int64)
 
 
 class Pair:
@@ -66,6 +69,10 @@ class Pair:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         self.size_a, self.size_b = max(ranks.values()) + 1, len(pieces)
+        self.size = max(self.size_a, self.size_b)
+        self.width_a, self.width_b = np.zeros(self.size_a, np.int64), np.array(list(map(len, self.bytes_b)))
+        self.width_a[list(self.bytes_a)] = list(map(len, self.bytes_a.values()))
+        self.said = [f"{sep}{i}" for sep in ";|," for i in range(self.size)]
         self.forget()
 
     def forget(self) -> None:
@@ -81,43 +88,43 @@ class Pair:
             return [text]
         return re.split(r"(?<=\S) (?!\Z)", text) if re.search(r"\s |\A | \Z", text) else text.split(" ")
 
-    def look_up(self, piece: str) -> int:
-        k = self.ids.get(piece)
-        if k is None:
-            k = self.ids[piece] = len(self.groups)
-            self._align(piece)
-        return k
-
-    def _align(self, piece: str) -> None:
-        a, b = self.a.encode_ordinary(" " + piece), self.b.encode(piece)
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        whole = (" " + piece).encode()
-        self.chars += len(piece)
-        if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
-            self.groups.append("")
-            self.counts.append(())
-            self.pairs.append(np.zeros(0, np.int64))
+    def learn(self, pieces: list[str]) -> None:
+        """Encode and align pieces that are new, all at once."""
+        for p in pieces:
+            self.ids[p] = len(self.ids)
+        a, b = [self.a.encode_ordinary(" " + p) for p in pieces], self.b.encode(pieces, num_threads=1)
+        whole = [(" " + p).encode() for p in pieces]
+        same = [b"".join([self.bytes_a[i] for i in x]) == w and b"".join([self.bytes_b[i] for i in y]) == w for x, y, w in zip(a, b, whole, strict=True)]
+        self.chars += sum(map(len, pieces))
+        found = self._cut([x for x, ok in zip(a, same, strict=True) if ok], [y for y, ok in zip(b, same, strict=True) if ok])
+        for ok in same:
+            groups, counts, pairs = next(found) if ok else ("", (), NONE)
+            self.groups.append(groups)
+            self.counts.append(counts)
+            self.pairs.append(pairs)
+
+    def _cut(self, a: list[list[int]], b: list[list[int]]) -> Iterator[tuple[str, tuple[int, ...], np.ndarray]]:
+        """Of each of some texts that both tokenizers spell alike: its groups, COUNTS and links."""
+        if not a:
             return
-        i = j = first_a = first_b = 0
-        end_a, end_b = len(parts_a[0]), len(parts_b[0])
-        groups, pairs = [], []
-        while i < len(a):  # one step for each stretch between two ends
-            pairs.append(b[j] << 32 | a[i])
-            if end_a == end_b:
-                i, j = i + 1, j + 1
-                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                first_a, first_b = i, j
-                if i < len(a):
-                    end_a, end_b = end_a + len(parts_a[i]), end_b + len(parts_b[j])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(parts_a[i])
-            else:
-                j += 1
-                end_b += len(parts_b[j])
-        self.groups.append(";".join(groups))
-        self.counts.append((len(a), len(b), len(groups), len(pairs)))
-        self.pairs.append(np.array(pairs, np.int64))
+        n_a, n_b = np.array(list(map(len, a))), np.array(list(map(len, b)))
+        flat_a, flat_b = np.fromiter(chain.from_iterable(a), np.int64), np.fromiter(chain.from_iterable(b), np.int64)
+        ends_a, ends_b = np.cumsum(self.width_a[flat_a]), np.cumsum(self.width_b[flat_b])
+        last = ends_a[np.cumsum(n_a) - 1]
+        ends, common = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
+        pairs = flat_b[np.searchsorted(ends_b, ends)] << 32 | flat_a[np.searchsorted(ends_a, ends)]
+        to = np.searchsorted(ends, last, "right")
+        n_links, n_groups = np.diff(to, prepend=0), np.diff(np.searchsorted(common, last, "right"), prepend=0)
+        in_a, in_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        sep = [np.where(np.diff(g, prepend=-1) > 0, first, 2) for first, g in ((0, in_a), (1, in_b))]
+        codes = np.concatenate((sep[0] * self.size + flat_a, sep[1] * self.size + flat_b))
+        order = np.argsort(np.concatenate((in_a * 2, in_b * 2 + 1)), kind="stable")
+        said = list(map(self.said.__getitem__, codes[order].tolist()))
+        at = 0
+        for k, counts in enumerate(zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist(), strict=True)):
+            size = counts[0] + counts[1]
+            yield "".join(said[at : at + size])[1:], counts, pairs[to[k] - counts[3] : to[k]]
+            at += size
 
 
 _LOADED: dict[str, Pair] = {}
@@ -129,18 +136,26 @@ def _pair(folder: str) -> Pair:
     return _LOADED[folder]
 
 
-def encode_pair(text: str | None, pair: Pair) -> tuple[tuple[int, ...], str, list[int]]:
-    """COUNTS, the groups as a string, and the numbers of the text's pieces; zeros and nothing for a text without tokens."""
-    if text:
-        try:
-            text.encode()
-        except UnicodeEncodeError:  # half a surrogate pair has no bytes
-            return (0, 0, 0, 0), "", []
-        ids = [pair.look_up(p) for p in pair.pieces(text)]
+def _bytes(text: str | None) -> bool:
+    """Whether there is a text and UTF-8 has it (half a surrogate pair has no bytes)."""
+    try:
+        return bool(text and text.encode())
+    except UnicodeEncodeError:
+        return False
+
+
+def encode_texts(texts: list[str | None], pair: Pair) -> Iterator[tuple[tuple[int, ...], str, list[int]]]:
+    """Of each text: COUNTS, the groups as a string, and the numbers of its pieces; zeros and nothing for a text without tokens."""
+    cut = [pair.pieces(t) if _bytes(t) else [] for t in texts]
+    if new := list(dict.fromkeys(p for pieces in cut for p in pieces if p not in pair.ids)):
+        pair.learn(new)
+    for pieces in cut:
+        ids = [pair.ids[p] for p in pieces]
         counts = [pair.counts[k] for k in ids]
         if counts and all(counts):
-            return tuple(map(sum, zip(*counts, strict=True))), ";".join([pair.groups[k] for k in ids]), ids
-    return (0, 0, 0, 0), "", []
+            yield tuple(map(sum, zip(*counts, strict=True))), ";".join([pair.groups[k] for k in ids]), ids
+        else:
+            yield (0, 0, 0, 0), "", []
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -220,6 +235,16 @@ class Run:
             yield p, index, _dump(lengths, doc[x], times[x])
 
 
+def _by_chars(batch: pa.RecordBatch, chars: int = 300_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about so many bytes of text, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+    group = np.cumsum(sizes) // chars
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in pairwise(cuts):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def _schema(kind: str) -> str:
     return f"run bigint, part int, place int, id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, links binary, records binary"
 
@@ -250,19 +275,22 @@ def encode(docs: DataFrame, doc_id: str, text: str, radix: int, folder: str, run
 
         for batch in batches:
             schema = batch.column(0).type
-            for k in range(batch.num_rows):
-                counts, groups, ids = encode_pair(batch.column(1)[k].as_py(), pair)
-                rows.append((number, own.n_docs, batch.column(0)[k].as_py(), *counts, hashlib.sha256(groups.encode()).hexdigest() if groups else ""))
-                own.add(ids)
-                if len(rows) >= 4096:
-                    yield doc_rows()
-                if own.records >= run_records or own.n_docs >= 1 << DOC_BITS:
+            for part in _by_chars(batch):
+                doc_ids = part.column(0).to_pylist()
+                for i, (counts, groups, ids) in zip(doc_ids, encode_texts(part.column(1).to_pylist(), pair), strict=True):
+                    rows.append((number, own.n_docs, i, *counts, hashlib.sha256(groups.encode()).hexdigest() if groups else ""))
+                    own.add(ids)
+                    if own.records >= run_records or own.n_docs >= 1 << DOC_BITS or len(rows) >= 4096:
+                        yield doc_rows()
+                    if own.records >= run_records or own.n_docs >= 1 << DOC_BITS:
+                        yield from blob_rows()
+                        own, number = Run(pair, radix), number + 1
+                if len(pair.groups) > REMEMBERED[0] or pair.chars > REMEMBERED[1]:
                     if rows:
                         yield doc_rows()
                     yield from blob_rows()
                     own, number = Run(pair, radix), number + 1
-                    if len(pair.groups) > REMEMBERED[0] or pair.chars > REMEMBERED[1]:
-                        pair.forget()
+                    pair.forget()
         if rows:
             yield doc_rows()
         yield from blob_rows()
