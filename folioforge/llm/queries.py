@@ -101,10 +101,17 @@ def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    from folioforge.llm.lexical import rank
+
+    return rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity_severity, op2_pseudonyms, op3_decontamination, op4_source_mixing, op5_quality_divergence,
-        op6_language, op7_line_dedup, op8_lm_score, op9_ngram_jaccard, op10_secret_ledger, op11_cross_tokenizer,
+        op6_language, op7_line_dedup, op8_lm_score, op9_ngram_jaccard, op10_secret_ledger, op11_cross_tokenizer, op12_lexical_search,
     )
 }

@@ -43,6 +43,20 @@ select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, least(d.doc_id,
 from d left join n using (doc_id) left join (select x as doc_id, min(y) as y from reach group by x) m using (doc_id)
 """
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+LEXICAL = f"""
+with d as (select row_number() over () as rid, doc_id, {words('text', TERM)} as w from documents),
+t as (select rid, term, count(*) as tf from (select rid, unnest(w) as term from d) group by rid, term),
+s as (select count(*) as n_docs, sum(len(w)) as total from d where len(w) > 0),
+q as (select distinct iid, item_id, unnest({words('text', TERM)}) as term from (select row_number() over () as iid, item_id, text from (select distinct item_id, text from benchmark))),
+f as (select term, cast(floor(1000 * ln((2.0 * n_docs + 2) / (2 * count(*) + 1))) as bigint) as weight from t, s where term in (select term from q) group by term, n_docs),
+scored as (select q.iid, q.item_id, d.doc_id, d.rid, cast(sum(f.weight * ((1000000000 * t.tf) // (1000 * t.tf + 8 * (100 - 90 + (90 * len(d.w) * s.n_docs) // s.total)))) as bigint) as score
+  from q join f using (term) join t using (term) join d on d.rid = t.rid, s group by q.iid, q.item_id, d.doc_id, d.rid),
+ranked as (select *, row_number() over (partition by iid order by score desc, doc_id) as rank from scored where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10
+"""
+
 
 def _secrets() -> str:
     parts = []
@@ -59,4 +73,4 @@ def _secrets() -> str:
       select doc_id, {', '.join(f'coalesce(n_{RULES[k][0]}, 0) as n_{RULES[k][0]}' for k in range(BASE_KINDS))}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (rid)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": DECONTAMINATION, "op9_ngram_jaccard": NEAR_DUPLICATES, "op10_secret_ledger": _secrets()}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": DECONTAMINATION, "op9_ngram_jaccard": NEAR_DUPLICATES, "op10_secret_ledger": _secrets(), "op12_lexical_search": LEXICAL}
