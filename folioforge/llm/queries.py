@@ -108,10 +108,17 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its sketch, that of its edited text, and how alike both and the next document's are."""
+    from folioforge.llm.fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity_severity, op2_pseudonyms, op3_decontamination, op4_source_mixing, op5_quality_divergence,
-        op6_language, op7_line_dedup, op8_lm_score, op9_ngram_jaccard, op10_secret_ledger, op11_cross_tokenizer, op12_lexical_search,
+        op6_language, op7_line_dedup, op8_lm_score, op9_ngram_jaccard, op10_secret_ledger, op11_cross_tokenizer, op12_lexical_search, op13_fingerprints,
     )
 }
