@@ -30,7 +30,7 @@ from folioforge.llm.storage import Scratch, partitions_for
 
 HEAD, BODY = 4, 32  # words
 CELLS = 48
-LOAD = 12  # digests that differ, for a table of CELLS
+LOAD = 20  # digests that differ, for a table of CELLS
 ROUNDS = 10
 WORD = r"[^\s]++[^\S\n]*+"
 PARAGRAPH = rf"(?m)^[^\S\n]*+(?>(?:{WORD}){{1,{HEAD}}})|(?>(?:{WORD}){{1,{BODY}}})"
@@ -53,28 +53,33 @@ def _cell(n: Column, k: Column, c: Column) -> Column:
     return F.struct(n.cast("int").alias("n"), k.alias("k"), c.alias("c"))
 
 
-def _in_cell(h: Column, i: Column) -> Column:
-    """Whether a digest with hash ``h`` goes to cell ``i``: eight bits of the hash for each of the three tables."""
-    table = F.floor(i / (CELLS // 3)).cast("int")
-    return F.call_function("shiftright", h, table * 8).bitwiseAND(F.lit(CELLS // 3 - 1)) == i % (CELLS // 3)
+def _entry(d: Column, *more: Column) -> Column:
+    """A digest with its check and, as bits, its cell in each of the three tables."""
+    third = CELLS // 3
 
+    def fields(h: Column) -> Column:
+        at = [F.lit(t * third) + F.shiftright(h, 8 * t).bitwiseAND(F.lit(third - 1)).cast("int") for t in range(3)]
+        bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), x) for x in at]
+        return F.struct(*more, d.alias("k"), F.shiftrightunsigned(h, 32).alias("c"), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).alias("at"))
 
-def _check(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 32)
+    return _let(F.xxhash64(d), fields)
+
+
+def _goes_to(entry: Column, i: Column) -> Column:
+    return F.getbit(entry["at"], i) == 1
 
 
 def sketch(digests: Column) -> Column:
     """Cells of a set of digests."""
-    hashed = F.transform(digests, lambda d: F.struct(d.alias("d"), F.xxhash64(d).alias("h")))
     empty = _cell(F.lit(0), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
 
     def cells(entries: Column) -> Column:
         def one(i: Column) -> Column:
-            return F.aggregate(F.filter(entries, lambda e: _in_cell(e["h"], i)), empty, lambda s, e: _cell(s["n"] + 1, s["k"].bitwiseXOR(e["d"]), s["c"].bitwiseXOR(_check(e["h"]))))
+            return F.aggregate(entries, empty, lambda s, e: F.when(_goes_to(e, i), _cell(s["n"] + 1, s["k"].bitwiseXOR(e["k"]), s["c"].bitwiseXOR(e["c"]))).otherwise(s))
 
         return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), one)
 
-    return _let(hashed, cells)
+    return _let(F.transform(digests, lambda d: _entry(d)), cells)
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -83,18 +88,18 @@ def subtract(a: Column, b: Column) -> Column:
 
 def peel(cells: Column) -> Column:
     """``only_a`` and ``only_b``, the digests found on either side, and whether these are all (``done``)."""
-    none = F.array().cast("array<struct<n:int,k:bigint,h:bigint>>")
+    none = F.array().cast("array<struct<n:int,k:bigint,c:bigint,at:bigint>>")
     start = F.struct(cells.alias("cells"), none.alias("found"))
 
     def single(x: Column) -> Column:
-        return (F.abs(x["n"]) == 1) & (x["c"] == _check(F.xxhash64(x["k"])))
+        return (F.abs(x["n"]) == 1) & (x["c"] == F.shiftrightunsigned(F.xxhash64(x["k"]), 32))
 
     def step(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(state["cells"], single), lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"), F.xxhash64(x["k"]).alias("h"))))
+        pure = F.transform(F.array_distinct(F.transform(F.filter(state["cells"], single), lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k")))), lambda x: _entry(x["k"], x["n"].alias("n")))
 
         def without(found: Column) -> Column:
             def one(x: Column, i: Column) -> Column:
-                return F.aggregate(F.filter(found, lambda p: _in_cell(p["h"], i)), x, lambda s, p: _cell(s["n"] - p["n"], s["k"].bitwiseXOR(p["k"]), s["c"].bitwiseXOR(_check(p["h"]))))
+                return F.aggregate(found, x, lambda s, p: F.when(_goes_to(p, i), _cell(s["n"] - p["n"], s["k"].bitwiseXOR(p["k"]), s["c"].bitwiseXOR(p["c"]))).otherwise(s))
 
             less = F.struct(F.transform(state["cells"], one).alias("cells"), F.concat(state["found"], found).alias("found"))
             return F.when(F.size(found) == 0, state).otherwise(less)
@@ -154,7 +159,7 @@ def _dealt(pairs: DataFrame, level: int, tables: Column) -> DataFrame:
     sides = F.explode(F.concat(marked("a"), marked("b"))).alias("x")
     rows = pairs.select("row", "kind", "table", tables.alias("tables"), sides).select("row", "kind", (F.col("table") * F.col("tables") + F.pmod(F.xxhash64("x.d", F.lit(level)), F.col("tables"))).alias("table"), "x.*")
     held = [F.collect_list(F.when(F.col("side") == s, F.col("d"))).alias(s) for s in ("a", "b")]
-    return rows.groupBy("row", "kind", "table").agg(*held)
+    return rows.repartition(partitions_for(pairs.sparkSession), "row", "kind", "table").groupBy("row", "kind", "table").agg(*held)
 
 
 def retried(pairs: DataFrame, scratch: Scratch) -> DataFrame | None:
