@@ -130,7 +130,7 @@ def _(d):
 @operator("flt11_layout_regions", "layout_regions")
 def _(d):
     """Regions of each known page in visual order."""
-    return "select page, box_id, part_no, l, b, r, t, cast(row_number() over (partition by page order by t desc, l, b desc, box_id, part_no) as bigint) as position from layout_regions where page_known"
+    return "select page, box_id, part_no, l, b, r, t, cast(row_number() over (partition by page order by t desc, l, b desc, r, box_id, part_no) as bigint) as position from layout_regions where page_known"
 
 
 @operator("flt12_boundary_markers", "page_marks")
@@ -318,12 +318,6 @@ def _(d):
     return f"select doc_id, seq, span_start, mention_class, {d.rlike('prefix', FAMILY_QUALIFIER)} or {d.rlike('substr(suffix, 1, 64)', FAMILY_QUALIFIER)} as qualified from references_found"
 
 
-@view("toc_regions", "toc_starts")
-def _(d):
-    """Regions of tables of contents: from a start up to five items on, or the next start."""
-    return "select doc_id, seq as start_seq, least(seq + 5, coalesce(lead(seq) over (partition by doc_id order by seq), seq + 5)) as end_seq from toc_starts"
-
-
 @operator("flt25_unparsed_index_text", "items", "toc_regions")
 def _(d):
     """List items outside every region of contents and not headings."""

@@ -152,54 +152,3 @@ def grid_topology(tokens: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["table_id", "r", "c", "row_span", "column_span", "kind", "rectangle"])
 
     return _grouped(tokens, "table_id").applyInPandas(run, "table_id bigint, r int, c int, row_span int, column_span int, kind string, rectangle boolean")
-
-
-def parse_toc_rows(rows: DataFrame) -> DataFrame:
-    """Rows of a region of contents (doc_id, start_seq, seq, text) to entries: a marker may stand on a row of its own, a title may go on over rows until its printed page."""
-    import re
-
-    marker, leader = re.compile(r"^([0-9]+(?:\.[0-9]+)*)[.)]?$"), re.compile(r"^(.*?)[ .]*\.{2,}[ .]*([0-9]+|[ivxlc]+)$")
-
-    def run(region: pd.DataFrame) -> pd.DataFrame:
-        out, pending, parts, keys = [], "", [], []
-        for x in region.sort_values("seq").itertuples(index=False):
-            text = (x.text or "").strip()
-            if not text:
-                continue
-            if m := marker.match(text):
-                if parts:
-                    out.append((pending, " ".join(parts), None, keys))
-                pending, parts, keys = m[1], [], [x.seq]
-                continue
-            keys = [*keys, x.seq]
-            if m := leader.match(text):
-                out.append((pending, " ".join([*parts, m[1].strip()]), m[2], keys))
-                pending, parts, keys = "", [], []
-            else:
-                parts.append(text)
-        if parts:
-            out.append((pending, " ".join(parts), None, keys))
-        d, s = region.doc_id.iloc[0], region.start_seq.iloc[0]
-        found = [(d, s, k, a, b, c, "complete" if c else "no_page", v) for k, (a, b, c, v) in enumerate(out)]
-        return pd.DataFrame(found, columns=["doc_id", "start_seq", "entry_no", "marker", "title", "printed_page", "state", "source_seqs"])
-
-    return _grouped(rows, "doc_id", "start_seq").applyInPandas(run, "doc_id bigint, start_seq bigint, entry_no bigint, marker string, title string, printed_page string, state string, source_seqs array<bigint>")
-
-
-def find_toc_regions(items: DataFrame) -> DataFrame:
-    """Regions of contents of a document (doc_id, seq, role, text, is_start): from a start to the next heading that is none; starts inside a region open no other."""
-
-    def run(doc: pd.DataFrame) -> pd.DataFrame:
-        out, end = [], -1
-        doc = doc.sort_values("seq")
-        heads = doc[doc.role == "section_header"]
-        for x in heads[heads.is_start].itertuples(index=False):
-            if x.seq <= end:
-                continue
-            later = heads[(heads.seq > x.seq) & ~heads.is_start].seq
-            stop = int(later.min()) - 1 if len(later) else int(doc.seq.max())
-            end = stop
-            out.append((x.doc_id, x.seq, end))
-        return pd.DataFrame(out, columns=["doc_id", "start_seq", "end_seq"])
-
-    return _grouped(items, "doc_id").applyInPandas(run, "doc_id bigint, start_seq bigint, end_seq bigint")

@@ -74,6 +74,12 @@ class Spark:
         """``relation`` with one row for each match, numbered from 1 in ``position``."""
         return f"(select *, position + 1 as position_1 from {relation} lateral view posexplode(regexp_extract_all({text}, {self.re(pattern)}, {group})) x as position, {name})"
 
+    def disjoint(self, relation: str, key: str, columns: dict[str, str]) -> str:
+        """Of the spans of ``relation`` (start_seq, end_seq excluded) under each key, in order, those that begin in none kept before."""
+        kept = "array<struct<" + ", ".join(f"{c}: {t}" for c, t in columns.items()) + ">>"
+        fold = f"aggregate(spans, named_struct('upto', cast(-1 as bigint), 'kept', cast(array() as {kept})), (a, x) -> case when x.start_seq >= a.upto then named_struct('upto', x.end_seq, 'kept', concat(a.kept, array(x))) else a end, a -> a.kept)"
+        return f"select {key}, {', '.join(columns)} from (select {key}, inline({fold}) from (select {key}, array_sort(collect_list(struct({', '.join(columns)}))) as spans from {relation} group by {key}))"
+
     def split_lines(self) -> str:
         return "select doc_id, cast(pos as bigint) as seq, line from documents lateral view posexplode(split(text, '\\n')) t as pos, line"
 
@@ -138,6 +144,12 @@ class DuckDB(Spark):
     def matches(self, relation: str, text: str, pattern: str, group: int, name: str) -> str:
         return f"(select *, unnest(range(1, len(found) + 1)) as position_1, unnest(found) as {name} from (select *, regexp_extract_all({text}, {self.re(pattern)}, {group}) as found from {relation}))"
 
+    def disjoint(self, relation: str, key: str, columns: dict[str, str]) -> str:
+        names = ", ".join(columns)
+        return f"""select {key}, {names} from (with recursive ordered as (select *, row_number() over (partition by {key} order by start_seq) as k_ from {relation}),
+          walk as (select {key}, k_, end_seq as upto, true as taken from ordered where k_ = 1 union all select o.{key}, o.k_, case when o.start_seq >= w.upto then o.end_seq else w.upto end, o.start_seq >= w.upto from walk w join ordered o on o.{key} = w.{key} and o.k_ = w.k_ + 1)
+          select o.* from ordered o join walk w on w.{key} = o.{key} and w.k_ = o.k_ where w.taken)"""
+
     def split_lines(self) -> str:
         return "select doc_id, cast(unnest(range(len(p))) as bigint) as seq, unnest(p) as line from (select doc_id, string_split(text, chr(10)) as p from documents)"
 

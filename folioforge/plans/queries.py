@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import folioforge.functions.scalars
 import folioforge.operators.aggregates
 import folioforge.operators.checks
+import folioforge.operators.contents
 import folioforge.operators.graphs
 import folioforge.operators.joins
 import folioforge.operators.lifecycle
@@ -17,7 +18,7 @@ import folioforge.operators.windows
 import folioforge.sources.bundles
 import folioforge.sources.fixtures  # noqa: F401
 from folioforge.functions.text import multiset_digest, normalized, table_text
-from folioforge.operators import sequential, trees
+from folioforge.operators import contents, sequential, trees
 from folioforge.plans.catalog import OPERATORS, operator, oracle, over_folder, query, relations
 
 
@@ -121,13 +122,8 @@ def grf10_grid_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grf08_toc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of contents parsed from lines with markers and leaders."""
-    return sequential.parse_toc_rows(_view(spark, sf_dir, "toc_rows"))
-
-
-def grf09_toc_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions of contents of documents."""
-    return sequential.find_toc_regions(_view(spark, sf_dir, "toc_items"))
+    """Rows of the contents of documents, and items that are part of none with the reason."""
+    return contents.parse_rows(_view(spark, sf_dir, "contents_items"))
 
 
 # One-to-one matching step by step: the regions of a page in order, each with its candidates best first, and the tables taken so far.
@@ -141,7 +137,7 @@ EVIDENCE = ("continuation", "footer_run", "exact_header")  # fixed values: evide
 MAX_LEVEL = 6  # fixed value: the deepest level of a heading
 GROUPED = (
     scl01_normalize_text, scl02_alias_normalization, scl03_table_text, agg24_multiset_digest, srt06_distinct_boxes, jn16_region_matching, grf01_preorder_traversal, grf02_feature_traversal, grf03_descendant_closure,
-    grf04_outline_levels, grf05_retained_parent, grf06_table_families, grf10_grid_topology, grf08_toc_entries, grf09_toc_regions, flt03_structural_exclusion, val02_section_cycles,
+    grf04_outline_levels, grf05_retained_parent, grf06_table_families, grf10_grid_topology, grf08_toc_entries, flt03_structural_exclusion, val02_section_cycles,
 )
 QUERIES = {name: query(name) for name in OPERATORS} | {f.__name__: f for f in GROUPED}
 

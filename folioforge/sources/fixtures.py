@@ -539,14 +539,21 @@ def _(d):
     return "select doc_id, table_id as a, table_id + 1 as b, case cast(table_id % 3 as int) when 0 then 'continuation' when 1 then 'footer_run' else 'exact_header' end as evidence from family_tables"
 
 
-@view("toc_rows", "items")
+@view("contents_features", "items")
 def _(d):
-    """Rows of contents: markers of their own, titles, and titles with a leader and a page."""
-    text = "case when seq % 4 = 0 then cast(seq + 1 as string) when seq % 4 = 1 then line else line || ' ..... ' || cast(page as string) end"
-    return f"select doc_id, cast(0 as bigint) as start_seq, seq, {text} as text from items where role in ('list_item', 'text')"
+    """Items with boxes, of which some headings open contents; what stands on the pages around reads as rows: markers of their own, titles, leaders and pages, or all in one."""
+    text = "case when role = 'section_header' and seq % 9 = 0 then 'Table of Contents' when role = 'section_header' and seq % 9 = 1 then 'TABLE OF CONTENTS (Continued)' when role = 'section_header' then ntext"
+    text += " when (doc_id + page) % 3 = 0 then ntext when seq % 4 = 0 then cast(page as string) || '.' || cast(seq % 7 + 1 as string) when seq % 4 = 1 then line when seq % 4 = 2 then '.....' else cast(page as string) end"
+    return f"select doc_id, seq, page, role, layer, {text} as text, left_pt as l, left_pt + 20 as r, cast(700 - 80 * (seq % 8) as double) as b from items"
 
 
-@view("toc_items", "items")
+@view("contents_outline", "heading_parents", "contents_features")
 def _(d):
-    """Items of documents of which some headings open contents."""
-    return "select doc_id, seq, role, line as text, role = 'section_header' and (doc_id + seq) % 3 = 0 as is_start from items"
+    """Outlines of some documents: their headings in order, with depth, parent, title and page."""
+    return "select h.doc_id, h.seq as position, h.level as depth, h.parent_seq as parent, lower(trim(f.text)) as title, f.page from heading_parents h join contents_features f on f.doc_id = h.doc_id and f.seq = h.seq where h.doc_id % 3 = 0"
+
+
+@view("printed_pages", "items")
+def _(d):
+    """Printed labels of pages: two Roman ones in some documents, then numbers."""
+    return "select distinct doc_id, page, case when doc_id % 2 = 1 then cast(page as string) when page = 1 then 'i' when page = 2 then 'ii' else cast(page - 2 as string) end as label from items"

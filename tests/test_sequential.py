@@ -34,18 +34,6 @@ def test_grid_topology_spans(spark):
     assert [tuple(r) for r in sequential.grid_topology(df).collect()] == [(1, 0, 0, 2, 2, "fcel", True)]
 
 
-def test_toc_rows_join_markers_and_titles(spark):
-    df = spark.createDataFrame([(1, 0, 1, "1.2"), (1, 0, 2, "Long"), (1, 0, 3, "title .... 7"), (1, 0, 4, "")], "doc_id bigint, start_seq bigint, seq bigint, text string")
-    row = sequential.parse_toc_rows(df).first()
-    assert (row.marker, row.title, row.printed_page, row.source_seqs) == ("1.2", "Long title", "7", [1, 2, 3])
-
-
-def test_toc_region_ends_before_the_next_heading(spark):
-    rows = [(1, 0, "section_header", "x", True), (1, 1, "text", "x", False), (1, 2, "section_header", "x", True), (1, 3, "text", "x", False), (1, 4, "section_header", "x", False)]
-    df = spark.createDataFrame(rows, "doc_id bigint, seq bigint, role string, text string, is_start boolean")
-    assert [tuple(r) for r in sequential.find_toc_regions(df).collect()] == [(1, 0, 3)]
-
-
 def _run(spark, df, name, tmp_path):
     query = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
     query.processAllAvailable()
