@@ -133,6 +133,6 @@ def test_rows_of_regions(spark):
     assert got == [
         (0, 1, "1.2", "long title", "7", 2, "complete", [1, 2, 3, 4]),
         (0, 2, "Appendix A", "maps", None, 1, "missing_printed_page", [7, 8]),
-        (50, 1, "3.", "other", None, 1, "missing_printed_page", [51, 52]),
+        (50, 1, None, "3. other", None, 1, "missing_printed_page", [51, 52]),
     ]
     assert parse_rows(df.limit(0)).count() == 0
