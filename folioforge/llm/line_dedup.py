@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import postings
@@ -235,7 +235,12 @@ def drop_duplicate_lines(
     gone = found.groupBy("doc_id", "row").agg(F.collect_set("line").alias("lines"))
     joined = docs.select(F.struct("*").alias("all"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("row")).alias("x").join(gone.alias("y"), same_row("id", "row"), "left")
     body, lines = F.col(f"x.all.`{text}`"), F.col("y.lines")
-    kept = F.array_join(F.filter(F.split(body, "\n"), lambda x, i: ~F.array_contains(lines, i)), "\n")
+
+    def without(parts: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(parts) - 1)
+        return F.array_join(F.transform(F.array_except(places, lines), lambda i: F.get(parts, i)), "\n")
+
+    kept = F.get(F.transform(F.array(F.split(body, "\n")), without), F.lit(0))
     joined = joined.select("x.all", lines.alias("lines"), F.when(lines.isNull(), body).otherwise(kept).alias("kept"))
     joined = joined.where(F.col("lines").isNull() | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
     return joined.select(*[F.col("kept").alias(c) if c == text else F.col(f"all.`{c}`").alias(c) for c in docs.columns])

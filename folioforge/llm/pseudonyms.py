@@ -52,7 +52,7 @@ def _iban_pattern() -> str:
 
 # The pattern of each kind; of a card, where one may begin.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,126}\.[A-Za-z]{2,}",  # a domain has 127 labels at most, and an open group would recurse label by label
     "iban": _iban_pattern(),
     "card": r"(?<![0-9])(?<![0-9]\.)(?<!\+)(?=[0-9](?:[ -]?[0-9]){12})",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",

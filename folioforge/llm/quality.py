@@ -37,11 +37,11 @@ MAX_LANGUAGES = 256
 def _features(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     start = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), body.alias("t"))
-    bare = F.regexp_replace("t", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    words = F.filter(F.split("t", SPACES), lambda x: x != "")
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     sizes = [F.length(F.regexp_replace("t", f"{c[:1]}^{c[1:]}+", "")).cast("bigint") for c in CHAR_CLASSES]
     step = start.select(
-        "doc_id", "lang", F.when(F.length(bare) > 0, F.split(bare, SPACES)).otherwise(F.array().cast("array<string>")).alias("w"), F.length("t").cast("bigint").alias("n_chars"),
+        "doc_id", "lang", words.alias("w"), F.length("t").cast("bigint").alias("n_chars"),
         (F.length("t") - F.length(F.regexp_replace("t", "[#*$%&|<>]+", ""))).cast("bigint").alias("n_symbols"), lines.alias("lines"), F.array(*sizes).alias("classes"),
     )
     low = 1 << POSITION_BITS
