@@ -23,10 +23,10 @@ def _(d):
 
 @view("parsed_numbers", "items")
 def _(d):
-    """Kind, token and depth of the number that a text begins with. List items and texts in brackets have none; a whole number counts from 1 to 99 only, and one that does not ends the search."""
+    """Kind, token and depth of the number that a text begins with. List items and texts in brackets have none; a whole number counts before a period, or from 1 to 99, and one that does not ends the search."""
     t = d.replace_all("trim(ntext)", r"[ \t]+", " ")
     token = d.part("t", NUMBERING["decimal"], 1)
-    whens = " ".join(f"when {d.rlike('t', p)} then " + (f"case when instr({token}, '.') > 0 or (length({token}) <= 2 and {token} not in ('0', '00')) then 'decimal' else 'none' end" if k == "decimal" else f"'{k}'") for k, p in NUMBERING.items())
+    whens = " ".join(f"when {d.rlike('t', p)} then " + (f"case when instr({token}, '.') > 0 or substr(t, length({token}) + 1, 1) = '.' or coalesce({d.try_int(token)} between 1 and 99, false) then 'decimal' else 'none' end" if k == "decimal" else f"'{k}'") for k, p in NUMBERING.items())
     tokens = " ".join(f"when '{k}' then {d.part('t', p, 1)}" for k, p in NUMBERING.items())
     return f"""select doc_id, seq, kind, token, cast(case kind when 'decimal' then length(token) - length(replace(token, '.', '')) + 1 when 'none' then null when 'bullet' then null else 1 end as bigint) as depth
       from (select doc_id, seq, kind, case kind {tokens} end as token from (select *, case when role = 'list_item' or substr(t, 1, 1) = '(' then 'none' {whens} else 'none' end as kind from (select doc_id, seq, role, {t} as t from items)))"""
@@ -72,20 +72,50 @@ def _(d):
     return f"select doc_id, seq, {parts} from page_footers"
 
 
-@operator("scl11_row_cleanup", "cells")
+# What marks a row as page furniture, a cell as a number and a row as data, and how far a header may reach.
+FOOTER_COUNTER, LEADING_FILENAME = r"\b[0-9]+\s+of\s+[0-9]+\b", r"^[a-z0-9_]+_v[0-9]+$"
+NUMERIC_CELL = r"^[\s$()<>+\-–—]*([0-9][0-9,]*(\.[0-9]+)?|\.[0-9]+)([eE][+\-]?[0-9]+)?(\s*[%a-zA-Z/³².-]+)?[\s*†‡]*$"
+COORDINATE_KEY = r"\b[0-9]{6}\.[0-9]+_[0-9]{7}\.[0-9]+_?"
+HEADER_ROWS, DATA_SHARE = 8, 0.5
+
+
+@view("row_texts", "cells")
+def _(d):
+    """Rows of tables: their cells that are not empty, joined by spaces, how many, and how many are numbers."""
+    numeric = d.rlike("text", NUMERIC_CELL)
+    return f"""select table_id, r, coalesce({d.listagg("case when text <> '' then text end", 'c', ' ')}, '') as text, sum(case when text <> '' then 1 else 0 end) as filled, sum(case when text <> '' and {numeric} then 1 else 0 end) as numbers
+      from cells group by table_id, r"""
+
+
+@view("cleaned_rows", "row_texts")
+def _(d):
+    """Rows with what cleaning takes them for: footer counters anywhere, and among what is left the leading rows with nothing but a file name."""
+    w = "partition by table_id order by r rows between unbounded preceding and current row"
+    return f"""select table_id, r, text, filled, numbers, case when footer then 'footer' when others = 0 then 'filename' end as removed from (
+        select *, sum(case when footer or filename then 0 else 1 end) over ({w}) as others from (
+          select *, {d.rlike('lower(text)', FOOTER_COUNTER)} as footer, filled = 1 and {d.rlike('lower(text)', LEADING_FILENAME)} as filename from row_texts))"""
+
+
+@operator("scl11_row_cleanup", "cells", "cleaned_rows")
+def _(d):
+    """Rows that cleaning keeps and removes, and columns that the kept rows fill."""
+    return """select x.table_id, cast(count(distinct x.r) as bigint) as rows_raw, cast(count(distinct case when k.removed is null then x.r end) as bigint) as rows_kept, cast(count(distinct case when k.removed = 'footer' then x.r end) as bigint) as footer_rows,
+      cast(count(distinct case when k.removed = 'filename' then x.r end) as bigint) as filename_rows, cast(count(distinct case when k.removed is null and x.text <> '' then x.c end) as bigint) as columns_kept
+      from cells x join cleaned_rows k on k.table_id = x.table_id and k.r = x.r group by x.table_id"""
+
+
+@view("header_rows", "row_texts")
 def _(d):
-    """Rows and columns that cleaning keeps: no footer counters, no column that is empty throughout."""
-    return f"""select table_id, cast(count(distinct r) as bigint) as rows_raw, cast(count(distinct case when not footer then r end) as bigint) as rows_kept, cast(count(distinct case when filled > 0 then c end) as bigint) as columns_kept
-      from (select table_id, r, c, max(case when c = 2 and {d.rlike('text', '^[12]$')} then 1 else 0 end) over (partition by table_id, r) = 1 as footer,
-        sum(case when text <> '' then 1 else 0 end) over (partition by table_id, c) as filled from cells) group by table_id"""
+    """Leading rows of tables, eight at most, before the first that has a coordinate or numbers in half of its filled cells."""
+    w = "partition by table_id order by r rows between unbounded preceding and current row"
+    return f"""select table_id, r, filled from (select *, max(is_data) over ({w}) as seen, row_number() over (partition by table_id order by r) as k
+      from (select table_id, r, filled, case when {d.rlike('text', COORDINATE_KEY)} or filled > 0 and numbers >= {DATA_SHARE} * filled then 1 else 0 end as is_data from row_texts)) where seen = 0 and k <= {HEADER_ROWS}"""
 
 
-@operator("scl12_header_matrix_rows", "cells")
+@operator("scl12_header_matrix_rows", "header_rows")
 def _(d):
-    """Leading rows of a table before the first that is half numeric, eight at most."""
-    numeric = d.rlike("text", "^[0-9]+$")
-    return f"""select table_id, cast(count(*) as bigint) as header_rows from (select table_id, r, max(is_data) over (partition by table_id order by r rows between unbounded preceding and current row) as seen
-      from (select table_id, r, case when avg(case when {numeric} then 1.0 else 0.0 end) >= 0.5 then 1 else 0 end as is_data from cells group by table_id, r)) where seen = 0 and r <= 8 group by table_id"""
+    """Rows of each table's header; a header without text is none."""
+    return "select table_id, cast(count(*) as bigint) as header_rows from header_rows group by table_id having sum(filled) > 0"
 
 
 def iou(a: str, b: str) -> str:

@@ -38,15 +38,15 @@ def _(d):
       from (select box_id, part_no, t, b, case when t < min(b) over ({w} and 1 preceding) then 1 else 0 end as gap from boxes)) where gaps = 0 group by box_id"""
 
 
-@view("rule_evidence", "items", "outline_matches", "parsed_numbers", "toc_targets", "toc_regions", "calibrated", "win02_previous_numbered_level", "win17_first_indented_item", "flt17_sibling_pattern", "level_transfers", "heading_parents")
+@view("rule_evidence", "items", "outline_matches", "parsed_numbers", "toc_targets", "toc_regions", "calibrated", "win02_previous_numbered_level", "win17_first_indented_item", "flt17_sibling_pattern", "level_transfers")
 def _(d):
     """Evidence of items for the rule cascade."""
-    return """select i.doc_id, i.seq, i.role, i.layer, i.level, i.in_picture, coalesce(o.outline_state, 'absent') as outline_state, o.outline_level, n.kind as numbering_kind, e.doc_id is not null as toc_target, p.level as toc_level, r.doc_id is not null as toc_region,
+    return """select i.doc_id, i.seq, i.role, i.layer, i.level, i.in_picture, coalesce(o.outline_state, 'absent') as outline_state, o.outline_level, n.kind as numbering_kind, e.doc_id is not null as toc_target, e.depth as toc_level, r.doc_id is not null as toc_region,
         c.calibrated_level, c.root_level, v.previous_level, w.item as indented_item, coalesce(s.sibling, false) as sibling, t.doc_id is not null as transfer, t.level as transfer_level
-      from items i left join outline_matches o on o.doc_id = i.doc_id and o.seq = i.seq left join parsed_numbers n on n.doc_id = i.doc_id and n.seq = i.seq left join (select distinct doc_id, target_seq from toc_targets) e on e.doc_id = i.doc_id and e.target_seq = i.seq
-      left join heading_parents p on p.doc_id = i.doc_id and p.seq = i.seq left join toc_regions r on r.doc_id = i.doc_id and i.seq between r.start_seq and r.end_seq left join calibrated c on c.doc_id = i.doc_id and c.seq = i.seq left join win02_previous_numbered_level v on v.doc_id = i.doc_id and v.seq = i.seq
+      from items i left join outline_matches o on o.doc_id = i.doc_id and o.seq = i.seq left join parsed_numbers n on n.doc_id = i.doc_id and n.seq = i.seq left join (select doc_id, target_seq, min(depth) as depth from toc_targets group by doc_id, target_seq) e on e.doc_id = i.doc_id and e.target_seq = i.seq
+      left join toc_regions r on r.doc_id = i.doc_id and i.seq between r.start_seq and r.end_seq left join calibrated c on c.doc_id = i.doc_id and c.seq = i.seq left join win02_previous_numbered_level v on v.doc_id = i.doc_id and v.seq = i.seq
       left join win17_first_indented_item w on w.doc_id = i.doc_id and w.seq = i.seq left join flt17_sibling_pattern s on s.doc_id = i.doc_id and s.seq = i.seq
-      left join level_transfers t on t.doc_id = i.doc_id and i.seq > t.before and i.seq < t.after and i.level is not null and o.outline_state <> 'unique_exact' and n.kind = 'none'"""
+      left join level_transfers t on t.doc_id = i.doc_id and i.seq between t.first_seq and t.last_seq and i.role = 'section_header' and n.kind = 'none'"""
 
 
 # Rules of the cascade in order. Those from R02 to R07 hold for items of the body only, outside contents and pictures.

@@ -137,15 +137,16 @@ def _(d):
 
 @operator("jn13_earlier_anchor", "numbered")
 def _(d):
-    """Offset of the nearest earlier anchor in the document."""
-    w = "partition by doc_id order by seq rows between unbounded preceding and 1 preceding"
+    """Offset of the nearest earlier anchor in the numbering scope."""
+    w = "partition by doc_id, regime_no order by seq rows between unbounded preceding and 1 preceding"
     return f"select doc_id, seq, {d.last('anchor_level - depth', w)} as calibration from numbered"
 
 
 @view("toc_entries", "items")
 def _(d):
-    """Rows of contents: title, page, order."""
-    return "select doc_id, seq, page, lower(trim(line)) as title from items where role = 'list_item' and trim(line) <> ''"
+    """Rows of contents: title, page, order, and the depth of the number that the title begins with, else 1."""
+    number = d.part("trim(line)", r"^([0-9]+(?:\.[0-9]+){0,5})\.?[ \t]", 1)
+    return f"select doc_id, seq, page, lower(trim(line)) as title, cast(length({number}) - length(replace({number}, '.', '')) + 1 as bigint) as depth from items where role = 'list_item' and trim(line) <> ''"
 
 
 @view("toc_matches", "toc_entries", "headings")
@@ -284,8 +285,8 @@ def _(d):
     return "select coalesce(a.source_id, b.source_id) as source_id, a.source_id is null as only_manifest from selection a full outer join manifest_sources b on a.source_id = b.source_id where a.source_id is null or b.source_id is null"
 
 
-@operator("jn31_identity_changes", "candidates")
+@operator("jn31_identity_changes", "candidates", "later_candidates")
 def _(d):
-    """Identity fields that changed between two candidates of a source."""
-    return """select a.source_id, 'terminal_state' as field from candidates a join (select source_id - 1 as source_id, terminal_state, failure_class from candidates) b on a.source_id = b.source_id where a.terminal_state is distinct from b.terminal_state
-      union all select a.source_id, 'failure_class' from candidates a join (select source_id - 1 as source_id, failure_class from candidates) b on a.source_id = b.source_id where a.failure_class is distinct from b.failure_class"""
+    """Identity fields that changed between a source's candidate and the later one."""
+    return """select a.source_id, 'terminal_state' as field from candidates a join later_candidates b on a.source_id = b.source_id where a.terminal_state is distinct from b.terminal_state
+      union all select a.source_id, 'failure_class' from candidates a join later_candidates b on a.source_id = b.source_id where a.failure_class is distinct from b.failure_class"""

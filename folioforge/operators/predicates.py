@@ -223,13 +223,22 @@ def _(d):
     return "select table_id, outcome from learned_gates"
 
 
-@operator("flt17_sibling_pattern", "items")
+# Longest text of a structural sibling, and how far its left edge may be from its neighbours' in points.
+SIBLING_CHARS, SIBLING_POINTS = 160, 1
+
+
+@operator("flt17_sibling_pattern", "items", "parsed_numbers", "jn03_alignment_lookup", "toc_regions")
 def _(d):
-    """Texts that stand between two headings of one level as if they were one themselves (structural siblings)."""
-    before = "partition by doc_id order by seq rows between unbounded preceding and 1 preceding"
-    after = "partition by doc_id order by seq rows between 1 following and unbounded following"
-    return f"""select doc_id, seq, coalesce(level is null and role = 'text' and before = after and seq = previous_seq + 1 and next_seq = seq + 1, false) as sibling from (select doc_id, seq, role, level, {d.last('level', before)} as before, {d.first('level', after)} as after,
-      {d.last('case when level is not null then seq end', before)} as previous_seq, {d.first('case when level is not null then seq end', after)} as next_seq from items)"""
+    """Short unnumbered texts outside contents, aligned on their page and in line with the headings before and after, which are of one level and on the same page, while the items next to them are body texts (structural siblings)."""
+    near = "partition by doc_id order by seq"
+    before, after = f"{near} rows between unbounded preceding and 1 preceding", f"{near} rows between 1 following and unbounded following"
+    heading = "case when role = 'section_header' then {} end"
+    around = ", ".join(f"{f(heading.format(c), w)} as {c}_{n}" for n, f, w in (("before", d.last, before), ("after", d.first, after)) for c in ("page", "level", "left_pt"))
+    text = "lag({0}) over ({1}) = {2} and lead({0}) over ({1}) = {2}"
+    plain = f"{text.format('layer', near, chr(39) + 'body' + chr(39))} and {text.format('role', near, chr(39) + 'text' + chr(39))} and trim(lag(line) over ({near})) <> '' and trim(lead(line) over ({near})) <> ''"
+    return f"""select x.doc_id, x.seq, coalesce(x.role = 'text' and x.page_before = x.page and x.page_after = x.page and x.level_before = x.level_after and abs(x.left_pt_before - x.left_pt) <= {SIBLING_POINTS} and abs(x.left_pt_after - x.left_pt) <= {SIBLING_POINTS}
+        and x.plain and length(x.line) <= {SIBLING_CHARS} and n.kind = 'none' and a.layout_state = 'unique_aligned' and not exists (select 1 from toc_regions r where r.doc_id = x.doc_id and x.seq between r.start_seq and r.end_seq), false) as sibling
+      from (select doc_id, seq, page, role, line, left_pt, {around}, {plain} as plain from items) x left join parsed_numbers n on n.doc_id = x.doc_id and n.seq = x.seq left join jn03_alignment_lookup a on a.doc_id = x.doc_id and a.seq = x.seq"""
 
 
 @view("footers", "tables")
@@ -244,16 +253,17 @@ def _(d):
     return "select b.page from footers a join footers b on b.page = a.page + 1 where a.sheet = b.sheet and a.total = b.total and b.internal_page = a.internal_page + 1"
 
 
-@view("headers", "cells")
+@view("headers", "cells", "header_rows")
 def _(d):
-    """First row of each table as its header."""
-    return f"select table_id, {d.listagg('text', 'c', '|')} as header, cast(count(*) as bigint) as columns from cells where r = 1 and c < 2 group by table_id"
+    """All columns of each table's header rows, and the table's number of columns; tables whose header has no text have none."""
+    return f"""select x.table_id, {d.listagg("case when h.table_id is not null then cast(x.r as string) || ':' || x.text end", 'x.r, x.c', '|')} as header, cast(max(x.c) + 1 as bigint) as columns from cells x
+      left join header_rows h on h.table_id = x.table_id and h.r = x.r group by x.table_id having sum(case when h.table_id is not null and x.text <> '' then 1 else 0 end) > 0"""
 
 
 @operator("flt19_header_equality", "headers")
 def _(d):
     """Tables whose header equals that of the table before."""
-    return "select a.table_id as first_id, b.table_id as next_id from headers a join headers b on b.table_id = a.table_id + 1 and a.header = b.header and a.columns = b.columns and a.header <> '|'"
+    return "select a.table_id as first_id, b.table_id as next_id from headers a join headers b on b.table_id = a.table_id + 1 and a.header = b.header and a.columns = b.columns"
 
 
 # Bounds of a continuation's geometry.

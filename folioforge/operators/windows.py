@@ -83,25 +83,37 @@ def _(d):
     return f"select t.doc_id, t.seq, t.target_seq, coalesce(t.target_seq <= max(t.target_seq) over ({w}), false) as conflict from toc_targets t left join toc_regions r on r.doc_id = t.doc_id and t.seq > r.start_seq and t.seq <= r.end_seq"
 
 
-@view("toc_targets", "toc_matches")
+@view("toc_targets", "toc_matches", "toc_entries")
 def _(d):
     """Contents rows with one target."""
-    return "select doc_id, seq, min(target_seq) as target_seq from toc_matches group by doc_id, seq having count(distinct target_seq) = 1"
+    return "select m.doc_id, m.seq, min(m.target_seq) as target_seq, max(e.depth) as depth from toc_matches m join toc_entries e on e.doc_id = m.doc_id and e.seq = m.seq group by m.doc_id, m.seq having count(distinct m.target_seq) = 1"
 
 
 # Least headings of a cluster and greatest spread of their left edges in points.
 CLUSTER, SPREAD = 2, 1
 
 
-@view("level_transfers", "items", "outline_matches", "parsed_numbers")
+@view("supported_levels", "items", "outline_matches", "toc_targets", "calibrated", "parsed_numbers")
 def _(d):
-    """Clusters of unnumbered headings without support between two supported ones, whose left edges agree; the level is that of the supported one before if both have it."""
-    seq, level = "case when supported then seq end", "case when supported then level end"
-    return f"""select doc_id, before, after, count(*) as members, min(seq) as first_seq, max(seq) as last_seq, case when max(level_before) = max(level_after) then max(level_before) end as level from (
-        select *, {d.last(seq, BEFORE)} as before, {d.first(seq, AFTER)} as after, {d.last(level, BEFORE)} as level_before, {d.first(level, AFTER)} as level_after from (
-          select i.doc_id, i.seq, i.level, i.left_pt, coalesce(o.outline_state = 'unique_exact', false) as supported, n.kind as kind from items i left join outline_matches o on o.doc_id = i.doc_id and o.seq = i.seq
-            join parsed_numbers n on n.doc_id = i.doc_id and n.seq = i.seq where i.level is not null))
-      where not supported and kind = 'none' and before is not null and after is not null group by doc_id, before, after having count(*) >= {CLUSTER} and max(left_pt) - min(left_pt) <= {SPREAD}"""
+    """Headings and items with the level that something supports, if any: one outline entry before a row of contents before a number."""
+    return """select i.doc_id, i.seq, i.role, i.level, i.left_pt, n.kind, case when o.outline_state = 'unique_exact' then o.outline_level when e.depth is not null then e.depth else c.calibrated_level end as supported
+      from items i left join outline_matches o on o.doc_id = i.doc_id and o.seq = i.seq left join (select doc_id, target_seq, min(depth) as depth from toc_targets group by doc_id, target_seq) e on e.doc_id = i.doc_id and e.target_seq = i.seq
+        left join calibrated c on c.doc_id = i.doc_id and c.seq = i.seq left join parsed_numbers n on n.doc_id = i.doc_id and n.seq = i.seq"""
+
+
+@view("level_transfers", "supported_levels")
+def _(d):
+    """Clusters of unnumbered headings between two supported items (or after the last) of which one has no level or skips one; their left edges agree. They take the later item's level if it is one
+    below the earlier one's and all stand in line with it; else the level is in doubt (null). A heading that is supported itself and skips a level has its neighbours' clusters as its own."""
+    w = "partition by doc_id order by seq rows between unbounded preceding and current row"
+    return f"""select p.doc_id, p.before, p.after, cast(count(*) as bigint) as members, min(m.seq) as first_seq, max(m.seq) as last_seq,
+        case when p.before_level = p.after_level - 1 and max(abs(m.left_pt - p.after_left)) <= {SPREAD} then p.after_level end as level
+      from (select distinct h.doc_id, h.k, h.own, a.seq as before, a.supported as before_level, b.seq as after, b.supported as after_level, b.left_pt as after_left from heads h
+          join anchors a on a.doc_id = h.doc_id and a.k = h.k - h.own left join anchors b on b.doc_id = h.doc_id and b.k = h.k + 1 where h.level is null or h.level not between 1 and 6 or h.level > a.supported + 1) p
+      join heads m on m.doc_id = p.doc_id and (m.k = p.k and m.own <= p.own or p.own = 1 and m.k = p.k - 1 and m.own = 0)
+      group by p.doc_id, p.before, p.before_level, p.after, p.after_level having count(*) >= {CLUSTER} and max(m.left_pt) - min(m.left_pt) <= {SPREAD}""".replace(
+        "heads", f"(select doc_id, seq, level, left_pt, k, case when supported is null then 0 else 1 end as own from (select *, count(supported) over ({w}) as k from supported_levels) where role = 'section_header' and kind = 'none')"
+    ).replace("anchors", f"(select * from (select *, count(supported) over ({w}) as k from supported_levels) where supported is not null)")
 
 
 @operator("win08_local_level_transfer", "level_transfers")

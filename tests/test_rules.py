@@ -110,11 +110,11 @@ def test_local_resolution_in_order(spark):
 
 
 def test_numbers_of_headings(spark, items):
-    texts = ["1.2.3 Deep", "7. Title", "120. Title", "0. Title", "Article IV Scope", "XI. Title", "B. Title", "I. Title", "• point", "(1) bracket", "Plain"]
+    texts = ["1.2.3 Deep", "7. Title", "120. Title", "0. Title", "120 Title", "99 Title", "0 Title", "Article IV Scope", "XI. Title", "B. Title", "I. Title", "• point", "(1) bracket", "Plain"]
     got = apply(spark, "scl05_numbering_grammar", items=items(*(item(k, t) for k, t in enumerate(texts)), item(99, "1. list", role="list_item")))
     assert rows(got, "seq", "kind", "token", "depth") == [
-        (0, "decimal", "1.2.3", 3), (1, "decimal", "7", 1), (2, "none", None, None), (3, "none", None, None), (4, "article", "IV", 1), (5, "upper_roman", "XI", 1), (6, "upper_alpha", "B", 1), (7, "upper_roman", "I", 1),
-        (8, "bullet", "•", None), (9, "none", None, None), (10, "none", None, None), (99, "none", None, None),
+        (0, "decimal", "1.2.3", 3), (1, "decimal", "7", 1), (2, "decimal", "120", 1), (3, "decimal", "0", 1), (4, "none", None, None), (5, "decimal", "99", 1), (6, "none", None, None), (7, "article", "IV", 1), (8, "upper_roman", "XI", 1), (9, "upper_alpha", "B", 1),
+        (10, "upper_roman", "I", 1), (11, "bullet", "•", None), (12, "none", None, None), (13, "none", None, None), (99, "none", None, None),
     ]
 
 
@@ -235,3 +235,93 @@ def test_a_callers_views_stay(spark, items):
     spark.range(3).createOrReplaceTempView("items")
     assert apply(spark, "flt01_mention_sources", items=items(item(0))).count() == 1
     assert spark.table("items").count() == 3
+
+
+CELLS = "table_id bigint, r bigint, c int, text string"
+
+
+def table(spark, *texts):
+    return spark.createDataFrame([(1, r, c, x) for r, row in enumerate(texts, 1) for c, x in enumerate(row)], CELLS)
+
+
+def test_rows_that_cleaning_removes(spark):
+    """Counters go wherever they are, file names only before other rows; a column counts if a kept row fills it."""
+    cells = table(spark, ("Page 3 OF 12", "", ""), ("extract_v2", "", ""), ("Name", "Count", ""), ("x", "12 of them", ""), ("later_v3", "", ""), ("", "4 of 9", "z"))
+    assert rows(apply(spark, "scl11_row_cleanup", cells=cells), "rows_raw", "rows_kept", "footer_rows", "filename_rows", "columns_kept") == [(6, 3, 2, 1, 2)]
+    only = table(spark, ("a_v1", "b_v1"), ("c_v1", ""))
+    assert rows(apply(spark, "scl11_row_cleanup", cells=only), "rows_kept", "filename_rows") == [(2, 0)]
+
+
+def test_header_rows(spark):
+    """Shares are of filled cells; signs and units are part of numbers; coordinates end a header; empty rows are part of it."""
+
+    def size(*texts):
+        return rows(apply(spark, "scl12_header_matrix_rows", cells=table(spark, *texts)), "header_rows")
+
+    assert size(("Name", "Count", ""), ("", "", ""), ("x", "$(1,200.5 %", ""), ("y", "2", "")) == [(2,)]
+    assert size(("Name", "", "7", "x"), ("n", "1", "", "")) == [(1,)]
+    assert size(("Name", "Key"), ("x", "123456.5_1234567.25_")) == [(1,)]
+    assert size(("1", "2"), ("a", "b")) == [] and size(("", ""), ("1", "")) == []
+    assert size(*[("a", "b")] * 11) == [(8,)]
+
+
+def test_headers_are_compared_over_all_columns(spark):
+    make = lambda t, name: [(t, 1, 0, "A"), (t, 1, 1, "B"), (t, 1, 2, name), (t, 2, 0, "1"), (t, 2, 1, "2"), (t, 2, 2, "3")]
+    cells = spark.createDataFrame([*make(1, "C"), *make(2, "C"), *make(3, "X")], CELLS)
+    assert rows(apply(spark, "flt19_header_equality", cells=cells), "first_id", "next_id") == [(1, 2)]
+
+
+NO_REGIONS = "doc_id bigint, start_seq bigint, end_seq bigint"
+
+
+def siblings(spark, items, *changed, state="unique_aligned", regions=()):
+    base = {0: item(0, "Before", "section_header", 2), 1: item(1, "body text"), 2: item(2, "Sibling"), 3: item(3, "more text"), 4: item(4, "After", "section_header", 2)}
+    df = items(*(base | {x[1]: x for x in changed}).values())
+    aligned = spark.createDataFrame([(1, k, state) for k in range(5)], "doc_id bigint, seq bigint, layout_state string")
+    found = apply(spark, "flt17_sibling_pattern", items=df, jn03_alignment_lookup=aligned, toc_regions=spark.createDataFrame(list(regions), NO_REGIONS))
+    return [r.seq for r in found.collect() if r.sibling]
+
+
+def test_structural_siblings(spark, items):
+    assert siblings(spark, items) == [2]
+    assert siblings(spark, items, item(4, "After", "section_header", 3)) == []
+    assert siblings(spark, items, item(1, "cell", "caption")) == []
+    assert siblings(spark, items, item(3, "foot", layer="furniture")) == []
+    assert siblings(spark, items, item(2, "Sibling", left=74.0)) == [] and siblings(spark, items, item(2, "Sibling", left=73.0)) == [2]
+    assert siblings(spark, items, item(2, "3. Sibling")) == [] and siblings(spark, items, item(2, "x" * 161)) == [] and siblings(spark, items, item(2, "x" * 160)) == [2]
+    assert siblings(spark, items, item(4, "After", "section_header", 2, page=2)) == []
+    assert siblings(spark, items, state="ambiguous") == [] and siblings(spark, items, regions=[(1, 0, 2)]) == []
+
+
+SUPPORTED = "doc_id bigint, seq bigint, role string, level bigint, left_pt double, kind string, supported bigint"
+
+
+def transfers(spark, *rows_):
+    df = spark.createDataFrame([(1, k, role, level, left, kind, sup) for k, (role, level, left, kind, sup) in enumerate(rows_)], SUPPORTED)
+    return rows(apply(spark, "win08_local_level_transfer", supported_levels=df), "before", "after", "members", "level")
+
+
+def test_local_level_transfers(spark):
+    a, text = ("section_header", 1, 72.0, "decimal", 1), ("text", None, 72.0, "none", None)
+    skips, fits, b = ("section_header", 4, 72.0, "none", None), ("section_header", 2, 72.5, "none", None), ("section_header", 2, 72.0, "decimal", 2)
+    assert transfers(spark, a, skips, text, fits, b) == [(0, 4, 2, 2)]
+    assert transfers(spark, a, fits, fits, b) == []  # all could be what they are
+    assert transfers(spark, a, skips, b) == []  # no cluster
+    assert transfers(spark, a, skips, fits, ("section_header", 1, 72.0, "decimal", 1)) == [(0, 3, 2, None)]  # the later one is not one level below
+    assert transfers(spark, a, skips, fits, ("section_header", 2, 80.0, "decimal", 2)) == [(0, 3, 2, None)]  # not in line
+    assert transfers(spark, a, skips, fits) == [(0, None, 2, None)]  # nothing later
+    assert transfers(spark, skips, skips, a) == []  # nothing earlier
+    assert transfers(spark, a, skips, ("section_header", 2, 74.0, "none", None), b) == []  # edges too far apart
+    own = ("section_header", 5, 72.0, "none", 3)
+    assert transfers(spark, a, fits, own, fits, b) == [(0, 4, 3, 2)]  # a supported heading that skips a level
+
+
+def test_calibration_stays_in_its_scope(spark):
+    df = spark.createDataFrame([(1, 1, 1, 1, 1, 1, 3), (1, 2, 1, 1, 1, 2, None), (1, 3, 1, 2, 1, 1, None)], "doc_id bigint, seq bigint, level bigint, regime_no bigint, root_level bigint, depth bigint, anchor_level bigint")
+    assert rows(apply(spark, "jn13_earlier_anchor", numbered=df), "seq", "calibration") == [(1, None), (2, 2), (3, None)]
+
+
+def test_identity_changes_of_one_source(spark):
+    s = "source_id bigint, terminal_state string, failure_class string"
+    old, new = spark.createDataFrame([(1, "complete", None), (2, "complete", None), (3, "failed", "x")], s), spark.createDataFrame([(1, "failed", "x"), (2, "complete", None)], s)
+    assert rows(apply(spark, "jn31_identity_changes", candidates=old, later_candidates=new), "source_id", "field") == [(1, "failure_class"), (1, "terminal_state")]
