@@ -126,29 +126,48 @@ def table_families(edges: DataFrame, tables: DataFrame) -> DataFrame:
     return _cogrouped(edges, tables, "doc_id").applyInPandas(run, "doc_id bigint, table_id bigint, family_no bigint, member_no bigint")
 
 
-OTSL = {"fcel", "ecel", "ched", "rhed", "srow"}
+OTSL = {"fcel", "ecel", "ched", "rhed", "srow"}  # fixed values: tokens that begin a cell
 
 
 def grid_topology(tokens: DataFrame) -> DataFrame:
-    """Cells of OTSL token rows (table_id, r, tokens array<string>): each span's origin, extent, kind, and whether it is a rectangle.
+    """Cells of OTSL token rows (table_id, r, tokens array<string>): each span's origin, extent and kind.
 
-    lcel joins the cell to its left, ucel the one above, xcel both.
+    lcel joins the cell to its left, ucel the one above, xcel both, which must be one cell. A table with another token, rows
+    of different lengths, rows without tokens, a continuation of nothing, or a cell that is no rectangle is rejected: it has
+    one row without a cell, with the reason. Places count from 0.
     """
 
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        grid = [list(x) for x in table.sort_values("r").tokens]
+    def cells_of(grid: list[list[str]]) -> tuple[str | None, dict]:
+        if not grid or not all(grid) or len({len(row) for row in grid}) != 1:
+            return "rows of different lengths or none", {}
         owner: dict[tuple[int, int], tuple[int, int]] = {}
         for i, row in enumerate(grid):
             for j, token in enumerate(row):
-                back = {"lcel": (i, j - 1), "ucel": (i - 1, j), "xcel": (i - 1, j - 1)}.get(token)
-                owner[i, j] = owner.get(back, (i, j)) if back else (i, j)
+                left, above = owner.get((i, j - 1)), owner.get((i - 1, j))
+                if token in OTSL:
+                    owner[i, j] = (i, j)
+                elif token not in ("lcel", "ucel", "xcel"):
+                    return "unknown token", {}
+                else:
+                    found = left if token == "lcel" else above if token == "ucel" else left if left == above else None
+                    if found is None:
+                        return "a continuation of nothing", {}
+                    owner[i, j] = found
         cells: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for place, origin in owner.items():
             cells.setdefault(origin, []).append(place)
-        out = []
-        for (i, j), places in sorted(cells.items()):
+        for (i, j), places in cells.items():
             height, width = max(p[0] for p in places) - i + 1, max(p[1] for p in places) - j + 1
-            out.append((table.table_id.iloc[0], i, j, height, width, grid[i][j], grid[i][j] in OTSL and height * width == len(places)))
-        return pd.DataFrame(out, columns=["table_id", "r", "c", "row_span", "column_span", "kind", "rectangle"])
+            if height * width != len(places) or min(p[1] for p in places) < j:
+                return "a cell that is no rectangle", {}
+        return None, cells
 
-    return _grouped(tokens, "table_id").applyInPandas(run, "table_id bigint, r int, c int, row_span int, column_span int, kind string, rectangle boolean")
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        grid = [[] if x is None else list(x) for x in table.sort_values("r").tokens]
+        reason, cells = cells_of(grid)
+        t = table.table_id.iloc[0]
+        out = [(t, i, j, max(p[0] for p in places) - i + 1, max(p[1] for p in places) - j + 1, grid[i][j], None) for (i, j), places in sorted(cells.items())]
+        out = out or [(t, None, None, None, None, None, reason)]
+        return pd.DataFrame(out, columns=["table_id", "r", "c", "row_span", "column_span", "kind", "rejected"]).astype({c: "Int32" for c in ("r", "c", "row_span", "column_span")})
+
+    return _grouped(tokens, "table_id").applyInPandas(run, "table_id bigint, r int, c int, row_span int, column_span int, kind string, rejected string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import folioforge.functions.scalars
@@ -18,7 +18,7 @@ import folioforge.operators.windows
 import folioforge.sources.bundles
 import folioforge.sources.fixtures  # noqa: F401
 from folioforge.functions.text import multiset_digest, normalized, table_text
-from folioforge.operators import contents, sequential, trees
+from folioforge.operators import contents, records, sequential, trees
 from folioforge.plans.catalog import OPERATORS, operator, oracle, over_folder, query, relations
 
 
@@ -54,6 +54,11 @@ def grf01_preorder_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.preorder(_view(spark, sf_dir, "tree"))
 
 
+def grf01_record_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of documents in reading order: texts, tables, figures and captions once, furniture last; documents that cannot be put in order as violations."""
+    return records.traverse(_view(spark, sf_dir, "record_nodes"), _view(spark, sf_dir, "record_edges"))
+
+
 def grf02_feature_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes reached from a root by label, and those that are not."""
     tree = _view(spark, sf_dir, "section_tree")
@@ -116,9 +121,9 @@ def grf06_table_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grf10_grid_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topology of token grids derived from table rows."""
-    token = "case when l_partkey % 7 = 0 then 'lcel' when l_suppkey % 5 = 0 then 'ucel' else 'fcel' end"
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("cast(l_orderkey as bigint) as table_id", "cast(l_linenumber as int) as r", f"array('fcel', {token}, case when l_partkey % 3 = 0 then 'lcel' else 'ecel' end) as tokens")
-    return sequential.grid_topology(rows.dropDuplicates(["table_id", "r"]))
+    token = "case when l_partkey % 7 = 0 then 'lcel' when l_suppkey % 5 = 0 and r > 1 then 'ucel' else 'fcel' end"
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("r", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")))
+    return sequential.grid_topology(rows.selectExpr("cast(l_orderkey as bigint) as table_id", "r", f"array('fcel', {token}, case when l_partkey % 3 = 0 then 'lcel' else 'ecel' end) as tokens"))
 
 
 def grf08_toc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +141,7 @@ MATCHING = (
 EVIDENCE = ("continuation", "footer_run", "exact_header")  # fixed values: evidence of table families in order
 MAX_LEVEL = 6  # fixed value: the deepest level of a heading
 GROUPED = (
-    scl01_normalize_text, scl02_alias_normalization, scl03_table_text, agg24_multiset_digest, srt06_distinct_boxes, jn16_region_matching, grf01_preorder_traversal, grf02_feature_traversal, grf03_descendant_closure,
+    scl01_normalize_text, scl02_alias_normalization, scl03_table_text, agg24_multiset_digest, srt06_distinct_boxes, jn16_region_matching, grf01_preorder_traversal, grf01_record_traversal, grf02_feature_traversal, grf03_descendant_closure,
     grf04_outline_levels, grf05_retained_parent, grf06_table_families, grf10_grid_topology, grf08_toc_entries, flt03_structural_exclusion, val02_section_cycles,
 )
 QUERIES = {name: query(name) for name in OPERATORS} | {f.__name__: f for f in GROUPED}

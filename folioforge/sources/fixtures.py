@@ -566,3 +566,23 @@ def _(d):
 def _(d):
     """Printed labels of pages: two Roman ones in some documents, then numbers."""
     return "select distinct doc_id, page, case when doc_id % 2 = 1 then cast(page as string) when page = 1 then 'i' when page = 2 then 'ii' else cast(page - 2 as string) end as label from items"
+
+
+@view("record_nodes", "items")
+def _(d):
+    """Records of documents: a group for each page, and items as texts, tables or pictures; some texts have no valid place, some tables are covered by others."""
+    kind = "case seq % 8 when 2 then '#/tables/' when 4 then '#/pictures/' else '#/texts/' end"
+    return f"""select doc_id, {kind} || cast(seq as string) as pointer, layer, case when seq % 8 = 2 then (doc_id + seq) % 3 end as tables, seq % 8 = 2 and (doc_id + seq) % 11 = 5 as covered, seq % 8 in (0, 1) and (doc_id + seq) % 41 = 7 as unplaced from items
+      union all select distinct doc_id, '#/groups/' || cast(page as string), 'body', cast(null as bigint), false, false from items"""
+
+
+@view("record_edges", "items")
+def _(d):
+    """What holds what: the body its pages, a page its items, a table the text after it, a picture the caption after it and the text behind; some documents hold a text twice, some a page that holds itself."""
+    text = "'#/texts/' || cast(seq as string)"
+    group = "'#/groups/' || cast(page as string)"
+    return f"""select distinct doc_id, '#/body' as parent, page as position, {group} as child, false as caption from items
+      union all select doc_id, case seq % 8 when 3 then '#/tables/' || cast(seq - 1 as string) when 5 then '#/pictures/' || cast(seq - 1 as string) when 6 then '#/pictures/' || cast(seq - 2 as string) else {group} end, seq,
+        case seq % 8 when 2 then '#/tables/' || cast(seq as string) when 4 then '#/pictures/' || cast(seq as string) else {text} end, seq % 8 = 5 from items
+      union all select doc_id, {group}, seq + 1000, {text}, false from items where seq = 0 and doc_id % 17 = 3
+      union all select doc_id, {group}, seq + 1000, {group}, false from items where seq = 1 and doc_id % 19 = 4"""

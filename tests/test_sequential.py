@@ -30,8 +30,14 @@ def test_families_refuse_two_tables_of_a_page(spark):
 
 
 def test_grid_topology_spans(spark):
-    df = spark.createDataFrame([(1, 1, ["fcel", "lcel"]), (1, 2, ["ucel", "xcel"])], "table_id bigint, r int, tokens array<string>")
-    assert [tuple(r) for r in sequential.grid_topology(df).collect()] == [(1, 0, 0, 2, 2, "fcel", True)]
+    tables = {1: [["fcel", "lcel"], ["ucel", "xcel"]], 2: [["fcel", "bad"]], 3: [["fcel"], ["fcel", "fcel"]], 4: [["lcel", "fcel"]], 5: [["fcel", "fcel"], ["ucel", "xcel"]], 6: [["fcel", "lcel"], ["ucel", "fcel"]], 7: [["ched", "lcel", "fcel"], ["rhed", "ecel", "ucel"]], 8: [[]]}
+    df = spark.createDataFrame([(t, r, x) for t, rows in tables.items() for r, x in enumerate(rows, 1)], "table_id bigint, r int, tokens array<string>")
+    got = [tuple(r) for r in sequential.grid_topology(df).orderBy("table_id", "r", "c").collect()]
+    none = (None,) * 5
+    assert got == [
+        (1, 0, 0, 2, 2, "fcel", None), (2, *none, "unknown token"), (3, *none, "rows of different lengths or none"), (4, *none, "a continuation of nothing"), (5, *none, "a continuation of nothing"), (6, *none, "a cell that is no rectangle"),
+        (7, 0, 0, 1, 2, "ched", None), (7, 0, 2, 2, 1, "fcel", None), (7, 1, 0, 1, 1, "rhed", None), (7, 1, 1, 1, 1, "ecel", None), (8, *none, "rows of different lengths or none"),
+    ]
 
 
 def _run(spark, df, name, tmp_path):
