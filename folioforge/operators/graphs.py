@@ -8,7 +8,7 @@ from folioforge.plans.catalog import operator, view
 @view("heading_tree", "heading_parents")
 def _(d):
     """Headings as a tree over keys; a third is replaced and skipped."""
-    return "select doc_id * 100000 + seq as id, case when parent_seq is not null then doc_id * 100000 + parent_seq end as parent_id, (doc_id + seq) % 3 = 0 as replaced from heading_parents"
+    return "select doc_id * 4294967296 + seq as id, case when parent_seq is not null then doc_id * 4294967296 + parent_seq end as parent_id, (doc_id + seq) % 3 = 0 as replaced from heading_parents"
 
 
 @operator("grf06_family_chains", "headers")

@@ -328,7 +328,7 @@ def _(d):
 @operator("prj21_warnings", "anomalies", "win06_sparse_depth")
 def _(d):
     """Warnings of all products, each at its first appearance."""
-    return "select source_id, code, min(at_) as first_at from (select source_id, category as code, record_id as at_ from anomalies union all select cast(doc_id % 40 as bigint), 'sparse_depth', doc_id * 100000 + seq from win06_sparse_depth) group by source_id, code"
+    return "select source_id, code, min(at_) as first_at from (select source_id, category as code, record_id as at_ from anomalies union all select cast(doc_id % 40 as bigint), 'sparse_depth', doc_id * 4294967296 + seq from win06_sparse_depth) group by source_id, code"
 
 
 @operator("prj22_run_metrics", "documents")

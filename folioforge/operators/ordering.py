@@ -101,7 +101,7 @@ def _(d):
 @operator("set06_anomaly_concatenation", "anomalies", "win06_sparse_depth")
 def _(d):
     """Anomaly streams end to end, in their order."""
-    return "select 0 as stream, category, record_id from anomalies union all select 1, 'sparse_depth', doc_id * 100000 + seq from win06_sparse_depth"
+    return "select 0 as stream, category, record_id from anomalies union all select 1, 'sparse_depth', doc_id * 4294967296 + seq from win06_sparse_depth"
 
 
 @operator("set07_semantic_preservation", "baseline_rows", "candidate_rows")

@@ -152,7 +152,7 @@ def _(d):
 @view("anomalies", "items")
 def _(d):
     """Anomalies of documents by category."""
-    return "select cast(doc_id % 40 as bigint) as source_id, case when level = 4 then 'deep_heading' when line = '' then 'empty_text' else 'footer' end as category, doc_id * 100000 + seq as record_id from items where level = 4 or line = '' or role = 'page_footer'"
+    return "select cast(doc_id % 40 as bigint) as source_id, case when level = 4 then 'deep_heading' when line = '' then 'empty_text' else 'footer' end as category, doc_id * 4294967296 + seq as record_id from items where level = 4 or line = '' or role = 'page_footer'"
 
 
 # Fixed value: records of a category in a sample.

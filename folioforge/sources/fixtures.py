@@ -182,7 +182,7 @@ def _(d):
 @view("regimes", "headings")
 def _(d):
     """Numbering scopes: from each level-1 heading to the next of the document."""
-    return """select doc_id, seq as start_seq, coalesce(lead(seq) over (partition by doc_id order by seq), 1000000) as end_seq,
+    return """select doc_id, seq as start_seq, coalesce(lead(seq) over (partition by doc_id order by seq), 4294967296) as end_seq,
       cast(row_number() over (partition by doc_id order by seq) as bigint) as regime_no from headings where level = 1"""
 
 
