@@ -169,10 +169,14 @@ def retried(pairs: DataFrame, scratch: Scratch) -> DataFrame | None:
     while not pairs.isEmpty():
         level += 1
         told = peel(subtract(sketch(F.col("a")), sketch(F.col("b"))))
-        tried = scratch.save(_dealt(pairs, level, tables).withColumn("found", told), f"tables-{level}")
-        told = tried.where("found.done").select("row", "kind", F.size("found.only_a").alias("only_a"), F.size("found.only_b").alias("only_b"))
+        rows = _dealt(pairs, level, tables).withColumn("found", told).select(
+            "row", "kind", "table", F.col("found.done").alias("done"), F.size("found.only_a").alias("only_a"), F.size("found.only_b").alias("only_b"),
+            *[F.when(~F.col("found.done"), F.col(side)).alias(side) for side in ("a", "b")],
+        )
+        tried = scratch.save(rows, f"tables-{level}")
+        told = tried.where("done").select("row", "kind", "only_a", "only_b")
         done = told if done is None else done.unionByName(told)
-        pairs, tables = tried.where("not found.done").select("row", "kind", "table", "a", "b"), F.lit(4)
+        pairs, tables = tried.where("not done").select("row", "kind", "table", "a", "b"), F.lit(4)
     return done if done is None else done.groupBy("row", "kind").agg(F.sum("only_a").alias("only_a"), F.sum("only_b").alias("only_b"))
 
 
