@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,12 +30,25 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed and kept in the cluster's ``spark.checkpoint.dir``; only a local session gets a folder of its own."""
-    context = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; only a local session gets one of its own."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         root = context.getConf().get("spark.checkpoint.dir")
         if not root and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="folioforge-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed and kept as a checkpoint."""
+    shared(df.sparkSession)
     return df.checkpoint()
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a table in the shared folder, for plans that read it often; each reader takes its own columns."""
+    path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

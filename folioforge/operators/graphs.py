@@ -80,14 +80,6 @@ def _(d):
       case when selected = 'R08' then 'unchanged' when selected = 'R06' or (selected = 'R02' and indented_item is null) or (selected = 'R05' and {JUMP}) or (selected = 'R07' and transfer_level is null) then 'ambiguous' else 'applied' end as outcome from decisions"""
 
 
-@operator("grf13_section_placement", "items", "heading_parents")
-def _(d):
-    """Placement of content in sections."""
-    return """select i.doc_id, i.seq, case when i.layer = 'furniture' then 'excluded' when h.seq is not null and h.parent_seq is null then 'root_section' when h.seq is not null then 'section' when i.role = 'list_item' then 'list_content'
-      when x.first_heading is null or i.seq < x.first_heading then 'front_matter' else 'content' end as placement from items i left join heading_parents h on h.doc_id = i.doc_id and h.seq = i.seq
-      left join (select doc_id, min(seq) as first_heading from heading_parents group by doc_id) x on x.doc_id = i.doc_id"""
-
-
 @view("direct_content", "items", "heading_parents")
 def _(d):
     """Body items with the section that they stand in, that of the latest heading; a heading is the first content of its own."""

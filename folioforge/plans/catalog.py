@@ -99,10 +99,10 @@ def apply(spark: SparkSession, name: str, **frames: DataFrame) -> DataFrame:
             spark.catalog.dropTempView(x)
 
 
-def over_folder(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The operator (or view) over the tables of a data folder."""
-    used = sorted(_tables(OPERATORS.get(name) or VIEWS[name]))
-    return apply(spark, name, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+def over_folder(spark: SparkSession, sf_dir: str, name: str, **frames: DataFrame) -> DataFrame:
+    """The operator (or view) over the tables of a data folder. ``frames``: relations that are given and not derived."""
+    used = sorted(_tables(OPERATORS.get(name) or VIEWS[name], frozenset(frames)))
+    return apply(spark, name, **frames, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -113,10 +113,11 @@ def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def _tables(definition: Definition) -> set[str]:
+def _tables(definition: Definition, given: frozenset[str] = frozenset()) -> set[str]:
     out: set[str] = set()
     for name in definition.inputs:
-        out |= {name} if name in TABLES else _tables(_find(name))
+        if name not in given:
+            out |= {name} if name in TABLES else _tables(_find(name), given)
     return out
 
 

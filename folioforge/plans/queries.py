@@ -10,6 +10,7 @@ import folioforge.operators.aggregates
 import folioforge.operators.checks
 import folioforge.operators.contents
 import folioforge.operators.graphs
+import folioforge.operators.hierarchy
 import folioforge.operators.joins
 import folioforge.operators.lifecycle
 import folioforge.operators.ordering
@@ -17,8 +18,9 @@ import folioforge.operators.predicates
 import folioforge.operators.windows
 import folioforge.sources.bundles
 import folioforge.sources.fixtures  # noqa: F401
+from folioforge.executors import kept
 from folioforge.functions.text import multiset_digest, normalized, table_text
-from folioforge.operators import contents, records, sequential, trees
+from folioforge.operators import contents, hierarchy, records, sequential, trees
 from folioforge.plans.catalog import OPERATORS, operator, oracle, over_folder, query, relations
 
 
@@ -131,6 +133,39 @@ def grf08_toc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contents.parse_rows(_view(spark, sf_dir, "contents_items"))
 
 
+# Relations that the rule cascade reads many times (items over 150 times), in the order in which they are written; items without the texts of references.
+STAGES = {
+    "items": ("doc_id", "seq", "page", "line", "role", "layer", "level", "left_pt", "in_picture", "n_regions", "ntext"),
+    "parsed_numbers": (), "outline_matches": (), "toc_targets": (), "calibrated": (), "contents_texts": (), "heading_parents": (), "toc_regions": (), "supported_levels": (),
+}
+
+
+def _stages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Tables of the stages; each is derived from those before it."""
+    frames: dict[str, DataFrame] = {}
+    for name, columns in STAGES.items():
+        df = over_folder(spark, sf_dir, name, **frames)
+        frames[name] = kept(df.select(*columns) if columns else df, name)
+    return frames
+
+
+def _in_stages(name: str):
+    """A query over the stages; if it needs the hierarchy, that is the pass, where its SQL has the same relation by joins."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frames = _stages(spark, sf_dir)
+        if name in OVER_HIERARCHY:
+            decisions = over_folder(spark, sf_dir, "grf12_rule_cascade", **frames).select("doc_id", "seq", "role", F.col("corrected_level").alias("level"))
+            scopes = over_folder(spark, sf_dir, "scopes", **frames).withColumn("root_level", F.lit(hierarchy.ROOT_LEVEL))
+            frames["corrected_hierarchy"] = kept(hierarchy.project(decisions, scopes), "corrected_hierarchy")
+        return over_folder(spark, sf_dir, name, **frames)
+
+    run.__name__, run.__doc__ = name, OPERATORS[name].doc
+    return run
+
+
+OVER_HIERARCHY = ("win04_corrected_hierarchy", "win06_sparse_corrected", "grf13_section_placement", "grf14_section_children")
+OVER_STAGES = ("grf12_rule_cascade", "agg05_rule_summary", *OVER_HIERARCHY)
 # One-to-one matching step by step: the regions of a page in order, each with its candidates best first, and the tables taken so far.
 MATCHING = (
     "regions as (select *, row_number() over (partition by page order by t desc, l, b desc, id) as k from region_pairs where is_region)",
@@ -144,7 +179,7 @@ GROUPED = (
     scl01_normalize_text, scl02_alias_normalization, scl03_table_text, agg24_multiset_digest, srt06_distinct_boxes, jn16_region_matching, grf01_preorder_traversal, grf01_record_traversal, grf02_feature_traversal, grf03_descendant_closure,
     grf04_outline_levels, grf05_retained_parent, grf06_table_families, grf10_grid_topology, grf08_toc_entries, flt03_structural_exclusion, val02_section_cycles,
 )
-QUERIES = {name: query(name) for name in OPERATORS} | {f.__name__: f for f in GROUPED}
+QUERIES = {name: query(name) for name in OPERATORS} | {f.__name__: f for f in GROUPED} | {name: _in_stages(name) for name in OVER_STAGES}
 
 
 def _by_hand() -> dict[str, str]:

@@ -586,3 +586,9 @@ def _(d):
         case seq % 8 when 2 then '#/tables/' || cast(seq as string) when 4 then '#/pictures/' || cast(seq as string) else {text} end, seq % 8 = 5 from items
       union all select doc_id, {group}, seq + 1000, {text}, false from items where seq = 0 and doc_id % 17 = 3
       union all select doc_id, {group}, seq + 1000, {group}, false from items where seq = 1 and doc_id % 19 = 4"""
+
+
+@view("record_items", "items")
+def _(d):
+    """Records by kind: an item in a picture that is no caption is a figure."""
+    return "select doc_id, seq, layer, case when in_picture and role <> 'caption' then 'figure' else 'text' end as record_type from items"
