@@ -5,13 +5,15 @@ words as capacity, once per repetition level; arcs lead to the quotas of its sou
 before (convex), so nothing is repeated while unused text is left for the same quota. The flow of least cost among
 the largest flows says how many words of each pattern to take, once, twice or three times over. Documents are then
 taken in the order of a seeded hash: all of a pattern for its full levels, and those up to a threshold for the rest.
-The threshold comes from two histograms of the hash (``bins`` each), so no pattern is ever gathered or sorted.
+The threshold comes from two histograms of the hash (``bins`` each), so no pattern is ever gathered or sorted. The cell
+that holds it is split by hash and input partition, and the partition in which it lies by the place of its rows, so
+that any number of equal rows is split as well.
 
 The driver holds patterns and sources, not documents; more than ``max_patterns`` patterns raise an error. The
 documents are read once: sizes, patterns and hashes are written to the shared folder and read from there.
 
-Edge cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, last in order; repeated
-rows are mixed like others (their hash is the same, so they enter together); null ids hash like a value; an empty
+Edge cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, last in order; rows that
+share an id are told apart by their texts; of equal rows as many enter as are needed; null ids hash like a value; an empty
 table gives no rows; when all sizes are 0 nothing is taken.
 """
 
@@ -108,6 +110,27 @@ def _threshold(rows: DataFrame, rest: DataFrame, column: str, bins: int, keep: l
     return crossed.select(*keep, F.col(f"x.{column}").alias(column), F.col("x.left").alias("need"), "x.s")
 
 
+def _part() -> Column:
+    """Input partition of a row, by its place."""
+    return F.shiftright("place", 33)
+
+
+def _split(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """Where each pattern's last cell (p, u, v, need, s) is cut: hash, input partition and place of the last row taken, to the nearest row.
+
+    A cell is summed by hash and partition, so what a window orders is small even if the cell is a third of all rows; only
+    the rows of one input partition are ordered by place.
+    """
+    cell = rows.join(F.broadcast(cells.select("p", "u", "v", "need")), ["p", "u", "v"]).select("p", "u", "v", "need", "h", _part().alias("part"), "place", "size")
+    sums = cell.groupBy("p", "u", "v", "need", "h", "part").agg(F.sum("size").alias("s"), F.greatest(F.max("size"), F.lit(1)).alias("one"))
+    upto = F.sum("s").over(Window.partitionBy("p").orderBy("h", "part"))
+    first = F.min_by(F.struct("u", "v", "h", "part", F.floor((F.col("need") - F.col("upto") + F.col("s")) / F.col("one") + 0.5).cast("bigint").alias("k")), "upto").alias("x")
+    last = sums.withColumn("upto", upto).where("upto > need").groupBy("p").agg(first).select("p", "x.*")
+    there = cell.select("p", "h", "part", "place").join(F.broadcast(last.select("p", "h", "part", "k")), ["p", "h", "part"])
+    nth = there.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy("place"))).where("n = k").select("p", F.col("place").alias("cut_place"))
+    return last.join(nth, "p", "left").select("p", *[F.col(c).alias(f"cut_{c}") for c in ("u", "v", "h", "part")], F.coalesce("cut_place", F.lit(-1).cast("bigint")).alias("cut_place"))
+
+
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sources: str = "source", weights: tuple[float, ...] = (1, 2, 3),
     seed: int = 20, bins: int = 4096, max_patterns: int = 100_000,
@@ -121,9 +144,9 @@ def mix(
     listed = docs.schema[sources].dataType.typeName() == "array"
     scratch = Scratch(spark, "mix")
     pattern = F.array_sort(F.array_distinct(F.coalesce(column, F.array(F.lit(None).cast("string"))))) if listed else F.array(column.cast("string"))
-    hashed = F.xxhash64(F.col(doc_id), F.lit(seed))
+    hashed = F.xxhash64(F.col(doc_id), F.lit(seed), F.col(text))
     low = F.pmod(F.shiftright(hashed, 24), F.lit(bins)).cast("int")
-    rows = docs.select(F.col(doc_id).alias("id"), pattern.alias("pattern"), word_count(F.col(text)).alias("size"), F.pmod(F.shiftright(hashed, 40), F.lit(bins)).cast("int").alias("u"), low.alias("v"))
+    rows = docs.select(F.col(doc_id).alias("id"), pattern.alias("pattern"), word_count(F.col(text)).alias("size"), F.pmod(F.shiftright(hashed, 40), F.lit(bins)).cast("int").alias("u"), low.alias("v"), hashed.alias("h"), F.monotonically_increasing_id().alias("place"))
     rows = scratch.save(rows, "sizes")
     sums = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
     if len(sums) > max_patterns:
@@ -149,9 +172,9 @@ def mix(
     rest = plan_df.where("need > 0").select("p", "need")
     first = _threshold(rows, rest, "u", bins, ["p"])
     second = _threshold(rows, first.withColumnRenamed("u", "cut_u").select("p", F.col("cut_u").alias("u"), "need"), "v", bins, ["p", "u"])
-    # the cell in which the need is met is taken whole or left, whichever comes nearer
-    cuts = F.broadcast(second.select("p", F.col("u").alias("cut_u"), (F.col("v") + F.when(2 * F.col("need") > F.col("s"), 1).otherwise(0)).alias("cut_v")))
+    cuts = F.broadcast(_split(rows, second))
     out = rows.join(F.broadcast(plan_df), "p", "left").join(cuts, "p", "left")
-    more = (F.col("need") > 0) & ((F.col("u") < F.col("cut_u")) | ((F.col("u") == F.col("cut_u")) & (F.col("v") < F.col("cut_v"))))
+    at_cut, keys = F.struct("cut_u", "cut_v", "cut_h", "cut_part", "cut_place"), F.struct("u", "v", "h", _part().alias("part"), "place")
+    more = (F.col("need") > 0) & (keys <= at_cut)
     times = F.col("copies") + F.when(more, 1).otherwise(0)
     return out.select(F.col("id").alias(doc_id), "size", "source_size", "target", (F.col("size") * times).alias("taken"))

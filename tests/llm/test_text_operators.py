@@ -175,6 +175,17 @@ def test_mixing_meets_targets(spark, make):
     assert all(abs(t - want) <= 40 for t, want in by.values())
 
 
+@pytest.mark.parametrize("ids", ["one id", "no id", "equal rows"])
+def test_mixing_splits_rows_that_share_an_id(spark, ids):
+    n, doc_id = 1000, "cast(null as bigint)" if ids == "no id" else "cast(7 as bigint)"
+    text = "repeat('word ', 5)" if ids == "equal rows" else "concat('t', id, repeat(' word', 4))"
+    docs = spark.range(n).repartition(5).selectExpr(f"{doc_id} as doc_id", f"{text} as text", "if(id % 2 = 0, 'a', 'b') as source")
+    one, two = (sorted(map(str, mixing.mix(docs).collect())) for _ in range(2))
+    assert one == two and len(one) == n
+    by = mixing.mix(docs).groupBy("target", "source_size").agg(F.sum("taken").alias("taken")).collect()
+    assert sorted((r.source_size, round(r.target), r.taken) for r in by) == [(2500, 1667, 1665), (2500, 3333, 3335)]
+
+
 def test_mixing_edges(spark, make):
     got = mixing.mix(make(EDGES, [c for c in CLASHING if c != "source"])).collect()
     assert len(got) == len(EDGES) and mixing.mix(make([])).count() == 0
