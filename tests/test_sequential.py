@@ -11,6 +11,21 @@ def test_distinct_boxes_keep_the_largest(spark):
     assert {r.box_id for r in sequential.distinct_boxes(df).collect()} == {1, 3}
 
 
+def test_boxes_of_many_pages_are_one_pass(spark):
+    """Groups are not handed over one by one; pages without a number and boxes without a place stay, and large kept boxes do not hide later ones."""
+    rows = [(p, b, 1, 0.0, 0.0, 10.0 * b, 10.0) for p in (1, 2, None) for b in (1, 2, 3)] + [(1, 9, 1, 0.0, 0.0, 30.0, 9.8), (2, 9, 1, 0.0, float("nan"), 5.0, 5.0), (2, 8, 1, None, 0.0, 5.0, 5.0)]
+    df = sequential.distinct_boxes(spark.createDataFrame(rows, "page bigint, box_id bigint, part_no int, l double, b double, r double, t double"))
+    assert {(r.page, r.box_id) for r in df.collect()} == {(p, b) for p in (1, 2, None) for b in (1, 2, 3)} | {(2, 9), (2, 8)}
+    assert "InPandas" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_grids_of_many_tables_are_one_pass(spark):
+    rows = [(t, r, x) for t in (None, *range(3000)) for r, x in ((2, ["ucel", "fcel"]), (1, ["fcel", "fcel"]))] + [(-1, r, ["fcel"] * 40) for r in range(3)]
+    df = sequential.grid_topology(spark.createDataFrame(rows, "table_id bigint, r int, tokens array<string>"))
+    assert df.count() == 3001 * 3 + 120 and df.where("row_span = 2 and r = 0 and c = 0").count() == 3001
+    assert "InPandas" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_regions_take_the_best_remaining_table(spark):
     s = "page bigint, id bigint, l double, b double, r double, t double"
     regions = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 0.0, 0.0, 10.0, 9.0)], s)
