@@ -78,6 +78,11 @@ class Sweep:
         return (seq, "edge" if above else "root", owner, here.start, here.epoch, max(0, missing), None)
 
 
+def decided(cascade: DataFrame) -> DataFrame:
+    """Decisions of the cascade for ``project``. An item that takes part in several contents regions or transfers comes more than once; what is decided alike is one decision."""
+    return cascade.select("doc_id", "seq", "role", F.col("corrected_level").alias("level")).distinct()
+
+
 def project(decisions: DataFrame, scopes: DataFrame) -> DataFrame:
     """Roots, edges, members of sections and content without one, over corrected levels.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from folioforge.operators.hierarchy import Sweep, project
+from folioforge.operators.hierarchy import Sweep, decided, project
 from folioforge.plans.catalog import apply
 
 H = "heading"
@@ -87,6 +87,13 @@ def test_the_pass_agrees_with_the_definition_by_joins(spark):
     assert sorted(map(str, passed.select(columns).collect())) == sorted(map(str, joined.collect())) and passed.count() == 1500
 
 
+def test_an_item_decided_alike_twice_is_one_as_in_the_definition(spark):
+    cascade = frame(spark, [(1, 0, H, 1), (1, 1, H, 2), (1, 1, H, 2), (1, 2, "content", None), (1, 2, "content", None), (2, 2, "content", None)]).withColumnRenamed("level", "corrected_level")
+    joined = apply(spark, "win04_corrected_hierarchy", grf12_rule_cascade=cascade, scopes=scoped(spark, []))
+    passed = project(decided(cascade), scoped(spark, []))
+    assert sorted(map(str, passed.select(joined.columns).collect())) == sorted(map(str, joined.collect())) and passed.count() == 4
+
+
 def test_placements_and_children(spark):
     decided = project(frame(spark, [(1, 0, "content", None), (1, 1, "excluded", None), (1, 2, H, 1), (1, 3, "content", None), (1, 4, H, 2), (1, 6, "content", None), (1, 7, H, 1), (1, 8, "excluded", None)]), scoped(spark, []))
     records = spark.createDataFrame([(1, 0, "body", "text"), (1, 1, "body", "text"), (1, 2, "body", "text"), (1, 3, "body", "text"), (1, 4, "body", "text"), (1, 5, "body", "table"), (1, 6, "body", "text"), (1, 7, "body", "text"), (1, 8, "body", "text"), (1, 9, "furniture", "text"), (2, 0, "body", "figure")], "doc_id bigint, seq bigint, layer string, record_type string")
