@@ -160,27 +160,6 @@ def _shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def _verified(pairs: DataFrame, blobs: DataFrame, k: int, percent: int) -> DataFrame:
-    left = blobs.select(F.col("key").alias("a"), F.col("text").alias("ta"))
-    right = blobs.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        return _shingle_sets(column, k)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ok = []
-            for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
-                inter = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                ok.append(100 * inter >= percent * (len(x) + len(y) - inter))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), run, "a bigint, b bigint")
-
-
 def _rest(mixed: DataFrame) -> DataFrame:
     """All pairs of different labels that agree in a band."""
     a, b = (mixed.select("token", F.col("key").alias(f"key_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
@@ -202,15 +181,27 @@ def _components(docs: DataFrame, doc_id: str, text: str, shingle: int, percent:
     placed = docs.alias("x").join(wanted.alias("y"), same_row("doc_id", "row")).select("x.doc_id", "x.row", "x.text", "y.wanted")
     blobs = scratch.save(_members(placed, min_chars, texts=True).dropDuplicates(["key"]), "blobs")
 
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        return _shingle_sets(column, shingle)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Links among ``pairs``, as a table."""
+        found = scratch.save(postings.verified(scratch.save(pairs, f"{name}-pairs"), blobs, sets, percent, partitions_for(spark)), name)
+        scratch.drop(f"{name}-pairs")
+        return found
+
     first = postings.best_heads(live).select(F.col("key").alias("a"), F.col("other").alias("b"))
-    links = scratch.save(_verified(first, blobs, shingle, percent), "links-1")
+    links = verified(first, "links-1")
     labels = scratch.save(components(links, scratch, "cc1").select(F.col("node").alias("key"), F.col("component").alias("label")), "labels-1")
     mixed = scratch.save(postings.relabelled(live, labels), "mixed-1")
     entries, sizes = postings.split_by_cluster(mixed, live)
     entries, sizes = scratch.save(entries, "entries"), scratch.save(sizes, "clusters")
-    dense = postings.block_links(entries, sizes, blobs, lambda column: _shingle_sets(column, shingle), percent, parts)
-    pairs = _verified(_rest(entries.where("cluster is null")), blobs, shingle, percent)
-    links = scratch.save(links.unionByName(pairs).unionByName(dense), "links-2")
+    scratch.drop("mixed-1")
+    scratch.drop("live")
+    dense = scratch.save(postings.block_links(entries, sizes, blobs, sets, percent, parts), "links-2")
+    links = links.unionByName(dense).unionByName(verified(_rest(entries.where("cluster is null")), "links-3"))
+    scratch.drop("entries")
+    scratch.drop("blobs")
     labels = components(links, scratch, "cc2").select(F.col("node").alias("key"), F.col("component").alias("label"))
 
     named = nodes.select("key", "n", "first").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))

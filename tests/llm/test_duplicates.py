@@ -162,3 +162,47 @@ def test_stage_and_query_judge_short_lines(spark, make, tmp_path):
     make(rows).write.parquet(f"{tmp_path}/documents.parquet")
     found = {(r.doc_id, r.line, r.first_doc, r.first_line, r.kept) for r in op7_line_dedup(spark, str(tmp_path)).collect()}
     assert found == {(1, 1, 1, 1, True), (2, 2, 1, 1, False), (1, 2, 1, 2, True), (2, 1, 1, 2, False), (3, 0, 1, 2, False), (4, 0, 4, 0, True), (4, 2, 4, 0, False)}
+
+
+def test_pairs_are_verified_by_head(spark, monkeypatch):
+    """Every pair is compared, however many a head has; pairs without a text give no link."""
+    monkeypatch.setattr(postings, "QUERIES", 3)
+    texts = {k: set(range(k % 4, 10)) for k in range(20)} | {50: set(range(2, 10))}
+    blobs = spark.createDataFrame([(k, " ".join(map(str, sorted(v)))) for k, v in texts.items()], "key bigint, text string")
+    pairs = [(a, b) for b in (0, 50, 99) for a in (*range(1, 20), 98)] + [(0, 50)]
+    found = postings.verified(spark.createDataFrame(pairs, "a bigint, b bigint"), blobs, lambda column: [np.array(sorted(map(int, x.split())), np.uint64) for x in column.to_pylist()], 80, 4)
+    want = {(a, b) for a, b in pairs if a in texts and b in texts and 100 * len(texts[a] & texts[b]) >= 80 * len(texts[a] | texts[b])}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) > 20
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
+@pytest.mark.parametrize("run", [near_duplicates, lambda docs: line_components(docs, min_chars=1)])
+def test_tables_that_no_step_reads_any_more_are_gone(spark, make, run):
+    from pathlib import Path
+
+    from folioforge.llm.storage import shared_root
+
+    root = Path(shared_root(spark).removeprefix("file://"))
+    before = set(root.glob("*/*"))
+    run(make(dispersed(20))).collect()
+    left = {p.name for p in set(root.glob("*/*")) - before}
+    assert left and not left & {"live", "mixed-1", "mixed-2", "entries", "blobs", "links-1-pairs"}
+
+
+def test_texts_are_dealt_once_and_packed(spark, make):
+    from folioforge.llm.near_duplicates import _blobs
+    from folioforge.llm.storage import unpacked
+
+    rows = [(i, f"{'word ' * 40}{i % 5} é") for i in range(20)]
+    blobs = _blobs(make(rows), spark.createDataFrame([], "key bigint"), 5, 3)
+    assert blobs.count() == 0 and blobs._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    keys = _blobs(make(rows), blobs.sparkSession.range(0).toDF("key"), 5, 3)
+    assert keys.schema["text"].dataType.simpleString() == "binary"
+    import pyarrow as pa
+
+    from folioforge.llm.storage import pack_text
+
+    for text in ("", "é\n" * 9, "a\x00b"):
+        assert unpacked(pa.array([pack_text(text)])) == [text]
+    assert len(pack_text(rows[0][1])) < len(rows[0][1])
