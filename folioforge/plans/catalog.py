@@ -81,8 +81,16 @@ def statement(name: str, dialect: Spark, bound: dict[str, str] | None = None) ->
     return f"with {'recursive ' if recursive else ''}{head} {body}" if head else body
 
 
-def apply(spark: SparkSession, name: str, **frames: DataFrame) -> DataFrame:
-    """The operator (or view) over the given frames, one for each of its inputs (other inputs are derived if they can be).
+ROWS_PER_PART = 250_000  # rows of a table in one part where it is dealt, so that a task's memory stays the same in larger tables
+
+
+def parts_for(df: DataFrame) -> int:
+    """Parts that a table is dealt in; unlike the session's they are not put together again, and grow with the table."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_PART))
+
+
+def apply(spark: SparkSession, name: str, parts: int | None = None, **frames: DataFrame) -> DataFrame:
+    """The operator (or view) over the given frames, one for each of its inputs (other inputs are derived if they can be). ``parts``: see ``Spark.dealt``.
 
     The frames are bound under names that nobody else has and that are gone when the plan has been analysed, so the
     caller's own views are neither used nor changed.
@@ -93,16 +101,16 @@ def apply(spark: SparkSession, name: str, **frames: DataFrame) -> DataFrame:
     try:
         for n, df in frames.items():
             df.createOrReplaceTempView(bound[n])
-        return spark.sql(statement(name, SPARK, bound))
+        return spark.sql(statement(name, Spark(parts) if parts else SPARK, bound))
     finally:
         for x in bound.values():
             spark.catalog.dropTempView(x)
 
 
-def over_folder(spark: SparkSession, sf_dir: str, name: str, **frames: DataFrame) -> DataFrame:
+def over_folder(spark: SparkSession, sf_dir: str, name: str, parts: int | None = None, **frames: DataFrame) -> DataFrame:
     """The operator (or view) over the tables of a data folder. ``frames``: relations that are given and not derived."""
     used = sorted(_tables(OPERATORS.get(name) or VIEWS[name], frozenset(frames)))
-    return apply(spark, name, **frames, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    return apply(spark, name, parts, **frames, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -113,6 +121,11 @@ def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def needs(name: str, relation: str) -> bool:
+    """Whether an operator is derived from a relation."""
+    return relation in _needed(OPERATORS[name].inputs, [])
+
+
 def _tables(definition: Definition, given: frozenset[str] = frozenset()) -> set[str]:
     out: set[str] = set()
     for name in definition.inputs:

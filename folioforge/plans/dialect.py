@@ -6,6 +6,13 @@ from __future__ import annotations
 class Spark:
     name = "spark"
 
+    def __init__(self, parts: int | None = None):
+        self.parts = parts
+
+    def dealt(self, relation: str, *keys: str) -> str:
+        """``relation`` dealt by ``keys`` in as many parts as the tables that the statement is over (``parts``), if they are dealt."""
+        return f"(select /*+ repartition({self.parts}, {', '.join(keys)}) */ * from {relation})" if self.parts else relation
+
     def re(self, pattern: str) -> str:
         """A pattern as a literal that keeps its backslashes (it may hold one kind of quotes)."""
         return f"r'{pattern}'" if '"' in pattern else f'r"{pattern}"'
