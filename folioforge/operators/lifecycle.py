@@ -243,6 +243,9 @@ def _(d):
 def _(d):
     """Spans cut to the kept rows: extent and whether it still is a rectangle."""
     span = d.series("cell_spans", "row_no", "first_row", "last_row")
+    if d.name == "spark":
+        kept = f"(select s.table_id, s.first_row, s.row_no from {d.dealt(span, 'table_id', 'row_no')} s left anti join {d.dealt("(select table_id, place from removed_lines where axis = 'row')", 'table_id', 'place')} g on g.table_id = s.table_id and g.place = s.row_no)"
+        return f"select table_id, first_row, min(row_no) as lo, max(row_no) as hi, count(*) = max(row_no) - min(row_no) + 1 as rectangle from {d.dealt(kept, 'table_id', 'first_row')} group by table_id, first_row"
     return f"""select s.table_id, s.first_row, min(s.row_no) as lo, max(s.row_no) as hi, count(*) = max(s.row_no) - min(s.row_no) + 1 as rectangle from {span} s
       left join removed_lines g on g.table_id = s.table_id and g.axis = 'row' and g.place = s.row_no where g.place is null group by s.table_id, s.first_row"""
 
