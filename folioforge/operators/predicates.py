@@ -256,6 +256,10 @@ def _(d):
 @view("headers", "cells", "header_rows")
 def _(d):
     """All columns of each table's header rows, and the table's number of columns; tables whose header has no text have none."""
+    if d.name == "spark":  # the few header rows of a table as a list: cells then stay where their table is
+        header = "coalesce(array_contains(h.header_rows, x.r), false)"
+        return f"""select x.table_id, {d.listagg(f"case when {header} then cast(x.r as string) || ':' || x.text end", 'x.r, x.c', '|')} as header, cast(max(x.c) + 1 as bigint) as columns from cells x
+      left join (select table_id, collect_list(r) as header_rows from header_rows group by table_id) h on h.table_id = x.table_id group by x.table_id having sum(case when {header} and x.text <> '' then 1 else 0 end) > 0"""
     return f"""select x.table_id, {d.listagg("case when h.table_id is not null then cast(x.r as string) || ':' || x.text end", 'x.r, x.c', '|')} as header, cast(max(x.c) + 1 as bigint) as columns from cells x
       left join header_rows h on h.table_id = x.table_id and h.r = x.r group by x.table_id having sum(case when h.table_id is not null and x.text <> '' then 1 else 0 end) > 0"""
 
