@@ -37,3 +37,8 @@ def test_rows_stay_in_bounded_parts(plain, name):
     parts, share = largest_share(df)
     assert parts > 10 and share < 0.2
     assert difference(df, connect(DATA), oracles()[name]) == ""
+
+
+@pytest.mark.parametrize("name", ["scl26_record_references", "val10_status_target_count"])
+def test_texts_are_searched_once(spark, name):
+    assert not any("documents.parquet" in f for f in QUERIES[name](spark, DATA).inputFiles())
