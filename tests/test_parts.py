@@ -42,3 +42,8 @@ def test_rows_stay_in_bounded_parts(plain, name):
 @pytest.mark.parametrize("name", ["scl26_record_references", "val10_status_target_count"])
 def test_texts_are_searched_once(spark, name):
     assert not any("documents.parquet" in f for f in QUERIES[name](spark, DATA).inputFiles())
+
+
+def test_headers_are_joined_where_their_tables_are(plain):
+    plan = QUERIES["grf06_family_chains"](plain, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("- Exchange hashpartitioning") <= 2
