@@ -83,7 +83,7 @@ def decided(cascade: DataFrame) -> DataFrame:
     return cascade.select("doc_id", "seq", "role", F.col("corrected_level").alias("level")).distinct()
 
 
-def project(decisions: DataFrame, scopes: DataFrame) -> DataFrame:
+def project(decisions: DataFrame, scopes: DataFrame, parts: int | None = None) -> DataFrame:
     """Roots, edges, members of sections and content without one, over corrected levels.
 
     ``decisions``: doc_id, seq, role (heading, content, excluded), level. ``scopes``: doc_id, s, e (the first item after it),
@@ -95,12 +95,13 @@ def project(decisions: DataFrame, scopes: DataFrame) -> DataFrame:
     scope without place, and scopes that overlap, hold nothing or are given twice. Rows without a document are left out.
 
     Rows of a document are dealt to one task and sorted there; the task reads them in batches and keeps only open scopes.
+    ``parts``: in how many parts they are dealt, if not in the session's.
     """
     ship(decisions.sparkSession)
     big = lambda name: F.col(name).cast("bigint").alias(name)
     rows = decisions.select(big("doc_id"), big("seq"), F.lit(1).alias("what"), F.lit(None).cast("bigint").alias("until"), "role", big("level"))
     rows = rows.unionByName(scopes.select(big("doc_id"), F.col("s").cast("bigint").alias("seq"), F.lit(0).alias("what"), F.col("e").cast("bigint").alias("until"), F.lit(None).cast("string").alias("role"), F.col("root_level").cast("bigint").alias("level")))
-    rows = rows.where("doc_id is not null").repartition("doc_id").sortWithinPartitions("doc_id", "seq", "what", F.desc_nulls_last("until"), "role", "level")
+    rows = rows.where("doc_id is not null").repartition(*([parts] if parts else []), "doc_id").sortWithinPartitions("doc_id", "seq", "what", F.desc_nulls_last("until"), "role", "level")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         doc, sweep = None, Sweep()

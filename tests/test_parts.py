@@ -6,7 +6,7 @@ import pytest
 from compare import connect, difference
 from pyspark.sql import functions as F
 
-from folioforge.plans import catalog
+from folioforge.plans import catalog, queries
 from folioforge.plans.queries import QUERIES, oracles
 
 DATA = "/root/testdata/sf0.001"
@@ -47,3 +47,19 @@ def test_texts_are_searched_once(spark, name):
 def test_headers_are_joined_where_their_tables_are(plain):
     plan = QUERIES["grf06_family_chains"](plain, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("- Exchange hashpartitioning") <= 2
+
+
+@pytest.mark.parametrize("name", ["grf12_rule_cascade", "win06_sparse_corrected", "grf13_section_placement"])
+def test_stages_stay_in_the_parts_of_their_documents(spark, monkeypatch, name):
+    plans = []
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, *args)
+
+    kept = queries.kept
+    monkeypatch.setattr(queries, "DOCUMENTS_PER_STAGE_PART", 20, raising=False)
+    monkeypatch.setattr(queries, "kept", seen)
+    df = QUERIES[name](spark, DATA)
+    assert df.sparkSession is spark and difference(df, connect(DATA), oracles()[name]) == ""
+    assert plans and not any(x in plans[-1] for x in ("Exchange hashpartitioning", "BroadcastExchange"))
