@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,8 +126,19 @@ class Walk:
         return self.events + [("suppressed", p, self.layer(p), None) for p in sorted(self.hidden, key=_place)]
 
 
-def traverse(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Records of documents in order, a document a task.
+EVENTS_PER_BATCH = 20_000
+
+
+def _events(doc: int, nodes: dict[str, tuple], children: dict[str, list[str]], captions: dict[str, list[str]]) -> list[tuple]:
+    try:
+        return [(doc, k, *x, None) for k, x in enumerate(Walk(nodes, children, captions).run(), 1)]
+    except Broken as e:
+        return [(doc, 1, "violation", e.args[1], None, None, e.args[0])]
+
+
+def traverse(nodes: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """Records of documents in order. Documents are dealt in ``parts`` (those of the session if not given), sorted in their tasks
+    and read in batches; what is kept is one document.
 
     ``nodes``: doc_id, pointer, layer (null: body), tables (clean tables made of it), covered (another table stands for it),
     unplaced (a text without a valid place). ``edges``: doc_id, parent (``#/body`` at the top), position, child, caption.
@@ -134,19 +147,34 @@ def traverse(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     row of kind violation. Rows without a document are left out.
     """
     ship(nodes.sparkSession)
-
-    def run(points: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        doc = (points if len(points) else links).doc_id.iloc[0]
-        known = {p: (layer, 0 if pd.isna(n) else int(n), covered is True or covered == 1, unplaced is True or unplaced == 1) for p, layer, n, covered, unplaced in zip(points.pointer, points.layer, points.tables, points.covered, points.unplaced, strict=True)}
-        children: dict[str, list[str]] = {}
-        captions: dict[str, list[str]] = {}
-        for x in links.sort_values(["position", "child"]).itertuples(index=False):
-            (captions if x.caption else children).setdefault(x.parent, []).append(x.child)
-        try:
-            found = [(doc, k, *x, None) for k, x in enumerate(Walk(known, children, captions).run(), 1)]
-        except Broken as e:
-            found = [(doc, 1, "violation", e.args[1], None, None, e.args[0])]
-        return pd.DataFrame(found, columns=[x.split()[0] for x in EVENTS.split(", ")]).astype({"part_no": "Int64"})
-
-    known = nodes.where("doc_id is not null").groupBy("doc_id")
-    return known.cogroup(edges.where("doc_id is not null").select(*[F.col(c).alias(c) for c in edges.columns]).groupBy("doc_id")).applyInPandas(run, EVENTS)
+    doc, none = F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(None)
+    rows = nodes.select(doc, F.lit(False).alias("edge"), F.col("pointer").alias("at"), F.col("tables").cast("bigint").alias("n"), F.col("layer").alias("to"), F.col("covered").cast("boolean").alias("flag"), F.col("unplaced").cast("boolean").alias("unplaced"))
+    rows = rows.unionByName(edges.select(doc, F.lit(True).alias("edge"), F.col("parent").alias("at"), F.col("position").cast("bigint").alias("n"), F.col("child").alias("to"), F.col("caption").cast("boolean").alias("flag"), none.cast("boolean").alias("unplaced")))
+    rows = rows.where("doc_id is not null").repartition(*([parts] if parts else []), "doc_id").sortWithinPartitions("doc_id", "edge", F.asc_nulls_last("n"), F.asc_nulls_last("to"))
+    schema = pa.schema([(x.split()[0], pa.int64() if x.endswith("bigint") else pa.string()) for x in EVENTS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, known, children, captions, out = None, {}, {}, {}, []
+
+        def batch_of(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            for doc_id, edge, at, n, to, flag, unplaced in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if doc_id != here:
+                    if here is not None:
+                        out += _events(here, known, children, captions)
+                    here, known, children, captions = doc_id, {}, {}, {}
+                if edge:
+                    (captions if flag else children).setdefault(at, []).append(to)
+                else:
+                    known[at] = (to, n or 0, bool(flag), bool(unplaced))
+                if len(out) > EVENTS_PER_BATCH:
+                    yield batch_of(out)
+                    out = []
+        if here is not None:
+            out += _events(here, known, children, captions)
+        if out:
+            yield batch_of(out)
+
+    return rows.mapInArrow(run, EVENTS)

@@ -5,6 +5,10 @@ from __future__ import annotations
 import pytest
 
 from folioforge.operators.records import Broken, Walk, traverse
+from folioforge.plans import queries
+from folioforge.plans.catalog import over_folder
+
+DATA = "/root/testdata/sf0.001"
 
 BODY = ("body", 0, False, False)
 
@@ -83,3 +87,10 @@ def test_documents(spark):
         (1, 1, "text", "#/texts/0", "body", None, None), (1, 2, "text", "#/texts/1", "furniture", None, None), (2, 1, "violation", "#/groups/0", None, None, "cycle"),
         (3, 1, "violation", "#/texts/7", None, None, "unknown pointer"), (4, 1, "table", "#/tables/0", "body", 1, None), (5, 1, "violation", "nowhere", None, None, "not a pointer"),
     ]
+
+
+def test_documents_are_read_in_batches_in_their_parts(spark, monkeypatch):
+    monkeypatch.setattr(queries, "DOCUMENTS_PER_STAGE_PART", 20, raising=False)
+    plain = traverse(*(over_folder(spark, DATA, name) for name in ("record_nodes", "record_edges")))
+    assert "FlatMapCoGroups" not in plain._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, queries.QUERIES["grf01_record_traversal"](spark, DATA).collect())) == sorted(map(str, plain.collect()))
