@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioforge.functions.scalars import iou
+from folioforge.functions.scalars import CELL_COLUMNS, COORDINATE_KEY, DATA_SHARE, HEADER_ROWS, iou
 from folioforge.plans.catalog import operator, view
 
 
@@ -264,6 +264,16 @@ def _(d):
       left join header_rows h on h.table_id = x.table_id and h.r = x.r group by x.table_id having sum(case when h.table_id is not null and x.text <> '' then 1 else 0 end) > 0"""
 
 
+@view("headers_in_rows", "row_texts_in_rows")
+def _(d):
+    """``headers`` where a row's cells are in one row: header rows are marked on the way, so nothing is joined."""
+    w = "partition by table_id order by r rows between unbounded preceding and current row"
+    data = f"case when {d.rlike('text', COORDINATE_KEY)} or filled > 0 and numbers >= {DATA_SHARE} * filled then 1 else 0 end"
+    marked = f"select table_id, r, texts, filled, max({data}) over ({w}) = 0 and row_number() over (partition by table_id order by r) <= {HEADER_ROWS} as header from row_texts_in_rows where table_id is not null"
+    return f"""select table_id, array_join(flatten(transform(array_sort(collect_list(struct(r, texts)) filter (where header)), x -> transform(x.texts, t -> cast(x.r as string) || ':' || t))), '|') as header, cast(max(size(texts)) as bigint) as columns
+      from ({marked}) group by table_id having sum(case when header then filled else 0 end) > 0"""
+
+
 @operator("flt19_header_equality", "headers")
 def _(d):
     """Tables whose header equals that of the table before."""
@@ -290,6 +300,18 @@ def _(d):
       from (select table_id, c, case when text = '' then 'empty' when text = '-' then 'missing' when {numeric} then 'numeric' else 'text' end as kind from cells) group by table_id, c, kind) group by table_id, c"""
 
 
+KINDS = ("text", "numeric", "missing", "empty")  # fixed values: kinds of columns, the first of those with most cells wins
+
+
+@view("column_types_in_rows", "cell_rows")
+def _(d):
+    """``column_types`` where a row's cells are in one row: kinds are counted table by table."""
+    kinds = ", ".join(f"case when texts[{c}] = '' then 'empty' when texts[{c}] = '-' then 'missing' when {d.rlike(f'texts[{c}]', '^[0-9]+$')} then 'numeric' else 'text' end as k{c}" for c in range(CELL_COLUMNS))
+    score = "count_if(k{0} = '{1}') * 10 - {2}"
+    best = ", ".join("array_max(array(" + ", ".join(f"struct({score.format(c, k, i)} as score, '{k}' as kind)" for i, k in enumerate(KINDS)) + ")).kind" for c in range(CELL_COLUMNS))
+    return f"select table_id, cast(c as int) as c, dominant from (select table_id, array({best}) as found from (select table_id, {kinds} from cell_rows) group by table_id) lateral view posexplode(found) x as c, dominant"
+
+
 @operator("flt21_type_compatibility", "column_types")
 def _(d):
     """Neighbouring tables whose columns have the same kinds, numbers and missing values mixing freely."""

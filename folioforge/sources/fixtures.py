@@ -87,14 +87,24 @@ def _(d):
       cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) as bigint) as r from lineitem"""
 
 
-@view("cells", "grid")
-def _(d):
-    """Cells of tables in long form, in one scan."""
+def _cell_texts() -> list[str]:
+    """Texts of a row's cells, column by column."""
     texts = ("case when r = 1 and table_id % 6 = 1 then 'extract_v2' when r > 1 and table_id % 9 = 4 and l_partkey % 4 = 0 then 'Sheet 3 of 12' when {0} then 'Flag' else l_returnflag end", "case when {0} then 'Status' else l_linestatus end",
         "case when {0} then 'Quantity' else cast(cast(round(l_quantity) as bigint) as string) end", "case when {0} then 'Discount' when l_discount = 0 then '-' else cast(cast(round(l_discount * 100) as bigint) as string) end",
         "case when {0} then 'Part ' || cast(cast(floor(table_id / 5) as bigint) as string) when l_partkey % 5 = 0 then '' else cast(l_partkey as string) end")
-    texts = [t.format("r = 1 and table_id % 4 <> 3") for t in texts]
-    return f"select table_id, r, x.c as c, x.text as text from {d.exploded('grid', 'x', *(d.struct(c=str(c), text=t) for c, t in enumerate(texts)))}"
+    return [t.format("r = 1 and table_id % 4 <> 3") for t in texts]
+
+
+@view("cells", "grid")
+def _(d):
+    """Cells of tables in long form, in one scan."""
+    return f"select table_id, r, x.c as c, x.text as text from {d.exploded('grid', 'x', *(d.struct(c=str(c), text=t) for c, t in enumerate(_cell_texts())))}"
+
+
+@view("cell_rows", "grid")
+def _(d):
+    """The same cells, one row of a table in each row."""
+    return f"select table_id, r, {d.text_list(*_cell_texts())} as texts from grid"
 
 
 @view("boxes", "lineitem")

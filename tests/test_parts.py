@@ -49,6 +49,26 @@ def test_headers_are_joined_where_their_tables_are(plain):
     assert plan.count("- Exchange hashpartitioning") <= 2
 
 
+@pytest.mark.parametrize(("name", "exchanges"), [("scl11_row_cleanup", 1), ("prj15_inherited_headers", 2), ("grf06_family_chains", 2)])
+def test_cells_of_a_row_stay_together(plain, name, exchanges):
+    """Rows are dealt once by table and not blown up: no cell is a row of its own, and no row is repeated for each distinct count."""
+    df = QUERIES[name](plain, DATA)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("- Exchange hashpartitioning") <= exchanges
+    assert "inline(" not in plan and "explode(array(" not in plan and "Expand" not in plan
+    assert difference(df, connect(DATA), oracles()[name]) == ""
+
+
+@pytest.mark.parametrize("name", ["row_texts", "headers", "column_types"])
+def test_relations_in_rows_equal_those_over_cells(spark, name):
+    rows = [(1, 1, ["extract_v2", None, "", "-", "7"]), (1, 2, ["Flag", "", None, "x", "12 of 3"]), (1, 3, ["1", "2", "-", "", "5"]), (2, 1, ["", "", "", "", ""]), (3, 1, ["1", "2", "a", "", ""]), (None, 1, ["a", "b", "1", "-", ""])]
+    rows += [(4, r, [f"h{r}", "", None, "b", "-"]) for r in range(1, 12)]
+    in_rows = spark.createDataFrame(rows, "table_id bigint, r bigint, texts array<string>")
+    cells = in_rows.selectExpr("table_id", "r", "posexplode(texts) as (c, text)")
+    a, b = catalog.apply(spark, name, cells=cells), catalog.apply(spark, f"{name}_in_rows", cell_rows=in_rows)
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+
+
 @pytest.mark.parametrize("name", ["grf12_rule_cascade", "win06_sparse_corrected", "grf13_section_placement"])
 def test_stages_stay_in_the_parts_of_their_documents(spark, monkeypatch, name):
     plans = []
