@@ -20,6 +20,7 @@ lose the same lines; an empty table gives no rows; further columns pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ from folioforge.llm.storage import Scratch, mapped, partitions_for, same_row
 
 SHINGLE, PERCENT, MIN_CHARS, BANDS, ROWS = 8, 75, 40, 14, 4
 EMPTY = np.uint32(0xFFFFFFFF)
+ASKED = 4  # bins that all empty bins ask together; what is empty then asks all full ones at once
 ENTRIES = 4_000_000  # band entries of a partition, 16 bytes each
 SENT = 1_000_000  # keys a task remembers
 
@@ -72,21 +74,37 @@ class Lines:
         return mix((self.total[at + k] - self.total[at]) * self.inverse[at]), count
 
 
+@lru_cache(maxsize=4)
+def _lenders(bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first bins that each bin asks, attempt by attempt (attempts x bins), and the attempt at which a bin first asks each other one (bins x bins)."""
+    col, asked, rank = np.arange(bins, dtype=U64) * U64(1000003), [], np.full((bins, bins), -1, np.int32)
+    while (rank < 0).any():
+        lender = (mix(col + U64(len(asked) + 1)) % U64(bins)).view(np.int64)
+        new = rank[np.arange(bins), lender] < 0
+        rank[np.flatnonzero(new), lender[new]] = len(asked)
+        asked.append(lender)
+    return np.stack(asked[:ASKED]), rank
+
+
 def signatures(hashes: np.ndarray, count: np.ndarray, bins: int) -> np.ndarray:
-    """One minimum for each bin; empty bins borrow."""
+    """One minimum for each bin; empty bins borrow from the first full one that they ask."""
     out = np.full((len(count), bins), EMPTY, np.uint32)
     slot = ((hashes >> U64(32)) * U64(bins)) >> U64(32)
     where = np.repeat(np.arange(len(count)) * bins, count) + slot.view(np.int64)
     np.minimum.at(out.reshape(-1), where, (hashes & U64(0xFFFFFFFE)).astype(np.uint32))
     full = out != EMPTY
     row, col = np.nonzero(~full)
-    attempt = 0
-    while len(row):
-        attempt += 1
-        lender = (mix(col.astype(U64) * U64(1000003) + U64(attempt)) % U64(bins)).view(np.int64)
+    if not len(row):
+        return out
+    asked, rank = _lenders(bins)
+    for lenders in asked:
+        lender = lenders[col]
         ok = full[row, lender]
         out[row[ok], col[ok]] = out[row[ok], lender[ok]]
         row, col = row[~ok], col[~ok]
+    for lo in range(0, len(row), 1 << 14):  # lines with few full bins: the one asked first
+        r, c = row[lo : lo + (1 << 14)], col[lo : lo + (1 << 14)]
+        out[r, c] = out[r, np.where(full[r], rank[c], np.int32(1 << 30)).argmin(1)]
     return out
 
 

@@ -206,3 +206,49 @@ def test_texts_are_dealt_once_and_packed(spark, make):
     for text in ("", "é\n" * 9, "a\x00b"):
         assert unpacked(pa.array([pack_text(text)])) == [text]
     assert len(pack_text(rows[0][1])) < len(rows[0][1])
+
+
+@pytest.mark.parametrize(("edges", "rounds"), [([], 0), ([(1, 5), (7, 1), (9, 8), (9, 8), (3, 3), (None, 4)], 0), ([(k, k + 1) for k in range(40)] + [(100, 90), (90, 95)], None)])
+def test_rounds_end_when_only_stars_are_left(spark, monkeypatch, edges, rounds):
+    """No round is spent on finding that nothing changes."""
+    from folioforge.llm import graph
+    from folioforge.llm.storage import Scratch
+
+    calls, toward = [], graph._toward_minimum
+    monkeypatch.setattr(graph, "_toward_minimum", lambda pairs: calls.append(1) or toward(pairs))
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark, "stars")).collect()}
+    least = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in edges:
+        for a, b in edges:
+            if a in least and b in least:
+                least[a] = least[b] = min(least[a], least[b])
+    assert got == least
+    assert rounds is None or len(calls) == 2 * rounds
+
+
+def test_empty_bins_borrow_without_a_pass_for_each_attempt(monkeypatch):
+    """Signatures are those of asking bin after bin, also of lines with one shingle, where hundreds of attempts fail."""
+    import numpy as np
+
+    from folioforge.llm import line_dedup
+    from folioforge.llm.kernels import U64, mix
+
+    count = np.array([1, 2, 500, 1, 7, 60])
+    hashes = mix(np.arange(int(count.sum()), dtype=U64) + U64(5))
+    with np.errstate(over="ignore"):
+        line_dedup.signatures(hashes, count, 56)
+        calls = []
+        monkeypatch.setattr(line_dedup, "mix", lambda x: calls.append(1) or mix(x))
+        got = line_dedup.signatures(hashes, count, 56)
+        assert len(calls) == 0
+        for row, h in zip(got, np.split(hashes, np.cumsum(count)[:-1]), strict=True):
+            least = {}
+            for x in h.tolist():
+                b = ((x >> 32) * 56) >> 32
+                least[b] = min(least.get(b, 1 << 32), x & 0xFFFFFFFE)
+            for b in range(56):
+                at, attempt = b, 0
+                while at not in least:
+                    attempt += 1
+                    at = int(mix(np.array([b * 1000003 + attempt], U64))[0] % U64(56))
+                assert row[b] == least[at]
