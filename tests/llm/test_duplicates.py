@@ -208,6 +208,35 @@ def test_texts_are_dealt_once_and_packed(spark, make):
     assert len(pack_text(rows[0][1])) < len(rows[0][1])
 
 
+def test_only_pairs_that_share_enough_are_verified(spark, make, monkeypatch):
+    """Texts of classes that meet in fewer shingles than similar ones must share are not fetched."""
+    asked, verified = [], postings.verified
+
+    def spy(pairs, *rest):
+        asked.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(postings, "verified", spy)
+    rng = random.Random(7)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(40)]
+    rows = [(i, " ".join(w[:30] + words[i // 2][:6] + w[30:])) for i, w in enumerate(words)]
+    got = near_duplicates(make(rows), sketch_bits=6)
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(i, i) for i in range(40)} and asked == [0, 0, 0]
+    near_duplicates(make([*rows, (99, rows[3][1] + " more")]), sketch_bits=6).collect()
+    assert asked[3] == 1
+
+
+def test_texts_of_classes_stay_dealt(spark):
+    from folioforge.llm.storage import Scratch
+
+    rows = spark.range(50).selectExpr("id as key", "cast(id as string) as text").repartition(4, "key")
+    held = Scratch(spark, "dealt").save_dealt(rows, "blobs", 4, "key")
+    both = held.hint("merge").join(spark.range(40).withColumnRenamed("id", "key"), "key")
+    assert both.count() == 40 and not spark.sql("show tables").where("tableName like 'folioforge%'").count()
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # of the other side
+
+
 @pytest.mark.parametrize(("edges", "rounds"), [([], 0), ([(1, 5), (7, 1), (9, 8), (9, 8), (3, 3), (None, 4)], 0), ([(k, k + 1) for k in range(40)] + [(100, 90), (90, 95)], None)])
 def test_rounds_end_when_only_stars_are_left(spark, monkeypatch, edges, rounds):
     """No round is spent on finding that nothing changes."""
