@@ -41,6 +41,9 @@ def _(d):
 @operator("agg05_rule_summary", "rule_numbers", "decisions")
 def _(d):
     """Selected and merely eligible decisions of every rule."""
+    if d.name == "spark":  # decisions are counted by their few lists of rules first: a join by anything but equality sends its other side to the driver whole
+        return """select r.rule, coalesce(sum(x.n) filter (where x.selected = r.rule), 0) as selected, coalesce(sum(x.n) filter (where instr(x.eligible, r.rule) > 0 and x.selected <> r.rule), 0) as eligible_only
+          from rule_numbers r left join (select eligible, selected, count(*) as n from decisions group by eligible, selected) x on instr(x.eligible, r.rule) > 0 group by r.rule"""
     return """select r.rule, count(*) filter (where x.selected = r.rule) as selected, count(*) filter (where instr(x.eligible, r.rule) > 0 and x.selected <> r.rule) as eligible_only
       from rule_numbers r left join decisions x on instr(x.eligible, r.rule) > 0 group by r.rule"""
 

@@ -325,3 +325,15 @@ def test_identity_changes_of_one_source(spark):
     s = "source_id bigint, terminal_state string, failure_class string"
     old, new = spark.createDataFrame([(1, "complete", None), (2, "complete", None), (3, "failed", "x")], s), spark.createDataFrame([(1, "failed", "x"), (2, "complete", None)], s)
     assert rows(apply(spark, "jn31_identity_changes", candidates=old, later_candidates=new), "source_id", "field") == [(1, "failure_class"), (1, "terminal_state")]
+
+
+def test_rule_summary_joins_counts_and_not_decisions(spark):
+    """Each side of the join by inequality holds a row for each list of rules at most, however many decisions there are."""
+    from folioforge.plans.catalog import apply
+
+    rules = spark.createDataFrame([("R01",), ("R05",), ("R07",), ("R08",)], "rule string")
+    rows = [("R01 R08", "R01")] * 400 + [("R05 R08", "R05")] * 300 + [("R05 R08", "R08")] * 7 + [("R08", "R08")] * 20 + [("", ""), (None, None), ("R08", None)]
+    got = apply(spark, "agg05_rule_summary", rule_numbers=rules, decisions=spark.createDataFrame(rows, "eligible string, selected string"))
+    assert {(r.rule, r.selected, r.eligible_only) for r in got.collect()} == {("R01", 400, 0), ("R05", 300, 7), ("R07", 0, 0), ("R08", 27, 700)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("Aggregate [eligible")
