@@ -507,6 +507,34 @@ def test_the_network_learns_and_tasks_refine_it(spark, make):
     assert value[0] < value[1] - 100 and value[2] > value[1] - 30
 
 
+def test_every_window_of_the_training_texts_is_learned_from(monkeypatch):
+    """Each target once, whatever the steps, the ids' own parts too; the rest of a task's texts makes a smaller step."""
+    import numpy as np
+
+    from folioforge.llm import attention
+
+    texts = [(np.arange(1, 78), np.array([1, 16, 17, 40, 0, 3])), (np.arange(100, 200), np.array([100]))]
+    seen, loss = collections.Counter(), attention.Attention.loss
+
+    def spy(self, ids, target, weight):
+        seen.update(target[weight > 0].tolist())
+        return loss(self, ids, target, weight)
+
+    monkeypatch.setattr(attention.Attention, "loss", spy)
+    of = np.arange(500) % attention.CLASSES
+    for per_step, steps in ((30, 4), (10**9, 1)):
+        net, begun, state = attention.Attention(of), attention.Attention(of).p, {}
+        seen.clear()
+        for stream, sizes in texts:
+            net.learn(stream, sizes, int(sizes.sum()), state, per_step)
+        net.learn_rest(state, per_step)
+        assert seen == collections.Counter(of[np.concatenate([x for x, _ in texts])].tolist())
+        assert state["words"] == pytest.approx(177) and state["t"] >= steps and state["times"].max() <= state["t"]
+        for name, x in net.p.items():
+            moved = np.abs(x - begun[name]).max()
+            assert moved > 1e-5 if per_step == 30 else moved < 1e-8, name
+
+
 def test_lm_edges(spark, make):
     got = lm_scoring.score(make(EDGES), F.lit(True), sample_docs=5, steps=5).collect()
     assert len(got) == len(EDGES) and next(r for r in got if r.doc_id == 1).n_tokens == 1
